@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import ledger, mixing, tokens, wumanber
+from . import crosspoly, ledger, mil, mixing, tokens, wumanber
 
 QUERIES = {
     "op3_blob_ledger": ledger.query,
     "op4_mix_sources": mixing.query,
     "op7_wu_manber": wumanber.query,
     "op8_token_output": tokens.query,
+    "op9_gated_attention": mil.query,
+    "op10_cross_polytope": crosspoly.query,
 }
 
 ORACLES = {"op4_mix_sources": mixing.ORACLE}
