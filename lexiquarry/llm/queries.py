@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import crosspoly, ledger, mil, mixing, tokens, wumanber
+from . import crf, crosspoly, ledger, mil, mixing, tokens, wumanber
 
 QUERIES = {
+    "op2_skip_chain_crf": crf.query,
     "op3_blob_ledger": ledger.query,
     "op4_mix_sources": mixing.query,
     "op7_wu_manber": wumanber.query,
