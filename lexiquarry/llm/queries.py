@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import crf, crosspoly, ledger, mil, mixing, tokens, wumanber
+from . import crf, crosspoly, ledger, mil, minhash, mixing, tokens, wumanber
 
 QUERIES = {
     "op2_skip_chain_crf": crf.query,
     "op3_blob_ledger": ledger.query,
     "op4_mix_sources": mixing.query,
+    "op5_minhash_bottom_k": minhash.query,
     "op7_wu_manber": wumanber.query,
     "op8_token_output": tokens.query,
     "op9_gated_attention": mil.query,
