@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,8 +29,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .common import map_texts, materialize, table
 
 END_ID = 2
-#: Words that a process remembers; the cache starts anew when it is full.
-CACHE_WORDS = 700_000
+#: Words, and their letters alone, that a process remembers; a cache that is full starts anew.
+CACHE_WORDS = 500_000
+CACHE_HEADS = 800_000
 TOKENS_A_TASK = 8_000_000
 TOKENS_A_BLOCK = 1_000_000
 _PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -56,6 +58,7 @@ class WordEncoder:
 
         self.t = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.t.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         one = lambda s: self.t.encode(s, add_special_tokens=False).ids
         self.independent = one("ab,\n c d") == one("ab") + one(",") + one("c") + one("d")
         self.ends = np.zeros(self.t.get_vocab_size(), dtype=bool)
@@ -63,56 +66,71 @@ class WordEncoder:
             self.ends[i] = k.endswith("</w>")
         self.words: dict[bytes, bytes] = {}
         self.heads: dict[bytes, bytes] = {}
+        self.tails: dict[bytes, bytes] = {}
 
     def _pack(self, ids) -> bytes:
-        return np.array(ids, dtype=self.dtype).tobytes()
+        return array(self.code, ids).tobytes()
+
+    def _whole(self, text: str) -> bytes:
+        return self._pack(self.t.encode(text, add_special_tokens=False).ids)
 
     def _learn(self, new: set[bytes]) -> None:
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-            self.heads.clear()
-        whole, cut, heads = [], [], set()
+        """Lower-cased words: what is all ASCII letters is one pre-token and needs no normalization; other letters are
+        one pre-token each and go to the tokenizer many at a time; trailing punctuation is apart from letters."""
+        words, heads, plain, pack = self.words, self.heads, self.t.model.tokenize, self._pack
+        far, cut = set(), []
         for w in new:
-            head = w.rstrip(_PUNCTUATION).lower()
-            if head and b"<|" not in w and (head.isalpha() or (s := head.decode()).isalpha() and s.lower().isalpha()):
-                cut.append((w, head, w[len(head) :]))
-                heads.add(head)
-                heads.add(cut[-1][2])
-            else:
-                whole.append(w)
-        heads -= self.heads.keys()
-        heads.discard(b"")
-        self.heads[b""] = b""
-        plain = self.t.model.tokenize
-        far = []
-        for h in heads:
-            if h.isalpha():  # ASCII letters only: no normalization and one pre-token
-                self.heads[h] = self._pack([x.id for x in plain(h.decode())])
+            if w.isalpha():
+                words[w] = heads[w] = heads.get(w) or pack([x.id for x in plain(w.decode())])
+                continue
+            head = w.rstrip(_PUNCTUATION)
+            if head.isalpha():
+                ids = heads.get(head)
+                if ids is None:
+                    ids = heads[head] = pack([x.id for x in plain(head.decode())])
+            elif head and (s := head.decode()).isalpha() and s.lower().isalpha():
+                ids = heads.get(head)
+                if ids is None:
+                    far.add(head)
+                    cut.append((w, head))
+                    continue
             else:
-                far.append(h)
-        for k in range(0, len(far), 1000):
-            part = far[k : k + 1000]
+                words[w] = self._whole(w.decode())
+                continue
+            words[w] = ids + self._tail(w[len(head) :])
+        listed = list(far)
+        for k in range(0, len(listed), 1000):
+            part = listed[k : k + 1000]
             ids = np.array(self.t.encode(" ".join(h.decode() for h in part), add_special_tokens=False).ids, dtype=self.dtype)
-            cuts = np.flatnonzero(self.ends[ids]) + 1
+            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            raw, size = ids.tobytes(), self.dtype.itemsize
             if len(cuts) == len(part):
-                self.heads.update((h, x.tobytes()) for h, x in zip(part, np.split(ids, cuts[:-1]), strict=True))
+                for h, a, b in zip(part, [0, *cuts], cuts):
+                    heads[h] = raw[a * size : b * size]
             else:
-                self.heads.update((h, self._pack(self.t.encode(h.decode(), add_special_tokens=False).ids)) for h in part)
-        self.words.update((w, self.heads[h] + self.heads[p]) for w, h, p in cut)
-        self.words.update((w, self._pack(self.t.encode(w.decode(), add_special_tokens=False).ids)) for w in whole)
+                heads.update((h, self._whole(h.decode())) for h in part)
+        for w, head in cut:
+            words[w] = heads[head] + self._tail(w[len(head) :])
+
+    def _tail(self, marks: bytes) -> bytes:
+        ids = self.tails.get(marks)
+        if ids is None:
+            ids = self.tails[marks] = self._whole(marks.decode()) if marks else b""
+        return ids
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         if not self.independent:
             return [self._pack(e.ids) for e in self.t.encode_batch_fast([(t or b"").decode() for t in texts], add_special_tokens=False)]
-        split = [t.split() if t else [] for t in texts]
-        new = {w for ws in split for w in ws if w not in self.words}
-        if new:
-            self._learn(new)
-            if len(new) < len(self.words):  # the cache may just have been cleared
-                missing = {w for ws in split for w in ws if w not in self.words}
-                if missing:
-                    self._learn(missing)
-        return [b"".join(map(self.words.__getitem__, ws)) for ws in split]
+        if len(self.words) > CACHE_WORDS:
+            self.words.clear()
+            self.tails.clear()
+        if len(self.heads) > CACHE_HEADS:
+            self.heads.clear()
+        # a text that may hold a special token keeps its case and goes to the tokenizer whole
+        split = [t.lower().split() if t and b"<|" not in t else [] for t in texts]
+        self._learn(set().union(*split) - self.words.keys())
+        get = self.words.__getitem__
+        return [b"".join(map(get, ws)) if ws or not t else self._whole(t.decode()) for t, ws in zip(texts, split, strict=True)]
 
 
 @lru_cache(maxsize=2)
