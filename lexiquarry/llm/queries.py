@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import crf, crosspoly, ledger, mil, minhash, mixing, tokens, wumanber
+from . import crf, crosspoly, katz, ledger, mil, minhash, mixing, tokens, wumanber
 
 QUERIES = {
+    "op1_katz": katz.query,
     "op2_skip_chain_crf": crf.query,
     "op3_blob_ledger": ledger.query,
     "op4_mix_sources": mixing.query,
