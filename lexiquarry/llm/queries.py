@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import crf, crosspoly, katz, ledger, mil, minhash, mixing, tokens, wumanber
+from . import crf, crosspoly, katz, ledger, mil, minhash, mixing, rlbwt, tokens, wumanber
 
 QUERIES = {
     "op1_katz": katz.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_blob_ledger": ledger.query,
     "op4_mix_sources": mixing.query,
     "op5_minhash_bottom_k": minhash.query,
+    "op6_run_length_index": rlbwt.query,
     "op7_wu_manber": wumanber.query,
     "op8_token_output": tokens.query,
     "op9_gated_attention": mil.query,
