@@ -30,8 +30,8 @@ from .common import map_texts, materialize, table
 
 END_ID = 2
 #: Words, and their letters alone, that a process remembers; a cache that is full starts anew.
-CACHE_WORDS = 500_000
-CACHE_HEADS = 800_000
+CACHE_WORDS = 250_000
+CACHE_HEADS = 1_000_000
 TOKENS_A_TASK = 8_000_000
 TOKENS_A_BLOCK = 1_000_000
 _PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -44,6 +44,19 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class _Words(dict):
+    """Ids by word; a word that is not there is encoded and kept."""
+
+    def __init__(self, encoder: WordEncoder):
+        self.encoder = encoder
+
+    def __missing__(self, w: bytes) -> bytes:
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        ids = self[w] = self.encoder.word(w)
+        return ids
+
+
 class WordEncoder:
     """Token ids of whole texts, as bytes.
 
@@ -61,10 +74,8 @@ class WordEncoder:
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         one = lambda s: self.t.encode(s, add_special_tokens=False).ids
         self.independent = one("ab,\n c d") == one("ab") + one(",") + one("c") + one("d")
-        self.ends = np.zeros(self.t.get_vocab_size(), dtype=bool)
-        for k, i in self.t.get_vocab().items():
-            self.ends[i] = k.endswith("</w>")
-        self.words: dict[bytes, bytes] = {}
+        self.size = self.t.get_vocab_size()
+        self.words = _Words(self)
         self.heads: dict[bytes, bytes] = {}
         self.tails: dict[bytes, bytes] = {}
 
@@ -74,43 +85,22 @@ class WordEncoder:
     def _whole(self, text: str) -> bytes:
         return self._pack(self.t.encode(text, add_special_tokens=False).ids)
 
-    def _learn(self, new: set[bytes]) -> None:
-        """Lower-cased words: what is all ASCII letters is one pre-token and needs no normalization; other letters are
-        one pre-token each and go to the tokenizer many at a time; trailing punctuation is apart from letters."""
-        words, heads, plain, pack = self.words, self.heads, self.t.model.tokenize, self._pack
-        far, cut = set(), []
-        for w in new:
-            if w.isalpha():
-                words[w] = heads[w] = heads.get(w) or pack([x.id for x in plain(w.decode())])
-                continue
-            head = w.rstrip(_PUNCTUATION)
+    def word(self, w: bytes) -> bytes:
+        """Ids of a lower-cased word. Letters are one pre-token, apart from trailing punctuation; ASCII letters need no
+        normalization and go to the model at once; what is neither goes to the tokenizer as it is."""
+        head = w if w.isalpha() else w.rstrip(_PUNCTUATION)
+        ids = self.heads.get(head)
+        if ids is None:
             if head.isalpha():
-                ids = heads.get(head)
-                if ids is None:
-                    ids = heads[head] = pack([x.id for x in plain(head.decode())])
+                ids = self._pack([x.id for x in self.t.model.tokenize(head.decode())])
             elif head and (s := head.decode()).isalpha() and s.lower().isalpha():
-                ids = heads.get(head)
-                if ids is None:
-                    far.add(head)
-                    cut.append((w, head))
-                    continue
-            else:
-                words[w] = self._whole(w.decode())
-                continue
-            words[w] = ids + self._tail(w[len(head) :])
-        listed = list(far)
-        for k in range(0, len(listed), 1000):
-            part = listed[k : k + 1000]
-            ids = np.array(self.t.encode(" ".join(h.decode() for h in part), add_special_tokens=False).ids, dtype=self.dtype)
-            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            raw, size = ids.tobytes(), self.dtype.itemsize
-            if len(cuts) == len(part):
-                for h, a, b in zip(part, [0, *cuts], cuts):
-                    heads[h] = raw[a * size : b * size]
+                ids = self._whole(s)
             else:
-                heads.update((h, self._whole(h.decode())) for h in part)
-        for w, head in cut:
-            words[w] = heads[head] + self._tail(w[len(head) :])
+                return self._whole(w.decode())
+            if len(self.heads) > CACHE_HEADS:
+                self.heads.clear()
+            self.heads[head] = ids
+        return ids + self._tail(w[len(head) :]) if len(head) < len(w) else ids
 
     def _tail(self, marks: bytes) -> bytes:
         ids = self.tails.get(marks)
@@ -121,16 +111,9 @@ class WordEncoder:
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         if not self.independent:
             return [self._pack(e.ids) for e in self.t.encode_batch_fast([(t or b"").decode() for t in texts], add_special_tokens=False)]
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-            self.tails.clear()
-        if len(self.heads) > CACHE_HEADS:
-            self.heads.clear()
-        # a text that may hold a special token keeps its case and goes to the tokenizer whole
-        split = [t.lower().split() if t and b"<|" not in t else [] for t in texts]
-        self._learn(set().union(*split) - self.words.keys())
         get = self.words.__getitem__
-        return [b"".join(map(get, ws)) if ws or not t else self._whole(t.decode()) for t, ws in zip(texts, split, strict=True)]
+        # a text that may hold a special token keeps its case and goes to the tokenizer whole
+        return [self._whole(t.decode()) if t and b"<|" in t else b"".join(map(get, t.lower().split())) if t else b"" for t in texts]
 
 
 @lru_cache(maxsize=2)
@@ -187,14 +170,14 @@ def rank_table(tokens: DataFrame, tokenizer: str | None = None) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        total = np.zeros(len(enc.ends), dtype=np.int64)
+        total = np.zeros(enc.size, dtype=np.int64)
         for b in batches:
             total += np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), dtype=enc.dtype), minlength=len(total))
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[ids])], schema=arrow)
 
     counts = tokens.select("ids").mapInArrow(count, schema).groupBy("id").agg(F.sum("n").alias("n")).toPandas()
-    n = np.zeros(len(encoder(path).ends), dtype=np.int64)
+    n = np.zeros(encoder(path).size, dtype=np.int64)
     n[counts["id"].to_numpy(dtype=np.int64)] = counts["n"].to_numpy(dtype=np.int64)
     return np.lexsort((np.arange(len(n)), -n)).astype(np.uint32)
 
