@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.text import document_name, token_set, tokens, trimmed
@@ -22,7 +22,10 @@ TABLE_TYPES = ("table_true_ocr_v2", "raw_table_ocr", "header_value_pair", "cell_
 FACTUAL_PRIORITY = {"header_value_pair": 0.0100, "cell_row_block": 0.0090, "row_summary_chunk": 0.0070, "table_body_pack": 0.0060, "row_body_pack": 0.0050, "table_true_ocr_v2": 0.0020}
 PLUS_TEXT_PRIORITY = {"paired_body_chunk": 0.0120, "table_body_pack": 0.0110, "row_body_pack": 0.0100, "header_value_pair": 0.0070, "row_summary_chunk": 0.0060, "cell_row_block": 0.0050, "table_true_ocr_v2": 0.0005}
 
-QUERY = Window.partitionBy("query_id")
+
+def per_query() -> WindowSpec:
+    return Window.partitionBy("query_id")
+
 
 
 def effective() -> Column:
@@ -37,7 +40,7 @@ def base() -> Column:
 def adjusted(rows: DataFrame, score: Column) -> DataFrame:
     """Sets the score and sorts the list by it; equal scores keep their order."""
     rows = rows.withColumn("adjusted_score", F.round(score, 9))
-    return rows.withColumn("ord", F.row_number().over(QUERY.orderBy(effective().desc(), "ord")))
+    return rows.withColumn("ord", F.row_number().over(per_query().orderBy(effective().desc(), "ord")))
 
 
 def pick(c: Column, values: dict[str, float]) -> Column:
@@ -51,7 +54,7 @@ def diversity_rerank(rows: DataFrame, k: int, penalty: float = 0.75) -> DataFram
     """A file's second row loses ``penalty``, its third twice that; then the best k by score and name."""
     nth = F.row_number().over(Window.partitionBy("query_id", "file_name").orderBy(base().desc(), "file_name", "ord")) - 1
     rows = rows.withColumn("score", F.round(base() - nth * penalty, 9))
-    rn = F.row_number().over(QUERY.orderBy(F.desc("score"), "file_name", "ord"))
+    rn = F.row_number().over(per_query().orderBy(F.desc("score"), "file_name", "ord"))
     return rows.withColumn("rank", rn).where(F.col("rank") <= k)
 
 
@@ -93,8 +96,8 @@ def crag_filter(rows: DataFrame, k: int) -> DataFrame:
 def filter_or_all(rows: DataFrame, keep: Column, k: int | None = None) -> DataFrame:
     """Rows that pass, or all of a query's rows if none passes; then the first k."""
     rows = rows.withColumn("__ok", F.coalesce(keep, F.lit(False)))
-    rows = rows.withColumn("__any", F.max("__ok").over(QUERY)).where(F.col("__ok") | ~F.col("__any")).drop("__ok", "__any")
-    rows = rows.withColumn("rank", F.row_number().over(QUERY.orderBy("ord")))
+    rows = rows.withColumn("__any", F.max("__ok").over(per_query())).where(F.col("__ok") | ~F.col("__any")).drop("__ok", "__any")
+    rows = rows.withColumn("rank", F.row_number().over(per_query().orderBy("ord")))
     return rows if k is None else rows.where(F.col("rank") <= k)
 
 
@@ -132,14 +135,15 @@ def names_match(a: Column, b: Column) -> Column:
     return (x != "") & (y != "") & (x.contains(y) | y.contains(x))
 
 
-def dual_doc_protect(rows: DataFrame, applies: Column = F.lit(True)) -> DataFrame:
+def dual_doc_protect(rows: DataFrame, applies: Column | None = None) -> DataFrame:
     """Moves the first row of each of the first two target documents (array ``targets``) to the head if both are there.
     Targets are evaluation data: without them nothing moves."""
-    first = lambda i: F.min(F.when(names_match(F.col("file_name"), F.try_element_at("targets", F.lit(i))), F.col("ord"))).over(QUERY)
-    rows = rows.withColumn("__a", first(1)).withColumn("__b", F.min(F.when(names_match(F.col("file_name"), F.try_element_at("targets", F.lit(2))) & (F.col("ord") != F.coalesce("__a", F.lit(-1))), F.col("ord"))).over(QUERY))
+    applies = F.lit(True) if applies is None else applies
+    first = lambda i: F.min(F.when(names_match(F.col("file_name"), F.try_element_at("targets", F.lit(i))), F.col("ord"))).over(per_query())
+    rows = rows.withColumn("__a", first(1)).withColumn("__b", F.min(F.when(names_match(F.col("file_name"), F.try_element_at("targets", F.lit(2))) & (F.col("ord") != F.coalesce("__a", F.lit(-1))), F.col("ord"))).over(per_query()))
     both = applies & F.col("__a").isNotNull() & F.col("__b").isNotNull()
     place = F.when(both & (F.col("ord") == F.col("__a")), 0).when(both & (F.col("ord") == F.col("__b")), 1).otherwise(2)
-    return rows.withColumn("ord", F.row_number().over(QUERY.orderBy(place, "ord"))).drop("__a", "__b")
+    return rows.withColumn("ord", F.row_number().over(per_query().orderBy(place, "ord"))).drop("__a", "__b")
 
 
 def comparison_helper(rows: DataFrame, axis: Column, axis_bonus: float = 0.004, doc_bonus: float = 0.003) -> DataFrame:
@@ -175,26 +179,27 @@ def pair_guard(rows: DataFrame, pair_bonus: float = 0.006, parent_bonus: float =
     return adjusted(rows.join(gains, ["query_id", "chunk_id"], "left"), base() + F.coalesce("gain", F.lit(0.0))).drop("gain")
 
 
-def type_gated(rows: DataFrame, k: int, answer_type: Column, generic: Column = F.lit(False), generic_penalty: float = 0.004) -> DataFrame:
+def type_gated(rows: DataFrame, k: int, answer_type: Column, generic: Column | None = None, generic_penalty: float = 0.004) -> DataFrame:
     """Bonuses by chunk type for table questions. For table_plus_text, a pair row and a structured row follow the first k if
     those have none; queries without structured rows stay as they are."""
+    generic = F.lit(False) if generic is None else generic
     kind = F.lower("chunk_type")
     pair, structured = kind.isin(*PAIR_TYPES), kind.isin(*STRUCTURED_TYPES)
     doc = Window.partitionBy("query_id", document_name(F.col("file_name")))
     support = F.max(pair | (F.coalesce("pairing_score", F.lit(0.0)) >= 0.25)).over(doc)
     factual = pick(kind, FACTUAL_PRIORITY) + F.when(structured, 0.0015).otherwise(0.0) - F.when(kind == "", 0.0015).otherwise(0.0) - F.when(generic, generic_penalty).otherwise(0.0)
     plus = pick(kind, PLUS_TEXT_PRIORITY) + F.when(structured, 0.0012).otherwise(0.0) - F.when((kind == "table_true_ocr_v2") & ~support, 0.003).otherwise(0.0) + F.when(pair, 0.001).otherwise(0.0)
-    is_plus = (answer_type == "table_plus_text") & F.max(structured).over(QUERY)
+    is_plus = (answer_type == "table_plus_text") & F.max(structured).over(per_query())
     rows = rows.withColumn("__plus", is_plus).withColumn("__bonus", F.when(answer_type == "table_factual", factual).when(is_plus, plus).otherwise(0.0))
     rows = adjusted(rows, base() + F.col("__bonus")).drop("__bonus")
 
     def lifted(flag: Column, after: float) -> Column:
-        head = F.max(flag & (F.col("ord") <= k)).over(QUERY)
-        first = F.min(F.when(flag & (F.col("ord") > k), F.col("ord"))).over(QUERY)
+        head = F.max(flag & (F.col("ord") <= k)).over(per_query())
+        first = F.min(F.when(flag & (F.col("ord") > k), F.col("ord"))).over(per_query())
         return F.when(F.col("__plus") & ~head & (F.col("ord") == first), F.lit(k + after)).otherwise(F.col("ord").cast("double"))
 
     rows = rows.withColumn("__place", F.least(lifted(pair, 0.3), lifted(structured, 0.6)))
-    return rows.withColumn("ord", F.row_number().over(QUERY.orderBy("__place", "ord"))).drop("__place", "__plus")
+    return rows.withColumn("ord", F.row_number().over(per_query().orderBy("__place", "ord"))).drop("__place", "__plus")
 
 
 def alignment(question: Column, header: Column, value: Column, text: Column, entity: Column) -> Column:
@@ -215,7 +220,7 @@ def soft_gate_applies(answer_type: Column, comparison: Column, follow_up: Column
 def soft_gate(rows: DataFrame, answer_type: Column, metadata_text: Column, *, top_n: int = 6, keep: int = 5, weight: float = 0.045, low: float = 0.22, down: float = 0.36, duplicate_weight: float = 0.2, weak_weight: float = 0.2, down_penalty: float = 0.008, low_penalty: float = 0.015, strength: float = 1.0) -> DataFrame:
     """Quality of evidence without a model: word overlaps, agreement of sections, repeated texts and table-body pairs of the
     first top_n rows make a quality; it moves the score, and decides keep, down-rank or flag_low_confidence."""
-    n = F.least(F.count(F.lit(1)).over(QUERY), F.lit(top_n))
+    n = F.least(F.count(F.lit(1)).over(per_query()), F.lit(top_n))
     inside = F.col("ord") <= n
     q = token_set(F.lower("question"))
     share = lambda c: F.round(F.when(F.size(q) > 0, F.size(F.array_intersect(q, token_set(F.lower(c)))) / F.size(q)).otherwise(0.0), 4)
@@ -223,12 +228,12 @@ def soft_gate(rows: DataFrame, answer_type: Column, metadata_text: Column, *, to
     same = F.sum(inside.cast("int")).over(Window.partitionBy("query_id", section))
     consistency = F.when(section == "", 0.0).otherwise(F.round(same / n, 4))
     signature = F.concat_ws("|", F.lower("file_name"), F.lower("chunk_type"), F.substring(F.regexp_replace(F.lower(trimmed(F.col("text"))), r"\s+", " "), 1, 220))
-    distinct = F.size(F.collect_set(F.when(inside, signature)).over(QUERY))
+    distinct = F.size(F.collect_set(F.when(inside, signature)).over(per_query()))
     duplicates = F.round((n - distinct) / n, 4)
     kind = F.lower("chunk_type")
-    table = F.max(inside & ((F.col("has_table") == 1) | kind.isin(*TABLE_TYPES))).over(QUERY)
-    body = F.max(inside & ((F.col("has_table") == 0) | kind.isin(*PAIR_TYPES))).over(QUERY)
-    hit = F.max(inside & (kind.isin(*PAIR_TYPES) | (F.coalesce("pairing_score", F.lit(0.0)) >= 0.25))).over(QUERY)
+    table = F.max(inside & ((F.col("has_table") == 1) | kind.isin(*TABLE_TYPES))).over(per_query())
+    body = F.max(inside & ((F.col("has_table") == 0) | kind.isin(*PAIR_TYPES))).over(per_query())
+    hit = F.max(inside & (kind.isin(*PAIR_TYPES) | (F.coalesce("pairing_score", F.lit(0.0)) >= 0.25))).over(per_query())
     pair = F.when(answer_type != "table_plus_text", 0.5).when(~table | ~body, 0.0).when(hit, 1.0).otherwise(0.4)
     rows = rows.withColumns({"q_overlap": share(F.col("text")), "m_overlap": share(metadata_text), "consistency": consistency, "duplicates": duplicates, "pair": pair})
     weak = F.when(answer_type == "table_plus_text", (F.col("pair") < 0.5).cast("double")).when(answer_type == "follow_up", ((F.col("q_overlap") < 0.10) & (F.col("m_overlap") < 0.10)).cast("double")).when(answer_type.isin("comparison", "factual", "table_factual"), (F.col("q_overlap") < 0.06).cast("double")).otherwise(0.0)
@@ -248,13 +253,13 @@ def precedence_union(*parts: DataFrame) -> DataFrame:
         out = p if out is None else out.unionByName(p, allowMissingColumns=True)
     rn = F.row_number().over(Window.partitionBy("query_id", "chunk_id").orderBy("__part", "ord"))
     out = out.withColumn("__rn", rn).where("__rn = 1").drop("__rn")
-    return out.withColumn("ord", F.row_number().over(QUERY.orderBy("__part", "ord", "chunk_id"))).drop("__part")
+    return out.withColumn("ord", F.row_number().over(per_query().orderBy("__part", "ord", "chunk_id"))).drop("__part")
 
 
 def diverse_select(rows: DataFrame, k: int) -> DataFrame:
     """The first row of each file, in order, and then the others, k in all."""
     again = (F.row_number().over(Window.partitionBy("query_id", "file_name").orderBy("ord")) > 1).cast("int")
-    rows = rows.withColumn("rank", F.row_number().over(QUERY.orderBy(again, "ord")))
+    rows = rows.withColumn("rank", F.row_number().over(per_query().orderBy(again, "ord")))
     return rows.where(F.col("rank") <= k)
 
 
@@ -309,7 +314,7 @@ def relevance(score: Column, slope: float = 220.0) -> Column:
 
 def run_scores(rows: DataFrame, top_k: int) -> DataFrame:
     """Relevance from the mean of the three best scores, and confidence from relevance, labels and list length."""
-    third = F.row_number().over(QUERY.orderBy(base().desc(), "ord")) <= 3
+    third = F.row_number().over(per_query().orderBy(base().desc(), "ord")) <= 3
     g = rows.withColumn("__third", third).groupBy("query_id").agg(F.avg(F.when(F.col("__third"), base())).alias("top"), F.avg(F.col("crag_label").isin("CORRECT", "SOFT", "AMBIGUOUS").cast("double")).alias("ratio"), F.count(F.lit(1)).alias("n"))
     g = g.withColumn("relevance", relevance(F.round("top", 12)))
     value = 0.58 * (F.col("relevance") / 100.0) + 0.26 * F.col("ratio") + 0.16 * F.least(F.lit(1.0), F.col("n") / F.lit(float(top_k)))
@@ -319,4 +324,4 @@ def run_scores(rows: DataFrame, top_k: int) -> DataFrame:
 def source_relevance(rows: DataFrame, most: int = 4) -> DataFrame:
     """The first files of each list with the relevance of their best row."""
     g = rows.where("file_name <> ''").groupBy("query_id", "file_name").agg(F.min("ord").alias("first"), F.max(base()).alias("best"))
-    return g.withColumn("rn", F.row_number().over(QUERY.orderBy("first"))).where(F.col("rn") <= most).select("query_id", "file_name", relevance(F.round("best", 12)).alias("relevance"))
+    return g.withColumn("rn", F.row_number().over(per_query().orderBy("first"))).where(F.col("rn") <= most).select("query_id", "file_name", relevance(F.round("best", 12)).alias("relevance"))

@@ -1 +1,104 @@
+"""Readers and writers: metadata CSV, JSON folders, JSON lines, question sets and question banks."""
 
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions.text import depends_on, safe_double, trimmed
+
+# Encodings tried in this order, and the line forms of a question set.
+ENCODINGS = ("UTF-8", "MS949", "EUC-KR")
+TYPE_LINE = r"^TYPE\s+(\d+)\s*:\s*(.+)$"
+SCENARIO_LINE = r"^---\s*(.*?[^-\s].*?)\s*---$"
+QUESTION_LINE = r"^Q(\d+)\s*(?:\[(\d+)턴\])?\s*$"
+FIELD_LINE = r"^\s*([A-Za-z_]+)\s*:\s*(.*)$"
+EVAL_TYPES = {"list": "list_set", "number_pair": "slot_pair", "string": "free_string"}
+
+
+def read_csv(spark: SparkSession, path: str, encodings: Sequence[str] = ENCODINGS) -> DataFrame:
+    """A CSV with a header, in the first encoding that gives no replacement characters; a byte-order mark goes."""
+    for e in encodings:
+        df = spark.read.csv(path, header=True, encoding=e, multiLine=True, escape='"')
+        df = df.toDF(*[c.lstrip("﻿") for c in df.columns])
+        bad = F.lit(False)
+        for c in df.columns:
+            bad = bad | F.coalesce(F.col(f"`{c}`").contains("�"), F.lit(False))
+        if not any("�" in c for c in df.columns) and df.where(bad).limit(1).isEmpty():
+            return df
+    return df
+
+
+def normalize_metadata(df: DataFrame, numbers: Sequence[str] = (), lower: Sequence[str] = ()) -> DataFrame:
+    """Trimmed values, empty ones null, numbers as doubles where they can be, some columns in lower case."""
+    for c in df.columns:
+        v = F.nullif(trimmed(F.col(c)), F.lit(""))
+        df = df.withColumn(c, safe_double(v) if c in numbers else F.lower(v) if c in lower else v)
+    return df
+
+
+def read_json_folder(spark: SparkSession, path: str) -> DataFrame:
+    """A document per file, with the path it came from."""
+    return spark.read.json(path, multiLine=True).withColumn("parsed_path", F.input_file_name())
+
+
+def read_jsonl(spark: SparkSession, path: str, schema=None) -> DataFrame:
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    return (spark.read.schema(schema) if schema else spark.read).json(lines)
+
+
+def write_jsonl(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").json(path)
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").csv(path, header=True)
+
+
+def id_list(spark: SparkSession, path: str) -> DataFrame:
+    """Ids of a list file: lines that are not blank and no comments."""
+    v = trimmed(F.col("value"))
+    return spark.read.text(path).select(v.alias("id")).where((v != "") & ~v.startswith("#")).distinct()
+
+
+def latest(spark: SparkSession, folder: str, pattern: str) -> str | None:
+    """The path that comes last by name."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).agg(F.max("path")).first()[0]
+
+
+def question_set(lines: DataFrame) -> DataFrame:
+    """lines: (line_no, value) of one question set. A row per question: type and scenario carry down to later questions, a new
+    type ends the scenario, fields belong to the question above. Rules of dashes are no scenario."""
+    v = trimmed(F.col("value"))
+    at = lambda p, k: F.nullif(F.regexp_extract(v, p, k), F.lit(""))
+    rows = lines.select("line_no", F.col("value"), at(TYPE_LINE, 1).alias("t"), trimmed(at(TYPE_LINE, 2)).alias("tl"), at(SCENARIO_LINE, 1).alias("s"), at(QUESTION_LINE, 1).alias("q"), at(QUESTION_LINE, 2).alias("turn"))
+    down = Window.partitionBy(F.lit(0)).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)  # a question set is one small file
+    last = lambda c: F.last(c, ignorenulls=True).over(down)
+    rows = rows.withColumns({"type_no": last(F.col("t")), "type_label": last(F.col("tl")), "scene": last(F.when(F.col("t").isNotNull(), F.lit("")).otherwise(F.col("s"))), "qno": last(F.col("q").try_cast("int")), "turn_index": last(F.when(F.col("q").isNotNull(), F.coalesce("turn", F.lit("0"))))})
+    heads = rows.where("q IS NOT NULL").select(F.col("qno"), F.concat(F.lit("TYPE "), "type_no").alias("type_group"), "type_label", F.coalesce("scene", F.lit("")).alias("scenario_label"), F.nullif(F.col("turn_index").try_cast("int"), F.lit(0)).alias("turn_index"))
+    is_field = F.col("q").isNull() & F.col("t").isNull() & F.col("s").isNull() & F.col("value").rlike(FIELD_LINE) & F.col("qno").isNotNull()
+    fields = rows.where(is_field).select("qno", "line_no", F.regexp_extract("value", FIELD_LINE, 1).alias("k"), trimmed(F.regexp_extract("value", FIELD_LINE, 2)).alias("v"))
+    wide = fields.groupBy("qno").agg(*[F.max_by(F.when(F.col("k") == k, F.col("v")), F.when(F.col("k") == k, F.col("line_no"))).alias(k) for k in ("question", "answer_type", "ground_truth_doc", "ground_truth_docs", "ground_truth_hint", "eval_focus", "depends_on", "expected")])
+    out = heads.join(wide, "qno", "left").na.fill("", ["question", "answer_type", "ground_truth_doc", "ground_truth_docs", "ground_truth_hint", "eval_focus", "depends_on", "expected"])
+    kind = F.when((F.col("answer_type") == "") & ((F.col("type_group") == "TYPE 4") | (F.col("expected") != "")), "rejection").otherwise(F.col("answer_type"))
+    return out.select(F.format_string("Q%02d", "qno").alias("question_id"), F.col("qno").alias("question_index"), "turn_index", "type_group", "type_label", "scenario_label", "question", kind.alias("answer_type"), *[c for c in ("ground_truth_doc", "ground_truth_docs", "ground_truth_hint", "eval_focus", "depends_on", "expected")], depends_on(F.col("depends_on")).alias("depends_on_list"))
+
+
+def question_bank(bank: DataFrame) -> DataFrame:
+    """bank: (items array<struct>). Typed rows: names of types made one, an answer for a missing canonical one, bad choice indices
+    null."""
+    i = bank.select(F.explode("items").alias("i")).select("i.*")
+    kind = F.col("answer_eval_type")
+    for a, b in EVAL_TYPES.items():
+        kind = F.when(F.col("answer_eval_type") == a, F.lit(b)).otherwise(kind)
+    return i.select(F.col("id").alias("item_id"), "document_id", "question", "question_type", kind.alias("answer_eval_type"), F.coalesce(F.nullif("canonical_answer", F.lit("")), "answer").alias("canonical_answer"), "answer_aliases", safe_double(F.col("choice_index")).try_cast("int").alias("choice_index"), "choices", "difficulty", "category")
+
+
+def bank_problems(items: DataFrame) -> DataFrame:
+    """(item_id, problem): multiple choice without choices, an answer that is no choice, an id without its document's prefix."""
+    mc = F.col("question_type") == "multiple_choice"
+    none = F.coalesce(F.size("choices"), F.lit(0)) <= 0
+    rules = {"no_choices": mc & none, "answer_not_in_choices": mc & ~none & ~F.array_contains("choices", F.col("canonical_answer")), "id_prefix": ~F.col("item_id").startswith(F.col("document_id"))}
+    return items.select("item_id", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules.items()]))).alias("problem"))
