@@ -9,8 +9,9 @@
    matches are computed at the sampled run ends (and every ``SAMPLE`` places of the text) only; inside a run the
    matching statistic falls by one from place to place, so one pass over the text streams it to all the others.
    Places with a match of ``least`` bytes mark what is removed.
-4. A component of more than ``component_bytes`` bytes does not go to one task: its windows of ``least`` bytes are counted by
-   hash, a row each.
+4. A component of more than ``component_bytes`` bytes does not go to one task: it is dealt by anchor, each with its reach to
+   both sides, which holds every string of ``least`` bytes around it. Should one anchor alone exceed that size, its windows of
+   ``least`` bytes are counted by hash, a row each.
 
 Whole texts move once, to meet their segments; the rest is places and segments.
 """
@@ -220,7 +221,7 @@ def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", leas
             cols = (a[:, 0], owner, a[:, 1].astype(np.int32), a[:, 2].astype(np.int32), 1 + (a[:, 1] != a[:, 2]).astype(np.int32))
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], schema=place_arrow)
 
-    places = materialize(classes.select("node", "anchors").mapInArrow(explode, place), "repeat-places")
+    places = classes.select("node", "anchors").mapInArrow(explode, place)
     repeated = places.groupBy("hash").agg(F.sum("times").alias("times")).where("times > 1").select("hash")
     near = places.join(repeated, "hash")
     reach = least - gram
@@ -232,14 +233,20 @@ def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", leas
     ends = cut.select("hash", F.xxhash64("node", "island").alias("segment")).distinct()
     links = ends.join(ends.groupBy("hash").agg(F.min("segment").alias("least")), "hash").select(F.col("segment").alias("a"), F.col("least").alias("b"))
     comp = connected(links)
-    segments = segments.join(comp.withColumnRenamed("node", "segment"), "segment", "left").select("node", "from", "to", F.coalesce("component", "segment").alias("component"))
+    segments = segments.join(comp.withColumnRenamed("node", "segment"), "segment", "left").select("node", "island", "from", "to", F.coalesce("component", "segment").alias("component"))
     segments = materialize(segments, "repeat-segments")
-    sizes = segments.groupBy("component").agg(F.sum(F.col("to") - F.col("from")).alias("bytes"))
-    total = sizes.agg(F.sum("bytes")).first()[0] or 0
+    size = F.sum(F.col("to") - F.col("from")).alias("bytes")
+    big = segments.groupBy("component").agg(size).where(F.col("bytes") > component_bytes).select("component")
+    parts = segments.select("node", "from", "to", "component", F.lit(False).alias("large"))
+    if not big.isEmpty():
+        around = cut.join(segments.join(big, "component", "left_semi").select("node", "island"), ["node", "island"])
+        around = around.select("node", F.greatest(F.col("first") - reach, F.lit(0)).cast("long").alias("from"), (F.col("last") + least).cast("long").alias("to"), F.col("hash").alias("component")).distinct()
+        sizes = around.groupBy("component").agg(size).select("component", (F.col("bytes") > component_bytes).alias("large"))
+        parts = materialize(parts.join(big, "component", "left_anti").unionByName(around.join(sizes, "component")), "repeat-parts")
+    total = parts.agg(size).first()[0] or 0
     bins = max(1, -(-total // task_bytes))
-    sizes = sizes.select("component", (F.col("bytes") > component_bytes).alias("large"))
 
-    wanted = segments.join(sizes, "component").groupBy("node").agg(F.collect_list(F.struct("from", "to", "component", "large")).alias("segments"))  # at most one a ``least`` of a text's bytes
+    wanted = parts.groupBy("node").agg(F.collect_list(F.struct("from", "to", "component", "large")).alias("segments"))  # at most one an anchor of a text
     chosen = rows.where(F.col("n") >= least).withColumn("node", node).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("sha").alias("sha"))
     # one row for each class: the text is found by its digest
     texts = docs.select(F.col(f"`{text}`").alias("text"), F.xxhash64(F.sha2(F.col(f"`{text}`").cast("string").cast("binary"), 256)).alias("h"), F.col(f"`{doc_id}`").alias("doc_id"))
@@ -259,12 +266,21 @@ def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", leas
     pieces = texts.select("node", "segments", F.col("text").cast("string").cast("binary")).mapInArrow(cut_out, piece)
 
     def index(t: pa.Table) -> pa.Table:
-        owner, start, data = (t.column(c).to_pylist() for c in ("node", "from", "bytes"))
+        owner: list[int] = []
+        start: list[int] = []
+        data: list[bytes] = []
+        for i, s, b in sorted(zip(*[t.column(c).to_pylist() for c in ("node", "from", "bytes")], strict=True)):
+            if owner and owner[-1] == i and s <= start[-1] + len(data[-1]):  # one text's overlapping parts are one
+                data[-1] += b[max(0, start[-1] + len(data[-1]) - s) :]
+            else:
+                owner.append(i)
+                start.append(s)
+                data.append(b)
         rows = [(o, s + x, s + y) for o, s, p in zip(owner, start, repeated_places(data, least), strict=True) for x, y in spans_of(p, least)]
         return pa.Table.from_arrays([pa.array([r[k] for r in rows], type=pa.int64()) for k in range(3)], schema=to_arrow_schema(FOUND))
 
     found = pieces.where("not large").withColumn("bin", F.pmod(F.xxhash64("component"), F.lit(bins))).groupBy("bin").applyInArrow(index, FOUND)
-    if sizes.where("large").limit(1).count():
+    if not parts.where("large").isEmpty():
         window = T.StructType([T.StructField("hash", T.LongType()), T.StructField("node", T.LongType()), T.StructField("from", T.LongType())])
 
         def hashed(batches):
@@ -274,7 +290,8 @@ def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", leas
                     yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), i)), pa.array(s + np.arange(len(h)))], schema=to_arrow_schema(window))
 
         windows = pieces.where("large").select("node", "from", "bytes").mapInArrow(hashed, window)
-        often = windows.groupBy("hash").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("hash")
+        at = F.struct("node", "from")  # a place may be within reach of several anchors
+        often = windows.groupBy("hash").agg(F.min(at).alias("a"), F.max(at).alias("b")).where("a <> b").select("hash")
         found = found.unionByName(windows.join(often, "hash").select("node", "from", (F.col("from") + least).alias("to")))
 
     result = T.StructType([T.StructField("node", T.LongType()), T.StructField("removed", T.LongType()), T.StructField("spans", T.LongType()), T.StructField("kept", T.StringType())])
