@@ -20,6 +20,7 @@ EVAL_TYPES = {"list": "list_set", "number_pair": "slot_pair", "string": "free_st
 
 def read_csv(spark: SparkSession, path: str, encodings: Sequence[str] = ENCODINGS) -> DataFrame:
     """A CSV with a header, in the first encoding that gives no replacement characters; a byte-order mark goes."""
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # Korean encodings are Java's, not in Spark's own list
     for e in encodings:
         df = spark.read.csv(path, header=True, encoding=e, multiLine=True, escape='"')
         df = df.toDF(*[c.lstrip("﻿") for c in df.columns])
@@ -45,8 +46,8 @@ def read_json_folder(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_jsonl(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    return (spark.read.schema(schema) if schema else spark.read).json(lines)
+    """A row per line; Spark's reader passes over blank lines."""
+    return (spark.read.schema(schema) if schema else spark.read).json(path)
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:

@@ -13,6 +13,7 @@ def read_events(spark: SparkSession, path: str, schema: StructType, files_per_tr
 
 def windowed_counts(events: DataFrame, *, time: str = "ts", by: str = "event_type", value: str = "value", width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Counts and means per tumbling window; a window closes when the watermark passes it. The same on a batch."""
+    events = events.withColumn(time, F.col(time).cast("timestamp"))
     if events.isStreaming:
         events = events.withWatermark(time, late)
     g = events.groupBy(F.window(time, width).alias("w"), by).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(value), 4).alias("mean"))
