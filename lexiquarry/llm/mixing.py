@@ -53,7 +53,7 @@ def coin(doc_id: Column, seed: int) -> Column:
 
 
 def plan_mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, cap: int = 3, seed: int = 7) -> DataFrame:
-    """docs with a struct ``mix`` (size, source_size, target, copies); a row per input row.
+    """``row`` (the columns of docs) and ``mix`` (size, source_size, target, copies); a row per input row.
 
     A null text has size 0, and so has an empty one; a null source is a source of its own, last in order. Documents of
     size 0 are copied like the others of their source; a source of size 0 has target 0 and no copies. Repeated rows are
@@ -71,18 +71,18 @@ def plan_mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sou
     rate = F.when(F.col("__source_size") > 0, F.least(F.col("__target") / F.col("__source_size"), F.lit(float(cap)))).otherwise(F.lit(0.0))
     copies = (F.floor(F.col("__rate")) + (coin(F.col(doc_id), seed) < F.col("__rate") - F.floor(F.col("__rate"))).cast("long")).cast("long")
     mix = F.struct(F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), copies.alias("copies"))
-    return joined.withColumn("__rate", rate).select(*[F.col(f"`{c}`") for c in docs.columns], mix.alias("mix"))
+    return joined.withColumn("__rate", rate).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), mix.alias("mix"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: the columns of docs, a row per copy."""
     planned = plan_mix(docs, **options)
-    return planned.where("mix.copies > 0").withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("mix.copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return planned.where("mix.copies > 0").withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("mix.copies").cast("int")))).select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return plan_mix(docs).select("doc_id", "mix.size", "mix.source_size", "mix.target", (F.col("mix.size") * F.col("mix.copies")).alias("taken"))
+    return plan_mix(docs).select("row.doc_id", "mix.size", "mix.source_size", "mix.target", (F.col("mix.size") * F.col("mix.copies")).alias("taken"))
 
 
 ORACLE = r"""

@@ -165,3 +165,34 @@ def vector_links(rows, least=0.93):
     count = Counter(x for p in links for x in p)
     comp = components([i for i, _, _ in rows], links)
     return {i: (count[i], comp[i], comp[i] == i) for i, _, _ in rows}
+
+
+class Katz:
+    def __init__(self, docs, discounts, least=2):
+        import numpy as np
+
+        self.uni, pairs = Counter(), Counter()
+        for d, t in docs:
+            if zlib.crc32(str(d).encode()) % 7 != 2:
+                ws = [*words(t), None]
+                self.uni.update(ws)
+                pairs.update(zip([None, *ws], ws, strict=False))
+        count = lambda c: np.array([0, *[sum(v == r for v in c.values()) for r in range(1, 7)]])
+        d1, d2 = discounts(count(self.uni)), discounts(count(pairs), least)
+        use = lambda d, c: c * (d[c] if c < len(d) else 1.0)
+        n = sum(self.uni.values())
+        self.p1 = {w: use(d1, c) / n for w, c in self.uni.items()}
+        self.unknown = 1 - sum(self.p1.values())
+        self.follow = {}
+        for (h, w), c in pairs.items():
+            if c >= least:
+                self.follow.setdefault(h, {})[w] = use(d2, c) / self.uni[h]
+        self.alpha = {h: (1 - sum(f.values())) / (1 - sum(self.p1[w] for w in f)) for h, f in self.follow.items()}
+
+    def p(self, h, w):
+        seen = self.follow.get(h, {})
+        return seen[w] if w in seen else self.alpha.get(h, 1.0) * self.p1.get(w, self.unknown)
+
+    def score(self, text):
+        ws = [*words(text), None]
+        return sum(math.log10(self.p(h, w)) for h, w in zip([None, *ws], ws, strict=False))
