@@ -19,6 +19,17 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SLICE_BYTES = 16 << 20
 
 _written: list[str] = []
+_caches: list[Callable[[], None]] = []
+
+
+def task_cache(clear: Callable[[], None]) -> None:
+    """Registers a process's cache that is emptied when a task ends: workers are reused by other operators."""
+    _caches.append(clear)
+
+
+def release_caches() -> None:
+    for clear in _caches:
+        clear()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -105,5 +116,6 @@ def map_texts(
                     [b.column(0).slice(i, j - i), *[pa.array(c, type=arrow.field(k + 1).type, from_pandas=True) for k, c in enumerate(cols)]],
                     names=arrow.names,
                 )
+        release_caches()
 
     return src.mapInArrow(run, schema)

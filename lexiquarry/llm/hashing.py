@@ -7,7 +7,9 @@ from functools import lru_cache
 import numpy as np
 import xxhash
 
-CACHE_WORDS = 700_000
+from .common import task_cache
+
+CACHE_WORDS = 400_000
 _U = np.uint64
 
 
@@ -24,6 +26,13 @@ def _seen() -> _Hashes:
     return _Hashes()
 
 
+def forget() -> None:
+    _seen().clear()
+
+
+task_cache(forget)
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_seen().__getitem__, words), dtype=np.uint64, count=len(words))
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import held_out, materialize, table
+from .common import held_out, materialize, release_caches, table
 from .hashing import word_hashes
 
 BLOCK_TOKENS = 4_500_000
@@ -86,6 +86,7 @@ def make_blocks(docs: DataFrame, *, doc_id: str, text: str, folds: int, fold: in
                 size += len(words)
         if size:
             yield flush()
+        release_caches()
 
     return src.mapInArrow(run, PACKET)
 

@@ -19,11 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out, map_texts, table
+from .common import held_out, map_texts, table, task_cache
 
 PASSAGE = 64
 BUCKETS = 128
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 _UPPER, _DIGIT = bytes(range(65, 91)), bytes(range(48, 58))
 _LOW = bytes(range(97, 123))
 _HIGH = bytes(range(128, 256))
@@ -68,6 +68,13 @@ def words_seen() -> Words:
     return Words()
 
 
+def forget() -> None:
+    words_seen().clear()
+
+
+task_cache(forget)
+
+
 def features(texts: list[bytes | None], passage: int = PASSAGE) -> tuple[np.ndarray, np.ndarray]:
     """(passages x FEATURES, the number of passages of each text); a text without words is one passage of zeros."""
     split = [t.split() if t else [] for t in texts]
