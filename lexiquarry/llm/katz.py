@@ -27,8 +27,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .common import held_out, materialize, release_caches, table
 from .hashing import word_hashes
 
-BLOCK_TOKENS = 4_500_000
-SHARD_TOKENS = 2_500_000
+BLOCK_TOKENS = 3_000_000
+SHARD_TOKENS = 2_000_000
 DISCOUNTED = 5
 #: key: block or shard; other: the one that asked or answered; four packed parts.
 PACKET = T.StructType([T.StructField("key", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("other", T.LongType()), *[T.StructField(c, T.BinaryType()) for c in ("p", "q", "r", "s")]])
