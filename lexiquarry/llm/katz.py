@@ -4,7 +4,8 @@
     p(w)     = d(c(w)) c(w) / N           if c(w) > 0, else the mass that the discounts leave (one unknown word)
     alpha(h) = (1 - sum of seen p(w | h)) / (1 - sum of p(w) over the same w)
 
-The context of a text's first token is the end token, so c(h) is also the number of tokens that follow h.
+The context of a text's first token is the end token, so c(h) is also the number of tokens that follow h. Where no count of a
+context is discounted, no mass is left to back off to; such a context counts one more token in c(h).
 
 Everything grows with the corpus, so nothing of it is broadcast. Texts become blocks of tokens once (word hashes of 64
 bits); a block asks the shard of a hash range about its distinct words and bigrams in one packed row, instead of a row per
@@ -274,7 +275,10 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", folds:
         if part:
             at = np.searchsorted(keys, np.concatenate([np.frombuffer(r["p"], dtype=np.uint64) for r in part]))
             lower, own = (np.bincount(at, np.concatenate([unpacked(r[c], np.float64) for r in part]), len(keys)) for c in "qr")
-            alpha = np.maximum(1 - own / n, 1e-12) / np.maximum(1 - lower, 1e-12)
+            mass = 1 - own / n
+            none = mass < 1e-9
+            alpha = np.where(none, 1 / (n + 1), mass) / np.maximum(1 - lower, 1e-12)
+            alpha[none] *= -1  # the sign tells the blocks
         out = []
         for r in rows:
             if r["kind"] == WORDS:
@@ -314,7 +318,8 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", folds:
         n = np.empty(len(h), dtype=np.int64)
         n[order] = np.concatenate([unpacked(r["p"], np.uint32) for r in sorted((r for r in rows if r["kind"] == ANSWER), key=lambda r: r["other"])])
         p1 = np.where(c > 0, factor(c, d1) * c / max(1, total), unknown)
-        p = np.where(n > 0, factor(n, d2) * n / np.maximum(1, c[h]), alpha[h] * p1[w])
+        total_h = np.maximum(1, c) + (alpha < 0)
+        p = np.where(n > 0, factor(n, d2) * n / total_h[h], np.abs(alpha)[h] * p1[w])
         add = lambda x: np.add.reduceat(x, b.starts)
         base = np.log10((c + 1) / (total + types + 1))
         cols = [

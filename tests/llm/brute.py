@@ -187,6 +187,9 @@ class Katz:
         for (h, w), c in pairs.items():
             if c >= least:
                 self.follow.setdefault(h, {})[w] = use(d2, c) / self.uni[h]
+        for h, f in self.follow.items():
+            if 1 - sum(f.values()) < 1e-9:
+                self.follow[h] = {w: x * self.uni[h] / (self.uni[h] + 1) for w, x in f.items()}
         self.alpha = {h: (1 - sum(f.values())) / (1 - sum(self.p1[w] for w in f)) for h, f in self.follow.items()}
 
     def p(self, h, w):
