@@ -266,17 +266,33 @@ def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", leas
     pieces = texts.select("node", "segments", F.col("text").cast("string").cast("binary")).mapInArrow(cut_out, piece)
 
     def index(t: pa.Table) -> pa.Table:
-        owner: list[int] = []
-        start: list[int] = []
-        data: list[bytes] = []
-        for i, s, b in sorted(zip(*[t.column(c).to_pylist() for c in ("node", "from", "bytes")], strict=True)):
-            if owner and owner[-1] == i and s <= start[-1] + len(data[-1]):  # one text's overlapping parts are one
-                data[-1] += b[max(0, start[-1] + len(data[-1]) - s) :]
-            else:
-                owner.append(i)
-                start.append(s)
-                data.append(b)
-        rows = [(o, s + x, s + y) for o, s, p in zip(owner, start, repeated_places(data, least), strict=True) for x, y in spans_of(p, least)]
+        rows: list[tuple[int, int, int]] = []
+        parts: list[tuple[int, int, bytes]] = []
+        size, last = 0, None
+
+        def flush() -> None:
+            owner: list[int] = []
+            start: list[int] = []
+            data: list[bytes] = []
+            for i, s, b in sorted(parts):
+                if owner and owner[-1] == i and s <= start[-1] + len(data[-1]):  # one text's overlapping parts are one
+                    data[-1] += b[max(0, start[-1] + len(data[-1]) - s) :]
+                else:
+                    owner.append(i)
+                    start.append(s)
+                    data.append(b)
+            rows.extend((o, s + x, s + y) for o, s, p in zip(owner, start, repeated_places(data, least), strict=True) for x, y in spans_of(p, least))
+            parts.clear()
+
+        # an index holds whole components, and no more of them than task_bytes
+        for c, i, s, b in sorted(zip(*[t.column(c).to_pylist() for c in ("component", "node", "from", "bytes")], strict=True)):
+            if c != last and size + len(b) > task_bytes and parts:
+                flush()
+                size = 0
+            parts.append((i, s, b))
+            size, last = size + len(b), c
+        if parts:
+            flush()
         return pa.Table.from_arrays([pa.array([r[k] for r in rows], type=pa.int64()) for k in range(3)], schema=to_arrow_schema(FOUND))
 
     found = pieces.where("not large").withColumn("bin", F.pmod(F.xxhash64("component"), F.lit(bins))).groupBy("bin").applyInArrow(index, FOUND)
