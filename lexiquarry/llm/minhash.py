@@ -16,6 +16,7 @@ Lists and clusters of more than ``block`` members are compared block against blo
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -31,12 +32,18 @@ from .crosspoly import forest
 from .hashing import shingles
 
 K = 64
-#: Standard error of a share of 64 at 0.85 is 0.045: three and a little.
-SLACK = 0.14
+#: Standard errors by which an estimate may fall short of the threshold.
+ERRORS = 5
 BLOCK = 2048
 EDGE = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
+def slack(percent: int, k: int) -> float:
+    """ERRORS standard errors of a share of k at the threshold: 0.22 at 85%, 0.25 at 80% with k = 64."""
+    t = percent / 100
+    return ERRORS * math.sqrt(t * (1 - t) / k)
+
+
 def sketches(docs: DataFrame, *, doc_id: str, text: str, words: int, k: int) -> DataFrame:
     """(doc_id, n, fp, sketch): set size, fingerprint (null for an empty set) and the k smallest hashes, ascending."""
 
@@ -134,14 +141,14 @@ def pair_up(matrix: Callable[[np.ndarray, np.ndarray], np.ndarray], passes, left
     return lab
 
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 3, percent: int = 85, k: int = K, slack: float = SLACK, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 3, percent: int = 85, k: int = K, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row per input row.
 
     Documents are linked when 100 * intersection >= percent * union. Null, empty and wordless texts have no shingles and
     link with nothing. Equal texts are linked; rows with one id count as one document. A null id is never linked; its
     component is null and it is kept. No documents give no rows.
     """
-    low = percent / 100 - slack
+    low = max(0.0, percent / 100 - slack(percent, k))
     rows = materialize(sketches(docs, doc_id=doc_id, text=text, words=words, k=k), "sketches")
     classes = rows.where("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = materialize(classes, "sketch-classes")

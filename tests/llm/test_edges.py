@@ -133,6 +133,25 @@ def test_minhash_in_blocks(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got.collect()} == B.near(rows)
 
 
+@pytest.mark.parametrize(("words", "percent", "n", "apart"), [(3, 85, 370, 30), (5, 80, 360, 40)])
+def test_minhash_links_pairs_estimated_too_low(spark, words, percent, n, apart):
+    """Pairs right at the threshold whose union sketch holds less than the threshold by 0.14 and more."""
+    import numpy as np
+
+    from lexiquarry.llm.hashing import shingles
+
+    rows, i = [], 0
+    while len(rows) < 4:
+        w = [f"v{i}x{j}" for j in range(n + apart + words - 1)]
+        pair = [" ".join(w[: n + words - 1]), " ".join(w[apart:])]
+        a, b = (shingles(t.encode(), words)[:64] for t in pair)
+        if minhash.union_estimate(np.array([a]), np.array([b]), 64)[0] < percent / 100 - 0.14:
+            rows += [(2 * i, pair[0]), (2 * i + 1, pair[1])]
+        i += 1
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=words, percent=percent)
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got.collect()} == B.near(rows, words, percent)
+
+
 def test_rlbwt(docs, empty):
     assert pairs(rlbwt.repeats(docs), "n_bytes", "n_removed", "n_spans", "kept_sha256") == expect({d: v for d, v in repeats_by_row().items()})
     assert rlbwt.repeats(empty).count() == 0
