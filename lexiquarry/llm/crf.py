@@ -1,7 +1,7 @@
 """Personal data by a skip-chain conditional random field.
 
-Base spans come from fixed patterns. The field then looks at every marked word (one with a digit or an @; all others are
-"none" by the model's domain): unary potentials from the word's shape and neighbours, chain potentials between adjacent
+Base spans come from fixed patterns. The field then looks at every marked word (one with a digit, an @, or an at or dot
+in brackets; all others are "none" by the model's domain): unary potentials from the word's shape and neighbours, chain potentials between adjacent
 marked words, and skip potentials between words of one document that are equal or have the same shape, however far
 apart. Loopy belief propagation over a document's graph gives marginals that agree across repeated and similar words;
 runs of words with a confident label that pass the kind's check are added to the base spans.
@@ -32,6 +32,8 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
 _MARK = re.compile(r"[0-9@]")
+#: Words of the field: marks, and those of an address that is written out.
+_NODE = re.compile(r"[0-9@]|[\[(](?:at|dot)[\])]", re.I)
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _EDGE = "!\"#$%&'*,-./:;<=>?@[\\]^_`{|}~"
 _FAR_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+(?:@|\[at\]|\(at\))[A-Za-z0-9-]+(?:(?:\.|\[dot\]|\(dot\))[A-Za-z0-9-]+)+", re.I)
@@ -89,7 +91,7 @@ def nodes(text: str, spans: list[tuple[int, int, int]]) -> list[tuple]:
     ordered = sorted((a, b, kind) for kind, a, b in spans)
     for number, m in enumerate(_WORD.finditer(text)):
         w = m[0]
-        if not _MARK.search(w):
+        if not _NODE.search(w):
             continue
         core = w.lstrip(_EDGE)
         start = m.end() - len(core)
@@ -244,7 +246,7 @@ def train(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", max_do
             cols = [[], [], [], []]
             for t in texts:
                 s = (t or b"").decode()
-                g = nodes(s, base_spans(s))
+                g = [n for n in nodes(s, base_spans(s)) if n[5] or not n[4][1]]  # the base says nothing about a written-out address
                 x = np.array([n[3] for n in g], dtype=np.float32).reshape(-1, len(FEATURES))
                 for c, v in zip(cols, (x, np.array([n[4] for n in g], dtype=np.uint8), np.array([n[5] for n in g], dtype=np.int32), np.array(links(g), dtype=np.int32)), strict=True):
                     c.append(v.tobytes())
@@ -277,7 +279,7 @@ def find(docs: DataFrame, field: Field, *, text: str = "text", keep: list[str] |
         def run(texts):
             strings = [(t or b"").decode() for t in texts]
             base = [base_spans(s) for s in strings]
-            graphs = [nodes(s, b) if _MARK.search(s) else [] for s, b in zip(strings, base, strict=True)]
+            graphs = [nodes(s, b) if _NODE.search(s) else [] for s, b in zip(strings, base, strict=True)]
             extra: list[list] = [[] for _ in texts]
             flat, edges, own = [], [], []
             for d, g in enumerate(graphs):

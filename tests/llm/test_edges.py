@@ -55,6 +55,14 @@ def test_crf_agrees_across_a_document(spark):
     assert r.base == [] and all(text[s.start : s.end] == "ann.7[at]mail3.example.com" for s in r.extra)
 
 
+@pytest.mark.parametrize("address", ["jane.doe[at]example[dot]com", "info(at)firm.de", "ann[AT]mail(dot)org"])
+def test_crf_adds_addresses_without_digits(spark, address):
+    train = spark.createDataFrame([(i, f"write to user{i}.{i}@mail{i % 7}.example.com or call +1 (555) 555-{1000 + i} about item {i} of some.one[at]else{i}.org") for i in range(300)], "doc_id long, text string")
+    text = f"ask {address} now; nothing else"
+    r = crf.find(spark.createDataFrame([(1, text)], "doc_id long, text string"), crf.train(train), least=0.9).first()
+    assert r.base == [] and [(s.kind, text[s.start : s.end]) for s in r.extra] == [(0, address)]
+
+
 def test_base_spans_match_the_patterns():
     from hypothesis import given, settings
     from hypothesis import strategies as st
