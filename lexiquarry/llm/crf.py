@@ -36,7 +36,8 @@ _MARK = re.compile(r"[0-9@]")
 _NODE = re.compile(r"[0-9@]|[\[(](?:at|dot)[\])]", re.I)
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _EDGE = "!\"#$%&'*,-./:;<=>?@[\\]^_`{|}~"
-_FAR_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+(?:@|\[at\]|\(at\))[A-Za-z0-9-]+(?:(?:\.|\[dot\]|\(dot\))[A-Za-z0-9-]+)+", re.I)
+#: Possessive, as no part can be read in two ways: linear in the word.
+_FAR_EMAIL = re.compile(r"[A-Za-z0-9._%+-]++(?:@|\[at\]|\(at\))[A-Za-z0-9-]++(?:(?:\.|\[dot\]|\(dot\))[A-Za-z0-9-]++)++", re.I)
 _FAR_IP = re.compile(r"([0-9]+)(?:\.|\[\.\])([0-9]+)(?:\.|\[\.\])([0-9]+)(?:\.|\[\.\])([0-9]+)")
 _PHONE_CHARS = re.compile(r"[0-9().+/-]+")
 _CARD_CHARS = re.compile(r"[0-9./-]+")
@@ -95,7 +96,7 @@ def nodes(text: str, spans: list[tuple[int, int, int]]) -> list[tuple]:
             continue
         core = w.lstrip(_EDGE)
         start = m.end() - len(core)
-        core = core.rstrip(_EDGE)[:400]
+        core = core.rstrip(_EDGE)
         if not core:
             continue
         end = start + len(core)

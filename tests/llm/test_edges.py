@@ -63,6 +63,17 @@ def test_crf_adds_addresses_without_digits(spark, address):
     assert r.base == [] and [(s.kind, text[s.start : s.end]) for s in r.extra] == [(0, address)]
 
 
+def test_crf_sees_whole_long_words():
+    import time
+
+    word = "a" * 500 + "[at]mail3.example.com"
+    assert [n[1:3] for n in crf.nodes(f"ask {word}; now", [])] == [(4, 4 + len(word))] and crf.check(0, word)
+    start = time.time()
+    for long in ("a.9" * 100_000, "a@" + "b.9" * 100_000 + "!x", "9" * 300_000 + "!x"):
+        assert len(crf.nodes(long, [])) == 1
+    assert time.time() - start < 20
+
+
 def test_base_spans_match_the_patterns():
     from hypothesis import given, settings
     from hypothesis import strategies as st
