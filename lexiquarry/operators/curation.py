@@ -52,16 +52,23 @@ def malformed(question: Column, shortest: int = 12, longest: int = 180, patterns
     return F.array_compact(F.array(*reasons))
 
 
-def word_windows(text: Column, n: int) -> Column:
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " ")))
+def plain_words(text: Column) -> Column:
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
+def word_windows(words: Column, n: Column) -> Column:
+    """Distinct runs of n words; none of a text with fewer. The words are bound once, not split anew for each window."""
+    places = lambda ws: F.when(F.size(ws) >= n, F.sequence(F.lit(1), F.size(ws) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.flatten(F.transform(F.array(words), lambda ws: F.transform(places(ws), lambda i: F.array_join(F.slice(ws, i, n), " ")))))
 
 
 def overlap_with(rows: DataFrame, key: str, text: str, held_out: DataFrame, item: str, item_text: str, n: int = 8) -> DataFrame:
-    """(key, item): rows that share n words in a row with a held-out text; an equi-join on the windows, held-out ones first
-    reduced to distinct windows."""
-    w = rows.select(key, F.explode(word_windows(F.col(text), n)).alias("w")).where(F.size(F.split("w", " ")) == n)
-    h = held_out.select(item, F.explode(word_windows(F.col(item_text), n)).alias("w")).where(F.size(F.split("w", " ")) == n)
+    """(key, item): rows that share n words in a row with a held-out text, or all of its words in a row where it has fewer; an
+    equi-join on the windows of each length that a held-out text asks for, held-out ones first reduced to distinct windows."""
+    words = held_out.select(item, plain_words(F.col(item_text)).alias("words")).where(F.size("words") > 0).withColumn("size", F.least(F.size("words"), F.lit(n)))
+    h = words.select(item, F.explode(word_windows(F.col("words"), F.col("size"))).alias("w"))
+    sizes = words.select("size").distinct()  # n at most
+    w = rows.select(key, plain_words(F.col(text)).alias("words")).crossJoin(F.broadcast(sizes)).select(key, F.explode(word_windows(F.col("words"), F.col("size"))).alias("w"))
     return w.join(h, "w").select(key, item).distinct()
 
 

@@ -131,3 +131,10 @@ def test_shard_is_zlibs(spark):
 
 def test_particles_are_ordered():
     assert lexicon.PARTICLES.index("으로부터") < lexicon.PARTICLES.index("부터")
+
+
+def test_overlap_with_short_items(spark):
+    long = "one two three four five six seven eight nine"
+    rows = spark.createDataFrame([(1, "Please say: What is RAG? Thanks"), (2, "what is a rag"), (3, f"zero {long} ten"), (4, None), (5, "one two three four five six seven")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "what is RAG"), (2, long), (3, "..."), (4, None), (5, "rag")], "item_id long, item_text string")
+    assert sorted(map(tuple, C.overlap_with(rows, "doc_id", "text", items, "item_id", "item_text").collect())) == [(1, 1), (1, 5), (2, 5), (3, 2)]
