@@ -16,14 +16,13 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
 
 
-def connected(links: DataFrame, rounds: int = 60) -> DataFrame:
+def connected(links: DataFrame) -> DataFrame:
     """links: (a, b) long, any order, repeats and loops allowed. Returns (node, component), component the smallest id
-    reachable, for nodes that have a link to another and are not the smallest themselves. No links give no rows."""
+    reachable, for nodes that have a link to another and are not the smallest themselves. Steps
+    repeat until nothing changes. No links give no rows."""
     edges = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     mark = _mark(edges)
-    for _ in range(rounds):
-        if not mark[0]:
-            break
+    while mark[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()

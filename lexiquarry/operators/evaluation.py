@@ -111,13 +111,13 @@ def gates(rows: DataFrame, by: Sequence[str], checks: dict[str, Column]) -> Data
     return rows.groupBy(*by).agg(*[F.bool_and(c).alias(k) for k, c in checks.items()]).withColumn("promoted", F.array_min(F.array(*[F.col(k) for k in checks])))
 
 
-def closure(edges: DataFrame, start: DataFrame, rounds: int = 100) -> DataFrame:
+def closure(edges: DataFrame, start: DataFrame) -> DataFrame:
     """edges: (child, parent); start: (node). All ancestors of the start nodes, themselves included; each round adds what is
-    new, so cycles end. Lineage is cut each round in the shared checkpoint folder."""
+    new until nothing is, so cycles end. Lineage is cut each round in the shared checkpoint folder."""
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
     reached, fresh = start.select("node").distinct(), start.select("node").distinct()
-    for _ in range(rounds):
+    while True:
         fresh = fresh.join(edges, fresh["node"] == edges["child"]).select(F.col("parent").alias("node")).distinct().join(reached, "node", "left_anti").checkpoint()
         if fresh.isEmpty():
             break
@@ -125,12 +125,12 @@ def closure(edges: DataFrame, start: DataFrame, rounds: int = 100) -> DataFrame:
     return reached
 
 
-def components(edges: DataFrame, nodes: DataFrame, rounds: int = 100) -> DataFrame:
+def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable, by propagating labels and jumping to the label of the label."""
     ensure_checkpoint_dir(edges.sparkSession)
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     labels = nodes.select("node", F.col("node").alias("component")).checkpoint()
-    for _ in range(rounds):
+    while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("m"))
         new = labels.join(near, labels["node"] == near["a"], "left").select("node", F.col("component").alias("old"), F.least("component", F.coalesce("m", "component")).alias("component"))
         jump = new.select(F.col("node").alias("j"), F.col("component").alias("further"))

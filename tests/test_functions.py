@@ -133,6 +133,12 @@ def test_particles_are_ordered():
     assert lexicon.PARTICLES.index("으로부터") < lexicon.PARTICLES.index("부터")
 
 
+def test_closure_of_a_long_chain(spark):
+    n = 104
+    edges = spark.createDataFrame([(i, i + 1) for i in range(n)], "child long, parent long").coalesce(1)
+    assert E.closure(edges, spark.createDataFrame([(0,)], "node long")).count() == n + 1
+
+
 def test_overlap_with_short_items(spark):
     long = "one two three four five six seven eight nine"
     rows = spark.createDataFrame([(1, "Please say: What is RAG? Thanks"), (2, "what is a rag"), (3, f"zero {long} ten"), (4, None), (5, "one two three four five six seven")], "doc_id long, text string")
