@@ -3,17 +3,18 @@
 1. Equal texts become one class; a text of ``least`` bytes with a copy is removed whole.
 2. Winnowing: of every ``least - gram + 1`` consecutive grams of ``gram`` bytes the one with the smallest hash is an anchor, so
    two equal strings of ``least`` bytes hold the same anchor at the same place. Anchors that occur once in the corpus
-   drop out; the bytes within reach of the others are segments, and segments that share an anchor, directly or
-   through others, are a component. No repeated string leaves its component.
-3. A task indexes some components: suffixes sorted to depth ``DEPTH``, their Burrows-Wheeler transform cut into runs. Longest
-   matches are computed at the sampled run ends (and every ``SAMPLE`` places of the text) only; inside a run the
-   matching statistic falls by one from place to place, so one pass over the text streams it to all the others.
-   Places with a match of ``least`` bytes mark what is removed.
-4. A component of more than ``component_bytes`` bytes does not go to one task: it is dealt by anchor, each with its reach to
-   both sides, which holds every string of ``least`` bytes around it. Should one anchor alone exceed that size, its windows of
-   ``least`` bytes are counted by hash, a row each.
-
-Whole texts move once, to meet their segments; the rest is places and segments.
+   drop out. The reach of an anchor, which holds every string of ``least`` bytes around it, is a piece.
+3. Equal pieces of an anchor (128 bits of a cryptographic hash) become one class. A piece with a copy is removed whole;
+   what is left to find are matches between different pieces of an anchor, so one piece of each class is kept.
+4. A task indexes the pieces of some anchors, neighbouring ones together: suffixes sorted to depth ``DEPTH``, their
+   Burrows-Wheeler transform cut into runs. Longest matches are computed at the sampled run ends (and every ``SAMPLE``
+   places of the text) only; inside a run the matching statistic falls by one from place to place, so one pass over the
+   text streams it to all the others. Places with a match of ``least`` bytes mark what is removed.
+5. An anchor whose different pieces exceed ``anchor_bytes`` goes through steps 2 to 4 again with longer grams: its pieces
+   get shorter, more of them are equal, and they are dealt to more anchors. The last grams are whole strings of ``least``
+   bytes, whose pieces are all equal; so every anchor ends up small enough.
+
+Whole texts move three times: to meet their pieces, the pieces to be indexed, and what is removed.
 """
 
 from __future__ import annotations
@@ -27,14 +28,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import map_texts, materialize, table
-from .components import connected
+from .common import discard, map_texts, materialize, table
 from .hashing import mix
 
 LEAST, GRAM = 400, 200
 SAMPLE, DEPTH = 64, 512
-TASK_BYTES = 4_000_000
-COMPONENT_BYTES = 12_000_000
+#: An index holds this many bytes, or one anchor; it needs about 100 bytes of memory for each.
+TASK_BYTES = 1_500_000
+ANCHOR_BYTES = 2_000_000
+#: Anchors whose first piece lies in the same stretch of one text are neighbours.
+TILE = 4096
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 _INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -94,8 +97,10 @@ def suffix_order(symbols: np.ndarray, left: np.ndarray, depth: int) -> np.ndarra
         key <<= _U(9)
         key[: n - k] |= np.where(left[: n - k] > k, symbols[k:].astype(np.uint64) + _U(1), _U(0))
     order = np.argsort(key, kind="stable")
+    key = key[order]
     rank = np.empty(n, dtype=np.int64)
-    rank[order] = np.cumsum(np.concatenate(([1], key[order][1:] != key[order][:-1])))
+    rank[order] = np.cumsum(np.concatenate(([1], key[1:] != key[:-1])))
+    del order, key
     seen = 7
     while seen < depth:
         step = min(seen, depth - seen)
@@ -151,10 +156,10 @@ def repeated_places(segments: list[bytes], least: int = LEAST) -> list[np.ndarra
     n = len(symbols)
     if not n:
         return [np.zeros(0, dtype=np.int64) for _ in segments]
-    left = np.repeat(ends, sizes) - np.arange(n)
+    left = (np.repeat(ends, sizes) - np.arange(n)).astype(np.int32)
     order = suffix_order(symbols, left, depth)
     # the transform: the symbol before each suffix; a segment's start has a symbol of its own
-    before = np.empty(n, dtype=np.int64)
+    before = np.empty(n, dtype=np.int32)
     before[1:] = symbols[:-1]
     before[starts[sizes > 0]] = 256 + np.arange((sizes > 0).sum())
     bwt = before[order]
@@ -162,6 +167,7 @@ def repeated_places(segments: list[bytes], least: int = LEAST) -> list[np.ndarra
     tail = np.append(head[1:], True)
     sampled = head | tail | (order % SAMPLE == 0)
     sampled &= left[order] >= least
+    del before, bwt, head, tail
     k = np.flatnonzero(sampled)
     best = np.zeros(n, dtype=np.int64)
     for s in range(0, len(k), 20_000):
@@ -183,95 +189,96 @@ def spans_of(places: np.ndarray, least: int) -> list[tuple[int, int]]:
     return [(int(p[0]), int(p[-1]) + least) for p in np.split(places, cut)]
 
 
-FOUND = T.StructType([T.StructField("node", T.LongType()), T.StructField("from", T.LongType()), T.StructField("to", T.LongType())])
+def merged(spans) -> list[list[int]]:
+    """Spans (from, to) in order, those that touch joined."""
+    out: list[list[int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
 
 
-def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least: int = LEAST, gram: int = GRAM, task_bytes: int = TASK_BYTES, component_bytes: int = COMPONENT_BYTES) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256), a row per input row.
+PLACE = T.StructType([T.StructField("hash", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())])
+#: A piece: bytes from..to of a text around an anchor that occurs ``times`` times in it.
+PIECE = T.StructType([T.StructField("hash", T.LongType()), T.StructField("content", T.BinaryType()), T.StructField("node", T.BinaryType()), T.StructField("from", T.IntegerType()), T.StructField("to", T.IntegerType()), T.StructField("times", T.IntegerType())])
+CUT = T.StructType([T.StructField("key", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("from", T.IntegerType()), T.StructField("bytes", T.BinaryType())])
+FOUND = T.StructType([T.StructField("node", T.BinaryType()), T.StructField("from", T.IntegerType()), T.StructField("to", T.IntegerType())])
+KEPT = T.StructType([T.StructField("node", T.BinaryType()), T.StructField("removed", T.LongType()), T.StructField("spans", T.LongType()), T.StructField("kept", T.StringType())])
 
-    A null text has no bytes. Texts shorter than ``least`` keep all. Equal texts of ``least`` bytes or more are removed whole. Rows
-    are told apart by their text, so repeated and null ids are no obstacle. No documents give no rows.
-    """
 
-    def make():
-        def run(texts):
-            cols = [[], [], [], []]
-            for t in texts:
-                t = t or b""
-                a = anchors(np.frombuffer(t, dtype=np.uint8), least, gram) if len(t) >= least else np.zeros((0, 3), dtype=np.int64)
-                for c, v in zip(cols, (len(t), hashlib.blake2b(t, digest_size=16).digest(), hashlib.sha256(t).hexdigest(), a.tobytes()), strict=True):
-                    c.append(v)
-            return cols
-
-        return run
+def _batch(rows: list[tuple], schema: T.StructType) -> pa.RecordBatch:
+    arrow = to_arrow_schema(schema)
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], type=f.type) for k, f in enumerate(arrow)], schema=arrow)
 
-    rows = map_texts(docs, make, [T.StructField("n", T.LongType(), False), T.StructField("digest", T.BinaryType(), False), T.StructField("sha", T.StringType(), False), T.StructField("anchors", T.BinaryType(), False)], [doc_id], text)
-    rows = materialize(rows.select(F.col(f"row.{doc_id}").alias("doc_id"), "n", "digest", "sha", "anchors"), "repeat-anchors")
-    node = F.xxhash64("digest")
-    classes = rows.where(F.col("n") >= least).groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.first("anchors").alias("anchors")).withColumn("node", node)
 
-    place = T.StructType([T.StructField("hash", T.LongType()), T.StructField("node", T.LongType()), T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType()), T.StructField("times", T.IntegerType())])
-    place_arrow = to_arrow_schema(place)
+def _map(df: DataFrame, fn, schema: T.StructType) -> DataFrame:
+    """fn: the values of a row to a list of rows."""
 
-    def explode(batches):
+    def run(batches):
         for b in batches:
-            parts = [np.frombuffer(x, dtype=np.int64).reshape(-1, 3) for x in b.column(1).to_pylist()]
-            owner = np.repeat(b.column(0).to_numpy(), [len(p) for p in parts])
-            a = np.concatenate(parts) if parts else np.zeros((0, 3), dtype=np.int64)
-            cols = (a[:, 0], owner, a[:, 1].astype(np.int32), a[:, 2].astype(np.int32), 1 + (a[:, 1] != a[:, 2]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], schema=place_arrow)
-
-    places = classes.select("node", "anchors").mapInArrow(explode, place)
-    repeated = places.groupBy("hash").agg(F.sum("times").alias("times")).where("times > 1").select("hash")
-    near = places.join(repeated, "hash")
-    reach = least - gram
-    w = "PARTITION BY node ORDER BY first, last, hash"
-    cut = near.selectExpr("*", f"max(last) OVER ({w} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before")
-    cut = cut.selectExpr("*", f"sum(CASE WHEN before IS NULL OR first - {reach} > before + {least} THEN 1 ELSE 0 END) OVER ({w}) AS island")
-    cut = materialize(cut.select("node", "island", "hash", "first", "last"), "repeat-islands")
-    segments = cut.groupBy("node", "island").agg(F.greatest(F.min("first") - reach, F.lit(0)).cast("long").alias("from"), (F.max("last") + least).cast("long").alias("to")).withColumn("segment", F.xxhash64("node", "island"))
-    ends = cut.select("hash", F.xxhash64("node", "island").alias("segment")).distinct()
-    links = ends.join(ends.groupBy("hash").agg(F.min("segment").alias("least")), "hash").select(F.col("segment").alias("a"), F.col("least").alias("b"))
-    comp = connected(links)
-    segments = segments.join(comp.withColumnRenamed("node", "segment"), "segment", "left").select("node", "island", "from", "to", F.coalesce("component", "segment").alias("component"))
-    segments = materialize(segments, "repeat-segments")
-    size = F.sum(F.col("to") - F.col("from")).alias("bytes")
-    big = segments.groupBy("component").agg(size).where(F.col("bytes") > component_bytes).select("component")
-    parts = segments.select("node", "from", "to", "component", F.lit(False).alias("large"))
-    if not big.isEmpty():
-        around = cut.join(segments.join(big, "component", "left_semi").select("node", "island"), ["node", "island"])
-        around = around.select("node", F.greatest(F.col("first") - reach, F.lit(0)).cast("long").alias("from"), (F.col("last") + least).cast("long").alias("to"), F.col("hash").alias("component")).distinct()
-        sizes = around.groupBy("component").agg(size).select("component", (F.col("bytes") > component_bytes).alias("large"))
-        parts = materialize(parts.join(big, "component", "left_anti").unionByName(around.join(sizes, "component")), "repeat-parts")
-    total = parts.agg(size).first()[0] or 0
-    bins = max(1, -(-total // task_bytes))
+            for row in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                yield _batch(fn(*row), schema)
 
-    wanted = parts.groupBy("node").agg(F.collect_list(F.struct("from", "to", "component", "large")).alias("segments"))  # at most one an anchor of a text
-    chosen = rows.where(F.col("n") >= least).withColumn("node", node).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("sha").alias("sha"))
-    # one row for each class: the text is found by its digest
-    texts = docs.select(F.col(f"`{text}`").alias("text"), F.xxhash64(F.sha2(F.col(f"`{text}`").cast("string").cast("binary"), 256)).alias("h"), F.col(f"`{doc_id}`").alias("doc_id"))
-    wanted = wanted.join(chosen, "node").select("node", "segments", F.xxhash64("sha").alias("h"), "doc_id")
-    texts = texts.join(wanted, (texts["h"] == wanted["h"]) & texts["doc_id"].eqNullSafe(wanted["doc_id"])).select("node", "segments", "text").dropDuplicates(["node"])
-    texts = materialize(texts, "repeat-texts")
+    return df.mapInArrow(run, schema)
 
-    piece = T.StructType([T.StructField("node", T.LongType()), T.StructField("from", T.LongType()), T.StructField("component", T.LongType()), T.StructField("large", T.BooleanType()), T.StructField("bytes", T.BinaryType())])
-    piece_arrow = to_arrow_schema(piece)
 
-    def cut_out(batches):
-        for b in batches:
-            for i, segs, t in zip(*[b.column(k).to_pylist() for k in range(3)], strict=True):
-                rows = [(i, s["from"], s["component"], s["large"], t[s["from"] : s["to"]]) for s in segs]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], type=f.type) for k, f in enumerate(piece_arrow)], schema=piece_arrow)
+def piece(text: bytes, first: int, last: int, least: int, reach: int) -> tuple[bytes, int, int]:
+    """(content, from, to) of the piece around the anchor at first..last."""
+    a, b = max(0, first - reach), min(len(text), last + least)
+    return hashlib.blake2b(text[a:b], digest_size=16).digest(), a, b
+
+
+def first_pieces(texts: DataFrame, least: int, reach: int) -> DataFrame:
+    """Pieces around the places (hash, first, last) that each text is wanted for."""
+
+    def rows(node, wanted, text):
+        out = []
+        for w in wanted:
+            content, a, b = piece(text, w["first"], w["last"], least, reach)
+            out.append((w["hash"], content, node, a, b, 1 + (w["first"] != w["last"])))
+        return out
+
+    return _map(texts.select("node", "wanted", F.col("text").cast("binary")), rows, PIECE)
+
+
+def finer_pieces(hot: DataFrame, texts: DataFrame, least: int, reach: int) -> DataFrame:
+    """Pieces of the next level, from the bytes that the hot anchors' pieces cover."""
+
+    def rows(node, regions, text):
+        out = []
+        for a, b in merged((r["from"], r["to"]) for r in regions):
+            part = text[a:b]
+            for h, first, last in anchors(np.frombuffer(part, dtype=np.uint8), least, least - reach).tolist():
+                content, x, y = piece(part, first, last, least, reach)
+                out.append((h, content, node, a + x, a + y, 1 + (first != last)))
+        return out
 
-    pieces = texts.select("node", "segments", F.col("text").cast("string").cast("binary")).mapInArrow(cut_out, piece)
+    regions = hot.groupBy("node").agg(F.collect_list(F.struct("from", "to")).alias("regions"))  # at most one an anchor of a text
+    return _map(texts.join(regions, "node").select("node", "regions", F.col("text").cast("binary")), rows, PIECE).distinct()
+
+
+def indexed(ask: DataFrame, texts: DataFrame, total: int, least: int, task_bytes: int) -> DataFrame:
+    """Spans of repeated strings among the pieces (key, node, from, to) of each key."""
+
+    def cut(node, wanted, text):
+        own: dict[int, list[tuple[int, int]]] = {}
+        for w in wanted:
+            own.setdefault(w["key"], []).append((w["from"], w["to"]))
+        return [(key, node, a, text[a:b]) for key, spans in own.items() for a, b in merged(spans)]
+
+    wanted = ask.groupBy("node").agg(F.collect_list(F.struct("key", "from", "to")).alias("wanted"))  # at most one an anchor of a text
+    cuts = _map(texts.join(wanted, "node").select("node", wanted["wanted"], F.col("text").cast("binary")), cut, CUT)
+    bins = max(1, -(-total // task_bytes))
 
     def index(t: pa.Table) -> pa.Table:
-        rows: list[tuple[int, int, int]] = []
-        parts: list[tuple[int, int, bytes]] = []
+        rows: list[tuple] = []
+        parts: list[tuple[bytes, int, bytes]] = []
         size, last = 0, None
 
         def flush() -> None:
-            owner: list[int] = []
+            owner: list[bytes] = []
             start: list[int] = []
             data: list[bytes] = []
             for i, s, b in sorted(parts):
@@ -284,65 +291,132 @@ def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", leas
             rows.extend((o, s + x, s + y) for o, s, p in zip(owner, start, repeated_places(data, least), strict=True) for x, y in spans_of(p, least))
             parts.clear()
 
-        # an index holds whole components, and no more of them than task_bytes
-        for c, i, s, b in sorted(zip(*[t.column(c).to_pylist() for c in ("component", "node", "from", "bytes")], strict=True)):
-            if c != last and size + len(b) > task_bytes and parts:
+        # an index holds all pieces of a key, and no more keys than task_bytes
+        for key, i, s, b in sorted(zip(*[t.column(c).to_pylist() for c in ("key", "node", "from", "bytes")], strict=True)):
+            if key != last and size + len(b) > task_bytes and parts:
                 flush()
                 size = 0
             parts.append((i, s, b))
-            size, last = size + len(b), c
+            size, last = size + len(b), key
         if parts:
             flush()
-        return pa.Table.from_arrays([pa.array([r[k] for r in rows], type=pa.int64()) for k in range(3)], schema=to_arrow_schema(FOUND))
+        return pa.Table.from_batches([_batch(rows, FOUND)])
+
+    return cuts.withColumn("bin", F.pmod(F.xxhash64("key"), F.lit(bins))).groupBy("bin").applyInArrow(index, FOUND)
+
+
+def level(pieces: DataFrame, texts: DataFrame, least: int, reach: int, task_bytes: int, anchor_bytes: int) -> tuple[list[DataFrame], DataFrame | None]:
+    """Spans that the pieces of one level show to be repeated, and the pieces of anchors that are too large for an index."""
+    classes = pieces.groupBy("hash", "content").agg(F.count(F.lit(1)).alias("copies"), F.sum("times").alias("times"), F.min(F.struct("node", "from", "to")).alias("one"))
+    classes = materialize(classes, "repeat-classes")
+    twice = F.col("copies") > 1 if reach else F.col("times") > 1
+    covered = pieces.join(classes.where(twice).select("hash", "content"), ["hash", "content"]).select("node", "from", "to")
+    covered = materialize(covered, "repeat-covered")
+    if not reach:  # a piece is its gram
+        return [covered], None
+    size = F.col("one.to") - F.col("one.from")
+    each = classes.groupBy("hash").agg(F.count(F.lit(1)).alias("k"), F.sum((F.col("copies") == 1).cast("int")).alias("single"), F.max((F.col("times") > F.col("copies")).cast("int")).alias("again"), F.sum(size).cast("long").alias("bytes"), F.min("one").alias("one"))
+    each = each.where("single > 0 and (k > 1 or again > 0)")
+    tile = each.select("hash", "bytes", F.xxhash64("one.node", F.floor(F.col("one.from") / TILE)).alias("tile"))
+    tiles = tile.groupBy("tile").agg(F.sum("bytes").alias("tile_bytes"))
+    keyed = tile.join(tiles, "tile").select("hash", (F.col("bytes") > anchor_bytes).alias("hot"), F.when(F.col("tile_bytes") <= anchor_bytes, F.col("tile")).otherwise(F.xxhash64("hash", F.lit(1))).alias("key"))
+    ask = materialize(classes.join(keyed, "hash").select("key", "hot", "one.*"), "repeat-ask")
+    sums = {r["hot"]: r["n"] for r in ask.groupBy("hot").agg(F.sum(F.col("to") - F.col("from")).alias("n")).collect()}
+    found = [covered]
+    if sums.get(False):
+        found.append(materialize(indexed(ask.where("not hot"), texts, sums[False], least, task_bytes), "repeat-found"))
+    discard(classes)
+    return found, ask.where("hot") if sums.get(True) else None
+
+
+def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least: int = LEAST, gram: int = GRAM, task_bytes: int = TASK_BYTES, anchor_bytes: int = ANCHOR_BYTES) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256), a row per input row.
 
-    found = pieces.where("not large").withColumn("bin", F.pmod(F.xxhash64("component"), F.lit(bins))).groupBy("bin").applyInArrow(index, FOUND)
-    if not parts.where("large").isEmpty():
-        window = T.StructType([T.StructField("hash", T.LongType()), T.StructField("node", T.LongType()), T.StructField("from", T.LongType())])
+    A null text has no bytes. Texts shorter than ``least`` keep all. Equal texts of ``least`` bytes or more are removed whole. Rows
+    are told apart by their text, so repeated and null ids are no obstacle. No documents give no rows.
+    """
+    reach = least - gram
 
-        def hashed(batches):
-            for b in batches:
-                for i, s, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                    h = window_hashes(np.frombuffer(data, dtype=np.uint8), least).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), i)), pa.array(s + np.arange(len(h)))], schema=to_arrow_schema(window))
+    def make():
+        def run(texts):
+            cols = [[], [], []]
+            for t in texts:
+                t = t or b""
+                a = anchors(np.frombuffer(t, dtype=np.uint8), least, gram) if len(t) >= least else np.zeros((0, 3), dtype=np.int64)
+                for c, v in zip(cols, (len(t), hashlib.sha256(t).hexdigest(), a[:, 0].tobytes() + a[:, 1:].astype(np.int32).tobytes()), strict=True):
+                    c.append(v)
+            return cols
+
+        return run
 
-        windows = pieces.where("large").select("node", "from", "bytes").mapInArrow(hashed, window)
-        at = F.struct("node", "from")  # a place may be within reach of several anchors
-        often = windows.groupBy("hash").agg(F.min(at).alias("a"), F.max(at).alias("b")).where("a <> b").select("hash")
-        found = found.unionByName(windows.join(often, "hash").select("node", "from", (F.col("from") + least).alias("to")))
+    rows = map_texts(docs, make, [T.StructField("n", T.LongType(), False), T.StructField("sha", T.StringType(), False), T.StructField("anchors", T.BinaryType(), False)], [doc_id], text)
+    rows = materialize(rows.select(F.col(f"row.`{doc_id}`").alias("doc_id"), "n", "sha", "anchors"), "repeat-anchors")
+    classes = rows.where(F.col("n") >= least).groupBy("sha").agg(F.first("anchors").alias("anchors"))
+    node = F.unhex(F.substring("sha", 1, 32))  # half of a SHA-256 names a text
+    place_arrow = to_arrow_schema(PLACE)
 
-    result = T.StructType([T.StructField("node", T.LongType()), T.StructField("removed", T.LongType()), T.StructField("spans", T.LongType()), T.StructField("kept", T.StringType())])
+    def explode(batches):
+        for b in batches:
+            raw = b.column(1).to_pylist()
+            n = np.array([len(x) // 16 for x in raw], dtype=np.int64)
+            hashes = [np.frombuffer(x, dtype=np.int64, count=k) for x, k in zip(raw, n, strict=True)]
+            at = [np.frombuffer(x, dtype=np.int32, offset=8 * k).reshape(-1, 2) for x, k in zip(raw, n, strict=True)]
+            if n.sum():
+                at = np.concatenate(at)
+                cols = [pa.array(np.concatenate(hashes)), b.column(0).take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array(at[:, 0]), pa.array(at[:, 1])]
+                yield pa.RecordBatch.from_arrays(cols, schema=place_arrow)
+
+    places = classes.select(node.alias("node"), "anchors").mapInArrow(explode, PLACE)
+    often = places.groupBy("hash").agg(F.sum(F.when(F.col("first") == F.col("last"), 1).otherwise(2)).alias("times")).where("times > 1").select("hash")
+    wanted = places.join(often, "hash").groupBy("node").agg(F.collect_list(F.struct("hash", "first", "last")).alias("wanted"))  # at most the anchors of a text
+    # one row for each class: the text is found by its digest, among its copies by the least id
+    chosen = rows.where(F.col("n") >= least).groupBy("sha").agg(F.min("doc_id").alias("doc_id")).select(node.alias("node"), F.col("doc_id").alias("chosen"))
+    wanted = wanted.join(chosen, "node")
+    body = F.col(f"`{text}`").cast("string")
+    named = docs.where(F.octet_length(body) >= least).select(F.unhex(F.substring(F.sha2(body.cast("binary"), 256), 1, 32)).alias("node"), F.col(f"`{doc_id}`").alias("doc_id"), body.alias("text"))
+    texts = named.join(wanted, (named["node"] == wanted["node"]) & named["doc_id"].eqNullSafe(wanted["chosen"])).select(named["node"], "wanted", "text")
+    texts = materialize(texts, "repeat-texts")
+    pieces = materialize(first_pieces(texts, least, reach), "repeat-pieces")
+    texts = texts.select("node", "text")
+    found: list[DataFrame] = []
+    while True:
+        spans, hot = level(pieces, texts, least, reach, task_bytes, anchor_bytes)
+        found += spans
+        discard(pieces)
+        if hot is None:
+            break
+        reach //= 8
+        pieces = materialize(finer_pieces(hot, texts, least, reach), "repeat-pieces")
 
     def apply(batches):
         for b in batches:
-            out = [[], [], [], []]
+            out = []
             for i, spans, t in zip(*[b.column(k).to_pylist() for k in range(3)], strict=True):
-                merged: list[list[int]] = []
-                for s in sorted((s["from"], s["to"]) for s in spans):
-                    if merged and s[0] <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], s[1])
-                    else:
-                        merged.append(list(s))
+                gone = merged((s["from"], s["to"]) for s in spans)
                 kept, at = hashlib.sha256(), 0
-                for x, y in merged:
+                for x, y in gone:
                     kept.update(t[at:x])
                     at = y
                 kept.update(t[at:])
-                for c, v in zip(out, (i, sum(y - x for x, y in merged), len(merged), kept.hexdigest()), strict=True):
-                    c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(out, to_arrow_schema(result), strict=True)], schema=to_arrow_schema(result))
-
-    spans = materialize(found, "repeat-spans").groupBy("node").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
-    done = texts.select("node", "text").join(spans, "node").select("node", "spans", F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(apply, result)
-    state = classes.select("digest", "node", "copies").join(done, "node", "left").select("digest", "copies", "removed", "spans", "kept")
+                out.append((i, sum(y - x for x, y in gone), len(gone), kept.hexdigest()))
+            yield _batch(out, KEPT)
+
+    every = found[0]
+    for f in found[1:]:
+        every = every.unionByName(f)
+    spans = every.groupBy("node").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
+    done = texts.join(spans, "node").select("node", "spans", F.col("text").cast("binary").alias("text")).mapInArrow(apply, KEPT)
+    state = rows.where(F.col("n") >= least).groupBy("sha").agg(F.count(F.lit(1)).alias("copies")).withColumn("node", node)
+    state = state.join(done.dropDuplicates(["node"]), "node", "left").select("sha", "copies", "removed", "spans", "kept")
     twice = F.coalesce(F.col("copies") > 1, F.lit(False))
     return (
-        rows.select("doc_id", "n", "digest", "sha")
-        .join(state, "digest", "left")
+        rows.select("doc_id", "n", "sha")
+        .join(state, "sha", "left")
         .select(
             "doc_id",
             F.col("n").alias("n_bytes"),
             F.when(twice, F.col("n")).otherwise(F.coalesce("removed", F.lit(0))).cast("long").alias("n_removed"),
-            F.when(twice, F.lit(1)).otherwise(F.coalesce("spans", F.lit(0))).cast("long").alias("n_spans"),
+            F.when(twice, F.lit(1)).otherwise(F.coalesce(state["spans"], F.lit(0))).cast("long").alias("n_spans"),
             F.when(twice, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"),
         )
     )

@@ -189,8 +189,8 @@ def test_rlbwt_parts(spark):
     common = ["".join(rng.choice("abcde ") for _ in range(rng.randrange(420, 900))) for _ in range(4)]
     rows = [(i, "".join(rng.choice([rng.choice(common), "".join(rng.choice("fghij") for _ in range(300)), "xy" * 300]) for _ in range(4))) for i in range(30)]
     df, want = spark.createDataFrame(rows, "doc_id long, text string"), B.repeats(rows)
-    for size in (10**7, 3000, 500):  # whole components, by anchor, by window
-        assert {r[0]: tuple(r[1:]) for r in rlbwt.repeats(df, component_bytes=size, task_bytes=5000).collect()} == want
+    for size in (10**7, 3000, 500):  # one level of anchors, two, and down to whole strings
+        assert {r[0]: tuple(r[1:]) for r in rlbwt.repeats(df, anchor_bytes=size, task_bytes=5000).collect()} == want
 
 
 def test_wumanber(spark, docs, empty):
