@@ -29,11 +29,13 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .common import map_texts, materialize, table
 
 END_ID = 2
-#: Words, and their letters alone, that a process remembers; a cache that is full starts anew.
-CACHE_WORDS = 250_000
-CACHE_HEADS = 1_000_000
+#: Bytes that a process remembers of words, and of their letters alone; a cache that is full starts anew.
+CACHE_BYTES = 48 << 20
+#: What a remembered word costs besides its bytes and its ids.
+_ENTRY = 180
 TOKENS_A_TASK = 8_000_000
 TOKENS_A_BLOCK = 1_000_000
+PARTS_A_GROUP = 4096
 _PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)], dtype=np.uint8)
 
@@ -44,17 +46,28 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class _Words(dict):
+class _Bounded(dict):
+    """A cache of at most CACHE_BYTES."""
+
+    size = 0
+
+    def keep(self, key: bytes, value: bytes) -> bytes:
+        self.size += len(key) + len(value) + _ENTRY
+        if self.size > CACHE_BYTES:
+            self.clear()
+            self.size = len(key) + len(value) + _ENTRY
+        self[key] = value
+        return value
+
+
+class _Words(_Bounded):
     """Ids by word; a word that is not there is encoded and kept."""
 
     def __init__(self, encoder: WordEncoder):
         self.encoder = encoder
 
     def __missing__(self, w: bytes) -> bytes:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        ids = self[w] = self.encoder.word(w)
-        return ids
+        return self.keep(w, self.encoder.word(w))
 
 
 class WordEncoder:
@@ -76,8 +89,7 @@ class WordEncoder:
         self.independent = one("ab,\n c d") == one("ab") + one(",") + one("c") + one("d")
         self.size = self.t.get_vocab_size()
         self.words = _Words(self)
-        self.heads: dict[bytes, bytes] = {}
-        self.tails: dict[bytes, bytes] = {}
+        self.heads, self.tails = _Bounded(), _Bounded()
 
     def _pack(self, ids) -> bytes:
         return array(self.code, ids).tobytes()
@@ -97,15 +109,13 @@ class WordEncoder:
                 ids = self._whole(s)
             else:
                 return self._whole(w.decode())
-            if len(self.heads) > CACHE_HEADS:
-                self.heads.clear()
-            self.heads[head] = ids
+            self.heads.keep(head, ids)
         return ids + self._tail(w[len(head) :]) if len(head) < len(w) else ids
 
     def _tail(self, marks: bytes) -> bytes:
         ids = self.tails.get(marks)
         if ids is None:
-            ids = self.tails[marks] = self._whole(marks.decode()) if marks else b""
+            ids = self.tails.keep(marks, self._whole(marks.decode()) if marks else b"")
         return ids
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
@@ -230,7 +240,10 @@ def encode(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", token
         if ids:
             yield flush()
 
-    dealt = tokens.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "ids")
+    # rows of one id, or without one, are dealt on by their tokens, equal ones by where they are stored
+    order_by = ["doc_id", "tie", "row"]
+    dealt = tokens.select(F.col("doc_id").cast("long").alias("doc_id"), "ids", F.xxhash64("ids").alias("tie"), F.monotonically_increasing_id().alias("row"))
+    dealt = dealt.repartitionByRange(parts, *order_by).sortWithinPartitions(*order_by).select("doc_id", "ids")
     return materialize(dealt.mapInArrow(blocks, BLOCK), "token-blocks"), order
 
 
@@ -247,10 +260,18 @@ def decode(blocks: DataFrame, order: np.ndarray) -> DataFrame:
                 crc = [zlib.crc32(ids[i:j].tobytes()) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(x, type=pa.int64()) for x in (r["doc_ids"], cuts[:-1] + r["before"], r["lengths"], crc)], schema=arrow)
 
-    sums = blocks.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # a row for each task that wrote
-    before = sums.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("part_before"))
-    own = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    starts = blocks.select("part", "seq", F.coalesce(F.sum("n_tokens").over(own), F.lit(0)).alias("block_before")).join(before, "part").select("part", "seq", (F.col("block_before") + F.col("part_before")).alias("before"))
+    # prefix sums by block, task and group of tasks: no window holds more than one group, or a row per group
+    group = (F.col("part") / PARTS_A_GROUP).cast("int").alias("group")
+
+    def running(df: DataFrame, within: list[str], by: str, name: str) -> DataFrame:
+        w = Window.partitionBy(*within).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumn(name, F.coalesce(F.sum("n").over(w), F.lit(0)))
+
+    sizes = blocks.select(group, "part", "seq", F.col("n_tokens").alias("n"))
+    parts = sizes.groupBy("group", "part").agg(F.sum("n").alias("n"))
+    groups = running(parts.groupBy("group").agg(F.sum("n").alias("n")), [], "group", "g").drop("n")
+    parts = running(parts, ["group"], "part", "p").drop("n", "group")
+    starts = running(sizes, ["part"], "seq", "b").join(parts, "part").join(groups, "group").select("part", "seq", (F.col("b") + F.col("p") + F.col("g")).alias("before"))
     return blocks.join(starts, ["part", "seq"]).mapInArrow(run, schema)
 
 
@@ -260,6 +281,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def token_output(docs: DataFrame, **options) -> DataFrame:
     """Encodes, writes, reads back: (doc_id, start, n_tokens, ids_crc32). Documents with one id follow each other in the
-    order of their ids; a null doc_id comes first. No documents give no rows."""
+    order of a hash of their tokens; a null doc_id comes first; one that is no integer is an error. No documents give
+    no rows."""
     blocks, order = encode(docs, **options)
     return decode(blocks, order)
