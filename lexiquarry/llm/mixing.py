@@ -59,25 +59,25 @@ def plan_mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sou
     size 0 are copied like the others of their source; a source of size 0 has target 0 and no copies. Repeated rows are
     each copied, by one coin per id. No documents give no rows.
     """
-    sized = docs.withColumn("__size", word_count(F.col(text)))
-    totals = materialize(sized.groupBy(F.col(source).alias("source")).agg(F.sum("__size").alias("source_size")), "mix-totals")
-    targets = source_targets(totals, weights, cap).select(F.col("source").alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"))
-    on = F.col(source).eqNullSafe(F.col("__source"))
+    # the caller's columns travel in one struct, so that no name can clash
+    sized = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{doc_id}`").alias("id"), F.col(f"`{source}`").alias("source"), word_count(F.col(f"`{text}`")).alias("size"))
+    totals = materialize(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-totals")
+    targets = source_targets(totals, weights, cap).select(F.col("source").alias("of"), "source_size", "target")
+    on = F.col("source").eqNullSafe(F.col("of"))
     if totals.count() <= BROADCAST_SOURCES:
         joined = sized.join(F.broadcast(targets), on)
     else:  # a source may hold a third of all rows: its rows go to SALTS tasks
-        salted = targets.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = sized.withColumn("__own", F.pmod(F.xxhash64(doc_id), F.lit(SALTS)).cast("int")).join(salted, on & (F.col("__own") == F.col("__salt")))
-    rate = F.when(F.col("__source_size") > 0, F.least(F.col("__target") / F.col("__source_size"), F.lit(float(cap)))).otherwise(F.lit(0.0))
-    copies = (F.floor(F.col("__rate")) + (coin(F.col(doc_id), seed) < F.col("__rate") - F.floor(F.col("__rate"))).cast("long")).cast("long")
-    mix = F.struct(F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), copies.alias("copies"))
-    return joined.withColumn("__rate", rate).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), mix.alias("mix"))
+        salted = targets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = sized.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, on & (F.col("own") == F.col("salt")))
+    rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(cap)))).otherwise(F.lit(0.0))
+    copies = (F.floor("rate") + (coin(F.col("id"), seed) < F.col("rate") - F.floor("rate")).cast("long")).cast("long")
+    return joined.withColumn("rate", rate).select("row", F.struct("size", "source_size", "target", copies.alias("copies")).alias("mix"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: the columns of docs, a row per copy."""
     planned = plan_mix(docs, **options)
-    return planned.where("mix.copies > 0").withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("mix.copies").cast("int")))).select("row.*")
+    return planned.where("mix.copies > 0").select("row", F.explode(F.array_repeat(F.lit(0), F.col("mix.copies").cast("int")))).select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
