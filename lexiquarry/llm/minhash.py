@@ -10,7 +10,8 @@
 4. Components of these forests are candidate clusters. Members' full sets are built anew from the whole texts, dealt once by
    cluster, and all pairs of a cluster are verified exactly, again by matrix products; links form the final components.
 
-Lists and clusters of more than ``block`` members are compared block against block in separate tasks.
+Lists of more than ``list_block`` and clusters of more than ``block`` members are compared block against block in separate
+tasks.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ from .hashing import shingles
 K = 64
 #: Standard errors by which an estimate may fall short of the threshold.
 ERRORS = 5
+#: Members compared with each other in one task: of an inverted list (sketches), of a candidate cluster (full sets).
+LIST_BLOCK = 512
 BLOCK = 2048
 EDGE = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
@@ -141,12 +144,12 @@ def pair_up(matrix: Callable[[np.ndarray, np.ndarray], np.ndarray], passes, left
     return lab
 
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 3, percent: int = 85, k: int = K, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 3, percent: int = 85, k: int = K, list_block: int = LIST_BLOCK, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row per input row.
 
     Documents are linked when 100 * intersection >= percent * union. Null, empty and wordless texts have no shingles and
     link with nothing. Equal texts are linked; rows with one id count as one document. A null id is never linked; its
-    component is null and it is kept. No documents give no rows.
+    component is null and it is kept; one that is no integer is an error. No documents give no rows.
     """
     low = max(0.0, percent / 100 - slack(percent, k))
     rows = materialize(sketches(docs, doc_id=doc_id, text=text, words=words, k=k), "sketches")
@@ -198,7 +201,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         far = lab != np.arange(len(ids))
         return pa.table({"a": ids[far], "b": ids[lab[far]]}, schema=to_arrow_schema(EDGE))
 
-    candidates = in_blocks(entries, "v", "node", block).groupBy("v", "lo", "hi").applyInArrow(compare, EDGE)
+    candidates = in_blocks(entries, "v", "node", list_block).groupBy("v", "lo", "hi").applyInArrow(compare, EDGE)
     found = connected(candidates)
     members = materialize(found.unionByName(found.select(F.col("component").alias("node"), "component")).distinct(), "candidate-clusters")
 
