@@ -5,8 +5,9 @@ the search window. A shift table says how far the window can move when its last
 is 0, a bucket for that block lists the patterns, a prefix selects among them and direct comparison confirms. Items with
 fewer words are one pattern each, searched with tables of their own length.
 
-Documents are read once, in a single map without a shuffle. The tables hold the benchmark only; they are shipped in
-blocks of at most ``block_words`` item words (size checked), one map after another, so a benchmark of any size works.
+Documents are read in a single map without a shuffle. Items are shipped as text, at most ``block_words`` words of them
+(size checked), and each task builds its tables, about a kilobyte a word. A larger benchmark takes a map for each block,
+written before the next one begins, so the driver holds one block at a time and a benchmark of any size works.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_texts
+from .common import discard, map_texts, materialize
 
 #: Word bytes are 0-9, a-z (after lower-casing A-Z) and everything above 7F; all others separate words.
 _NORMAL = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b > 0x7F else 32 for b in range(256))
@@ -84,7 +85,7 @@ def covered(spans: list[tuple[int, int]]) -> int:
 def _blocks(benchmark: DataFrame, item_id: str, text: str, block_words: int):
     """Yields lists of (item id as text or None, text), each of at most block_words words or one item."""
     rows, size = [], 0
-    cols = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(text).cast("binary").alias("t")).distinct()
+    cols = benchmark.select(F.col(f"`{item_id}`").cast("string").alias("i"), F.col(f"`{text}`").cast("binary").alias("t")).distinct()
     for r in cols.toLocalIterator():
         n = len(words_of(bytes(r.t))) if r.t is not None else 0
         if rows and size + n > block_words:
@@ -106,7 +107,7 @@ def scan(
     window: int = 13,
     block: int = 3,
     min_share: float = 0.05,
-    block_words: int = 2_000_000,
+    block_words: int = 150_000,
 ) -> DataFrame:
     """One row per document: ``row`` (columns in keep), n_words, n_hit, n_items, items (ids as sorted text), spans
     (merged later; pairs of word positions) and contaminated (n_hit > 0 and n_hit >= min_share * n_words).
@@ -116,8 +117,6 @@ def scan(
     listed nowhere. An empty benchmark hits nothing.
     """
     per_hit = round(1 / min_share)
-    out = docs
-    blocks = list(_blocks(benchmark, item_id, item_text, block_words))
     names = docs.columns if keep is None else keep
     fields = [
         T.StructField("n_words", T.LongType(), False),
@@ -127,18 +126,18 @@ def scan(
         T.StructField("spans", T.BinaryType(), False),
         T.StructField("contaminated", T.BooleanType(), False),
     ]
-    last = None
-    for k, rows in enumerate(blocks):
+
+    def search(rows, rest: bool, before: DataFrame | None) -> DataFrame:
         ids = [i for i, _ in rows]
-        tables = build([(j, t) for j, (_, t) in enumerate(rows)], window, block)
 
-        def make(ids=ids, tables=tables):
+        def make():
+            tables = build([(j, t) for j, (_, t) in enumerate(rows)], window, block)
+
             def run(texts, before_spans=None, before_items=None):
                 cols: list[list] = [[], [], [], [], [], []]
                 for n, t in enumerate(texts):
                     words = words_of(t)
-                    raw = before_spans[n] if before_spans else b""
-                    spans = list(struct.iter_unpack("<qq", raw))
+                    spans = list(struct.iter_unpack("<qq", before_spans[n] if before_spans else b""))
                     found: set[int] = set()
                     for x in tables:
                         x.scan(words, spans, found)
@@ -150,13 +149,21 @@ def scan(
 
             return run
 
-        if last is None:
-            carry = names if k == len(blocks) - 1 else [*dict.fromkeys([*names, text])]
-            last = map_texts(out, make, fields, carry, text)
-        else:
-            again = last.select("row.*", F.col("spans").alias("__spans"), F.col("items").alias("__items"))
-            last = map_texts(again, make, fields, names if k == len(blocks) - 1 else [*dict.fromkeys([*names, text])], text, {"s": F.col("__spans"), "i": F.col("__items")})
-    return last
+        if before is None:
+            return map_texts(docs, make, fields, [*dict.fromkeys([*names, text])] if rest else names, text)
+        carried = [c for c in before.schema["row"].dataType.names if rest or c in names]
+        again = before.select("row", *[F.col("row")[c].alias(f"c{k}") for k, c in enumerate(carried)], F.col("row")[text].alias("t"), "spans", "items")
+        found = map_texts(again, make, fields, [f"c{k}" for k in range(len(carried))], "t", {"spans": F.col("spans"), "items": F.col("items")})
+        return found.withColumn("row", F.struct(*[F.col("row")[f"c{k}"].alias(c) for k, c in enumerate(carried)]))
+
+    blocks = _blocks(benchmark, item_id, item_text, block_words)
+    rows, last = next(blocks), None
+    while (later := next(blocks, None)) is not None:
+        before, last = last, materialize(search(rows, True, last), "benchmark-hits")
+        if before is not None:
+            discard(before)
+        rows = later
+    return search(rows, False, last)
 
 
 def items_digest(items: list[str]) -> str:
