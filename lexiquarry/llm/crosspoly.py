@@ -81,6 +81,11 @@ def tables_for(dim: int, hashes: int, probes: int, least: float, recall: float)
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - met)))
 
 
+def narrow(dim: int, hashes: int) -> np.dtype:
+    """The smallest type that holds the bucket numbers of vectors of this length."""
+    return np.min_scalar_type((2 << max(1, (dim - 1).bit_length())) ** hashes - 1)
+
+
 def _units(lists) -> np.ndarray:
     x = np.array(lists, dtype=np.float64)
     x /= np.abs(x).max(axis=1, keepdims=True)  # no overflow or underflow of squares
@@ -112,7 +117,7 @@ def near_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str =
 
     A null or zero vector, one with a null or non-finite component, a null label or a null id links with nothing:
     n_links 0, its own component, kept. Equal vectors are linked with each other and count one each; repeated rows are
-    separate vectors. No vectors give no rows.
+    separate vectors. An id that is no integer is an error. No vectors give no rows.
     """
     e = F.col("embedding")
     ok = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & e.isNotNull() & F.coalesce(F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(e, lambda x: x != 0), F.lit(False))
@@ -136,7 +141,7 @@ def near_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str =
             T.StructField("class_id", T.LongType()),
             T.StructField("m", T.LongType()),
             T.StructField("embedding", classes.schema["embedding"].dataType),
-            T.StructField("codes", T.ArrayType(T.LongType())),
+            T.StructField("codes", T.BinaryType()),
         ]
     )
     arrow = to_arrow_schema(entry)
@@ -150,7 +155,7 @@ def near_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str =
                 hashes, p, tabs = plan[int(d)]
                 c = np.stack([codes(_units([lists[k] for k in own]), t, hashes, p) for t in range(tabs)], axis=1)
                 part = b.take(pa.array(own))
-                flat = pa.array(list(c.reshape(len(own), -1)), type=pa.list_(pa.int64()))
+                flat = pa.array([x.tobytes() for x in c.reshape(len(own), -1).astype(narrow(int(d), hashes))], type=pa.binary())
                 for t in range(tabs):
                     for q in range(c.shape[2]):
                         cols = [part.column("label"), pa.array(np.full(len(own), d, np.int32)), pa.array(np.full(len(own), t, np.int32)), pa.array(c[:, t, q]), part.column("class_id"), part.column("m"), part.column("embedding"), flat]
@@ -177,7 +182,7 @@ def near_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str =
         ids, m, side = (t.column(c).to_numpy() for c in ("class_id", "m", "own"))
         lists = t.column("embedding").combine_chunks()
         unit = _units(lists.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), d))
-        code = t.column("codes").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), plan[d][2], -1)
+        code = np.frombuffer(b"".join(t.column("codes").to_pylist()), dtype=narrow(d, plan[d][0])).astype(np.int64).reshape(len(ids), plan[d][2], -1)
         left, right = np.flatnonzero(side == lo), np.flatnonzero(side == hi)
         found_i, found_j = [], []
         for s in range(0, len(left), 512):
