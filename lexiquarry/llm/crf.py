@@ -239,8 +239,8 @@ def added(text: str, base: list[tuple[int, int, int]], graph: list[tuple], p: np
 def train(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", max_docs: int = 3000, max_nodes: int = 40_000) -> Field:
     """Fits on at most max_docs documents with marked words, chosen by a hash of doc_id, and max_nodes of their words."""
     order = [F.xxhash64("id", F.lit(23)), F.col("id")]
-    some = docs.where(F.col(text).rlike(r"[0-9@]")).select(F.col(doc_id).alias("id")).distinct().orderBy(*order).limit(max_docs)
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(some), "id")
+    some = docs.where(F.col(f"`{text}`").rlike(r"[0-9@]")).select(F.col(f"`{doc_id}`").alias("id")).distinct().orderBy(*order).limit(max_docs)
+    rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")).join(F.broadcast(some), "id")
 
     def make():
         def run(texts):

@@ -175,7 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
     usable = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id), folds, fold))
     usable = usable.groupBy(F.col(doc_id).alias("__id")).agg(F.max(label).cast("double").alias("__y"))
     usable = usable.orderBy(F.xxhash64("__id", F.lit(17)), "__id").limit(max_docs)
-    rows = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("text")).join(F.broadcast(usable), "__id")
+    rows = docs.select(F.col(f"`{doc_id}`").alias("__id"), F.col(f"`{text}`").alias("text")).join(F.broadcast(usable), "__id")
 
     def make():
         def run(texts):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import crf, crosspoly, katz, ledger, mil, minhash, mixing, rlbwt, tokens, wumanber
+from . import crf, crosspoly, katz, ledger, mil, minhash, mixing, oracles, rlbwt, tokens, wumanber
 
 QUERIES = {
     "op1_katz": katz.query,
@@ -17,4 +17,11 @@ QUERIES = {
     "op10_cross_polytope": crosspoly.query,
 }
 
-ORACLES = {"op4_mix_sources": mixing.ORACLE}
+ORACLES = {
+    "op3_blob_ledger": ledger.ORACLE,
+    "op4_mix_sources": mixing.ORACLE,
+    "op5_minhash_bottom_k": oracles.NEAR,
+    "op6_run_length_index": oracles.REPEATS,
+    "op7_wu_manber": oracles.DECONTAMINATED,
+    "op10_cross_polytope": oracles.VECTORS,
+}

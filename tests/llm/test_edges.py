@@ -14,7 +14,7 @@ ROWS = [(1, "alpha beta gamma delta " * 30, "s"), (2, "alpha beta gamma delta "
 @pytest.fixture(scope="module")
 def docs(spark):
     df = spark.createDataFrame(ROWS, "doc_id long, text string, source string")
-    return df.withColumns({c: F.lit("clash") for c in ("row", "score", "n_words", "spans", "key", "node", "mix", "size", "blob", "ids", "hash", "lang", "component", "n")})
+    return df.withColumns({c: F.lit("clash") for c in ("row", "score", "n_words", "spans", "key", "node", "mix", "size", "blob", "ids", "hash", "lang", "component", "n", "a.b", "__size", "__rate", "__source", "__spans", "__items", "at", "text_")})
 
 
 @pytest.fixture(scope="module")
@@ -99,9 +99,18 @@ def test_ledger_is_incremental(spark, docs, empty):
     kinds = {r.path: [s.kind for s in r.spans] for r in found.collect()}
     assert kinds[1] == kinds[2] == ["assign", "access"] and kinds[3] == [] and found.count() == 4
     assert seen.count() == 2 * len(ledger.RULES)
-    again, _, seen2 = ledger.scan(first.union(spark.createDataFrame([(9, "deadbeefdeadbeef")], "doc_id long, text string")), seen, findings)
+    more = first.union(spark.createDataFrame([(9, "deadbeefdeadbeef")], "doc_id long, text string"))
+    again, findings, seen2 = ledger.scan(more, seen, findings)
     assert seen2.count() == 3 * len(ledger.RULES)
     assert {r.path: len(r.spans) for r in again.collect()} == {1: 2, 2: 2, 3: 0, 9: 1}
+    assert ledger.unseen(again.select("blob").distinct(), seen2, ledger.RULES).count() == 0
+    # what the ledger lists is not scanned: without its findings nothing is found again
+    assert {r.path: len(r.spans) for r in ledger.scan(more, seen2)[0].collect()} == {1: 0, 2: 0, 3: 0, 9: 0}
+    # a changed rule is scanned anew, alone, and its earlier spans go
+    rules = tuple(ledger.Rule("access", 1, r"AKIA[A-Z]{4}X", 0, 1, 2) if r.kind == "access" else r for r in ledger.RULES)
+    changed, _, seen3 = ledger.scan(more, seen2, findings, rules=rules)
+    assert {r.path: [s.kind for s in r.spans] for r in changed.collect()} == {1: ["assign"], 2: ["assign"], 3: [], 9: ["hex"]}
+    assert seen3.count() == seen2.count() + 3
     assert ledger.scan(empty)[0].count() == 0 and ledger.scan(docs)[0].count() == len(ROWS)
 
 
@@ -121,6 +130,7 @@ def test_mix(spark, docs, empty):
     assert plan.columns == ["row", "mix"] and plan.count() == len(ROWS)
     assert {r.row.doc_id: r.mix.size for r in plan.collect()}[3] == 0
     assert mixing.mix(docs).columns == docs.columns and mixing.mix(empty).count() == 0
+    assert {(r.row["__size"], r.row["__rate"], r.row["a.b"]) for r in plan.collect()} == {("clash",) * 3}
     targets = {r.source: r.target for r in mixing.source_targets(spark.createDataFrame([("a", 10), ("b", 100), ("c", 100), (None, 0)], "source string, source_size long")).collect()}
     assert targets["a"] == 30 and sum(targets.values()) == pytest.approx(210) and targets[None] == 0
 
@@ -148,7 +158,7 @@ def test_minhash_in_blocks(spark):
         for _ in range(rng.randrange(0, 9)):
             w[rng.randrange(len(w))] = f"x{rng.random()}"
         rows.append((i, " ".join(w)))
-    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=16)
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), list_block=8, block=16)
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got.collect()} == B.near(rows)
 
 
