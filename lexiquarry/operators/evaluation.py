@@ -11,6 +11,16 @@ from pyspark.sql import functions as F
 from .ranking import names_match
 
 
+def exact_mean(c: Column, digits: int = 4) -> Column:
+    """The mean of values, each taken to six digits, rounded half up to ``digits`` from whole numbers: one result on every
+    engine and in any order of the rows."""
+    total, n = F.sum(F.round(c * 1_000_000).cast("decimal(38,0)")), F.count(c)
+    step = 10 ** (6 - digits)
+    twice, unit = (total * 2 + n * step).cast("decimal(38,0)"), (n * (2 * step)).cast("decimal(38,0)")
+    whole = (twice - F.pmod(twice, unit)) / unit  # without a remainder, so exact
+    return whole.cast("double") / float(10**digits)
+
+
 def grouped_summary(rows: DataFrame, groups: dict[str, str], aggregates: Sequence[Column], overall: str = "overall") -> DataFrame:
     """One row for all, and one per value of each group column, labelled prefix + value; empty keys have no row. Each row
     meets all its groups at once, so the table is read and aggregated in one pass."""
@@ -41,13 +51,13 @@ def degradation(before: DataFrame, after: DataFrame, key: str, metric: str) -> D
     """Rows in both runs: how many got worse or better, and the mean change."""
     both = before.select(key, F.col(metric).alias("a")).join(after.select(key, F.col(metric).alias("b")), key)
     delta = F.round(F.col("b") - F.col("a"), 4)
-    return both.agg(F.count(F.lit(1)).alias("compared"), F.count_if(delta < 0).alias("degraded"), F.count_if(delta > 0).alias("improved"), F.round(F.avg(delta), 4).alias("avg_delta"))
+    return both.agg(F.count(F.lit(1)).alias("compared"), F.count_if(delta < 0).alias("degraded"), F.count_if(delta > 0).alias("improved"), exact_mean(delta).alias("avg_delta"))
 
 
 def group_deltas(before: DataFrame, after: DataFrame, key: str, group: str, metric: str) -> DataFrame:
     both = before.select(key, group, F.col(metric).alias("a")).join(after.select(key, F.col(metric).alias("b")), key)
     delta = F.round(F.col("b") - F.col("a"), 4)
-    return both.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(delta), 4).alias("avg_delta"), F.count_if(delta > 0).alias("improved"), F.count_if(delta < 0).alias("degraded"))
+    return both.groupBy(group).agg(F.count(F.lit(1)).alias("n"), exact_mean(delta).alias("avg_delta"), F.count_if(delta > 0).alias("improved"), F.count_if(delta < 0).alias("degraded"))
 
 
 def version_deltas(rows: DataFrame, version: str, metric: str, by: Sequence[str] = ()) -> DataFrame:
@@ -67,7 +77,7 @@ def mode_grid(rows: DataFrame, modes: Sequence[str], versions: Sequence[str], me
     """Every mode with every version, 0 where there are no rows."""
     spark = rows.sparkSession
     grid = spark.createDataFrame([(m, v) for m in modes for v in versions], "mode string, version string")
-    g = rows.groupBy("mode", "version").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(metric), 4).alias("mean"))
+    g = rows.groupBy("mode", "version").agg(F.count(F.lit(1)).alias("n"), exact_mean(F.col(metric) if isinstance(metric, str) else metric).alias("mean"))
     return F.broadcast(grid).join(g, ["mode", "version"], "left").select("mode", "version", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("mean", F.lit(0.0)).alias("mean"))
 
 
@@ -164,3 +174,64 @@ def lightest_buckets(groups: DataFrame, n: int) -> DataFrame:
         return pd.DataFrame(out, columns=["component", "size", "bucket"])
 
     return groups.groupBy(F.lit(0).alias("all")).applyInPandas(lambda pdf: pack(pdf), "component long, size long, bucket long")
+
+
+def result_rows(answered: DataFrame, questions: DataFrame, refusal: str) -> DataFrame:
+    """One evaluation row per answered question. answered: (question_id, answer_text, elapsed_sec, sources array<string>, route,
+    model_key); questions: (question_id, answer_type, question, targets array<string>). Document hits, the length of the
+    answer, and, for questions that expect it, whether the answer declines (matches ``refusal`` in lower case)."""
+    rows = questions.join(answered, "question_id")
+    expected = (F.lower(F.trim(F.coalesce("answer_type", F.lit("")))) == "rejection").cast("int")
+    declined = F.lower(F.coalesce("answer_text", F.lit(""))).rlike(refusal).cast("int")
+    return rows.select(
+        "question_id", "answer_type", "question", "route", "model_key", "answer_text",
+        F.length(F.coalesce("answer_text", F.lit(""))).alias("answer_chars"),
+        F.round("elapsed_sec", 2).alias("elapsed_sec"),
+        F.array_join("sources", " | ").alias("source_docs"),
+        doc_hits(F.col("targets"), F.col("sources")).alias("hits"),
+        expected.alias("rejection_expected"),
+        declined.alias("rejection_detected"),
+        F.when(expected == 1, declined).alias("rejection_success"),
+    )
+
+
+#: Measures whose means a coverage summary lists, and (measure, name of its count, answer type it is counted for).
+COVERAGE_MEANS = ("elapsed_sec", "source_diversity", "dual_doc_coverage", "comparison_evidence_coverage", "table_plus_body_coverage", "table_hit", "body_hit", "pair_hit", "answer_hit")
+COVERAGE_WEAK = (("dual_doc_coverage", "weak_comparison_count", "comparison"), ("table_plus_body_coverage", "weak_table_body_count", None), ("pair_hit", "weak_pair_count", None), ("body_hit", "weak_body_count", None))
+
+
+def coverage_summary(rows: DataFrame, means: Sequence[str] = COVERAGE_MEANS, weak: Sequence[tuple[str, str, str | None]] = COVERAGE_WEAK) -> DataFrame:
+    """Means of the measures over all rows, over each type group and over each answer type, and the counts of rows whose
+    measure falls short of 1: of one answer type, where a missing measure counts as 0, or of all rows that have it."""
+    short = lambda m, kind: (F.col(m) < 1) if kind is None else (F.col("answer_type") == kind) & (F.coalesce(m, F.lit(0.0)) < 1)
+    agg = [F.count(F.lit(1)).alias("question_count"), *[exact_mean(F.col(m)).alias(m) for m in means], *[F.count_if(short(m, kind)).alias(name) for m, name, kind in weak]]
+    return grouped_summary(rows, {"type_group": "", "answer_type": "answer_type:"}, agg)
+
+
+def representative_cases(rows: DataFrame, rules: dict[str, Column], key: Sequence[str], order: Sequence[Column], n: int = 3) -> DataFrame:
+    """The first n rows of each category by order, each key once; a row may be in several categories."""
+    found = F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in rules.items()]))
+    each = rows.withColumn("category", F.explode(found))
+    once = each.withColumn("__n", F.row_number().over(Window.partitionBy("category", *key).orderBy(*order))).where("__n = 1")
+    return once.withColumn("__n", F.row_number().over(Window.partitionBy("category").orderBy(*order))).where(F.col("__n") <= n).drop("__n")
+
+
+def group_hits(candidates: DataFrame, kind: str, hits: str, review: str = "final_review_table") -> DataFrame:
+    """candidates: (kind, hits map<group, count>). Hits of each keyword group, among rows of the review kind and all others."""
+    each = candidates.select(F.when(F.col(kind) == review, "final_review").otherwise("discarded").alias("side"), F.explode(hits).alias("group_name", "n"))
+    return each.groupBy("side", "group_name").agg(F.sum("n").alias("hits"))
+
+
+def variant_deltas(metrics: DataFrame, variant: str, names: Sequence[str], bases: dict[str, str]) -> DataFrame:
+    """A row per variant with its metrics and, for each base variant (name to suffix), the rounded difference from it."""
+    out = metrics
+    for base, suffix in bases.items():
+        one = metrics.where(F.col(variant) == base).select(*[F.col(m).alias(f"__{m}") for m in names])  # one row
+        out = out.crossJoin(F.broadcast(one)).select(*out.columns, *[F.round(F.col(m) - F.col(f"__{m}"), 4).alias(f"delta_{m}_{suffix}") for m in names])
+    return out
+
+
+def ids_by_group(rows: DataFrame, key: str, label: str, groups: Sequence[str]) -> DataFrame:
+    """(label, ids): the ids of each of the groups, labels compared in lower case, blank ids left out."""
+    name = F.lower(F.trim(F.coalesce(label, F.lit(""))))
+    return rows.where((F.coalesce(F.col(key).cast("string"), F.lit("")) != "") & name.isin(*groups)).select(name.alias("group_label"), F.col(key))

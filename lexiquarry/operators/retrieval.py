@@ -6,7 +6,7 @@ chunk_id, so every list is a function of its input.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -20,6 +20,8 @@ from ..functions.text import tokens
 
 #: Query vectors held by a task at once; more go in further passes.
 QUERY_BLOCK = 4096
+#: Distinct query terms up to this number are broadcast (about 40 bytes each).
+ASKED_TERMS = 100_000
 
 
 def top(rows: DataFrame, k: int, *order: Column, by: Sequence[str] = ("query_id",), name: str = "rank") -> DataFrame:
@@ -28,29 +30,34 @@ def top(rows: DataFrame, k: int, *order: Column, by: Sequence[str] = ("query_id"
 
 
 class Bm25:
-    """Postings (term, chunk_id, tf, dl) and term statistics as DataFrames.
+    """Term statistics, and the postings (term, chunk_id, tf, dl) of asked terms, as DataFrames.
 
     idf = ln((N - df + 0.5) / (df + 0.5)); a negative one becomes ``epsilon`` times the mean of all.
     """
 
     def __init__(self, chunks: DataFrame, terms: Column, *, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25):
         self.k1, self.b = k1, b
-        docs = chunks.select("chunk_id", terms.alias("terms"))
-        dl = F.size("terms").alias("dl")
-        self.postings = docs.select("chunk_id", dl, F.explode("terms").alias("term")).groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
-        self.totals = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("terms")).alias("total"))
-        df = self.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        self.docs = chunks.select("chunk_id", terms.alias("terms"))
+        self.totals = self.docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("terms")).alias("total"))
+        df = self.docs.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
         raw = df.crossJoin(F.broadcast(self.totals)).withColumn("raw", idf)  # one row of totals
         floor = raw.agg((F.sum("raw") / F.count("raw") * epsilon).alias("floor"))
         self.terms = raw.crossJoin(F.broadcast(floor)).select("term", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"), (F.col("total") / F.col("n")).alias("avgdl"))
 
+    def postings(self, asked: DataFrame) -> DataFrame:
+        """(term, chunk_id, tf, dl) of the asked terms only: the others go before anything is shuffled."""
+        held = asked.select("term").distinct().limit(ASKED_TERMS + 1).count() <= ASKED_TERMS
+        wanted = asked.select("term").distinct()
+        each = self.docs.select("chunk_id", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
+        return each.join(F.broadcast(wanted) if held else wanted, "term", "left_semi").groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+
     def scores(self, queries: DataFrame, terms: Column) -> DataFrame:
         """(query_id, chunk_id, score): repeated query terms count each time; chunks without a term are left out."""
         asked = queries.select("query_id", F.explode(terms).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
         tf, norm = F.col("tf"), self.k1 * (1 - self.b + self.b * F.col("dl") / F.col("avgdl"))
         part = F.col("times") * F.col("idf") * tf * (self.k1 + 1) / (tf + norm)
-        return asked.join(self.terms, "term").join(self.postings, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score"))
+        return asked.join(self.terms, "term").join(self.postings(asked), "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score"))
 
     def top(self, queries: DataFrame, terms: Column, k: int) -> DataFrame:
         return top(self.scores(queries, terms), k, F.desc("score"), F.asc("chunk_id"))
@@ -150,6 +157,91 @@ def weight_sweep(vector: DataFrame, lexical: DataFrame, weights: Sequence[tuple[
     return top(fused, k, F.desc("fusion_score"), F.asc("chunk_id"), by=keys)
 
 
+def search(mode: str, vectors: DataFrame, queries: DataFrame, lexical: Callable[[int], DataFrame], k: int) -> DataFrame:
+    """(query_id, chunk_id, rank) of a search mode: basic (nearest vectors), mmr (chosen from the nearest 4k) or hybrid (2k of
+    each list). Without vectors the lexical list answers, whatever the mode. lexical gives its best n."""
+    if vectors.isEmpty():
+        found = lexical(k)
+    elif mode == "mmr":
+        pool = vector_top(vectors, queries, 4 * k).drop("rank").join(vectors.select("chunk_id", "embedding"), "chunk_id")
+        found = mmr(pool, k)
+    elif mode == "hybrid":
+        found = hybrid(vector_top(vectors, queries, 2 * k), lexical(2 * k), k)
+    else:
+        found = vector_top(vectors, queries, k)
+    return found.select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"))
+
+
+def planned_search(ranked: DataFrame, plan: DataFrame, id_column: str, with_id: int = 5, without: int = 3) -> DataFrame:
+    """ranked: every candidate in order of rank; plan: (query_id, wanted_id). A plan with an id keeps rows whose id contains it
+    and gives with_id of them, one without gives ``without``."""
+    rows = ranked.join(plan, "query_id")
+    asks = F.coalesce("wanted_id", F.lit("")) != ""
+    rows = rows.where(~asks | F.col(id_column).cast("string").contains(F.col("wanted_id")))
+    w = Window.partitionBy("query_id").orderBy("rank", "chunk_id")
+    return rows.withColumn("new_rank", F.row_number().over(w)).where(F.col("new_rank") <= F.when(asks, with_id).otherwise(without))
+
+
+def anchored(rows: DataFrame, expected: DataFrame, name: str, bonus: float = 0.0035) -> DataFrame:
+    """rows: (query_id, chunk_id, score, name); expected: (query_id, name). The best row of each expected document, with the
+    bonus; each chunk once."""
+    w = Window.partitionBy("query_id", name).orderBy(F.desc("score"), "chunk_id")
+    best = rows.join(expected, ["query_id", name], "left_semi").withColumn("rn", F.row_number().over(w)).where("rn = 1")
+    return best.withColumn("score", F.round(F.col("score") + bonus, 9)).drop("rn")
+
+
+def slot_match(text: Column, slot: Column, aliases: dict[str, Sequence[str]], signals: dict[str, Column]) -> Column:
+    """Whether a chunk has a slot: its signal flag is set, or its text holds one of the slot's names."""
+    named = F.lit(False)
+    for k, words in aliases.items():
+        hit = F.lit(False)
+        for w in words:
+            hit = hit | text.contains(w)
+        if k in signals:
+            hit = hit | (signals[k] == 1)
+        named = F.when(slot == k, hit).otherwise(named)
+    return F.coalesce(named, F.lit(False))
+
+
+def same_section(path_a: Column, path_b: Column, title_a: Column, title_b: Column) -> Column:
+    """1 for one section path, 0.5 for one section title, else 0; blank ones are none."""
+    equal = lambda a, b: (F.coalesce(a, F.lit("")) != "") & (a == b)
+    return F.when(equal(path_a, path_b), 1.0).when(equal(title_a, title_b), 0.5).otherwise(0.0)
+
+
+def cover_slots(rows: DataFrame, k: int = 6) -> DataFrame:
+    """rows: (query_id, chunk_id, rank, slots_hit: array of slot places, asked: number of slots, is_table, section_path,
+    section_title). Contexts of a query, in order: for a table question (is_table not null) the best table and the body with
+    the best section bonus and rank; then for each slot in order the best row not used that has it; then by rank up to k.
+    A query's list of candidates is small."""
+
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["rank", "chunk_id"]).reset_index(drop=True)
+        chosen: list[int] = []
+        if pdf["is_table"].notna().any():
+            is_table = pdf["is_table"].fillna(0).astype(int).to_numpy() == 1
+            tables, bodies = np.flatnonzero(is_table), np.flatnonzero(~is_table)
+            path, title = pdf["section_path"].fillna(""), pdf["section_title"].fillna("")
+            if len(tables):
+                chosen.append(int(tables[0]))
+            if len(bodies):
+                t = tables[0] if len(tables) else None
+                bonus = lambda b: 0.0 if t is None else 1.0 if path[b] and path[b] == path[t] else 0.5 if title[b] and title[b] == title[t] else 0.0
+                chosen.append(int(max(bodies, key=lambda b: (bonus(b), -b))))
+        for place in range(int(pdf["asked"].iloc[0])):
+            best = next((i for i in range(len(pdf)) if i not in chosen and place in pdf["slots_hit"][i]), None)
+            if best is not None:
+                chosen.append(best)
+        for i in range(len(pdf)):
+            if len(chosen) >= k:
+                break
+            if i not in chosen:
+                chosen.append(i)
+        return pd.DataFrame({"query_id": pdf["query_id"].iloc[chosen], "chunk_id": pdf["chunk_id"].iloc[chosen], "place": np.arange(1, len(chosen) + 1)})
+
+    return rows.groupBy("query_id").applyInPandas(choose, "query_id long, chunk_id long, place long")
+
+
 def filtered_rank(ranked: DataFrame, keep: Column, k: int, filter_first: bool) -> DataFrame:
     """Filter and then limit, or limit and then filter; ranks are those among the survivors."""
     if not filter_first:

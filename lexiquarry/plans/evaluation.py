@@ -7,7 +7,14 @@ from pyspark.sql import functions as F
 from ..operators import evaluation as E
 from ..registry import query, table
 
-SUMMARY = "count(*) AS n, round(avg(value), 4) AS avg_value, count_if(value > 50) AS n_high, max(value) AS max_value"
+
+
+def mean_sql(c: str) -> str:
+    """E.exact_mean in SQL: whole numbers, rounded half up."""
+    return f"CAST(floor((2 * sum(CAST(round(({c}) * 1000000) AS HUGEINT)) + count({c}) * 100)::DECIMAL(38,0)::DOUBLE / (200 * count({c}))) AS DOUBLE) / 10000.0::DOUBLE"
+
+
+SUMMARY = f"count(*) AS n, {mean_sql('value')} AS avg_value, count_if(value > 50) AS n_high, max(value) AS max_value"
 
 
 @query(
@@ -15,17 +22,17 @@ SUMMARY = "count(*) AS n, round(avg(value), 4) AS avg_value, count_if(value > 50
     f"SELECT 'overall' AS group_name, {SUMMARY} FROM events UNION ALL SELECT event_type, {SUMMARY} FROM events WHERE event_type <> '' GROUP BY event_type UNION ALL SELECT 'user:' || CAST(user_id AS VARCHAR), {SUMMARY} FROM events GROUP BY user_id",
 )
 def _(s, d):
-    agg = [F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 4).alias("avg_value"), F.count_if(F.col("value") > 50).alias("n_high"), F.max("value").alias("max_value")]
+    agg = [F.count(F.lit(1)).alias("n"), E.exact_mean(F.col("value")).alias("avg_value"), F.count_if(F.col("value") > 50).alias("n_high"), F.max("value").alias("max_value")]
     return E.grouped_summary(table(s, d, "events"), {"event_type": "", "user_id": "user:"}, agg)
 
 
 ROW_MEAN = "round((l_quantity + l_discount * 100 + l_tax * 100) / 3.0::DOUBLE, 4)"
 
 
-@query("manual_summary", f"SELECT l_shipmode AS group_name, count(*) AS n, round(avg({ROW_MEAN}), 4) AS mean FROM (SELECT *, l_returnflag AS l_shipmode FROM lineitem) GROUP BY 1")
+@query("manual_summary", f"SELECT l_shipmode AS group_name, count(*) AS n, {mean_sql(ROW_MEAN)} AS mean FROM (SELECT *, l_returnflag AS l_shipmode FROM lineitem) GROUP BY 1")
 def _(s, d):
     mean = F.round((F.col("l_quantity") + F.col("l_discount") * 100 + F.col("l_tax") * 100) / 3.0, 4)
-    return table(s, d, "lineitem").groupBy(F.col("l_returnflag").alias("group_name")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(mean), 4).alias("mean"))
+    return table(s, d, "lineitem").groupBy(F.col("l_returnflag").alias("group_name")).agg(F.count(F.lit(1)).alias("n"), E.exact_mean(mean).alias("mean"))
 
 
 @query(
@@ -88,10 +95,10 @@ def _(s, d):
 
 @query(
     "version_deltas",
-    "WITH v AS (SELECT event_type, CAST(hour(ts) AS INT) AS version, round(avg(value), 4) AS m FROM events GROUP BY ALL) SELECT *, round(m - first_value(m) OVER w, 4) AS delta_first, round(m - lag(m) OVER w, 4) AS delta_prev FROM v WINDOW w AS (PARTITION BY event_type ORDER BY version)",
+    "WITH v AS (SELECT event_type, CAST(hour(ts) AS INT) AS version, " + mean_sql("value") + " AS m FROM events GROUP BY ALL) SELECT *, round(m - first_value(m) OVER w, 4) AS delta_first, round(m - lag(m) OVER w, 4) AS delta_prev FROM v WINDOW w AS (PARTITION BY event_type ORDER BY version)",
 )
 def _(s, d):
-    rows = table(s, d, "events").groupBy("event_type", F.hour("ts").alias("version")).agg(F.round(F.avg("value"), 4).alias("m"))
+    rows = table(s, d, "events").groupBy("event_type", F.hour("ts").alias("version")).agg(E.exact_mean(F.col("value")).alias("m"))
     return E.version_deltas(rows, "version", "m", ["event_type"])
 
 
@@ -190,7 +197,7 @@ def _(s, d):
     return table(s, d, "lineitem").groupBy("l_orderkey").agg(F.when(F.count_distinct("l_suppkey") >= 2, 1.0).otherwise(0.0).alias("dual_doc"))
 
 
-@query("select_top2", "SELECT event_type, n, mean FROM (SELECT event_type, count(*) AS n, round(avg(value), 4) AS mean FROM events WHERE event_type <> 'click' GROUP BY 1) ORDER BY mean DESC, n DESC, event_type DESC LIMIT 2")
+@query("select_top2", "SELECT event_type, n, mean FROM (SELECT event_type, count(*) AS n, " + mean_sql("value") + " AS mean FROM events WHERE event_type <> 'click' GROUP BY 1) ORDER BY mean DESC, n DESC, event_type DESC LIMIT 2")
 def _(s, d):
-    g = table(s, d, "events").where("event_type <> 'click'").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 4).alias("mean"))
+    g = table(s, d, "events").where("event_type <> 'click'").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), E.exact_mean(F.col("value")).alias("mean"))
     return g.orderBy(F.desc("mean"), F.desc("n"), F.desc("event_type")).limit(2)
