@@ -159,3 +159,69 @@ def rarity_priority(rows: DataFrame, slot: str, preference: Sequence[str]) -> Da
     place = F.coalesce(*[F.when(F.col(slot) == p, i) for i, p in enumerate(preference)], F.lit(len(preference)))
     g = rows.groupBy(slot).agg(F.count(F.lit(1)).alias("n"))
     return g.withColumn("priority", F.row_number().over(Window.orderBy("n", place, slot)))
+
+
+def edge_ngrams(text: Column, low: int = 3, high: int = 5) -> Column:
+    """Character n-grams inside words, each word with a space to both sides; a word no longer than n counts once and ends there."""
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
+
+    def grams(w: Column) -> Column:
+        p = F.concat(F.lit(" "), w, F.lit(" "))
+        each = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(p) - n + 1, F.lit(1))), lambda i: F.substring(p, i, F.lit(n)))
+        none = F.array().cast("array<string>")
+        return F.concat(each(low), *[F.when(F.length(p) >= n, each(n)).otherwise(none) for n in range(low + 1, high + 1)])
+
+    return F.flatten(F.transform(words, grams))
+
+
+def tfidf_duplicates(rows: DataFrame, by: Sequence[str], key: str, text: str, least: float = 0.92) -> DataFrame:
+    """(by, key, matched, similarity): rows with an earlier row of their group at that cosine of TF-IDF vectors of n-grams; the
+    first such row is the match. idf is smoothed and of the group; rows meet on grams within their group only."""
+    by = list(by)
+    docs = rows.select(*by, key, edge_ngrams(F.col(text)).alias("g"))
+    tf = docs.select(*by, key, F.explode("g").alias("x")).groupBy(*by, key, "x").agg(F.count(F.lit(1)).alias("tf"))
+    n = docs.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    df = tf.groupBy(*by, "x").agg(F.count(F.lit(1)).alias("df"))
+    weight = F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)
+    w = tf.join(df, [*by, "x"]).join(n, by).select(*by, key, "x", weight.alias("w"))
+    norm = w.groupBy(*by, key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    a, b = w.withColumnRenamed(key, "a").withColumnRenamed("w", "wa"), w.withColumnRenamed(key, "b").withColumnRenamed("w", "wb")
+    dot = a.join(b, [*by, "x"]).where("a < b").groupBy(*by, "a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"))
+    one = lambda k, name: norm.withColumnRenamed(key, k).withColumnRenamed("norm", name)
+    pairs = dot.join(one("a", "na"), [*by, "a"]).join(one("b", "nb"), [*by, "b"]).withColumn("similarity", F.round(F.col("dot") / (F.col("na") * F.col("nb")), 6)).where(F.col("similarity") >= least)
+    first = pairs.groupBy(*by, "b").agg(F.min(F.struct("a", "similarity")).alias("m"))
+    return first.select(*by, F.col("b").alias(key), F.col("m.a").alias("matched"), F.col("m.similarity").alias("similarity"))
+
+
+def signature_duplicates(rows: DataFrame, signature: Column, key: str, text: str, least: float = 0.86) -> DataFrame:
+    """(key, first, ratio, duplicate): each later row of a signature against the first holder; a duplicate at that ratio."""
+    marked = first_of_key(rows, signature, key)
+    first = rows.select(F.col(key).alias("first"), F.col(text).alias("first_text"))
+    pairs = marked.where("duplicate").select(key, "first", text).join(first, "first")
+    ratio = F.round(sequence_ratio(F.col("first_text"), F.col(text)), 6)
+    return pairs.select(key, "first", ratio.alias("ratio")).withColumn("duplicate", F.col("ratio") >= least)
+
+
+def without_prior(rows: DataFrame, prior: DataFrame, signature: Sequence[str], key: str, text: str, least: float = 0.97) -> DataFrame:
+    """Prior rows and, after them, the new rows that no prior row of their signature resembles at that ratio; columns as in rows."""
+    old = prior.select(*signature, F.col(text).alias("prior_text")).distinct()
+    near = rows.join(old, list(signature)).withColumn("ratio", sequence_ratio(F.col("prior_text"), F.col(text))).where(F.col("ratio") >= least).select(key).distinct()
+    return prior.select(*rows.columns).withColumn("origin", F.lit("prior")).unionByName(rows.join(near, key, "left_anti").select(*rows.columns).withColumn("origin", F.lit("new")))
+
+
+def leakage(norm_equal: Column, similarity: Column, shared: Column, alone: float = 0.88, with_document: float = 0.84) -> Column:
+    """Reason why a row overlaps the evaluation set, or ''."""
+    near = (similarity >= alone) | ((similarity >= with_document) & shared)
+    return F.when(norm_equal, "exact_or_normalized_match").when(near, F.concat(F.lit("semantic_match:"), F.format_string("%.4f", similarity))).otherwise("")
+
+
+def themed_pairs(rows: DataFrame, key: str, tags: str, name: str, themes: Sequence[str], limit: int) -> DataFrame:
+    """Pairs of rows by shared tags, a point more where a name holds a theme word; the best ``limit`` by points, then by the first four
+    shared tags in falling order, then by keys. Rows meet by tag, so pairs that share a theme word alone are left out."""
+    r = rows.select(F.col(key).alias("k"), F.array_distinct(tags).alias("t"), F.lower(F.coalesce(name, F.lit(""))).rlike("|".join(themes)).alias("themed"))
+    met = r.select("k", F.explode("t").alias("x"))
+    pairs = met.select(F.col("k").alias("a"), "x").join(met.select(F.col("k").alias("b"), "x"), "x").where("a < b").groupBy("a", "b").agg(F.array_sort(F.collect_set("x")).alias("shared"))
+    theme = r.select("k", "themed")
+    j = pairs.join(theme.select(F.col("k").alias("a"), F.col("themed").alias("ta")), "a").join(theme.select(F.col("k").alias("b"), F.col("themed").alias("tb")), "b")
+    j = j.withColumn("points", F.size("shared") + (F.col("ta") | F.col("tb")).cast("int")).withColumn("first_tags", F.array_join(F.slice("shared", 1, 4), "|"))
+    return j.orderBy(F.desc("points"), F.desc("first_tags"), "a", "b").limit(limit).select("a", "b", "points", "first_tags")

@@ -235,3 +235,13 @@ def ids_by_group(rows: DataFrame, key: str, label: str, groups: Sequence[str]) -
     """(label, ids): the ids of each of the groups, labels compared in lower case, blank ids left out."""
     name = F.lower(F.trim(F.coalesce(label, F.lit(""))))
     return rows.where((F.coalesce(F.col(key).cast("string"), F.lit("")) != "") & name.isin(*groups)).select(name.alias("group_label"), F.col(key))
+
+
+def top_settings(rows: DataFrame, baseline: Column, order: Sequence[Column], n: int = 2) -> DataFrame:
+    """The best n settings that are no baseline."""
+    return rows.where(~baseline).orderBy(*order).limit(n)
+
+
+def smoke_order(size: str = "chunk_size", mode: str = "mode", goal: int = 1200, preferred: str = "struct") -> list[Column]:
+    """Falling document hits (first, any, rate), sizes nearest to the goal, the preferred mode, then size and mode themselves."""
+    return [F.desc("top1"), F.desc("topk"), F.desc("rate"), F.abs(F.col(size) - goal).asc(), (F.col(mode) == preferred).desc(), F.asc(size), F.asc(mode)]

@@ -40,11 +40,47 @@ def row_summary(rows: DataFrame, by: str, order: Sequence[Column], cell: Column,
 
 
 def pair_bodies(pairs: DataFrame, by: Sequence[str], body: str, methods: Sequence[tuple[str, Column]]) -> DataFrame:
-    """The best body of each table: the first method that gives a score decides the pair's; the largest wins, the first of equals."""
-    score = F.coalesce(*[c for _, c in methods])
-    method = F.coalesce(*[F.when(c.isNotNull(), F.lit(n)) for n, c in methods])
-    rows = pairs.withColumns({"score": score, "method": method}).where(F.col("score").isNotNull())
-    return rows.withColumn("rn", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), body))).where("rn = 1").select(*by, body, "method", "score")
+    """The best body of each table under each method, and of these the one with the largest score; the earlier method and then the
+    first body of equals. Scores of 0 or none find nothing."""
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("m"), F.lit(n).alias("method"), c.cast("double").alias("score")) for i, (n, c) in enumerate(methods)]))
+    rows = pairs.select(*by, body, each.alias("e")).select(*by, body, "e.*").where("score > 0")
+    best = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "m", body))
+    return rows.withColumn("rn", best).where("rn = 1").select(*by, body, "method", "score")
+
+
+def query_tokens(parent: Column, structural: Column, tokenize, least: int = 3, most: int = 18) -> Column:
+    """Distinct tokens of a table's parent text; with fewer than ``least``, the first ``most`` of its own text as well."""
+    own = F.array_distinct(tokenize(F.coalesce(parent, F.lit(""))))
+    return F.when(F.size(own) >= least, own).otherwise(F.array_union(own, F.slice(tokenize(F.coalesce(structural, F.lit(""))), 1, most)))
+
+
+def nearby_body(tables: DataFrame, bodies: DataFrame, by: Sequence[str], key: str, body: str, tokenize, bonus: float = 0.2, chars: int = 1500) -> DataFrame:
+    """tables: (by, key, parent, structural); bodies: (by, body, text). The body that holds the largest share of a table's query
+    tokens, with a bonus if it names the parent; one without a common token is none. Rows meet on tokens."""
+    t = tables.select(*by, key, "parent", query_tokens(F.col("parent"), F.col("structural"), tokenize).alias("q"))
+    b = bodies.select(*by, body, F.col("text").alias("body_text"), F.array_distinct(tokenize(F.col("text"))).alias("w"))
+    pairs = t.join(b, list(by))
+    both = F.size(F.array_intersect("q", "w"))
+    named = (F.coalesce("parent", F.lit("")) != "") & F.col("body_text").contains(F.col("parent"))
+    score = F.when(both > 0, both / F.size("q") + F.when(named, bonus).otherwise(0.0))
+    rows = pairs.withColumn("score", F.round(score, 6)).where("score IS NOT NULL")
+    rn = F.row_number().over(Window.partitionBy(*by, key).orderBy(F.desc("score"), body))
+    return rows.withColumn("rn", rn).where("rn = 1").select(*by, key, body, "score", F.substring("body_text", 1, chars).alias("text"))
+
+
+def match_regions(tables: DataFrame, regions: DataFrame, by: Sequence[str], key: str, region: str) -> DataFrame:
+    """tables: (by, key, grams, parent_tokens, page_scores map<page, score>); regions: (by, region, page, grams, tokens, region_score).
+    The region with the largest sum of Jaccard similarity, 0.35 of the page's score, 0.03 a common token (0.25 at most) and a
+    tenth of its own score."""
+    t = tables.select(*by, key, F.col("grams").alias("ga"), "parent_tokens", "page_scores")
+    pairs = t.join(regions.where(F.size("grams") > 0), list(by))
+    both = F.size(F.array_intersect("ga", "grams"))
+    jaccard = both / (F.size("ga") + F.size("grams") - both)
+    page = F.coalesce(F.try_element_at("page_scores", F.col("page")), F.lit(0.0))
+    named = F.least(F.lit(0.25), F.size(F.array_intersect("parent_tokens", "tokens")) * 0.03)
+    rows = pairs.withColumn("score", F.round(jaccard + page * 0.35 + named + F.col("region_score") * 0.1, 4)).where("score > 0")
+    rn = F.row_number().over(Window.partitionBy(*by, key).orderBy(F.desc("score"), region))
+    return rows.withColumn("rn", rn).where("rn = 1").select(*by, key, region, "score")
 
 
 def evidence_source(score: Column, region: Column, html: Column) -> Column:

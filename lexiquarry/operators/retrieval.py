@@ -110,6 +110,35 @@ def vector_top(vectors: DataFrame, queries: DataFrame, k: int, *, keep: Column |
     return top(found, k, F.asc("distance"), F.asc("chunk_id"))
 
 
+def best_official(rows: DataFrame, official: DataFrame, row_id: str = "vec_id", item_id: str = "item_id") -> DataFrame:
+    """(row_id, item_id, similarity): the held-out item nearest to each row by cosine, the lowest id of equals. Items, a benchmark, are
+    held in blocks of QUERY_BLOCK, a pass over the rows each."""
+    schema = T.StructType([T.StructField(row_id, T.LongType()), T.StructField(item_id, T.LongType()), T.StructField("similarity", T.DoubleType())])
+    arrow = to_arrow_schema(schema)
+    n = official.count()
+    found = None
+    for block in range(max(1, -(-n // QUERY_BLOCK))):
+        part = official if n <= QUERY_BLOCK else official.where(F.pmod(F.xxhash64(item_id), F.lit(-(-n // QUERY_BLOCK))) == block)
+        held = part.select(F.col(item_id).cast("long"), "embedding").toPandas().sort_values(item_id)
+        ids = held[item_id].to_numpy(dtype=np.int64)
+        q = np.array(held["embedding"].tolist(), dtype=np.float64).reshape(len(ids), -1)
+        q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+
+        def nearest(batches: Iterator[pa.RecordBatch], q=q, ids=ids) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows and len(ids):
+                    v = np.array(b.column(1).to_pylist(), dtype=np.float64)
+                    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+                    c = np.round(v @ q.T, 6)
+                    at = c.argmax(axis=1)
+                    yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids[at]), pa.array(c[np.arange(len(c)), at])], schema=arrow)
+
+        one = rows.select(F.col(row_id).cast("long"), "embedding").where(F.col("embedding").isNotNull()).mapInArrow(nearest, schema)
+        found = one if found is None else found.unionByName(one)
+    best = found.groupBy(row_id).agg(F.max(F.struct("similarity", (-F.col(item_id)).alias("i"))).alias("m"))
+    return best.select(row_id, (-F.col("m.i")).alias(item_id), F.col("m.similarity").alias("similarity"))
+
+
 def mmr(pool: DataFrame, k: int, weight: float = 0.5) -> DataFrame:
     """Maximal marginal relevance over each query's pool (query_id, chunk_id, distance, embedding): the nearest first, then
     always the largest weight * (1 - distance) - (1 - weight) * largest cosine to what is chosen. A pool is small (fetch_k)."""

@@ -258,3 +258,29 @@ def _(s, d):
 @query("ids_by_group", "SELECT lower(lang) AS group_label, doc_id FROM documents WHERE lower(lang) IN ('en', 'fr')")
 def _(s, d):
     return E.ids_by_group(table(s, d, "documents"), "doc_id", "lang", ["en", "fr"])
+
+
+@query(
+    "question_rows",
+    "SELECT CASE WHEN event_id % 3 = 0 THEN 'CSVQ' || printf('%03d', event_id) ELSE 'q' || event_id END AS question_id, CAST(CASE WHEN event_id % 2 = 0 THEN event_id ELSE event_id + 7 END AS INT) AS question_index, CASE WHEN event_id % 5 > 0 THEN CAST(event_id % 5 AS DOUBLE) END AS turn_index, CASE WHEN event_id % 4 = 0 THEN 'a|b' ELSE '' END AS parents FROM events WHERE event_id > 0",
+)
+def _(s, d):
+    from .. import sources as S
+
+    k = F.col("event_id")
+    rows = table(s, d, "events").where("event_id > 0").select(
+        k.alias("line_no"), F.when(k % 3 == 0, " ").otherwise(F.concat(F.lit("q"), k.cast("string"))).alias("question_id"), F.when(k % 2 == 1, k + 7).alias("question_index"),
+        F.when(k % 5 == 0, "x").otherwise((k % 5).cast("string")).alias("turn_index"), F.when(k % 4 == 0, "a, -,b").otherwise("-").alias("depends_on"),
+    )
+    return S.question_rows(rows).select("question_id", "question_index", "turn_index", F.array_join("depends_on_list", "|").alias("parents"))
+
+
+FILES = [("/a/b.HWP", "hwp", None), ("c.pdf", "pdf", None), ("/x.y/name", None, "Unsupported file format: unknown"), ("z.tar.gz", None, "Unsupported file format: .gz"), (".hwp", None, "Unsupported file format: unknown")]
+
+
+@query("format_dispatch", golden([f[1:] for f in FILES], "format, error"))
+def _(s, d):
+    from .. import sources as S
+
+    rows = s.createDataFrame([(i, f[0]) for i, f in enumerate(FILES)], "id int, path string")
+    return S.dispatch(rows).select("id", "format", "error")

@@ -63,11 +63,72 @@ def _(s, d):
     return C.first_of_key(docs(s, d), F.md5(F.lower("text").cast("binary")), "doc_id").select("doc_id", "first", "duplicate")
 
 
+def asked_turns(s, d):
+    c = table(s, d, "conversations").where("role = 'user'")
+    return c.select("conv_id", "turn", "text", F.struct("conv_id", "turn").alias("qid"), F.array_join(C.slots(F.col("text"), SLOTS), "|").alias("slots"))
+
+
 @query("dup_ratio")
 def _(s, d):
-    rows = C.first_of_key(table(s, d, "benchmark").select("item_id", "text"), F.substring(F.lower("text"), 1, 3), "item_id")
-    first = rows.select(F.col("item_id").alias("first"), F.col("text").alias("first_text"))
-    return rows.where("duplicate").join(first, "first").select("item_id", "first", F.round(C.sequence_ratio(F.col("text"), F.col("first_text")), 6).alias("ratio"))
+    """User turns against the first turn with the same slots in the same conversation."""
+    found = C.signature_duplicates(asked_turns(s, d), F.concat_ws("::", F.col("conv_id").cast("string"), "slots"), "qid", "text")
+    return found.select("qid.conv_id", "qid.turn", F.col("first.turn").alias("first_turn"), "ratio", "duplicate")
+
+
+@query("prior_union")
+def _(s, d):
+    """First turns are prior rows; later ones come after them unless they repeat a first turn of their conversation."""
+    rows = asked_turns(s, d).select("conv_id", "turn", "text", "qid")
+    merged = C.without_prior(rows.where("turn > 0"), rows.where("turn = 0"), ["conv_id"], "qid", "text")
+    return merged.select("conv_id", "turn", "origin")
+
+
+GRAMS5 = "list_transform(range(1, greatest(length(p) - {n} + 1, 1) + 1), lambda i: substr(p, CAST(i AS BIGINT), {n}))"
+
+
+@query(
+    "dup_tfidf",
+    f"""WITH t AS (SELECT conv_id, turn, ' ' || unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '')) || ' ' AS p FROM conversations),
+g AS (SELECT conv_id, turn, unnest(list_concat({GRAMS5.format(n=3)}, list_concat(CASE WHEN length(p) >= 4 THEN {GRAMS5.format(n=4)} ELSE [] END, CASE WHEN length(p) >= 5 THEN {GRAMS5.format(n=5)} ELSE [] END))) AS x FROM t),
+f AS (SELECT conv_id, turn, x, count(*) AS tf FROM g GROUP BY ALL), n AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1), d AS (SELECT conv_id, x, count(*) AS df FROM f GROUP BY ALL),
+w AS (SELECT conv_id, turn, x, tf * (ln((1 + n)::DOUBLE / (1 + df)) + 1) AS w FROM f JOIN d USING (conv_id, x) JOIN n USING (conv_id)), m AS (SELECT conv_id, turn, sqrt(sum(w * w)) AS m FROM w GROUP BY ALL),
+j AS (SELECT a.conv_id, a.turn AS a, b.turn AS b, round(sum(a.w * b.w) / (any_value(x.m) * any_value(y.m)), 6) AS c FROM w a JOIN w b ON a.conv_id = b.conv_id AND a.x = b.x AND a.turn < b.turn JOIN m x ON x.conv_id = a.conv_id AND x.turn = a.turn JOIN m y ON y.conv_id = b.conv_id AND y.turn = b.turn GROUP BY ALL)
+SELECT conv_id, b AS turn, min(a) AS matched, min_by(c, a) AS similarity FROM j WHERE c >= 0.3 GROUP BY ALL""".replace("\\\\", "\\"),
+)
+def _(s, d):
+    return C.tfidf_duplicates(table(s, d, "conversations"), ["conv_id"], "turn", "text", 0.3)
+
+
+@query(
+    "eval_leakage",
+    """WITH o AS (SELECT item_id, lower(regexp_replace(text, '\s+', '', 'g')) AS t, embedding AS e, label FROM benchmark JOIN embeddings ON vec_id = item_id), r AS (SELECT vec_id, lower(regexp_replace(text, '\s+', '', 'g')) AS t, embedding AS e, label FROM embeddings JOIN documents ON doc_id = vec_id),
+p AS (SELECT vec_id, item_id, r.t = o.t AS same, r.label = o.label AS shared, round(list_cosine_similarity(CAST(r.e AS DOUBLE[]), CAST(o.e AS DOUBLE[])), 6) AS c FROM r, o), b AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY c DESC, item_id) AS rn, bool_or(same) OVER (PARTITION BY vec_id) AS any_same FROM p)
+SELECT vec_id, item_id, CASE WHEN any_same THEN 'exact_or_normalized_match' WHEN c >= 0.88 OR c >= 0.84 AND shared THEN 'semantic_match:' || printf('%.4f', c) ELSE '' END AS reason FROM b WHERE rn = 1""",
+)
+def _(s, d):
+    from ..operators.retrieval import best_official
+
+    key = lambda c: F.lower(F.regexp_replace(c, r"\s+", ""))
+    v = table(s, d, "embeddings").select("vec_id", "embedding", "label")
+    official = table(s, d, "benchmark").join(v, F.col("vec_id") == F.col("item_id")).select("item_id", key(F.col("text")).alias("t"), "embedding", F.col("label").alias("item_label"))
+    rows = v.join(table(s, d, "documents").select(F.col("doc_id").alias("vec_id"), key(F.col("text")).alias("t")), "vec_id")
+    best = best_official(rows.select("vec_id", "embedding"), official.select("item_id", "embedding"))
+    texts = official.select("t").distinct().withColumn("same", F.lit(True))
+    j = rows.join(best, "vec_id").join(official.select("item_id", "item_label"), "item_id").join(texts, "t", "left")
+    reason = C.leakage(F.coalesce("same", F.lit(False)), F.col("similarity"), F.coalesce(F.col("label") == F.col("item_label"), F.lit(False)))
+    return j.select("vec_id", "item_id", reason.alias("reason"))
+
+
+PAGE_TAGS = "[regexp_extract(url, '//([^/]+)', 1), regexp_extract(url, '//[^/]+/(\\w+)', 1)]"
+
+
+@query(
+    "comparison_pairs",
+    f"WITH r AS (SELECT page_id AS k, list_distinct({PAGE_TAGS}) AS t, regexp_matches(lower(url), 'a|news') AS themed FROM pages), e AS (SELECT k, unnest(t) AS x FROM r), p AS (SELECT a.k AS a, b.k AS b, list(DISTINCT a.x ORDER BY a.x) AS s FROM e a JOIN e b USING (x) WHERE a.k < b.k GROUP BY ALL) SELECT a, b, CAST(len(s) + CAST(x.themed OR y.themed AS INT) AS INT) AS points, array_to_string(s[1:4], '|') AS first_tags FROM p JOIN r x ON x.k = a JOIN r y ON y.k = b ORDER BY points DESC, first_tags DESC, a, b LIMIT 800",
+)
+def _(s, d):
+    rows = table(s, d, "pages").select("page_id", "url", F.array(F.regexp_extract("url", "//([^/]+)", 1), F.regexp_extract("url", r"//[^/]+/(\w+)", 1)).alias("tags"))
+    return C.themed_pairs(rows, "page_id", "tags", "url", ["a", "news"], 800)
 
 
 @query("review_merge", "SELECT doc_id, CASE WHEN toxic = 1 THEN 'rejected' WHEN quality = 1 AND doc_id % 2 = 0 THEN 'accepted' WHEN n_chars > 1000 THEN 'accepted' ELSE 'pending' END AS final FROM documents LEFT JOIN labels USING (doc_id)")

@@ -197,7 +197,12 @@ def _(s, d):
     return table(s, d, "lineitem").groupBy("l_orderkey").agg(F.when(F.count_distinct("l_suppkey") >= 2, 1.0).otherwise(0.0).alias("dual_doc"))
 
 
-@query("select_top2", "SELECT event_type, n, mean FROM (SELECT event_type, count(*) AS n, " + mean_sql("value") + " AS mean FROM events WHERE event_type <> 'click' GROUP BY 1) ORDER BY mean DESC, n DESC, event_type DESC LIMIT 2")
+SETTINGS = "SELECT CAST(l_linenumber * 200 AS INT) AS chunk_size, CASE WHEN l_returnflag = 'R' THEN 'struct' ELSE 'plain' END AS mode, max(CAST(l_suppkey % 2 AS DOUBLE)) AS top1, max(CAST(l_partkey % 2 AS DOUBLE)) AS topk, max(l_discount) AS rate FROM lineitem GROUP BY ALL"
+
+
+@query("select_top2", f"SELECT chunk_size, mode FROM ({SETTINGS}) WHERE NOT (chunk_size = 1000 AND mode = 'plain') ORDER BY top1 DESC, topk DESC, rate DESC, abs(chunk_size - 1200), CASE WHEN mode = 'struct' THEN 0 ELSE 1 END, chunk_size, mode LIMIT 2")
 def _(s, d):
-    g = table(s, d, "events").where("event_type <> 'click'").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), E.exact_mean(F.col("value")).alias("mean"))
-    return g.orderBy(F.desc("mean"), F.desc("n"), F.desc("event_type")).limit(2)
+    mode = F.when(F.col("l_returnflag") == "R", "struct").otherwise("plain")
+    g = table(s, d, "lineitem").groupBy((F.col("l_linenumber") * 200).cast("int").alias("chunk_size"), mode.alias("mode"))
+    g = g.agg(F.max((F.col("l_suppkey") % 2).cast("double")).alias("top1"), F.max((F.col("l_partkey") % 2).cast("double")).alias("topk"), F.max("l_discount").alias("rate"))
+    return E.top_settings(g, (F.col("chunk_size") == 1000) & (F.col("mode") == "plain"), E.smoke_order()).select("chunk_size", "mode")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import cell_values, char_ngrams
+from ..functions.text import cell_values, char_ngrams, tokens
 from ..operators import evidence as V
 from ..registry import query, table
 
@@ -46,18 +46,61 @@ def _(s, d):
     return V.row_summary(table(s, d, "lineitem"), "l_orderkey", [F.col("l_linenumber"), F.col("l_partkey"), F.col("l_quantity")], cell)
 
 
+WORDS = "regexp_extract_all(lower({t}), '[0-9a-z가-힣]+')"
+PAIRS = f"""t AS (SELECT conv_id, turn AS t, text, {WORDS.format(t='text')} AS raw, list_distinct({WORDS.format(t='text')}) AS q FROM conversations WHERE role = 'user'), b AS (SELECT conv_id, turn AS b, text AS body, list_distinct({WORDS.format(t='text')}) AS w FROM conversations WHERE role = 'assistant'),
+j AS (SELECT conv_id, t, b, raw, body, q, w, CASE WHEN len(q) > 0 THEN round(len(list_intersect(q, w)) / len(q)::DOUBLE, 6) ELSE 0.0::DOUBLE END AS base FROM t JOIN b USING (conv_id))"""
+
+
+def pairs(s, d):
+    c = table(s, d, "conversations")
+    words = lambda x: F.array_distinct(tokens(x))
+    t = c.where("role = 'user'").select("conv_id", F.col("turn").alias("t"), tokens(F.col("text")).alias("raw"), words(F.col("text")).alias("q"))
+    b = c.where("role = 'assistant'").select("conv_id", F.col("turn").alias("b"), F.col("text").alias("body"), words(F.col("text")).alias("w"))
+    base = F.when(F.size("q") > 0, F.round(F.size(F.array_intersect("q", "w")) / F.size("q"), 6)).otherwise(0.0)
+    return t.join(b, "conv_id").withColumn("base", base)
+
+
 @query(
     "body_pairing",
-    """WITH t AS (SELECT conv_id, turn AS t, text FROM conversations WHERE role = 'user'), b AS (SELECT conv_id, turn AS b, text AS body FROM conversations WHERE role = 'assistant'),
-j AS (SELECT conv_id, t, b, CASE WHEN contains(body, left(text, 12)) THEN 0.9::DOUBLE WHEN b = t + 1 THEN 0.7::DOUBLE ELSE round(0.3::DOUBLE / (1 + abs(b - t)), 6) END AS score, CASE WHEN contains(body, left(text, 12)) THEN 'caption' WHEN b = t + 1 THEN 'section' ELSE 'semantic' END AS method FROM t JOIN b USING (conv_id))
-SELECT conv_id, t, b, method, score FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, t ORDER BY score DESC, b) AS rn FROM j) WHERE rn = 1""",
+    f"""WITH {PAIRS}, m AS (SELECT conv_id, t, b, unnest(['caption_window', 'same_section_window', 'semantic_nearest_paragraph']) AS method, unnest([0, 1, 2]) AS place,
+ unnest([round(base + CASE WHEN contains(body, raw[1]) THEN 0.45::DOUBLE ELSE 0.0::DOUBLE END, 6), round(base + CASE WHEN b = t + 1 THEN 0.55::DOUBLE ELSE 0.0::DOUBLE END, 6), round(base + least(0.35::DOUBLE, len(list_intersect(list_distinct(raw[1:4]), w)) * 0.06::DOUBLE), 6)]) AS score FROM j)
+SELECT conv_id, t, b, method, score FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, t ORDER BY score DESC, place, b) AS rn FROM m WHERE score > 0) WHERE rn = 1""",
+)
+def _(s, d):
+    first = F.try_element_at("raw", F.lit(1))
+    methods = [
+        ("caption_window", F.round(F.col("base") + F.when(F.col("body").contains(first), 0.45).otherwise(0.0), 6)),
+        ("same_section_window", F.round(F.col("base") + F.when(F.col("b") == F.col("t") + 1, 0.55).otherwise(0.0), 6)),
+        ("semantic_nearest_paragraph", F.round(F.col("base") + F.least(F.lit(0.35), F.size(F.array_intersect(F.slice("raw", 1, 4), "w")) * 0.06), 6)),
+    ]
+    return V.pair_bodies(pairs(s, d), ["conv_id", "t"], "b", methods)
+
+
+@query(
+    "nearby_body",
+    f"""WITH t AS (SELECT conv_id, turn AS t, text, split_part(text, ' ', 1) AS parent FROM conversations WHERE role = 'user'), q AS (SELECT conv_id, t, parent, CASE WHEN len(list_distinct({WORDS.format(t='parent')})) >= 3 THEN list_distinct({WORDS.format(t='parent')}) ELSE list_distinct(list_concat({WORDS.format(t='parent')}, {WORDS.format(t='text')}[1:18])) END AS q FROM t),
+b AS (SELECT conv_id, turn AS b, text AS body, list_distinct({WORDS.format(t='text')}) AS w FROM conversations WHERE role = 'assistant'),
+j AS (SELECT conv_id, t, b, body, len(list_intersect(q, w)) AS i, round(len(list_intersect(q, w)) / len(q)::DOUBLE + CASE WHEN parent <> '' AND contains(body, parent) THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END, 6) AS score FROM q JOIN b USING (conv_id))
+SELECT conv_id, t, b, score, left(body, 1500) AS text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, t ORDER BY score DESC, b) AS rn FROM j WHERE i > 0) WHERE rn = 1""",
 )
 def _(s, d):
     c = table(s, d, "conversations")
-    t = c.where("role = 'user'").select("conv_id", F.col("turn").alias("t"), "text")
-    b = c.where("role = 'assistant'").select("conv_id", F.col("turn").alias("b"), F.col("text").alias("body"))
-    methods = [("caption", F.when(F.col("body").contains(F.substring("text", 1, 12)), 0.9)), ("section", F.when(F.col("b") == F.col("t") + 1, 0.7)), ("semantic", F.round(0.3 / (1 + F.abs(F.col("b") - F.col("t"))), 6))]
-    return V.pair_bodies(t.join(b, "conv_id"), ["conv_id", "t"], "b", methods)
+    t = c.where("role = 'user'").select("conv_id", F.col("turn").alias("t"), F.split_part(F.col("text"), F.lit(" "), F.lit(1)).alias("parent"), F.col("text").alias("structural"))
+    b = c.where("role = 'assistant'").select("conv_id", F.col("turn").alias("b"), "text")
+    return V.nearby_body(t, b, ["conv_id"], "t", "b", tokens)
+
+
+@query(
+    "region_match",
+    f"""WITH c AS (SELECT conv_id, role, turn, g, {WORDS.format(t='text')} AS w FROM conversations JOIN (SELECT k, g, r FROM (SELECT conv_id AS k, turn AS r, list_distinct(list_transform(range(1, greatest(length(s) - 2, 1) + 1), lambda i: substr(s, CAST(i AS INT), 3))) AS g FROM (SELECT conv_id, turn, regexp_replace(lower(text), '[^0-9a-z가-힣._-]', '', 'g') AS s FROM conversations) WHERE s <> '')) ON k = conv_id AND r = turn),
+j AS (SELECT a.conv_id, a.turn AS t, b.turn AS region, round(len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)))::DOUBLE + CASE WHEN b.turn = a.turn + 1 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END * 0.35::DOUBLE + least(0.25::DOUBLE, len(list_intersect(list_distinct(a.w[1:5]), b.w)) * 0.03::DOUBLE) + (b.turn % 10) / 10.0::DOUBLE * 0.1::DOUBLE, 4) AS score FROM c a JOIN c b USING (conv_id) WHERE a.role = 'user' AND b.role = 'assistant')
+SELECT conv_id, t, region, score FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, t ORDER BY score DESC, region) AS rn FROM j WHERE score > 0) WHERE rn = 1""",
+)
+def _(s, d):
+    c = table(s, d, "conversations").select("conv_id", "role", "turn", char_ngrams(F.col("text")).alias("grams"), tokens(F.col("text")).alias("w"))
+    t = c.where("role = 'user' AND size(grams) > 0").select("conv_id", F.col("turn").alias("t"), "grams", F.array_distinct(F.slice("w", 1, 5)).alias("parent_tokens"), F.create_map(F.col("turn") + 1, F.lit(0.5)).alias("page_scores"))
+    r = c.where("role = 'assistant'").select("conv_id", F.col("turn").alias("region"), F.col("turn").alias("page"), "grams", F.col("w").alias("tokens"), ((F.col("turn") % 10) / 10.0).alias("region_score"))
+    return V.match_regions(t, r, ["conv_id"], "t", "region")
 
 
 @query(

@@ -103,3 +103,70 @@ def bank_problems(items: DataFrame) -> DataFrame:
     none = F.coalesce(F.size("choices"), F.lit(0)) <= 0
     rules = {"no_choices": mc & none, "answer_not_in_choices": mc & ~none & ~F.array_contains("choices", F.col("canonical_answer")), "id_prefix": ~F.col("item_id").startswith(F.col("document_id"))}
     return items.select("item_id", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules.items()]))).alias("problem"))
+
+
+QUESTION_COLUMNS = ("type_group", "type_label", "scenario_label", "question", "answer_type", "ground_truth_doc", "ground_truth_docs", "ground_truth_hint", "eval_focus", "expected")
+
+
+def question_rows(rows: DataFrame, place: str = "line_no") -> DataFrame:
+    """Questions of a CSV, with the number of each row in ``place`` (from 1): a blank id becomes CSVQ and the number in three
+    digits, a missing index the number; columns that the file lacks are empty."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in rows.columns else F.lit("")
+    own, n = trimmed(text("question_id")), F.col(place).cast("int")
+    index = F.coalesce(F.nullif(text("question_index"), F.lit("")).try_cast("int"), n)
+    return rows.select(
+        F.when(own == "", F.format_string("CSVQ%03d", n)).otherwise(own).alias("question_id"),
+        index.alias("question_index"),
+        safe_double(text("turn_index")).alias("turn_index"),
+        *[text(c).alias(c) for c in QUESTION_COLUMNS],
+        trimmed(text("depends_on")).alias("depends_on"),
+        F.filter(F.transform(F.split(text("depends_on"), ","), lambda x: trimmed(x)), lambda x: ~x.isin("", "-")).alias("depends_on_list"),
+    )
+
+
+def read_questions(spark: SparkSession, path: str) -> DataFrame:
+    """A question CSV. Rows are numbered in the order of the file, one small file in one task."""
+    rows = read_csv(spark, path, ("UTF-8",))
+    return question_rows(rows.coalesce(1).withColumn("line_no", F.monotonically_increasing_id() + 1)).orderBy("question_index", "question_id")
+
+
+# Formats that have a parser.
+FORMATS = ("hwp", "pdf", "docx")
+
+
+def dispatch(files: DataFrame, path: str = "path", formats: Sequence[str] = FORMATS) -> DataFrame:
+    """Adds format and error: the parser of a file by its ending in lower case; files of other formats carry an error instead of ending
+    the run."""
+    suffix = F.lower(F.regexp_extract(F.regexp_extract(path, r"([^/\\]*)$", 1), r"^.+(\.[^.]*)$", 1))
+    known = suffix.isin(*[f".{f}" for f in formats])
+    error = F.when(~known, F.concat(F.lit("Unsupported file format: "), F.coalesce(F.nullif(suffix, F.lit("")), F.lit("unknown"))))
+    return files.withColumns({"format": F.when(known, F.substring(suffix, 2, 10)), "error": error})
+
+
+def write_preprocessed(documents: DataFrame, path: str, by: str = "format") -> DataFrame:
+    """Writes parsed documents as JSON lines, a folder for each format, failures beside them in errors; returns the count of each."""
+    documents.where("error IS NULL").write.mode("overwrite").partitionBy(by).json(f"{path}/documents")
+    documents.where("error IS NOT NULL").write.mode("overwrite").json(f"{path}/errors")
+    return documents.groupBy(F.when(F.col("error").isNull(), "ok").otherwise("failed").alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def indexed_ids(index: DataFrame, key: str = "id") -> DataFrame:
+    return index.select(key).where(F.col(key).isNotNull()).distinct()
+
+
+def reset_index(spark: SparkSession, path: str) -> None:
+    """Deletes an index's folder, if there is one."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def merged_options(defaults: dict, override: dict | None) -> dict:
+    """Options of a profile over defaults: nested ones are merged, null ones keep the default, lists and values are replaced."""
+    out = dict(defaults)
+    for k, v in (override or {}).items():
+        if isinstance(v, dict) and isinstance(out.get(k), dict):
+            out[k] = merged_options(out[k], v)
+        elif v is not None:
+            out[k] = v
+    return out
