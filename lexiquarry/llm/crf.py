@@ -1,7 +1,8 @@
 """Personal data by a skip-chain conditional random field.
 
 Base spans come from fixed patterns. The field then looks at every marked word (one with a digit, an @, or an at or dot
-in brackets; all others are "none" by the model's domain): unary potentials from the word's shape and neighbours, chain potentials between adjacent
+in brackets; all others are "none" by the model's domain, so that a chain through them comes to a unary term): unary
+potentials from the word's shape and from the words on both sides, whatever they are, chain potentials between adjacent
 marked words, and skip potentials between words of one document that are equal or have the same shape, however far
 apart. Loopy belief propagation over a document's graph gives marginals that agree across repeated and similar words;
 runs of words with a confident label that pass the kind's check are added to the base spans.
@@ -15,6 +16,7 @@ shape, neighbours and agreement have to carry the label.
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -80,18 +82,34 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 #: Unary features of a word.
 FEATURES = ("bias", "at", "dot", "plus", "bracket", "hyphen", "only digits", "phone characters", "1-3 digits", "4-6 digits", "7-8 digits", "9-12 digits", "13-19 digits", "more digits", "3 dots", "letters", "far email", "far ip", "luhn", "marked before", "marked after", "hyphen after 3 digits")
+#: Buckets of the words before and after a word, by a hash of their letters and digits in lower case; 0 is none.
+CONTEXT = 48
+WIDTH = len(FEATURES) + 2 * CONTEXT
+_PLAIN = re.compile(r"[^0-9a-z\x80-\U0010FFFF]+")
 #: Features that the base patterns rest on; hidden at random while training.
 _HIDDEN = [FEATURES.index(f) for f in ("plus", "at", "luhn")]
 
 
+def context(word: str | None) -> int:
+    """The bucket of a neighbouring word; digits count as one another."""
+    core = re.sub(r"[0-9]", "9", _PLAIN.sub("", word.lower())) if word else ""
+    return 1 + zlib.crc32(core.encode()) % (CONTEXT - 1) if core else 0
+
+
 def nodes(text: str, spans: list[tuple[int, int, int]]) -> list[tuple]:
     """(word number, start, end, features, allowed kinds, weak label, word, shape) of each marked word."""
     out = []
     before = -2
     k = 0
     ordered = sorted((a, b, kind) for kind, a, b in spans)
+    previous, word, waiting = None, None, None
     for number, m in enumerate(_WORD.finditer(text)):
-        w = m[0]
+        previous, word = word, m[0]
+        w = word
+        if waiting is not None:  # the node just before learns of this word
+            out[-1][3][waiting] = 0.0
+            out[-1][3][waiting + context(word)] = 1.0
+            waiting = None
         if not _NODE.search(w):
             continue
         core = w.lstrip(_EDGE)
@@ -113,7 +131,10 @@ def nodes(text: str, spans: list[tuple[int, int, int]]) -> list[tuple]:
             k += 1
         label = ordered[k][2] + 1 if k < len(ordered) and ordered[k][0] < end else 0
         allowed = (True, bool(email) or label == 1, bool(ip) or label == 2, card and n <= 19 or label == 3, phone and n <= 15 or label == 4)
-        out.append((number, start, end, list(map(float, x)), allowed, label, core.lower(), re.sub(r"[0-9]", "9", re.sub(r"[a-z]+", "a", core.lower()))))
+        around = [0.0] * (2 * CONTEXT)
+        around[context(previous)] = around[CONTEXT] = 1.0
+        waiting = len(FEATURES) + CONTEXT
+        out.append((number, start, end, [*map(float, x), *around], allowed, label, core.lower(), re.sub(r"[0-9]", "9", re.sub(r"[a-z]+", "a", core.lower()))))
     return out
 
 
@@ -137,7 +158,7 @@ class Field:
 
     def __init__(self):
         n = self.LABELS
-        self.unary = np.zeros((len(FEATURES), n))
+        self.unary = np.zeros((WIDTH, n))
         self.chain = np.zeros((n, n))
         self.skip = np.zeros(2)
 
@@ -179,8 +200,9 @@ class Field:
         self.unary, self.chain, self.skip = p[0], p[1], np.maximum(p[2], 0.0)
         return self
 
-    def marginals(self, x: np.ndarray, allowed: np.ndarray, edges: np.ndarray, rounds: int = 15) -> np.ndarray:
-        """Loopy belief propagation, damped, over all graphs of a batch at once."""
+    def marginals(self, x: np.ndarray, allowed: np.ndarray, edges: np.ndarray, graph: np.ndarray | None = None, rounds: int = 300) -> np.ndarray:
+        """Loopy belief propagation, damped, over all graphs of a batch at once; graph: the number of each node's graph. A graph
+        stops when none of its own messages changes any more, so its marginals do not depend on the others."""
         unary = x @ self.unary + np.where(allowed, 0.0, -1e9)
         if len(edges):
             pots = self._pots()
@@ -188,17 +210,21 @@ class Field:
             src, dst = np.concatenate((i, j)), np.concatenate((j, i))
             pot = np.concatenate((pots[kind], pots[kind].transpose(0, 2, 1)))
             back = np.concatenate((np.arange(len(i)) + len(i), np.arange(len(i))))
+            own = (np.zeros(len(x), dtype=np.int64) if graph is None else graph)[src]
             msg = np.zeros((len(src), self.LABELS))
+            go = np.arange(len(src))
             for _ in range(rounds):
                 belief = unary.copy()
                 np.add.at(belief, dst, msg)
-                out = (belief[src] - msg[back])[:, :, None] + pot
+                out = (belief[src[go]] - msg[back[go]])[:, :, None] + pot[go]
                 top = out.max(1, keepdims=True)
                 new = np.log(np.exp(out - top).sum(1)) + top[:, 0]
                 new -= new.max(1, keepdims=True)
-                change = np.abs(new - msg).max()
-                msg = 0.5 * msg + 0.5 * new
-                if change < 1e-3:
+                change = np.zeros(int(own.max()) + 1)
+                np.maximum.at(change, own[go], np.abs(new - msg[go]).max(1))
+                msg[go] = 0.5 * msg[go] + 0.5 * new
+                go = go[change[own[go]] >= 1e-4]
+                if not len(go):
                     break
             np.add.at(unary, dst, msg)
         unary -= unary.max(1, keepdims=True)
@@ -221,21 +247,33 @@ def check(kind: int, piece: str) -> bool:
 
 def added(text: str, base: list[tuple[int, int, int]], graph: list[tuple], p: np.ndarray, least: float) -> list[tuple[int, int, int]]:
     """Runs of adjacent words with one confident label that pass its check and touch no base span."""
-    out, k = [], 0
+    out, k, t = [], 0, 0
     kinds = np.where(p.max(1) >= least, p.argmax(1), 0)
-    taken = sorted((a, b) for _, a, b in base)
+    taken = [tuple(x) for x in _joined((a, b) for _, a, b in base)]
     while k < len(graph):
         kind, end = int(kinds[k]), k + 1
         if kind > 1 and kind != 2:  # addresses are single words
             while end < len(graph) and kinds[end] == kind and graph[end][0] == graph[end - 1][0] + 1:
                 end += 1
         a, b = graph[k][1], graph[end - 1][2]
-        if kind and check(kind - 1, text[a:b]) and not any(x < b and a < y for x, y in taken):
+        while t < len(taken) and taken[t][1] <= a:  # both run through the text once
+            t += 1
+        if kind and check(kind - 1, text[a:b]) and not (t < len(taken) and taken[t][0] < b):
             out.append((kind - 1, a, b))
         k = end
     return out
 
 
+def _joined(spans) -> list[list[int]]:
+    out: list[list[int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
+
+
 def train(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", max_docs: int = 3000, max_nodes: int = 40_000) -> Field:
     """Fits on at most max_docs documents with marked words, chosen by a hash of doc_id, and max_nodes of their words."""
     order = [F.xxhash64("id", F.lit(23)), F.col("id")]
@@ -248,7 +286,7 @@ def train(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", max_do
             for t in texts:
                 s = (t or b"").decode()
                 g = [n for n in nodes(s, base_spans(s)) if n[5] or not n[4][1]]  # the base says nothing about a written-out address
-                x = np.array([n[3] for n in g], dtype=np.float32).reshape(-1, len(FEATURES))
+                x = np.array([n[3] for n in g], dtype=np.float32).reshape(-1, WIDTH)
                 for c, v in zip(cols, (x, np.array([n[4] for n in g], dtype=np.uint8), np.array([n[5] for n in g], dtype=np.int32), np.array(links(g), dtype=np.int32)), strict=True):
                     c.append(v.tobytes())
             return cols
@@ -259,7 +297,7 @@ def train(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", max_do
     got = map_texts(rows, make, fields, ["id"]).select("row.id", "x", "allowed", "y", "edges").distinct().orderBy(*order, "x")
     parts, total = [[], [], [], []], 0
     for r in got.toLocalIterator():
-        x = np.frombuffer(r.x, dtype=np.float32).reshape(-1, len(FEATURES))
+        x = np.frombuffer(r.x, dtype=np.float32).reshape(-1, WIDTH)
         if total + len(x) > max_nodes or not len(x):
             continue
         e = np.frombuffer(r.edges, dtype=np.int32).reshape(-1, 3).astype(np.int64)
@@ -267,7 +305,7 @@ def train(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", max_do
             c.append(v)
         total += len(x)
     if not total:
-        return Field().fit(np.zeros((0, len(FEATURES))), np.zeros((0, Field.LABELS), bool), np.zeros((0, 3), np.int64), np.zeros(0, np.int64))
+        return Field().fit(np.zeros((0, WIDTH)), np.zeros((0, Field.LABELS), bool), np.zeros((0, 3), np.int64), np.zeros(0, np.int64))
     return Field().fit(*[np.concatenate(parts[k]) for k in (0, 1, 3, 2)])
 
 
@@ -289,7 +327,7 @@ def find(docs: DataFrame, field: Field, *, text: str = "text", keep: list[str] |
                 flat += g
             if flat:
                 x = np.array([n[3] for n in flat])
-                p = field.marginals(x, np.array([n[4] for n in flat]), np.array(edges, dtype=np.int64).reshape(-1, 3))
+                p = field.marginals(x, np.array([n[4] for n in flat]), np.array(edges, dtype=np.int64).reshape(-1, 3), np.repeat(np.arange(len(own)), [b - a for _, a, b in own]))
                 for d, a, b in own:
                     if a < b:
                         extra[d] = sorted(added(strings[d], base[d], graphs[d], p[a:b], least))
