@@ -133,6 +133,20 @@ class Model:
             return np.full(len(counts), self.constant)
         return 1 / (1 + np.exp(-np.clip(self.forward(x, counts)["logit"], -40, 40)))
 
+    def gradients(self, x: np.ndarray, counts: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean log loss, by parameter."""
+        f = self.forward(x, counts)
+        g_logit = (1 / (1 + np.exp(-f["logit"])) - y) / len(y)
+        g_bag = g_logit[:, None] * self.p["c"]
+        own = f["owner"]
+        g_a = (g_bag[own] * f["h"]).sum(1)
+        mean = np.add.reduceat(f["a"] * g_a, f["starts"])
+        g_e = f["a"] * (g_a - mean[own])
+        g_tv = g_e[:, None] * self.p["w"] * f["su"] * (1 - f["tv"] ** 2)
+        g_su = g_e[:, None] * self.p["w"] * f["tv"] * f["su"] * (1 - f["su"])
+        g_h = (f["a"][:, None] * g_bag[own] + g_tv @ self.p["V"].T + g_su @ self.p["U"].T) * (1 - f["h"] ** 2)
+        return {"W": f["z"].T @ g_h, "b": g_h.sum(0), "V": f["h"].T @ g_tv, "U": f["h"].T @ g_su, "w": (f["tv"] * f["su"]).T @ g_e, "c": f["bag"].T @ g_logit, "d": g_logit.sum()}
+
     def fit(self, x: np.ndarray, counts: np.ndarray, y: np.ndarray, epochs: int = 40, rate: float = 0.01, decay: float = 1e-4, batch: int = 256, seed: int = 5) -> Model:
         if not len(y) or y.min() == y.max():
             self.constant = float(y[0]) if len(y) else 0.5
@@ -148,17 +162,7 @@ class Model:
             for s in range(0, len(order), batch):
                 docs = order[s : s + batch]
                 rows = np.concatenate([np.arange(starts[d], starts[d] + counts[d]) for d in docs])
-                f = self.forward(x[rows], counts[docs])
-                g_logit = (1 / (1 + np.exp(-f["logit"])) - y[docs]) / len(docs)
-                g_bag = g_logit[:, None] * self.p["c"]
-                own = f["owner"]
-                g_a = (g_bag[own] * f["h"]).sum(1)
-                mean = np.add.reduceat(f["a"] * g_a, f["starts"])
-                g_e = f["a"] * (g_a - mean[own])
-                g_tv = g_e[:, None] * self.p["w"] * f["su"] * (1 - f["tv"] ** 2)
-                g_su = g_e[:, None] * self.p["w"] * f["tv"] * f["su"] * (1 - f["su"])
-                g_h = (f["a"][:, None] * g_bag[own] + g_tv @ self.p["V"].T + g_su @ self.p["U"].T) * (1 - f["h"] ** 2)
-                grads = {"W": f["z"].T @ g_h, "b": g_h.sum(0), "V": f["h"].T @ g_tv, "U": f["h"].T @ g_su, "w": (f["tv"] * f["su"]).T @ g_e, "c": f["bag"].T @ g_logit, "d": g_logit.sum()}
+                grads = self.gradients(x[rows], counts[docs], y[docs])
                 step += 1
                 for k, g in grads.items():
                     g = g + decay * self.p[k]
