@@ -29,7 +29,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .common import map_texts, materialize, table
 
 END_ID = 2
-#: Bytes that a process remembers of words, and of their letters alone; a cache that is full starts anew.
+#: Bytes that a process remembers of words, and of their letters alone, in each of two generations.
 CACHE_BYTES = 48 << 20
 #: What a remembered word costs besides its bytes and its ids.
 _ENTRY = 180
@@ -47,18 +47,27 @@ def default_tokenizer() -> str:
 
 
 class _Bounded(dict):
-    """A cache of at most CACHE_BYTES."""
+    """A cache of at most twice CACHE_BYTES: one that is full becomes the old one, and what is asked for again comes back
+    from there, so that frequent words stay."""
 
     size = 0
+    old: dict[bytes, bytes] = {}
 
     def keep(self, key: bytes, value: bytes) -> bytes:
         self.size += len(key) + len(value) + _ENTRY
         if self.size > CACHE_BYTES:
+            self.old = dict(self)
             self.clear()
             self.size = len(key) + len(value) + _ENTRY
         self[key] = value
         return value
 
+    def find(self, key: bytes) -> bytes | None:
+        value = self.get(key)
+        if value is None and (value := self.old.get(key)) is not None:
+            self.keep(key, value)
+        return value
+
 
 class _Words(_Bounded):
     """Ids by word; a word that is not there is encoded and kept."""
@@ -67,7 +76,8 @@ class _Words(_Bounded):
         self.encoder = encoder
 
     def __missing__(self, w: bytes) -> bytes:
-        return self.keep(w, self.encoder.word(w))
+        ids = self.old.get(w)
+        return self.keep(w, self.encoder.word(w) if ids is None else ids)
 
 
 class WordEncoder:
@@ -101,7 +111,7 @@ class WordEncoder:
         """Ids of a lower-cased word. Letters are one pre-token, apart from trailing punctuation; ASCII letters need no
         normalization and go to the model at once; what is neither goes to the tokenizer as it is."""
         head = w if w.isalpha() else w.rstrip(_PUNCTUATION)
-        ids = self.heads.get(head)
+        ids = self.heads.find(head)
         if ids is None:
             if head.isalpha():
                 ids = self._pack([x.id for x in self.t.model.tokenize(head.decode())])
@@ -113,7 +123,7 @@ class WordEncoder:
         return ids + self._tail(w[len(head) :]) if len(head) < len(w) else ids
 
     def _tail(self, marks: bytes) -> bytes:
-        ids = self.tails.get(marks)
+        ids = self.tails.find(marks)
         if ids is None:
             ids = self.tails.keep(marks, self._whole(marks.decode()) if marks else b"")
         return ids
