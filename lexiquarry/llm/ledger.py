@@ -80,11 +80,11 @@ def spans(text: Column, rule: Rule) -> Column:
 
 
 def empty_ledger(spark) -> DataFrame:
-    return spark.createDataFrame([], "blob string, rule string, version int")
+    return spark.sql("SELECT '' AS blob, '' AS rule, 0 AS version WHERE false")
 
 
 def empty_findings(spark) -> DataFrame:
-    return spark.createDataFrame([], f"blob string, rule string, version int, spans array<{SPAN}>")
+    return spark.sql(f"SELECT '' AS blob, '' AS rule, 0 AS version, CAST(array() AS array<{SPAN}>) AS spans WHERE false")
 
 
 def unseen(blobs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
