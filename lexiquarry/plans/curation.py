@@ -101,7 +101,7 @@ def _(s, d):
 
 @query(
     "eval_leakage",
-    """WITH o AS (SELECT item_id, lower(regexp_replace(text, '\s+', '', 'g')) AS t, embedding AS e, label FROM benchmark JOIN embeddings ON vec_id = item_id), r AS (SELECT vec_id, lower(regexp_replace(text, '\s+', '', 'g')) AS t, embedding AS e, label FROM embeddings JOIN documents ON doc_id = vec_id),
+    r"""WITH o AS (SELECT item_id, lower(regexp_replace(text, '\s+', '', 'g')) AS t, embedding AS e, label FROM benchmark JOIN embeddings ON vec_id = item_id), r AS (SELECT vec_id, lower(regexp_replace(text, '\s+', '', 'g')) AS t, embedding AS e, label FROM embeddings JOIN documents ON doc_id = vec_id),
 p AS (SELECT vec_id, item_id, r.t = o.t AS same, r.label = o.label AS shared, round(list_cosine_similarity(CAST(r.e AS DOUBLE[]), CAST(o.e AS DOUBLE[])), 6) AS c FROM r, o), b AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY c DESC, item_id) AS rn, bool_or(same) OVER (PARTITION BY vec_id) AS any_same FROM p)
 SELECT vec_id, item_id, CASE WHEN any_same THEN 'exact_or_normalized_match' WHEN c >= 0.88 OR c >= 0.84 AND shared THEN 'semantic_match:' || printf('%.4f', c) ELSE '' END AS reason FROM b WHERE rn = 1""",
 )
