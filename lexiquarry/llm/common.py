@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -72,6 +73,13 @@ def materialize(df: DataFrame, name: str, partition_by: Iterable[str] = ()) -> D
     return spark.read.schema(df.schema).parquet(path) if not tuple(partition_by) else spark.read.parquet(path)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Asks the driver to collect its garbage: shuffle files of stages whose result is written go with the plans that made
+    them, instead of staying on the executors' disks until the heap fills. Files that a live plan needs stay."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     at = jvm.org.apache.hadoop.fs.Path(path)

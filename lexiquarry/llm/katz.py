@@ -1,17 +1,22 @@
-"""Katz backoff scoring: Good-Turing discounted counts, exactly normalised backoff weights, tables by hash range.
+"""Katz backoff scoring of any order: Good-Turing discounted counts of all n-grams, exactly normalised backoff weights,
+tables by hash range.
 
-    p(w | h) = d(c(hw)) c(hw) / c(h)      if c(hw) >= min_count, else  alpha(h) p(w)
+    p(w | h) = d(c(hw)) c(hw) / c(h)      if c(hw) > 0, else  alpha(h) p(w | h without its first word)
     p(w)     = d(c(w)) c(w) / N           if c(w) > 0, else the mass that the discounts leave (one unknown word)
-    alpha(h) = (1 - sum of seen p(w | h)) / (1 - sum of p(w) over the same w)
-
-The context of a text's first token is the end token, so c(h) is also the number of tokens that follow h. Where no count of a
-context is discounted, no mass is left to back off to; such a context counts one more token in c(h).
-
-Everything grows with the corpus, so nothing of it is broadcast. Texts become blocks of tokens once (word hashes of 64
-bits); a block asks the shard of a hash range about its distinct words and bigrams in one packed row, instead of a row per
-token, and the shard answers in the same order. Words so frequent that a shard of their own bigrams would be uneven
-(at most ``hot_words``, found from the blocks) spread their bigrams over all shards by the second word; their backoff
-sums meet again by context. The count and model tables stay in the shared folder, a row per shard.
+    alpha(h) = (1 - sum of seen p(w | h)) / (1 - sum of p(w | h without its first word) over the same w)
+
+A text starts after one end token, so the first token has a context of one token at every order. Where no count of a context
+is discounted, no mass is left to back off to; such a context counts one more token in c(h). After a context that the
+training texts lack, alpha is 1.
+
+Everything grows with the corpus, so nothing of it is broadcast. Texts become blocks of tokens once. Order by order, a block
+asks the shards about its distinct n-grams in one packed row for a shard and gets counts and numbers back in the same order;
+an n-gram is then the number of its context (of the order below) and the number of its last word, which pack to a few bytes
+where hashes take eight each. An n-gram is asked about if context and word occur in training texts; all of them are kept,
+those seen once included. A context so frequent that its shard would be uneven is spread over as many shards as its count
+asks for, which every block computes alike from the count of the order below. Sums for backoff weights are whole numbers
+(how many continuations have count r, and how many have lower count r), so parts of a spread context add up exactly. The
+count tables stay in the shared folder, a row per shard.
 """
 
 from __future__ import annotations
@@ -25,40 +30,122 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import held_out, materialize, release_caches, table
-from .hashing import word_hashes
+from .common import held_out, materialize, release_caches, release_shuffles, table
+from .hashing import mix, word_hashes
 
-BLOCK_TOKENS = 3_000_000
-SHARD_TOKENS = 2_000_000
+BLOCK_TOKENS = 2_000_000
+SHARD_TOKENS = 1_000_000
 DISCOUNTED = 5
-#: key: block or shard; other: the one that asked or answered; four packed parts.
-PACKET = T.StructType([T.StructField("key", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("other", T.LongType()), *[T.StructField(c, T.BinaryType()) for c in ("p", "q", "r", "s")]])
-BLOCK, WORDS, PAIRS, COUNTS, KEPT, SUMS, ANSWER = range(7)
+#: key: block or shard; other: the shard or block that answered or asked, or a number of tokens or n-grams.
+PACKET = T.StructType([T.StructField("key", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("other", T.LongType()), T.StructField("body", T.BinaryType())])
+#: words: ascending hashes of the block's words, read by the first order alone.
+BLOCKS = T.StructType([*PACKET.fields, T.StructField("words", T.BinaryType())])
+BLOCK, ASK, ANSWER, TABLE, TYPES = range(5)
 END = int(word_hashes([b""])[0])
+_U = np.uint64
+
+
+# packing
 
 
 def packed(x: np.ndarray) -> bytes:
-    return zstandard.compress(np.ascontiguousarray(x).tobytes(), 1)
+    """Numbers from 0 on, byte plane by byte plane, without the planes that are all zero."""
+    x = np.ascontiguousarray(x, dtype="<u8")
+    k = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+    return bytes([k]) + zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :k].T).tobytes(), 1)
 
 
-def unpacked(b: bytes, dtype) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(b), dtype=dtype)
+def unpacked(b: bytes) -> np.ndarray:
+    k = b[0]
+    planes = np.frombuffer(zstandard.decompress(b[1:]), dtype=np.uint8).reshape(k, -1)
+    out = np.zeros((planes.shape[1], 8), dtype=np.uint8)
+    out[:, :k] = planes.T
+    return out.view("<i8").reshape(-1)
 
 
-def packets(rows: list[tuple]) -> pa.Table:
-    rows = [(*r, *[None] * (7 - len(r))) for r in rows]
-    return pa.Table.from_arrays([pa.array([r[k] for r in rows], type=f.type) for k, f in enumerate(to_arrow_schema(PACKET))], schema=to_arrow_schema(PACKET))
+def packed_rising(x: np.ndarray) -> bytes:
+    return packed(np.diff(x, prepend=0))
+
+
+def unpacked_rising(b: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(b))
+
+
+def joined(*parts: bytes) -> bytes:
+    return np.array([len(parts), *map(len, parts)], dtype="<i8").tobytes() + b"".join(parts)
+
+
+def split(body: bytes) -> list[bytes]:
+    n = int(np.frombuffer(body, dtype="<i8", count=1)[0])
+    ends = np.cumsum(np.frombuffer(body, dtype="<i8", count=n + 1)) - n + 8 * (n + 1)
+    return [body[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+
+def packed_pairs(w: np.ndarray, h: np.ndarray) -> bytes:
+    """Pairs that ascend by word, then context: distinct words, group sizes, and steps of the contexts in a group."""
+    first = np.flatnonzero(np.diff(w, prepend=-1))
+    steps = np.diff(h, prepend=0)
+    steps[first] = h[first]
+    return joined(packed_rising(w[first]), packed(np.diff(np.append(first, len(w)))), packed(steps))
+
+
+def unpacked_pairs(b: bytes) -> tuple[np.ndarray, np.ndarray]:
+    words, sizes, steps = split(b)
+    words, sizes, h = unpacked_rising(words), unpacked(sizes), unpacked_rising(steps)
+    first = np.cumsum(sizes) - sizes
+    before = np.concatenate(([0], h))[first]  # the running sum of all steps up to each group
+    return np.repeat(words, sizes), h - np.repeat(before, sizes)
 
 
 def shard_of(keys: np.ndarray, bits: int) -> np.ndarray:
-    return (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), dtype=np.int64)
+    return (keys >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), dtype=np.int64)
+
+
+def pair_shard(h: np.ndarray, part: np.ndarray, bits: int) -> np.ndarray:
+    return shard_of(mix(mix(h.astype(np.uint64) + _U(1)) + part.astype(np.uint64)), bits)
+
+
+def packets(rows: list[tuple]) -> pa.Table:
+    schema = to_arrow_schema(PACKET)
+    return pa.Table.from_arrays([pa.array([r[k] for r in rows], type=f.type) for k, f in enumerate(schema)], schema=schema)
+
+
+# discounts
+
+
+def discounts(n: np.ndarray) -> np.ndarray:
+    """Katz's Good-Turing factors for counts 0 to DISCOUNTED, from the numbers n[r] of types with count r. Where the
+    numbers give no factor between 0 and 1, absolute discounting does."""
+    d = np.ones(DISCOUNTED + 1)
+    k = DISCOUNTED
+    cut = (k + 1) * n[k + 1] / n[1] if n[1] else 1.0
+    step = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5
+    for r in range(1, k + 1):
+        x = ((r + 1) * n[r + 1] / (r * n[r]) - cut) / (1 - cut) if n[r] and cut < 1 else 0.0
+        d[r] = x if 0 < x < 1 else max(0.05, 1 - step / r)
+    return d
+
+
+def factor(c: np.ndarray, d: np.ndarray) -> np.ndarray:
+    return d[np.minimum(c, DISCOUNTED)] * (c <= DISCOUNTED) + (c > DISCOUNTED)
+
 
+def left_over(m: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Tokens that the discounts take: m[r - 1] are the numbers of n-grams with count r."""
+    return ((1 - d[1:]) * np.arange(1, DISCOUNTED + 1)) @ m
 
-def make_blocks(docs: DataFrame, *, doc_id: str, text: str, folds: int, fold: int) -> DataFrame:
-    """PACKET rows of kind BLOCK: p distinct word hashes, ascending; q places of the tokens among them; r (doc_id, is null,
-    tokens, held out) as int64; s training counts of the words."""
+
+def types_by_count(c: np.ndarray) -> np.ndarray:
+    return np.bincount(np.minimum(c, DISCOUNTED + 2), minlength=DISCOUNTED + 3)[: DISCOUNTED + 2]
+
+
+# blocks
+
+
+def make_blocks(docs: DataFrame, *, doc_id: str, text: str, folds: int, fold: int, block_tokens: int) -> DataFrame:
+    """BLOCKS rows: the body holds the tokens' places among the block's words, and (doc_id, is null, tokens, held out)."""
     src = docs.select(F.col(f"`{doc_id}`").cast("long").alias("d"), held_out(F.col(f"`{doc_id}`"), folds, fold).alias("h"), F.col(f"`{text}`").cast("string").cast("binary").alias("t"))
-    arrow = to_arrow_schema(PACKET)
+    arrow = to_arrow_schema(BLOCKS)
 
     def run(batches):
         part, seq = TaskContext.get().partitionId(), 0
@@ -68,11 +155,10 @@ def make_blocks(docs: DataFrame, *, doc_id: str, text: str, folds: int, fold: in
 
         def flush():
             nonlocal hashes, meta, size, seq
-            flat = np.concatenate(hashes)
-            m = np.array(meta, dtype=np.int64)
-            uniq, inv = np.unique(flat, return_inverse=True)
-            train = np.bincount(inv, np.repeat(1 - m[:, 3], m[:, 2]), len(uniq)).astype(np.uint32)
-            row = ((part << 24) + seq, BLOCK, size, uniq.tobytes(), packed(np.ascontiguousarray(inv.astype("<u4").view(np.uint8).reshape(-1, 4).T)), packed(m), packed(train))
+            words, at = np.unique(np.concatenate(hashes), return_inverse=True)
+            m = zstandard.compress(np.array(meta, dtype="<i8").tobytes(), 1)
+            end = np.searchsorted(words, _U(END))
+            row = ((part << 24) + seq, BLOCK, size, joined(packed(at), m, packed(np.array([len(words), end]))), words.tobytes())
             hashes, meta, size, seq = [], [], 0, seq + 1
             return pa.RecordBatch.from_arrays([pa.array([v], type=f.type) for v, f in zip(row, arrow, strict=True)], schema=arrow)
 
@@ -80,7 +166,7 @@ def make_blocks(docs: DataFrame, *, doc_id: str, text: str, folds: int, fold: in
             for d, h, t in zip(*[b.column(k).to_pylist() for k in range(3)], strict=True):
                 words = t.lower().split() if t else []
                 words.append(b"")
-                if size and size + len(words) > BLOCK_TOKENS:
+                if size and size + len(words) > block_tokens:
                     yield flush()
                 hashes.append(word_hashes(words))
                 meta.append((d or 0, d is None, len(words), h))
@@ -89,252 +175,278 @@ def make_blocks(docs: DataFrame, *, doc_id: str, text: str, folds: int, fold: in
             yield flush()
         release_caches()
 
-    return src.mapInArrow(run, PACKET)
+    return src.mapInArrow(run, BLOCKS)
 
 
-class Block:
-    def __init__(self, p, q, r, s=None):
-        self.words = np.frombuffer(p, dtype=np.uint64)
-        self.at = np.ascontiguousarray(unpacked(q, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int64)
-        self.docs = unpacked(r, np.int64).reshape(-1, 4)
-        self.ends = np.cumsum(self.docs[:, 2])
-        self.starts = self.ends - self.docs[:, 2]
-
-    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct (context, word) as places, by context and word, and each token's place among them."""
-        context = np.empty_like(self.at)
-        context[1:] = self.at[:-1]
-        context[self.starts] = np.searchsorted(self.words, np.uint64(END))
-        n = len(self.words)
-        key, inv = np.unique(context * n + self.at, return_inverse=True)
-        return key // n, key % n, inv
-
-    def pair_shards(self, h: np.ndarray, w: np.ndarray, hot: np.ndarray, bits: int) -> np.ndarray:
-        own = shard_of(self.words, bits)
-        is_hot = np.isin(self.words, hot)
-        return np.where(is_hot[h], own[w], own[h])
-
-
-def discounts(n: np.ndarray, least: int = 1) -> np.ndarray:
-    """Katz's Good-Turing factors for counts 0 to DISCOUNTED, from the numbers n[r] of types with count r. Where the
-    numbers give no factor in (0, 1], absolute discounting does. Counts under ``least`` get 0."""
-    d = np.ones(DISCOUNTED + 1)
-    k = DISCOUNTED
-    cut = (k + 1) * n[k + 1] / n[1] if n[1] else 1.0
-    step = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5
-    for r in range(1, k + 1):
-        x = ((r + 1) * n[r + 1] / (r * n[r]) - cut) / (1 - cut) if n[r] and cut < 1 else 0.0
-        d[r] = x if 0 < x <= 1 else max(0.05, 1 - step / r)
-    d[:least] = 0
-    return d
+class Grams:
+    """The distinct n-grams of one order in a block: at has each token's place among them, -1 for none. Once answered:
+    count and number (-1 if not in training), with a last entry for place -1, and the sums for the backoff weights of the
+    contexts in ``summed``."""
 
+    def __init__(self, at: np.ndarray, size: int):
+        self.at, self.size, self.summed = at, size, None
 
-def factor(c: np.ndarray, d: np.ndarray) -> np.ndarray:
-    return d[np.minimum(c, DISCOUNTED)] * (c <= DISCOUNTED) + (c > DISCOUNTED)
-
+    def answered(self, rows: list[dict], bits: int) -> None:
+        """rows: ANSWER packets of this order, by shard."""
+        bodies = [split(r["body"]) for r in rows]
+        flagged = np.concatenate([np.zeros(0, dtype=np.int64), *[unpacked(b[0]) for b in bodies]])
+        back = np.empty(self.size, dtype=np.int64)
+        back[self.order] = flagged
+        self.count, self.full = np.append(back >> 1, 0), (back & 1).astype(bool)
+        number = np.full(len(back) + 1, -1, dtype=np.int64)
+        seen = self.order[(flagged >> 1) > 0]
+        number[seen] = np.concatenate([np.zeros(0, dtype=np.int64), *[(unpacked_rising(b[1]) << bits) | r["other"] for r, b in zip(rows, bodies, strict=True)]])
+        self.number = number
+        if self.summed is not None:
+            sums = np.concatenate([np.zeros((2 * DISCOUNTED + 1, 0), dtype=np.int64), *[unpacked(b[2]).reshape(2 * DISCOUNTED + 1, -1) for b in bodies]], axis=1)
+            self.sums = np.zeros((len(sums), len(self.summed)), dtype=np.int64)
+            for total, part in zip(self.sums, sums, strict=True):
+                np.add.at(total, self.part_of[self.part_order], part)
 
-def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", folds: int = 7, fold: int = 2, min_count: int = 2, hot_words: int = 1000) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), a row per input row.
 
-    A null text is as an empty one: the end token alone. A null id counts as the empty text for the fold. Without training
-    rows every word is unknown with probability 1. Bigrams seen less than min_count times back off.
-    """
-    blocks = materialize(make_blocks(docs, doc_id=doc_id, text=text, folds=folds, fold=fold), "lm-blocks")
-    tokens = blocks.agg(F.sum("other")).first()[0] or 0
-    bits = max(0, int(np.ceil(np.log2(max(1, tokens / SHARD_TOKENS)))))
-
-    def mapped(df, fn):
-        def run(batches):
-            for b in batches:
-                for r in b.to_pylist():
-                    yield from packets(fn(r)).to_batches()
-
-        return df.mapInArrow(run, PACKET)
-
-    def grouped(df, fn):
-        def run(t):
-            return packets(fn(t.to_pylist()))
-
-        return df.groupBy("key").applyInArrow(run, PACKET)
-
-    # words: counts by shard
-    def ask_words(r):
-        words, train = np.frombuffer(r["p"], dtype=np.uint64), unpacked(r["s"], np.uint32)
-        own = shard_of(words, bits)
-        cuts = np.searchsorted(own, np.arange((1 << bits) + 1))
-        return [(k, WORDS, r["key"], words[a:b].tobytes(), packed(train[a:b])) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
-
-    def count_words(rows):
-        keys = np.concatenate([np.frombuffer(r["p"], dtype=np.uint64) for r in rows])
-        n = np.concatenate([unpacked(r["q"], np.uint32) for r in rows])
-        keys, inv = np.unique(keys, return_inverse=True)
-        n = np.bincount(inv, n, len(keys)).astype(np.int64)
-        keys, n = keys[n > 0], n[n > 0]
-        return [(rows[0]["key"], COUNTS, len(keys), keys.tobytes(), packed(n), packed(np.bincount(np.minimum(n, DISCOUNTED + 2), minlength=DISCOUNTED + 3)[: DISCOUNTED + 2].astype(np.int64)), packed(np.array([n.sum()], dtype=np.int64)))]
-
-    asked = mapped(blocks.select("key", "kind", "other", "p", F.lit(None).cast("binary").alias("q"), F.lit(None).cast("binary").alias("r"), "s"), ask_words)
-    unigrams = materialize(grouped(asked, count_words), "lm-unigrams")
-    total, types, n1 = 0, 0, np.zeros(DISCOUNTED + 2, dtype=np.int64)
-    for r in unigrams.select("other", "r", "s").toLocalIterator():  # a small row per shard
-        total, types, n1 = total + int(unpacked(bytes(r.s), np.int64)[0]), types + r.other, n1 + unpacked(bytes(r.r), np.int64)
-    d1 = discounts(n1)
-    low = np.arange(1, DISCOUNTED + 1)
-    unknown = float(((1 - d1[1:]) * low * n1[1 : DISCOUNTED + 1]).sum() / total) if total else 1.0
-    unknown = max(unknown, 1e-12)
-
-    # words that are at least a thousandth of some block
-    frequent = T.StructType([T.StructField("w", T.LongType()), T.StructField("n", T.LongType())])
-
-    def heavy(batches):
-        for b in batches:
-            for r in b.to_pylist():
-                words, n = np.frombuffer(r["p"], dtype=np.int64), unpacked(r["s"], np.uint32)
-                big = n * 1000 >= max(1, r["other"])
-                yield pa.RecordBatch.from_arrays([pa.array(words[big]), pa.array(n[big].astype(np.int64))], schema=to_arrow_schema(frequent))
-
-    hot = blocks.select("other", "p", "s").mapInArrow(heavy, frequent).groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(hot_words).toPandas()
-    hot = np.sort(hot["w"].to_numpy(dtype=np.int64).view(np.uint64))
-
-    # bigrams: counts by shard, answers to the blocks
-    def ask_pairs(r):
-        b = Block(r["p"], r["q"], r["r"])
-        h, w, inv = b.pairs()
-        train = np.bincount(inv, np.repeat(1 - b.docs[:, 3], b.docs[:, 2]), len(h)).astype(np.uint32)
-        own = b.pair_shards(h, w, hot, bits)
-        order = np.argsort(own, kind="stable")
-        cuts = np.searchsorted(own[order], np.arange((1 << bits) + 1))
-        for k, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-            if y > x:
-                e = order[x:y]
-                first = np.flatnonzero(np.concatenate(([True], h[e][1:] != h[e][:-1])))
-                yield (k, PAIRS, r["key"], b.words[h[e][first]].tobytes(), packed(np.diff(np.append(first, len(e))).astype(np.uint32)), b.words[w[e]].tobytes(), packed(train[e]))
-
-    def count_pairs(rows):
-        h = np.concatenate([np.repeat(np.frombuffer(r["p"], dtype=np.uint64), unpacked(r["q"], np.uint32)) for r in rows])
-        w = np.concatenate([np.frombuffer(r["r"], dtype=np.uint64) for r in rows])
-        n = np.concatenate([unpacked(r["s"], np.uint32) for r in rows])
-        order = np.lexsort((w, h))
-        h, w = h[order], w[order]
-        new = np.concatenate(([True], (h[1:] != h[:-1]) | (w[1:] != w[:-1])))
-        group = np.cumsum(new) - 1
-        c = np.bincount(group, n[order]).astype(np.int64)
-        back = np.empty(len(h), dtype=np.uint32)
-        back[order] = np.where(c >= min_count, c, 0)[group]
-        cuts = np.cumsum([0, *[len(r["r"]) // 8 for r in rows]])
-        key = rows[0]["key"]
-        out = [(r["other"], ANSWER, key, packed(back[x:y])) for r, x, y in zip(rows, cuts[:-1], cuts[1:], strict=True)]
-        keep = c >= min_count
-        sizes = np.bincount(np.minimum(c, DISCOUNTED + 2), minlength=DISCOUNTED + 3)[: DISCOUNTED + 2].astype(np.int64)
-        out.append((key, KEPT, 0, h[new][keep].tobytes(), w[new][keep].tobytes(), packed(c[keep]), packed(sizes)))
-        return out
+class Block:
+    """A block with the answers of the orders so far."""
 
-    def pairs_of(r):
-        return list(ask_pairs(r))
-
-    bigrams = materialize(grouped(mapped(blocks.select("key", "kind", "other", "p", "q", "r", F.lit(None).cast("binary").alias("s")), pairs_of), count_pairs), "lm-bigrams")
-    n2 = np.zeros(DISCOUNTED + 2, dtype=np.int64)
-    for r in bigrams.where(F.col("kind") == KEPT).select("s").toLocalIterator():
-        n2 = n2 + unpacked(bytes(r.s), np.int64)
-    d2 = discounts(n2, min_count)
-
-    # backoff sums: kept bigrams meet the probability of their word, then their context
-    def by_word(r):
-        h, w, c = np.frombuffer(r["p"], dtype=np.uint64), np.frombuffer(r["q"], dtype=np.uint64), unpacked(r["r"], np.int64)
-        own = shard_of(w, bits)
-        order = np.argsort(own, kind="stable")
-        cuts = np.searchsorted(own[order], np.arange((1 << bits) + 1))
-        return [(k, KEPT, r["key"], h[e].tobytes(), w[e].tobytes(), packed((factor(c[e], d2) * c[e]))) for k, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if len(e := order[x:y])]
-
-    def p_word(keys, n, w):
-        at = np.minimum(np.searchsorted(keys, w), max(0, len(keys) - 1))
-        c = np.where(keys[at] == w, n[at], 0) if len(keys) else np.zeros(len(w), dtype=np.int64)
-        return c, np.where(c > 0, factor(c, d1) * c / max(1, total), unknown)
-
-    def by_context(rows):
-        model = [r for r in rows if r["kind"] == COUNTS]
-        keys, n = (np.frombuffer(model[0]["p"], dtype=np.uint64), unpacked(model[0]["q"], np.int64)) if model else (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
-        kept = [r for r in rows if r["kind"] == KEPT]
-        if not kept:
-            return []
-        h, w = (np.concatenate([np.frombuffer(r[c], dtype=np.uint64) for r in kept]) for c in "pq")
-        mass = np.concatenate([unpacked(r["r"], np.float64) for r in kept])
-        ctx, inv = np.unique(h, return_inverse=True)
-        lower, own = np.bincount(inv, p_word(keys, n, w)[1], len(ctx)), np.bincount(inv, mass, len(ctx))
-        cuts = np.searchsorted(shard_of(ctx, bits), np.arange((1 << bits) + 1))
-        return [(k, SUMS, rows[0]["key"], ctx[x:y].tobytes(), packed(lower[x:y]), packed(own[x:y])) for k, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x]
-
-    kept = mapped(bigrams.where(F.col("kind") == KEPT), by_word)
-    sums = grouped(unigrams.unionByName(kept), by_context)
-
-    def answer_words(rows):
-        """To each block that asked: counts and backoff weights of its words."""
-        model = [r for r in rows if r["kind"] == COUNTS]
-        keys, n = (np.frombuffer(model[0]["p"], dtype=np.uint64), unpacked(model[0]["q"], np.int64)) if model else (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
-        part = [r for r in rows if r["kind"] == SUMS]
-        alpha = np.ones(len(keys))
-        if part:
-            at = np.searchsorted(keys, np.concatenate([np.frombuffer(r["p"], dtype=np.uint64) for r in part]))
-            lower, own = (np.bincount(at, np.concatenate([unpacked(r[c], np.float64) for r in part]), len(keys)) for c in "qr")
-            mass = 1 - own / n
-            none = mass < 1e-9
-            alpha = np.where(none, 1 / (n + 1), mass) / np.maximum(1 - lower, 1e-12)
-            alpha[none] *= -1  # the sign tells the blocks
+    def __init__(self, rows: list[dict], bits: int, spread: int, orders: int):
+        own = next(r for r in rows if r["kind"] == BLOCK)
+        at, docs, sizes = split(own["body"])
+        self.key, self.bits, self.spread = own["key"], bits, spread
+        self.words, self.end = unpacked(sizes).tolist()
+        self.docs = np.frombuffer(zstandard.decompress(docs), dtype="<i8").reshape(-1, 4)
+        self.starts = np.cumsum(self.docs[:, 2]) - self.docs[:, 2]
+        self.train = np.repeat(1 - self.docs[:, 3], self.docs[:, 2])
+        words = Grams(unpacked(at), self.words)
+        words.order = np.arange(self.words)
+        self.grams = [words]
+        for order in range(1, orders + 1):
+            if order > 1:
+                self.grams.append(self.longer())
+            self.grams[-1].answered(sorted((r for r in rows if r["kind"] == ANSWER + 10 * order), key=lambda r: r["other"]), bits)
+
+    def contexts(self, below: Grams) -> np.ndarray:
+        """Each token's context as a place among the n-grams below, -1 if it has none or none of the training texts'."""
+        h = np.empty_like(below.at)
+        h[1:] = below.at[:-1]
+        h[self.starts] = self.end if below is self.grams[0] else -1
+        return np.where(below.number[h] >= 0, h, -1)
+
+    def longer(self) -> Grams:
+        """The n-grams one longer than the last, in the order in which the shards are asked."""
+        first, below, bits = self.grams[0], self.grams[-1], self.bits
+        h = self.contexts(below)
+        token = np.flatnonzero((h >= 0) & (first.number[first.at] >= 0))
+        keys, some, place = np.unique(h[token] * self.words + first.at[token], return_index=True, return_inverse=True)
+        at = np.full(len(h), -1, dtype=np.int64)
+        at[token] = place
+        g = Grams(at, len(keys))
+        g.contexts = h
+        g.context, g.word = keys // self.words, keys % self.words
+        g.low = below.count[below.at[token[some]]]
+        g.trained = np.bincount(place, self.train[token], len(keys)).astype(np.int64)
+        parts = below.count // self.spread + 1
+        w, c = first.number[g.word], below.number[g.context]
+        g.shard = pair_shard(c, mix(w.astype(np.uint64)) % parts[g.context].astype(np.uint64), bits)
+        g.order = np.lexsort((c, w, g.shard))
+        # sums are asked for contexts of held-out tokens, which may back off, and for spread ones, which no shard sees whole
+        g.summed = np.unique(h[(h >= 0) & ((self.train == 0) | (parts[h] > 1))])
+        g.part_of = np.repeat(np.arange(len(g.summed)), parts[g.summed])
+        start = np.cumsum(parts[g.summed]) - parts[g.summed]
+        part = np.arange(len(g.part_of)) - np.repeat(start, parts[g.summed])
+        g.part_number = below.number[g.summed][g.part_of]
+        g.part_shard = pair_shard(g.part_number, part, bits)
+        g.part_order = np.lexsort((g.part_number, g.part_shard))
+        return g
+
+    def asks(self) -> list[tuple]:
+        first, below, g = self.grams[0], self.grams[-1], self.longer()
+        edges = np.arange((1 << self.bits) + 1)
+        cuts, part_cuts = np.searchsorted(g.shard[g.order], edges), np.searchsorted(g.part_shard[g.part_order], edges)
         out = []
-        for r in rows:
-            if r["kind"] == WORDS:
-                w = np.frombuffer(r["p"], dtype=np.uint64)
-                c, _ = p_word(keys, n, w)
-                a = np.ones(len(w))
-                if len(keys):
-                    at = np.minimum(np.searchsorted(keys, w), len(keys) - 1)
-                    a = np.where(c > 0, alpha[at], 1.0)
-                out.append((r["other"], WORDS, rows[0]["key"], packed(c), packed(a)))
+        for k, (a, b, x, y) in enumerate(zip(cuts[:-1], cuts[1:], part_cuts[:-1], part_cuts[1:], strict=True)):
+            if b > a or y > x:
+                e, f = g.order[a:b], g.part_order[x:y]
+                pairs = packed_pairs(first.number[g.word[e]], below.number[g.context[e]])
+                out.append((k, ASK, self.key, joined(pairs, packed(g.trained[e]), packed(g.low[e]), packed_rising(g.part_number[f]))))
         return out
 
-    answers = grouped(asked.unionByName(unigrams).unionByName(sums), answer_words)
-
-    # the blocks meet their answers
-    result = T.StructType(
-        [
-            T.StructField("doc_id", T.LongType()),
-            T.StructField("held_out", T.BooleanType()),
-            T.StructField("n_tokens", T.LongType()),
-            T.StructField("n_known", T.LongType()),
-            T.StructField("train_tokens", T.LongType()),
-            T.StructField("base_score", T.DoubleType()),
-            T.StructField("score", T.DoubleType()),
+    def scored(self, total: int, types: int, unknown: float, d: list[np.ndarray]) -> list:
+        """Columns of the result."""
+        words = self.grams[0]
+        p = np.where(words.count > 0, factor(words.count, d[0]) * words.count / max(1, total), unknown)[words.at]
+        lower_total = np.full(len(p), max(1, total), dtype=np.float64)
+        for k, g in enumerate(self.grams[1:], start=1):
+            below, h = self.grams[k - 1], g.contexts
+            full = np.zeros(below.size + 1, dtype=bool)
+            full[g.context] = g.full
+            full[g.summed] = g.sums[:DISCOUNTED].sum(axis=0) == 0
+            c_h = (below.count + full).astype(np.float64)
+            low_h = np.ones(below.size + 1)
+            low_h[h[h >= 0]] = lower_total[h >= 0]
+            alpha = np.ones(below.size + 1)
+            s = g.summed
+            mass = np.where(full[s], 1.0, left_over(g.sums[:DISCOUNTED], d[k])) / c_h[s]
+            lower = (g.sums[-1] - left_over(g.sums[DISCOUNTED:-1], d[k - 1])) / low_h[s]
+            alpha[s] = mass / np.maximum(1 - lower, 1e-12)
+            n, total_h = g.count[g.at], np.maximum(c_h[h], 1.0)
+            p = np.where(n > 0, factor(n, d[k]) * n / total_h, alpha[h] * p)
+            lower_total = total_h
+        add = lambda x: np.add.reduceat(x, self.starts)
+        base = np.log10((words.count + 1) / (total + types + 1))
+        return [
+            pa.array(self.docs[:, 0], mask=self.docs[:, 1].astype(bool)),
+            self.docs[:, 3].astype(bool),
+            self.docs[:, 2],
+            add((words.count > 0).astype(np.int64)[words.at]),
+            np.full(len(self.docs), total, dtype=np.int64),
+            add(base[words.at]),
+            add(np.log10(p)),
         ]
-    )
 
-    def score_block(t: pa.Table) -> pa.Table:
-        rows = t.to_pylist()
-        own = next(r for r in rows if r["kind"] == BLOCK)
-        b = Block(own["p"], own["q"], own["r"])
-        answered = sorted((r for r in rows if r["kind"] == WORDS), key=lambda r: r["other"])
-        c = np.concatenate([unpacked(r["p"], np.int64) for r in answered])
-        alpha = np.concatenate([unpacked(r["q"], np.float64) for r in answered])
-        h, w, inv = b.pairs()
-        order = np.argsort(b.pair_shards(h, w, hot, bits), kind="stable")
-        n = np.empty(len(h), dtype=np.int64)
-        n[order] = np.concatenate([unpacked(r["p"], np.uint32) for r in sorted((r for r in rows if r["kind"] == ANSWER), key=lambda r: r["other"])])
-        p1 = np.where(c > 0, factor(c, d1) * c / max(1, total), unknown)
-        total_h = np.maximum(1, c) + (alpha < 0)
-        p = np.where(n > 0, factor(n, d2) * n / total_h[h], np.abs(alpha)[h] * p1[w])
-        add = lambda x: np.add.reduceat(x, b.starts)
-        base = np.log10((c + 1) / (total + types + 1))
-        cols = [
-            pa.array(b.docs[:, 0], mask=b.docs[:, 1].astype(bool)),
-            b.docs[:, 3].astype(bool),
-            b.docs[:, 2],
-            add((c > 0).astype(np.int64)[b.at]),
-            np.full(len(b.docs), total, dtype=np.int64),
-            add(base[b.at]),
-            add(np.log10(p)[inv]),
-        ]
-        return pa.Table.from_arrays([pa.array(x) if not isinstance(x, pa.Array) else x for x in cols], schema=to_arrow_schema(result))
 
-    back = bigrams.where(F.col("kind") == ANSWER).unionByName(answers)
-    return blocks.select("key", "kind", "other", "p", "q", "r", F.lit(None).cast("binary").alias("s")).unionByName(back).groupBy("key").applyInArrow(score_block, result)
+# shards
+
+
+def ask_words(row: dict, bits: int) -> list[tuple]:
+    """A block's words, and how often training texts have them, to the shards of their hashes."""
+    block = split(row["body"])
+    words = np.frombuffer(row["words"], dtype=np.uint64)
+    docs = np.frombuffer(zstandard.decompress(block[1]), dtype="<i8").reshape(-1, 4)
+    n = np.bincount(unpacked(block[0]), np.repeat(1 - docs[:, 3], docs[:, 2]), len(words)).astype(np.int64)
+    cuts = np.searchsorted(shard_of(words, bits), np.arange((1 << bits) + 1))
+    return [(k, ASK, row["key"], joined(words[a:b].tobytes(), packed(n[a:b]))) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+
+
+def answers(rows: list[dict], sizes: list[int], count: np.ndarray, group: np.ndarray, full: np.ndarray, sums: list[bytes], order: int) -> list[tuple]:
+    """To each block that asked, in its order: counts with the flag of a full context, numbers of what was seen, sums."""
+    number = np.cumsum(count > 0) - 1
+    out, start = [], 0
+    for r, n, s in zip(rows, sizes, sums, strict=True):
+        at = group[start : start + n]
+        out.append((r["other"], ANSWER + 10 * order, r["key"], joined(packed(count[at] * 2 + full[start : start + n]), packed_rising(number[at][count[at] > 0]), s)))
+        start += n
+    return out
+
+
+def count_words(rows: list[dict]) -> list[tuple]:
+    bodies = [split(r["body"]) for r in rows]
+    asked = [np.frombuffer(b[0], dtype=np.uint64) for b in bodies]
+    keys, group = np.unique(np.concatenate(asked), return_inverse=True)
+    count = np.bincount(group, np.concatenate([unpacked(b[1]) for b in bodies]), len(keys)).astype(np.int64)
+    seen = count > 0
+    out = answers(rows, [len(a) for a in asked], count, group, np.zeros(len(group), dtype=np.int64), [b""] * len(rows), 1)
+    out.append((rows[0]["key"], TABLE + 10, int(seen.sum()), joined(keys[seen].tobytes(), packed(count[seen]))))
+    return [*out, (rows[0]["key"], TYPES, int(count.sum()), types_by_count(count[seen]).astype("<i8").tobytes())]
+
+
+def count_pairs(rows: list[dict], order: int) -> list[tuple]:
+    bodies = [split(r["body"]) for r in rows]
+    pairs = [unpacked_pairs(b[0]) for b in bodies]
+    w, h = (np.concatenate([p[k] for p in pairs]) for k in range(2))
+    by = np.lexsort((h, w))
+    new = np.ones(len(w), dtype=bool)
+    new[1:] = (w[by][1:] != w[by][:-1]) | (h[by][1:] != h[by][:-1])
+    group = np.empty(len(w), dtype=np.int64)
+    group[by] = np.cumsum(new) - 1
+    some = by[new]
+    count = np.bincount(group, np.concatenate([unpacked(b[1]) for b in bodies]), len(some)).astype(np.int64)
+    low = np.concatenate([unpacked(b[2]) for b in bodies])[some]
+    seen = count > 0
+    # a context's continuations by count and by lower count, and the lower counts' sum
+    contexts, place = np.unique(h[some][seen], return_inverse=True)
+    sums = np.zeros((2 * DISCOUNTED + 1, len(contexts) + 1), dtype=np.int64)  # the last column: contexts without any
+    for k, c in enumerate((count[seen], low[seen])):
+        for r in range(1, DISCOUNTED + 1):
+            sums[k * DISCOUNTED + r - 1, :-1] = np.bincount(place[c == r], minlength=len(contexts))
+    sums[-1, :-1] = np.bincount(place, low[seen], len(contexts))
+
+    def of(asked: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(contexts, asked)
+        return np.where(np.append(contexts, -1)[at] == asked, at, len(contexts))
+
+    full = (sums[:DISCOUNTED].sum(axis=0) == 0)[of(h)].astype(np.int64)
+    sent = [packed(sums[:, of(unpacked_rising(b[3]))].reshape(-1)) for b in bodies]
+    out = answers(rows, [len(p[0]) for p in pairs], count, group, full, sent, order)
+    out.append((rows[0]["key"], TABLE + 10 * order, int(seen.sum()), joined(packed_pairs(w[some][seen], h[some][seen]), packed(count[seen]))))
+    return [*out, (rows[0]["key"], TYPES, int(count.sum()), types_by_count(count[seen]).astype("<i8").tobytes())]
+
+
+def totals(tables: DataFrame) -> tuple[int, int, np.ndarray]:
+    """Tokens, types and types by count, added up from a row per shard; one row reaches the driver."""
+    schema = T.StructType([T.StructField(f"c{k}", T.LongType()) for k in range(DISCOUNTED + 2)] + [T.StructField("n", T.LongType()), T.StructField("types", T.LongType())])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                row = np.zeros(len(arrow), dtype=np.int64)
+                if r["kind"] == TYPES:
+                    row[: DISCOUNTED + 2], row[-2] = np.frombuffer(r["body"], dtype="<i8"), r["other"]
+                else:
+                    row[-1] = r["other"]
+                yield pa.RecordBatch.from_arrays([pa.array([v]) for v in row.tolist()], schema=arrow)
+
+    small = tables.where((F.col("kind") == TYPES) | (F.col("kind") % 10 == TABLE)).select("kind", "other", F.when(F.col("kind") == TYPES, F.col("body")).alias("body"))
+    r = [x or 0 for x in small.mapInArrow(run, schema).agg(*[F.sum(c).alias(c) for c in arrow.names]).first()]
+    return r[-2], r[-1], np.array(r[: DISCOUNTED + 2], dtype=np.int64)
+
+
+RESULT = T.StructType(
+    [
+        T.StructField("doc_id", T.LongType()),
+        T.StructField("held_out", T.BooleanType()),
+        T.StructField("n_tokens", T.LongType()),
+        T.StructField("n_known", T.LongType()),
+        T.StructField("train_tokens", T.LongType()),
+        T.StructField("base_score", T.DoubleType()),
+        T.StructField("score", T.DoubleType()),
+    ]
+)
+
+
+def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", folds: int = 7, fold: int = 2, order: int = 3, block_tokens: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), a row per input row.
+
+    A null text is as an empty one: the end token alone. A null id counts as the empty text for the fold. Without training
+    rows every word is unknown with probability 1. order: words in the longest n-gram, 1 or more. block_tokens, shard_tokens:
+    what a task holds; a context with more than a quarter of shard_tokens is spread over several shards.
+    """
+    if order < 1:
+        raise ValueError("order must be at least 1")
+    stored = materialize(make_blocks(docs, doc_id=doc_id, text=text, folds=folds, fold=fold, block_tokens=block_tokens), "lm-blocks")
+    tokens = stored.agg(F.sum("other")).first()[0] or 0
+    bits = max(0, int(np.ceil(np.log2(max(1, tokens / shard_tokens)))))
+    spread = max(1, shard_tokens // 4)
+
+    def words(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                yield from packets(ask_words(r, bits)).to_batches()
+
+    def asks(orders):
+        return lambda t: packets(Block(t.to_pylist(), bits, spread, orders).asks())
+
+    def counts(k):
+        return lambda t: packets(count_words(t.to_pylist()) if k == 1 else count_pairs(t.to_pylist(), k))
+
+    blocks = stored.select(*PACKET.names)
+    found, d = [], []
+    for k in range(1, order + 1):
+        asked = stored.mapInArrow(words, PACKET) if k == 1 else blocks.groupBy("key").applyInArrow(asks(k - 1), PACKET)
+        found.append(materialize(asked.groupBy("key").applyInArrow(counts(k), PACKET), f"lm-{k}"))
+        n, n_types, by_count = totals(found[-1])
+        d.append(discounts(by_count))
+        if k == 1:
+            total, types = n, n_types
+            unknown = max(1e-12, float(left_over(by_count[1 : DISCOUNTED + 1], d[0])) / n) if n else 1.0
+        blocks = blocks.unionByName(found[-1].where(F.col("kind") == ANSWER + 10 * k))
+        release_shuffles(docs.sparkSession)  # what the written tables came from
+
+    def run(t: pa.Table) -> pa.Table:
+        b = Block(t.to_pylist(), bits, spread, order)
+        arrow = to_arrow_schema(RESULT)
+        return pa.Table.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in b.scored(total, types, unknown, d)], schema=arrow)
+
+    return blocks.groupBy("key").applyInArrow(run, RESULT)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -168,34 +168,40 @@ def vector_links(rows, least=0.93):
 
 
 class Katz:
-    def __init__(self, docs, discounts, least=2):
+    """A dictionary model of the given order; contexts are tuples, None is the end token."""
+
+    def __init__(self, docs, discounts, order=3):
         import numpy as np
 
-        self.uni, pairs = Counter(), Counter()
+        counts = [Counter() for _ in range(order)]
         for d, t in docs:
             if zlib.crc32(str(d).encode()) % 7 != 2:
-                ws = [*words(t), None]
-                self.uni.update(ws)
-                pairs.update(zip([None, *ws], ws, strict=False))
-        count = lambda c: np.array([0, *[sum(v == r for v in c.values()) for r in range(1, 7)]])
-        d1, d2 = discounts(count(self.uni)), discounts(count(pairs), least)
+                ws = [None, *words(t), None]
+                counts[0].update((w,) for w in ws[1:])
+                for k in range(2, order + 1):
+                    counts[k - 1].update(tuple(ws[i : i + k]) for i in range(len(ws) - k + 1))
+        n = sum(counts[0].values())
         use = lambda d, c: c * (d[c] if c < len(d) else 1.0)
-        n = sum(self.uni.values())
-        self.p1 = {w: use(d1, c) / n for w, c in self.uni.items()}
-        self.unknown = 1 - sum(self.p1.values())
-        self.follow = {}
-        for (h, w), c in pairs.items():
-            if c >= least:
-                self.follow.setdefault(h, {})[w] = use(d2, c) / self.uni[h]
-        for h, f in self.follow.items():
-            if 1 - sum(f.values()) < 1e-9:
-                self.follow[h] = {w: x * self.uni[h] / (self.uni[h] + 1) for w, x in f.items()}
-        self.alpha = {h: (1 - sum(f.values())) / (1 - sum(self.p1[w] for w in f)) for h, f in self.follow.items()}
+        self.order, self.uni, self.follow = order, {w for (w,) in counts[0]}, {}
+        for k, grams in enumerate(counts):
+            d = discounts(np.array([0, *[sum(c == r for c in grams.values()) for r in range(1, 7)]]))
+            here = {}
+            for g, c in grams.items():
+                here.setdefault(g[:-1], {})[g[-1]] = c
+            for h, f in here.items():
+                of = n if k == 0 else counts[k - 1][h]
+                assert of == sum(f.values())
+                whole = k and all(c > 5 for c in f.values())
+                self.follow[h] = {w: use(d, c) / (of + whole) for w, c in f.items()}
+        self.unknown = 1 - sum(self.follow[()].values())
+        self.alpha = {h: (1 - sum(f.values())) / (1 - sum(self.p(h[1:], w) for w in f)) for h, f in self.follow.items() if h}
 
     def p(self, h, w):
         seen = self.follow.get(h, {})
-        return seen[w] if w in seen else self.alpha.get(h, 1.0) * self.p1.get(w, self.unknown)
+        if w in seen:
+            return seen[w]
+        return self.alpha.get(h, 1.0) * self.p(h[1:], w) if h else self.unknown
 
     def score(self, text):
-        ws = [*words(text), None]
-        return sum(math.log10(self.p(h, w)) for h, w in zip([None, *ws], ws, strict=False))
+        ws = [None, *words(text), None]
+        return sum(math.log10(self.p(tuple(ws[max(0, i - self.order + 1) : i]), ws[i])) for i in range(1, len(ws)))

@@ -51,15 +51,18 @@ def test_katz(spark, sf, tables):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_katz_is_normalised_and_recursive(spark, sf, tables):
-    """A dictionary model with the same discounts sums to one after every context and scores every text alike."""
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_katz_is_normalised_and_recursive(spark, sf, tables, order):
+    """A dictionary model with the same discounts sums to one after every context and scores every text alike; small
+    blocks and shards, so that contexts are spread."""
     from lexiquarry.llm import katz
 
-    model = B.Katz(tables["documents"], katz.discounts)
-    for h in list(model.follow)[:40]:
+    model = B.Katz(tables["documents"], katz.discounts, order)
+    for h in sorted(model.follow, key=lambda h: (-len(model.follow[h]), str(h)))[:40]:
         assert sum(model.p(h, w) for w in [*model.uni, "an unseen word"]) == pytest.approx(1, abs=1e-9)
-    rows = Q.QUERIES["op1_katz"](spark, sf).collect()
+    rows = katz.score(spark.read.parquet(f"{sf}/documents.parquet"), order=order, block_tokens=9000, shard_tokens=4000).collect()
     texts = dict(tables["documents"])
+    assert len(rows) == len(texts)
     for r in rows:
         assert r.score == pytest.approx(model.score(texts[r.doc_id]), rel=1e-9, abs=1e-6)
 
