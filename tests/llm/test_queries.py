@@ -60,7 +60,7 @@ def test_katz_is_normalised_and_recursive(spark, sf, tables, order):
     model = B.Katz(tables["documents"], katz.discounts, order)
     for h in sorted(model.follow, key=lambda h: (-len(model.follow[h]), str(h)))[:40]:
         assert sum(model.p(h, w) for w in [*model.uni, "an unseen word"]) == pytest.approx(1, abs=1e-9)
-    rows = katz.score(spark.read.parquet(f"{sf}/documents.parquet"), order=order, block_tokens=9000, shard_tokens=4000).collect()
+    rows = katz.score(spark.read.parquet(f"{sf}/documents.parquet"), order=order, block_tokens=9000, shard_tokens=1000).collect()
     texts = dict(tables["documents"])
     assert len(rows) == len(texts)
     for r in rows:
