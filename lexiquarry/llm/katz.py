@@ -12,7 +12,8 @@ training texts lack, alpha is 1.
 Everything grows with the corpus, so nothing of it is broadcast. Texts become blocks of tokens once. Order by order, a block
 asks the shards about its distinct n-grams in one packed row for a shard and gets counts and numbers back in the same order;
 an n-gram is then the number of its context (of the order below) and the number of its last word, which pack to a few bytes
-where hashes take eight each. An n-gram is asked about if context and word occur in training texts; all of them are kept,
+where hashes take eight each. Words are numbered by falling count within their shard, so frequent ones have small numbers;
+longer n-grams by their place in their shard. An n-gram is asked about if context and word occur in training texts; all of them are kept,
 those seen once included. A context so frequent that its shard would be uneven is spread over as many shards as its count
 asks for, which every block computes alike from the count of the order below. Sums for backoff weights are whole numbers
 (how many continuations have count r, and how many have lower count r), so parts of a spread context add up exactly. The
@@ -33,7 +34,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .common import held_out, materialize, release_caches, release_shuffles, table
 from .hashing import mix, word_hashes
 
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_000_000
 SHARD_TOKENS = 1_000_000
 DISCOUNTED = 5
 #: key: block or shard; other: the shard or block that answered or asked, or a number of tokens or n-grams.
@@ -195,7 +196,8 @@ class Grams:
         self.count, self.full = np.append(back >> 1, 0), (back & 1).astype(bool)
         number = np.full(len(back) + 1, -1, dtype=np.int64)
         seen = self.order[(flagged >> 1) > 0]
-        number[seen] = np.concatenate([np.zeros(0, dtype=np.int64), *[(unpacked_rising(b[1]) << bits) | r["other"] for r, b in zip(rows, bodies, strict=True)]])
+        of = unpacked if self.summed is None else unpacked_rising  # words are numbered by count
+        number[seen] = np.concatenate([np.zeros(0, dtype=np.int64), *[(of(b[1]) << bits) | r["other"] for r, b in zip(rows, bodies, strict=True)]])
         self.number = number
         if self.summed is not None:
             sums = np.concatenate([np.zeros((2 * DISCOUNTED + 1, 0), dtype=np.int64), *[unpacked(b[2]).reshape(2 * DISCOUNTED + 1, -1) for b in bodies]], axis=1)
@@ -235,25 +237,31 @@ class Block:
         first, below, bits = self.grams[0], self.grams[-1], self.bits
         h = self.contexts(below)
         token = np.flatnonzero((h >= 0) & (first.number[first.at] >= 0))
-        keys, some, place = np.unique(h[token] * self.words + first.at[token], return_index=True, return_inverse=True)
+        by_number, by_context = np.argsort(first.number[:-1]), np.argsort(below.number[:-1])
+        rank, context_rank = np.empty_like(by_number), np.empty_like(by_context)
+        rank[by_number], context_rank[by_context] = np.arange(len(rank)), np.arange(len(context_rank))
+        wide = max(1, below.size)
+        keys, some, place = np.unique(rank[first.at[token]] * wide + context_rank[h[token]], return_index=True, return_inverse=True)
         at = np.full(len(h), -1, dtype=np.int64)
         at[token] = place
         g = Grams(at, len(keys))
         g.contexts = h
-        g.context, g.word = keys // self.words, keys % self.words
+        g.context, g.word = by_context[keys % wide], by_number[keys // wide]
         g.low = below.count[below.at[token[some]]]
         g.trained = np.bincount(place, self.train[token], len(keys)).astype(np.int64)
         parts = below.count // self.spread + 1
         w, c = first.number[g.word], below.number[g.context]
         g.shard = pair_shard(c, mix(w.astype(np.uint64)) % parts[g.context].astype(np.uint64), bits)
-        g.order = np.lexsort((c, w, g.shard))
+        g.order = np.argsort(g.shard, kind="stable")  # by shard, word, context
         # sums are asked for contexts of held-out tokens, which may back off, and for spread ones, which no shard sees whole
         g.summed = np.unique(h[(h >= 0) & ((self.train == 0) | (parts[h] > 1))])
-        g.part_of = np.repeat(np.arange(len(g.summed)), parts[g.summed])
+        part_of = np.repeat(np.arange(len(g.summed)), parts[g.summed])
         start = np.cumsum(parts[g.summed]) - parts[g.summed]
-        part = np.arange(len(g.part_of)) - np.repeat(start, parts[g.summed])
+        part = np.arange(len(part_of)) - np.repeat(start, parts[g.summed])
+        shard = pair_shard(below.number[g.summed][part_of], part, bits)
+        once = np.unique((part_of << bits) | shard)  # a shard may hold several parts of a context, and adds them up
+        g.part_of, g.part_shard = once >> bits, once & ((1 << bits) - 1)
         g.part_number = below.number[g.summed][g.part_of]
-        g.part_shard = pair_shard(g.part_number, part, bits)
         g.part_order = np.lexsort((g.part_number, g.part_shard))
         return g
 
@@ -316,13 +324,12 @@ def ask_words(row: dict, bits: int) -> list[tuple]:
     return [(k, ASK, row["key"], joined(words[a:b].tobytes(), packed(n[a:b]))) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
 
 
-def answers(rows: list[dict], sizes: list[int], count: np.ndarray, group: np.ndarray, full: np.ndarray, sums: list[bytes], order: int) -> list[tuple]:
+def answers(rows: list[dict], sizes: list[int], count: np.ndarray, number: np.ndarray, group: np.ndarray, full: np.ndarray, sums: list[bytes], order: int) -> list[tuple]:
     """To each block that asked, in its order: counts with the flag of a full context, numbers of what was seen, sums."""
-    number = np.cumsum(count > 0) - 1
     out, start = [], 0
     for r, n, s in zip(rows, sizes, sums, strict=True):
         at = group[start : start + n]
-        out.append((r["other"], ANSWER + 10 * order, r["key"], joined(packed(count[at] * 2 + full[start : start + n]), packed_rising(number[at][count[at] > 0]), s)))
+        out.append((r["other"], ANSWER + 10 * order, r["key"], joined(packed(count[at] * 2 + full[start : start + n]), packed(number[at][count[at] > 0]) if order == 1 else packed_rising(number[at][count[at] > 0]), s)))
         start += n
     return out
 
@@ -333,8 +340,10 @@ def count_words(rows: list[dict]) -> list[tuple]:
     keys, group = np.unique(np.concatenate(asked), return_inverse=True)
     count = np.bincount(group, np.concatenate([unpacked(b[1]) for b in bodies]), len(keys)).astype(np.int64)
     seen = count > 0
-    out = answers(rows, [len(a) for a in asked], count, group, np.zeros(len(group), dtype=np.int64), [b""] * len(rows), 1)
-    out.append((rows[0]["key"], TABLE + 10, int(seen.sum()), joined(keys[seen].tobytes(), packed(count[seen]))))
+    number = np.empty(len(keys), dtype=np.int64)
+    number[np.argsort(-count, kind="stable")] = np.arange(len(keys))
+    out = answers(rows, [len(a) for a in asked], count, number, group, np.zeros(len(group), dtype=np.int64), [b""] * len(rows), 1)
+    out.append((rows[0]["key"], TABLE + 10, int(seen.sum()), joined(keys[seen].tobytes(), packed(count[seen]), packed(number[seen]))))
     return [*out, (rows[0]["key"], TYPES, int(count.sum()), types_by_count(count[seen]).astype("<i8").tobytes())]
 
 
@@ -342,7 +351,9 @@ def count_pairs(rows: list[dict], order: int) -> list[tuple]:
     bodies = [split(r["body"]) for r in rows]
     pairs = [unpacked_pairs(b[0]) for b in bodies]
     w, h = (np.concatenate([p[k] for p in pairs]) for k in range(2))
-    by = np.lexsort((h, w))
+    wide = int(h.max(initial=0)) + 1
+    one_key = (int(w.max(initial=0)) + 1) * wide < 1 << 63
+    by = np.argsort(w * wide + h, kind="stable") if one_key else np.lexsort((h, w))  # sorted runs merge fast
     new = np.ones(len(w), dtype=bool)
     new[1:] = (w[by][1:] != w[by][:-1]) | (h[by][1:] != h[by][:-1])
     group = np.empty(len(w), dtype=np.int64)
@@ -365,7 +376,7 @@ def count_pairs(rows: list[dict], order: int) -> list[tuple]:
 
     full = (sums[:DISCOUNTED].sum(axis=0) == 0)[of(h)].astype(np.int64)
     sent = [packed(sums[:, of(unpacked_rising(b[3]))].reshape(-1)) for b in bodies]
-    out = answers(rows, [len(p[0]) for p in pairs], count, group, full, sent, order)
+    out = answers(rows, [len(p[0]) for p in pairs], count, np.cumsum(seen) - 1, group, full, sent, order)
     out.append((rows[0]["key"], TABLE + 10 * order, int(seen.sum()), joined(packed_pairs(w[some][seen], h[some][seen]), packed(count[seen]))))
     return [*out, (rows[0]["key"], TYPES, int(count.sum()), types_by_count(count[seen]).astype("<i8").tobytes())]
 
