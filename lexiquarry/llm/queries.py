@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import crf, crosspoly, katz, ledger, mil, minhash, mixing, oracles, rlbwt, tokens, wumanber
+from . import crf, crosspoly, divergence, interactions, katz, ledger, lines, mil, minhash, mixing, oracles, rlbwt, tokens, wumanber
 
 QUERIES = {
     "op1_katz": katz.query,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_token_output": tokens.query,
     "op9_gated_attention": mil.query,
     "op10_cross_polytope": crosspoly.query,
+    "op11_line_labels": lines.query,
+    "op12_filter_interactions": interactions.query,
+    "op13_source_divergence": divergence.query,
 }
 
 ORACLES = {
@@ -24,4 +27,6 @@ ORACLES = {
     "op6_run_length_index": oracles.REPEATS,
     "op7_wu_manber": oracles.DECONTAMINATED,
     "op10_cross_polytope": oracles.VECTORS,
+    "op12_filter_interactions": interactions.ORACLE,
+    "op13_source_divergence": divergence.ORACLE,
 }
