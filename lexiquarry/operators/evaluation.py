@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 from collections.abc import Sequence
 
 import pandas as pd
@@ -152,12 +154,14 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark) -> None:
-    """spark.checkpoint.dir where it is set; a folder of our own only where it is not."""
-    import tempfile
-
+    """The folder in spark.checkpoint.dir. Where it is unset, a local master gets a folder of its own; on a cluster that is an
+    error, as executors would write to their own disks."""
+    if spark.sparkContext.getCheckpointDir() is not None:
+        return
     at = spark.conf.get("spark.checkpoint.dir", None)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(at or tempfile.mkdtemp(prefix="lexiquarry-"))
+    if not at and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    spark.sparkContext.setCheckpointDir(at or tempfile.mkdtemp(prefix="lexiquarry-"))
 
 
 def lightest_buckets(groups: DataFrame, n: int) -> DataFrame:

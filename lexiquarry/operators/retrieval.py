@@ -17,11 +17,13 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.text import tokens
+from .evaluation import ensure_checkpoint_dir
 
-#: Query vectors held by a task at once; more go in further passes.
-QUERY_BLOCK = 4096
-#: Distinct query terms up to this number are broadcast (about 40 bytes each).
-ASKED_TERMS = 100_000
+#: Vectors of a pack, and packs of queries that are broadcast (half a megabyte each at 64 dimensions).
+PACK = 1024
+QUERY_PACKS = 64
+#: Rows of asked terms up to this number are broadcast (about 60 bytes each).
+ASKED_TERMS = 500_000
 
 
 def top(rows: DataFrame, k: int, *order: Column, by: Sequence[str] = ("query_id",), name: str = "rank") -> DataFrame:
@@ -29,39 +31,69 @@ def top(rows: DataFrame, k: int, *order: Column, by: Sequence[str] = ("query_id"
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(name) <= k)
 
 
+def term_counts(terms: Column) -> Column:
+    """(term, tf) of an array of terms, by term: runs of its sorted copy, linear after the sort."""
+    runs = lambda a: F.filter(F.sequence(F.lit(1), F.size(a)), lambda i: (i == 1) | (F.element_at(a, i) != F.element_at(a, F.greatest(i - 1, F.lit(1)))))
+    end = lambda a, s, j: F.when(j + 1 < F.size(s), s[j + 1]).otherwise(F.size(a) + 1)
+    pairs = lambda a, s: F.transform(s, lambda i, j: F.struct(F.element_at(a, i).alias("term"), (end(a, s, j) - i).alias("tf")))
+    # transform over one element binds the sorted array, and then the starts of its runs, once
+    once = F.flatten(F.transform(F.array(F.array_sort(terms)), lambda a: F.flatten(F.transform(F.array(runs(a)), lambda s: pairs(a, s)))))
+    return F.when(F.size(terms) > 0, once)
+
+
 class Bm25:
-    """Term statistics, and the postings (term, chunk_id, tf, dl) of asked terms, as DataFrames.
+    """Term statistics and scores of chunks (chunk_id and the columns in keep), as DataFrames.
 
-    idf = ln((N - df + 0.5) / (df + 0.5)); a negative one becomes ``epsilon`` times the mean of all.
+    idf = ln((N - df + 0.5) / (df + 0.5)); a negative one becomes ``epsilon`` times the mean of all. Texts are tokenized once,
+    into a stored table of (chunk_id, dl, counts); a chunk's counts are made within its row, so terms that no query asks for
+    are never shuffled for a score.
     """
 
-    def __init__(self, chunks: DataFrame, terms: Column, *, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25):
+    def __init__(self, chunks: DataFrame, terms: Column, *, keep: Sequence[str] = (), k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25):
         self.k1, self.b = k1, b
-        self.docs = chunks.select("chunk_id", terms.alias("terms"))
-        self.totals = self.docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("terms")).alias("total"))
-        df = self.docs.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        ensure_checkpoint_dir(chunks.sparkSession)
+        counted = chunks.select("chunk_id", *keep, F.transform(F.array(terms), lambda t: F.struct(F.size(t).alias("dl"), term_counts(t).alias("counts")))[0].alias("t"))
+        self.docs = counted.select("chunk_id", *keep, "t.*").checkpoint()
+        self.totals = self.docs.agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("total"))
+        df = self.docs.select(F.explode("counts.term").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
         raw = df.crossJoin(F.broadcast(self.totals)).withColumn("raw", idf)  # one row of totals
         floor = raw.agg((F.sum("raw") / F.count("raw") * epsilon).alias("floor"))
         self.terms = raw.crossJoin(F.broadcast(floor)).select("term", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"), (F.col("total") / F.col("n")).alias("avgdl"))
 
-    def postings(self, asked: DataFrame) -> DataFrame:
-        """(term, chunk_id, tf, dl) of the asked terms only: the others go before anything is shuffled."""
-        held = asked.select("term").distinct().limit(ASKED_TERMS + 1).count() <= ASKED_TERMS
-        wanted = asked.select("term").distinct()
-        each = self.docs.select("chunk_id", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
-        return each.join(F.broadcast(wanted) if held else wanted, "term", "left_semi").groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+    def _scored(self, asked: DataFrame, on: list[str]) -> DataFrame:
+        """asked: (query_id, times) and the columns in on, which hold the term. Sums of a chunk are complete in the task that
+        holds it; asked terms are broadcast up to ASKED_TERMS rows, and beyond that met in a shuffle."""
+        rows = asked.join(self.terms, "term").select("query_id", *on, (F.col("times") * F.col("idf")).alias("w"), "avgdl")
+        held = asked.limit(ASKED_TERMS + 1).count() <= ASKED_TERMS
+        each = self.docs.select("chunk_id", *[c for c in on if c != "term"], "dl", F.explode("counts").alias("c")).select("*", "c.term", "c.tf").drop("c")
+        norm = self.k1 * (1 - self.b + self.b * F.col("dl") / F.col("avgdl"))
+        part = F.col("w") * F.col("tf") * (self.k1 + 1) / (F.col("tf") + norm)
+        met = each.join(F.broadcast(rows) if held else rows, on)
+        return met.groupBy("query_id", *[c for c in on if c != "term"], "chunk_id").agg(F.round(F.sum(part), 6).alias("score"))
+
+    def asked(self, queries: DataFrame, terms: Column) -> DataFrame:
+        return queries.select("query_id", F.explode(terms).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
 
     def scores(self, queries: DataFrame, terms: Column) -> DataFrame:
         """(query_id, chunk_id, score): repeated query terms count each time; chunks without a term are left out."""
-        asked = queries.select("query_id", F.explode(terms).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-        tf, norm = F.col("tf"), self.k1 * (1 - self.b + self.b * F.col("dl") / F.col("avgdl"))
-        part = F.col("times") * F.col("idf") * tf * (self.k1 + 1) / (tf + norm)
-        return asked.join(self.terms, "term").join(self.postings(asked), "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score"))
+        return self._scored(self.asked(queries, terms), ["term"])
 
     def top(self, queries: DataFrame, terms: Column, k: int) -> DataFrame:
         return top(self.scores(queries, terms), k, F.desc("score"), F.asc("chunk_id"))
 
+    def within(self, queries: DataFrame, terms: Column, expected: DataFrame, name: str, k: int) -> DataFrame:
+        """(query_id, name, chunk_id, score, rank): the best k chunks of each document that a query expects. expected: (query_id,
+        name); name is among the columns kept. Chunks meet queries on document and term together, so others are not scored.
+        Chunks without a query term follow with score 0, by chunk_id: a document's first k chunks are enough for that."""
+        expected = expected.select("query_id", name).distinct()
+        asked = self.asked(queries, terms).join(expected, "query_id")
+        scored = self._scored(asked, [name, "term"])
+        fill = top(self.docs.join(expected.select(name).distinct(), name, "left_semi").select(name, "chunk_id"), k, F.asc("chunk_id"), by=(name,)).drop("rank")
+        rest = expected.join(fill, name).join(scored.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti").withColumn("score", F.lit(0.0))
+        both = scored.unionByName(rest.select(*scored.columns))
+        return top(both, k, F.desc("score"), F.asc("chunk_id"), by=("query_id", name))
+
 
 def lexical_filtered(scores: DataFrame, chunks: DataFrame, queries: DataFrame, k: int, *, bonuses: Sequence[tuple[Column, float]], keep: Column | None = None) -> DataFrame:
     """BM25 scores plus, for every query term inside a metadata field, that field's bonus; positive ones, the best max(3k, k)
@@ -74,67 +106,73 @@ def lexical_filtered(scores: DataFrame, chunks: DataFrame, queries: DataFrame, k
     return top(rows, max(3 * k, k), F.desc("score"), F.asc("name"), F.asc("chunk_id"))
 
 
+def _packed(rows: DataFrame, key: str, prefix: str) -> DataFrame:
+    """(ids, matrix) of up to PACK rows each: keys as int64 and their embeddings, scaled to length 1, as doubles."""
+    schema = T.StructType([T.StructField(f"{prefix}_ids", T.BinaryType()), T.StructField(f"{prefix}_matrix", T.BinaryType())])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for start in range(0, b.num_rows, PACK):
+                part = b.slice(start, PACK)
+                v = np.array(part.column(1).to_pylist(), dtype=np.float64).reshape(part.num_rows, -1)
+                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+                ids = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary())], schema=arrow)
+
+    return rows.select(F.col(key).cast("long").alias("k"), "embedding").where(F.col("embedding").isNotNull() & F.col("k").isNotNull()).mapInArrow(run, schema)
+
+
+def _met(vectors: DataFrame, key: str, queries: DataFrame, query_key: str, schema: str, pick: Callable) -> DataFrame:
+    """Every pack of vectors with every pack of queries, which are a stated set: pick(ids, query ids, cosines) gives the columns
+    of what is kept of the two. Packs of queries are broadcast up to QUERY_PACKS of them, and met as a product of blocks
+    beyond that; neither side passes through the driver."""
+    # dealt by key and put together again by size, so that queries make few full packs
+    asked = _packed(queries.repartition(query_key), query_key, "q")
+    few = queries.limit(QUERY_PACKS * PACK + 1).count() <= QUERY_PACKS * PACK
+    both = _packed(vectors, key, "v").crossJoin(F.broadcast(asked) if few else asked)
+    names = T.StructType.fromDDL(schema)
+    arrow = to_arrow_schema(names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for ids, matrix, q_ids, q_matrix in zip(*[b.column(i).to_pylist() for i in range(4)], strict=True):
+                c, q = np.frombuffer(ids, dtype=np.int64), np.frombuffer(q_ids, dtype=np.int64)
+                near = np.frombuffer(matrix, dtype=np.float64).reshape(len(c), -1) @ np.frombuffer(q_matrix, dtype=np.float64).reshape(len(q), -1).T
+                yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(pick(c, q, near), arrow, strict=True)], schema=arrow)
+
+    return both.mapInArrow(run, names)
+
+
 def vector_top(vectors: DataFrame, queries: DataFrame, k: int, *, keep: Column | None = None) -> DataFrame:
     """(query_id, chunk_id, distance, rank): the k nearest by cosine distance, over all vectors.
 
-    vectors: (chunk_id, embedding); queries: (query_id, embedding). Queries are held in blocks of QUERY_BLOCK, one pass over
-    the vectors each; a task returns its own best k of each query, so what is shuffled does not grow with the vectors.
-    """
+    vectors: (chunk_id, embedding); queries: (query_id, embedding). Both are packed into matrices; a pack of vectors returns its
+    own best k of each query, so what is shuffled does not grow with the length of vectors. Null embeddings and ids are left
+    out; a vector of zeros is at distance 1 from all."""
     if keep is not None:
         vectors = vectors.where(keep)
-    schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("chunk_id", T.LongType()), T.StructField("distance", T.DoubleType())])
-    arrow = to_arrow_schema(schema)
-    n = queries.count()
-    found = None
-    for block in range(max(1, -(-n // QUERY_BLOCK))):
-        part = queries if n <= QUERY_BLOCK else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(-(-n // QUERY_BLOCK))) == block)
-        held = part.select(F.col("query_id").cast("long"), "embedding").toPandas()
-        ids = held["query_id"].to_numpy(dtype=np.int64)
-        q = np.array(held["embedding"].tolist(), dtype=np.float64).reshape(len(ids), -1)
-        q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-
-        def nearest(batches: Iterator[pa.RecordBatch], q=q, ids=ids) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if not b.num_rows or not len(ids):
-                    continue
-                v = np.array(b.column(1).to_pylist(), dtype=np.float64)
-                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-                d = np.round(1 - v @ q.T, 6)
-                c = b.column(0).to_numpy()
-                order = np.lexsort((np.broadcast_to(c[:, None], d.shape), d), axis=0)[:k]
-                col = np.broadcast_to(np.arange(len(ids)), order.shape)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[col].ravel()), pa.array(c[order].ravel()), pa.array(d[order, col].ravel() + 0.0)], schema=arrow)
-
-        one = vectors.select(F.col("chunk_id").cast("long"), "embedding").where(F.col("embedding").isNotNull()).mapInArrow(nearest, schema)
-        found = one if found is None else found.unionByName(one)
+
+    def nearest(c: np.ndarray, q: np.ndarray, near: np.ndarray) -> tuple:
+        d = np.round(1 - near, 6)
+        order = np.lexsort((np.broadcast_to(c[:, None], d.shape), d), axis=0)[:k]
+        col = np.broadcast_to(np.arange(len(q)), order.shape)
+        return q[col].ravel(), c[order].ravel(), d[order, col].ravel() + 0.0
+
+    found = _met(vectors, "chunk_id", queries, "query_id", "query_id long, chunk_id long, distance double", nearest)
     return top(found, k, F.asc("distance"), F.asc("chunk_id"))
 
 
 def best_official(rows: DataFrame, official: DataFrame, row_id: str = "vec_id", item_id: str = "item_id") -> DataFrame:
-    """(row_id, item_id, similarity): the held-out item nearest to each row by cosine, the lowest id of equals. Items, a benchmark, are
-    held in blocks of QUERY_BLOCK, a pass over the rows each."""
-    schema = T.StructType([T.StructField(row_id, T.LongType()), T.StructField(item_id, T.LongType()), T.StructField("similarity", T.DoubleType())])
-    arrow = to_arrow_schema(schema)
-    n = official.count()
-    found = None
-    for block in range(max(1, -(-n // QUERY_BLOCK))):
-        part = official if n <= QUERY_BLOCK else official.where(F.pmod(F.xxhash64(item_id), F.lit(-(-n // QUERY_BLOCK))) == block)
-        held = part.select(F.col(item_id).cast("long"), "embedding").toPandas().sort_values(item_id)
-        ids = held[item_id].to_numpy(dtype=np.int64)
-        q = np.array(held["embedding"].tolist(), dtype=np.float64).reshape(len(ids), -1)
-        q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-
-        def nearest(batches: Iterator[pa.RecordBatch], q=q, ids=ids) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if b.num_rows and len(ids):
-                    v = np.array(b.column(1).to_pylist(), dtype=np.float64)
-                    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-                    c = np.round(v @ q.T, 6)
-                    at = c.argmax(axis=1)
-                    yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids[at]), pa.array(c[np.arange(len(c)), at])], schema=arrow)
-
-        one = rows.select(F.col(row_id).cast("long"), "embedding").where(F.col("embedding").isNotNull()).mapInArrow(nearest, schema)
-        found = one if found is None else found.unionByName(one)
+    """(row_id, item_id, similarity): the held-out item nearest to each row by cosine, the lowest id of equals; rows and items
+    meet in packs."""
+
+    def nearest(c: np.ndarray, q: np.ndarray, near: np.ndarray) -> tuple:
+        near = np.round(near, 6)
+        best = np.where(near == near.max(axis=1, keepdims=True), q, np.iinfo(np.int64).max).min(axis=1)
+        return c, best, near.max(axis=1)
+
+    found = _met(rows, row_id, official, item_id, f"{row_id} long, {item_id} long, similarity double", nearest)
     best = found.groupBy(row_id).agg(F.max(F.struct("similarity", (-F.col(item_id)).alias("i"))).alias("m"))
     return best.select(row_id, (-F.col("m.i")).alias(item_id), F.col("m.similarity").alias("similarity"))
 
@@ -211,14 +249,6 @@ def planned_search(ranked: DataFrame, plan: DataFrame, id_column: str, with_id:
     return rows.withColumn("new_rank", F.row_number().over(w)).where(F.col("new_rank") <= F.when(asks, with_id).otherwise(without))
 
 
-def anchored(rows: DataFrame, expected: DataFrame, name: str, bonus: float = 0.0035) -> DataFrame:
-    """rows: (query_id, chunk_id, score, name); expected: (query_id, name). The best row of each expected document, with the
-    bonus; each chunk once."""
-    w = Window.partitionBy("query_id", name).orderBy(F.desc("score"), "chunk_id")
-    best = rows.join(expected, ["query_id", name], "left_semi").withColumn("rn", F.row_number().over(w)).where("rn = 1")
-    return best.withColumn("score", F.round(F.col("score") + bonus, 9)).drop("rn")
-
-
 def slot_match(text: Column, slot: Column, aliases: dict[str, Sequence[str]], signals: dict[str, Column]) -> Column:
     """Whether a chunk has a slot: its signal flag is set, or its text holds one of the slot's names."""
     named = F.lit(False)

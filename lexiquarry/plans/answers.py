@@ -156,17 +156,6 @@ def _(s, d):
     return as_long(found.select("query_id", "chunk_id", "new_rank"), "new_rank")
 
 
-@query(
-    "doc_anchored",
-    f"WITH b AS (SELECT query_id, chunk_id, score, source AS name FROM ({ORACLES['bm25_topk']}) JOIN documents ON doc_id = chunk_id), e AS (SELECT item_id AS query_id, source AS name FROM benchmark JOIN documents ON doc_id = item_id) SELECT query_id, chunk_id, round(score + 0.0035::DOUBLE, 9) AS score FROM (SELECT b.*, row_number() OVER (PARTITION BY query_id, name ORDER BY score DESC, chunk_id) AS rn FROM b SEMI JOIN e USING (query_id, name)) WHERE rn = 1",
-)
-def _(s, d):
-    names = table(s, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("name"))
-    rows = lexical(s, d, 5).join(names, "chunk_id")
-    expected = questions(s, d).select("query_id", F.col("query_id").alias("chunk_id")).join(names, "chunk_id").select("query_id", "name")
-    return R.anchored(rows, expected, "name").select("query_id", "chunk_id", "score")
-
-
 SLOT = "CASE WHEN l_linenumber % 3 = 0 THEN 'budget' WHEN l_linenumber % 3 = 1 THEN 'scope' ELSE 'none' END"
 
 
