@@ -27,7 +27,7 @@ _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else
 #: Distinct terms that a task counts before it hands them on.
 HELD_TERMS = 300_000
 #: Cells of a chunk of two blocks: sources times terms.
-CELLS = 1 << 20
+CELLS = 1 << 16
 #: Sources of a block.
 BLOCK = 128
 
