@@ -262,3 +262,23 @@ def list_items(c: Column, aliases: dict[str, str] = lexicon.LIST_ALIASES) -> Col
         return F.when((F.length(x) > 18) & (F.size(places) >= 2), places).otherwise(F.array(x))
 
     return F.filter(F.transform(F.flatten(F.transform(F.split(c, r"[,\n|;]+"), chunk)), item), lambda x: x != "")
+
+
+# Numbers and dates inside a cell.
+CELL_NUMBER = r"[-+]?\d[\d,]*(?:\.\d+)?"
+CELL_DATE = r"\d{4}[./-]\d{1,2}[./-]\d{1,2}"
+
+
+def cell_number(c: Column) -> Column:
+    """The first number of a cell, spaces aside and without thousands separators; null if there is none."""
+    return F.regexp_replace(F.regexp_extract(F.replace(F.coalesce(c, F.lit("")), F.lit(" "), F.lit("")), CELL_NUMBER, 0), ",", "").try_cast("double")
+
+
+def cell_date(c: Column) -> Column:
+    return F.regexp_extract(F.coalesce(c, F.lit("")), CELL_DATE, 0)
+
+
+def plain_number(c: Column) -> Column:
+    """A number as text, whole ones with one decimal; '' for null."""
+    whole = (c == F.floor(c)) & (F.abs(c) < 1e15)
+    return F.coalesce(F.when(whole, F.concat(c.cast("long").cast("string"), F.lit(".0"))).otherwise(c.cast("string")), F.lit(""))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("metadata", "texts", "chunks", "search", "ranking", "routing", "evidence", "grades", "evaluation", "curation", "artifacts", "answers", "assembly", "streams")
+MODULES = ("metadata", "texts", "chunks", "search", "ranking", "routing", "evidence", "grades", "evaluation", "curation", "artifacts", "answers", "assembly", "grids", "streams")
 
 
 def load() -> None:
