@@ -54,16 +54,21 @@ def query_tokens(parent: Column, structural: Column, tokenize, least: int = 3, m
     return F.when(F.size(own) >= least, own).otherwise(F.array_union(own, F.slice(tokenize(F.coalesce(structural, F.lit(""))), 1, most)))
 
 
+def shared(left: DataFrame, right: DataFrame, by: Sequence[str], a: str, b: str, items: str) -> DataFrame:
+    """(by, a, b, common): how many items, of an array of distinct ones on both sides, a row of the left shares with one of the
+    right in the same document. Rows meet on items, so pairs without a common one are never made."""
+    x = left.select(*by, a, F.explode(items).alias("x"))
+    return x.join(right.select(*by, b, F.explode(items).alias("x")), [*by, "x"]).groupBy(*by, a, b).agg(F.count(F.lit(1)).alias("common"))
+
+
 def nearby_body(tables: DataFrame, bodies: DataFrame, by: Sequence[str], key: str, body: str, tokenize, bonus: float = 0.2, chars: int = 1500) -> DataFrame:
     """tables: (by, key, parent, structural); bodies: (by, body, text). The body that holds the largest share of a table's query
-    tokens, with a bonus if it names the parent; one without a common token is none. Rows meet on tokens."""
+    tokens, with a bonus if it names the parent; one without a common token is none."""
     t = tables.select(*by, key, "parent", query_tokens(F.col("parent"), F.col("structural"), tokenize).alias("q"))
-    b = bodies.select(*by, body, F.col("text").alias("body_text"), F.array_distinct(tokenize(F.col("text"))).alias("w"))
-    pairs = t.join(b, list(by))
-    both = F.size(F.array_intersect("q", "w"))
+    b = bodies.select(*by, body, F.array_distinct(tokenize(F.col("text"))).alias("q"))
+    met = shared(t, b, by, key, body, "q").join(t.select(*by, key, "parent", F.size("q").alias("n")), [*by, key]).join(bodies.select(*by, body, F.col("text").alias("body_text")), [*by, body])
     named = (F.coalesce("parent", F.lit("")) != "") & F.col("body_text").contains(F.col("parent"))
-    score = F.when(both > 0, both / F.size("q") + F.when(named, bonus).otherwise(0.0))
-    rows = pairs.withColumn("score", F.round(score, 6)).where("score IS NOT NULL")
+    rows = met.withColumn("score", F.round(F.col("common") / F.col("n") + F.when(named, bonus).otherwise(0.0), 6))
     rn = F.row_number().over(Window.partitionBy(*by, key).orderBy(F.desc("score"), body))
     return rows.withColumn("rn", rn).where("rn = 1").select(*by, key, body, "score", F.substring("body_text", 1, chars).alias("text"))
 
@@ -71,18 +76,52 @@ def nearby_body(tables: DataFrame, bodies: DataFrame, by: Sequence[str], key: st
 def match_regions(tables: DataFrame, regions: DataFrame, by: Sequence[str], key: str, region: str) -> DataFrame:
     """tables: (by, key, grams, parent_tokens, page_scores map<page, score>); regions: (by, region, page, grams, tokens, region_score).
     The region with the largest sum of Jaccard similarity, 0.35 of the page's score, 0.03 a common token (0.25 at most) and a
-    tenth of its own score."""
-    t = tables.select(*by, key, F.col("grams").alias("ga"), "parent_tokens", "page_scores")
-    pairs = t.join(regions.where(F.size("grams") > 0), list(by))
-    both = F.size(F.array_intersect("ga", "grams"))
-    jaccard = both / (F.size("ga") + F.size("grams") - both)
+    tenth of its own score.
+
+    A table meets the regions that share a gram, a token or a page with it, and the one of the document with the best score of
+    its own: no other can win, as its own score is all that it has."""
+    regions = regions.where(F.size("grams") > 0)
+    distinct = lambda df, c, name: df.withColumn(name, F.array_distinct(c))
+    pages = tables.select(*by, key, F.explode(F.map_keys("page_scores")).alias("page")).join(regions.select(*by, region, "page"), [*by, "page"]).select(*by, key, region)
+    own = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(F.round(F.col("region_score") * 0.1, 4)), region))
+    best = tables.select(*by, key).join(regions.withColumn("own", own).where("own = 1").select(*by, region), list(by))
+    grams = shared(distinct(tables, "grams", "i"), distinct(regions, "grams", "i"), by, key, region, "i").withColumnRenamed("common", "both")
+    words = shared(distinct(tables, "parent_tokens", "i"), distinct(regions, "tokens", "i"), by, key, region, "i").withColumnRenamed("common", "words")
+    link = [*by, key, region]
+    met = grams.join(words, link, "full").join(pages.unionByName(best).distinct(), link, "full").na.fill(0, ["both", "words"])
+    met = met.join(tables.select(*by, key, F.size("grams").alias("na"), "page_scores"), [*by, key]).join(regions.select(*by, region, "page", F.size("grams").alias("nb"), "region_score"), [*by, region])
     page = F.coalesce(F.try_element_at("page_scores", F.col("page")), F.lit(0.0))
-    named = F.least(F.lit(0.25), F.size(F.array_intersect("parent_tokens", "tokens")) * 0.03)
-    rows = pairs.withColumn("score", F.round(jaccard + page * 0.35 + named + F.col("region_score") * 0.1, 4)).where("score > 0")
+    named = F.least(F.lit(0.25), F.col("words") * 0.03)
+    rows = met.withColumn("score", F.round(F.col("both") / (F.col("na") + F.col("nb") - F.col("both")) + page * 0.35 + named + F.col("region_score") * 0.1, 4)).where("score > 0")
     rn = F.row_number().over(Window.partitionBy(*by, key).orderBy(F.desc("score"), region))
     return rows.withColumn("rn", rn).where("rn = 1").select(*by, key, region, "score")
 
 
+def score_pages(tables: DataFrame, pages: DataFrame, by: str, key: str, page: str, tokenize, *, least: float = 0.35, bonus: float = 0.2, most: int = 16) -> DataFrame:
+    """(by, key, page, score) of the pages of a table's document that reach ``least``: the share of its query tokens that the page
+    holds, with a bonus if the page names the parent text. tables: (by, key, parent, structural); pages: (by, page, text).
+    Tokens of a page are an inverted list; a page without a common token is none."""
+    t = tables.select(by, key, "parent", query_tokens(F.col("parent"), F.col("structural"), tokenize, most=most).alias("q"))
+    p = pages.select(by, page, F.array_distinct(tokenize(F.coalesce("text", F.lit("")))).alias("q"))
+    met = shared(t, p, [by], key, page, "q").join(t.select(by, key, "parent", F.size("q").alias("n")), [by, key])
+    # a page's text is asked for only where the bonus can matter
+    texts = pages.select(by, page, F.coalesce("text", F.lit("")).alias("page_text"))
+    near = met.where(F.col("common") / F.col("n") + bonus >= least).join(texts, [by, page])
+    named = (F.coalesce("parent", F.lit("")) != "") & F.col("page_text").contains(F.col("parent"))
+    return near.select(by, key, page, F.round(F.col("common") / F.col("n") + F.when(named, bonus).otherwise(0.0), 6).alias("score")).where(F.col("score") >= least)
+
+
+def target_pages(scored: DataFrame, pages: DataFrame, by: str, key: str, page: str, *, n: int = 2, reach: int = 1, default: int = 8) -> DataFrame:
+    """(by, page): the n best pages of each table and those within reach of them, from page 1 to the document's last; of a document
+    without any, its first ``default`` pages. pages are numbered from 1."""
+    best = F.row_number().over(Window.partitionBy(by, key).orderBy(F.desc("score"), page))
+    chosen = scored.withColumn("rn", best).where(F.col("rn") <= n)
+    last = pages.groupBy(by).agg(F.max(page).alias("last"))
+    around = chosen.join(last, by).select(by, F.explode(F.sequence(F.greatest(F.lit(1), F.col(page) - reach), F.least("last", F.col(page) + reach))).alias(page)).distinct()
+    none = last.join(scored.select(by).distinct(), by, "left_anti")
+    return around.unionByName(none.select(by, F.explode(F.sequence(F.lit(1).cast("long"), F.least("last", F.lit(default)).cast("long"))).alias(page)))
+
+
 def evidence_source(score: Column, region: Column, html: Column) -> Column:
     """struct(source, confidence): a region match, else an HTML match, else the structural text."""
     source = F.when(region, "region").when(html, "html").otherwise("structural")

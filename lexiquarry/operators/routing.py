@@ -106,6 +106,54 @@ def islands(lines: DataFrame, flag: Column, gap: int = 2, by: str = "doc_id", pl
     return hit.withColumn("__s", start).withColumn("block", F.sum("__s").over(w)).groupBy(by, "block").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count(F.lit(1)).alias("rows"))
 
 
+def looks_structured(line: Column) -> Column:
+    """Whether a line looks like a row of a table, by any of the signs."""
+    f = list(line_flags(line).values())
+    return f[0] | f[1] | f[2] | f[3]
+
+
+# What a block of lines scores for its rows, columns, regularity and numbers.
+BLOCK_WEIGHTS = {"multi": 1.5, "modal": 1.0, "consistent": 4.0, "multi_ratio": 3.0, "numeric_ratio": 1.5, "structured": 0.3}
+
+
+def table_blocks(lines: DataFrame, flag: Column, *, by: str = "doc_id", place: str = "line_no", line: str = "line", gap: int = 2, margin: int = 1, splitter: str = r"[ \t]{2,}", least: float = 10.0) -> DataFrame:
+    """Blocks of a document's lines that look like a table: islands of flagged lines at most ``gap`` apart, widened by ``margin``
+    lines to both sides within the document. lines: (by, place from 0, line).
+
+    (by, block, start_line from 1, end_line, row_count, structured_row_count, modal_column_count, consistent_row_ratio,
+    multi_column_row_ratio, numeric_row_ratio, block_score, text_recovery_percent, table_rows: array of rows with two columns or
+    more). Blocks of fewer than three lines, with fewer than two such rows or with a score below ``least`` are left out. Of
+    column counts that are equally frequent the one met first is the modal one. Neighbouring blocks may share a line."""
+    found = islands(lines, flag, gap, by, place)
+    last = lines.groupBy(by).agg(F.max(place).alias("__last"))
+    ranges = found.join(last, by).select(by, "block", F.col("rows").alias("structured"), F.greatest(F.lit(0), F.col("first") - margin).alias("start"), F.least("__last", F.col("last") + margin).alias("end"))
+    inside = ranges.select("*", F.explode(F.sequence("start", "end")).alias(place)).join(lines.select(by, place, F.coalesce(line, F.lit("")).alias("line")), [by, place])
+    cells = F.filter(F.transform(F.split(trimmed(F.col("line")), splitter), trimmed), lambda c: c != "")
+    compact = lambda c: F.length(F.regexp_replace(c, r"\s+", ""))
+    rows = inside.withColumn("cells", cells).withColumn("n", F.size("cells")).withColumn("multi", F.col("n") >= 2)
+    key = [by, "block"]
+    sizes = rows.where("multi").groupBy(*key, "n").agg(F.count(F.lit(1)).alias("times"), F.min(place).alias("first"))
+    modal = sizes.groupBy(*key).agg(F.max(F.struct("times", (-F.col("first")).alias("f"), "n")).alias("m"))
+    g = rows.groupBy(*key, "start", "end", "structured").agg(
+        F.count(F.lit(1)).alias("row_count"),
+        F.count_if("multi").alias("multi"),
+        F.count_if(F.col("line").rlike(r"\d")).alias("numeric"),
+        F.sum(compact(F.col("line"))).alias("all"),
+        F.sum(F.when(F.col("multi"), compact(F.array_join("cells", ""))).otherwise(0)).alias("kept"),
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("multi"), F.struct(place, "cells")))), lambda r: r["cells"]).alias("table_rows"),
+    )
+    g = g.where("row_count >= 3 AND multi >= 2").join(modal, key)
+    ratio = {"consistent": F.col("m.times") / F.col("multi"), "multi_ratio": F.col("multi") / F.col("row_count"), "numeric_ratio": F.col("numeric") / F.col("row_count")}
+    terms = {"multi": F.col("multi"), "modal": F.col("m.n"), **ratio, "structured": F.col("structured")}
+    score = F.round(sum((terms[k] * w for k, w in BLOCK_WEIGHTS.items()), F.lit(0.0)), 2)
+    recovered = F.when(F.col("all") > 0, F.round(F.col("kept") * 100.0 / F.col("all"), 2)).otherwise(0.0)
+    return g.withColumn("block_score", score).where(F.col("block_score") >= least).select(
+        by, "block", (F.col("start") + 1).alias("start_line"), (F.col("end") + 1).alias("end_line"), "row_count", F.col("structured").alias("structured_row_count"), F.col("m.n").alias("modal_column_count"),
+        *[F.round(ratio[k], 2).alias(n) for k, n in (("consistent", "consistent_row_ratio"), ("multi_ratio", "multi_column_row_ratio"), ("numeric_ratio", "numeric_row_ratio"))],
+        "block_score", recovered.alias("text_recovery_percent"), "table_rows",
+    )
+
+
 def document_priority(structure: Column, keywords: Column, complexity: Column, forms: Column) -> Column:
     return F.round(0.5 * structure + 0.4 * keywords + 0.1 * complexity - 0.2 * forms, 4)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import cell_values, char_ngrams, tokens
@@ -110,3 +111,23 @@ def _(s, d):
 def _(s, d):
     n = F.col("n_chars")
     return table(s, d, "documents").select("doc_id", V.evidence_source(n / 10000.0, n > 3000, n > 1000).alias("e")).select("doc_id", "e.*")
+
+
+PAGES = f"""t AS (SELECT conv_id, turn AS t, text, split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) AS parent FROM conversations WHERE role = 'user'),
+q AS (SELECT conv_id, t, parent, CASE WHEN len(list_distinct({WORDS.format(t='parent')})) >= 3 THEN list_distinct({WORDS.format(t='parent')}) ELSE list_distinct(list_concat({WORDS.format(t='parent')}, {WORDS.format(t='text')}[1:16])) END AS q FROM t),
+p AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS page, text FROM conversations WHERE role <> 'user'),
+s AS (SELECT conv_id, t, page, round(i / len(q)::DOUBLE + CASE WHEN parent <> '' AND contains(text, parent) THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END, 6) AS score FROM (SELECT *, len(list_intersect(q, list_distinct({WORDS.format(t='text')}))) AS i FROM q JOIN p USING (conv_id)) WHERE i > 0)"""
+
+
+@query(
+    "target_pages",
+    f"WITH {PAGES}, c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, t ORDER BY score DESC, page) AS rn FROM s WHERE score >= 0.12) WHERE rn <= 2), l AS (SELECT conv_id, max(page) AS last FROM p GROUP BY conv_id) SELECT DISTINCT conv_id, unnest(range(greatest(1, page - 1), least(last, page + 1) + 1)) AS page FROM c JOIN l USING (conv_id) UNION ALL SELECT conv_id, unnest(range(1, least(last, 8) + 1)) FROM l WHERE conv_id NOT IN (SELECT conv_id FROM s WHERE score >= 0.12)",
+)
+def _(s, d):
+    """Pages to look at for each table: a conversation is a document, its answers the pages and its questions the tables."""
+    c = table(s, d, "conversations")
+    word = lambda n: F.split_part(F.col("text"), F.lit(" "), F.lit(n))
+    t = c.where("role = 'user'").select("conv_id", F.col("turn").alias("t"), F.concat_ws(" ", word(1), word(2)).alias("parent"), F.col("text").alias("structural"))
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long")
+    p = c.where("role <> 'user'").select("conv_id", place.alias("page"), "text")
+    return V.target_pages(V.score_pages(t, p, "conv_id", "t", "page", tokens, least=0.12), p, "conv_id", "t", "page")

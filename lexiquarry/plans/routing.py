@@ -110,3 +110,29 @@ def _(s, d):
 @query("review_buckets", "SELECT source, doc_id, rn FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rn FROM documents) WHERE rn <= 8")
 def _(s, d):
     return R.top_per_bucket(docs(s, d), "source", [F.desc("n_chars"), F.asc("doc_id")], 8).select("source", "doc_id", F.col("rn").cast("long").alias("rn"))
+
+
+BLOCKS = r"""l AS (SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, line, contains(line, ' | ') AS flag FROM {lines}), h AS (SELECT doc_id, line_no, CASE WHEN line_no - lag(line_no) OVER (PARTITION BY doc_id ORDER BY line_no) <= 2 THEN 0 ELSE 1 END AS s FROM l WHERE flag),
+b AS (SELECT doc_id, block, min(line_no) AS f, max(line_no) AS t, count(*) AS structured FROM (SELECT *, sum(s) OVER (PARTITION BY doc_id ORDER BY line_no) AS block FROM h) GROUP BY ALL),
+r AS (SELECT b.*, greatest(0, f - 1) AS a, least((SELECT max(line_no) FROM l WHERE l.doc_id = b.doc_id), t + 1) AS z FROM b),
+x AS (SELECT r.*, l.line_no, line, list_filter(list_transform(string_split(regexp_replace(line, '^\s+|\s+$', '', 'g'), ' | '), lambda c: regexp_replace(c, '^\s+|\s+$', '', 'g')), lambda c: c <> '') AS cells FROM r JOIN l ON l.doc_id = r.doc_id AND l.line_no BETWEEN a AND z),
+m AS (SELECT doc_id, block, len(cells) AS n, count(*) AS times, min(line_no) AS first FROM x WHERE len(cells) >= 2 GROUP BY ALL), k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, block ORDER BY times DESC, first) AS rn FROM m) WHERE rn = 1),
+g AS (SELECT doc_id, block, a, z, structured, count(*) AS row_count, count_if(len(cells) >= 2) AS multi, count_if(regexp_matches(line, '\d')) AS numeric, sum(length(regexp_replace(line, '\s+', '', 'g'))) AS whole, sum(CASE WHEN len(cells) >= 2 THEN length(regexp_replace(array_to_string(cells, ''), '\s+', '', 'g')) ELSE 0 END) AS kept, md5(string_agg(CASE WHEN len(cells) >= 2 THEN array_to_string(cells, '|') END, chr(10) ORDER BY line_no)) AS body FROM x GROUP BY ALL),
+s AS (SELECT *, round(multi * 1.5::DOUBLE + n + times / multi::DOUBLE * 4 + multi / row_count::DOUBLE * 3 + numeric / row_count::DOUBLE * 1.5::DOUBLE + structured * 0.3::DOUBLE, 2) AS block_score FROM g JOIN k USING (doc_id, block) WHERE row_count >= 3 AND multi >= 2)
+SELECT doc_id, CAST(block AS BIGINT) AS block, a + 1 AS start_line, z + 1 AS end_line, row_count, structured AS structured_row_count, n AS modal_column_count, round(times / multi::DOUBLE, 2) AS consistent_row_ratio, round(multi / row_count::DOUBLE, 2) AS multi_column_row_ratio, round(numeric / row_count::DOUBLE, 2) AS numeric_row_ratio, block_score, CASE WHEN whole > 0 THEN round(kept * 100.0::DOUBLE / whole, 2) ELSE 0.0::DOUBLE END AS text_recovery_percent, body FROM s WHERE block_score >= 10"""
+
+
+@query("table_blocks", "WITH " + BLOCKS.replace("{lines}", LINES))
+def _(s, d):
+    """Blocks of lines of all documents with a bar as the sign of a row."""
+    found = R.table_blocks(K.lines(docs(s, d)), F.col("line").contains(" | "), splitter=r" \| ")
+    body = F.md5(F.array_join(F.transform("table_rows", lambda r: F.array_join(r, "|")), "\n").cast("binary"))
+    return found.withColumn("body", body).drop("table_rows")
+
+
+@query("structured_lines", r"""SELECT doc_id, count_if(hit) AS n, coalesce(string_agg(CASE WHEN hit THEN CAST(line_no AS VARCHAR) END, ',' ORDER BY line_no), '') AS line_numbers FROM (SELECT doc_id, line_no, columns OR numbers OR listing OR (length(t) >= 6 AND len(list_filter(string_split_regex(t, '[ \t]{2,}'), lambda x: x <> '')) >= 3 AND len(list_filter(string_split_regex(t, '[ \t]{2,}'), lambda x: x <> '' AND length(x) <= 12)) >= 3) AS hit FROM (SELECT doc_id, line_no, t, {flags} FROM (SELECT doc_id, line_no, regexp_replace(line, '^\s+|\s+$', '', 'g') AS t FROM {lines}))) GROUP BY doc_id""".replace("{flags}", FLAGS).replace("{lines}", LINES))
+def _(s, d):
+    """The numbers of the lines of each document that look like rows of a table."""
+    rows = K.lines(docs(s, d)).withColumn("hit", F.coalesce(R.looks_structured(F.col("line")), F.lit(False)))
+    numbers = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("hit"), F.col("line_no")))), lambda x: x.cast("string")), ",")
+    return rows.groupBy("doc_id").agg(F.count_if("hit").alias("n"), numbers.alias("line_numbers"))
