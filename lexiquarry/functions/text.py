@@ -11,12 +11,27 @@ from pyspark.sql import functions as F
 from .. import lexicon
 
 SPACE = r"\s+"
+#: Inside a character class: all white space of Unicode and the separators that count as such, and the ends of lines.
+WHITE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LINE_ENDS = r"\r\n|[\n-\r\x1c-\x1e\x85\u2028\u2029]"
+#: Inside a character class: decimal digits, and the superscript, circled, bracketed and dotted ones.
+DIGITS = r"\p{Nd}\u00b2\u00b3\u00b9\u2070\u2074-\u2079\u2080-\u2089\u2460-\u2468\u2474-\u247c\u2488-\u2490\u24ea\u24f5-\u24fd\u24ff\u2776-\u277e\u2780-\u2788\u278a-\u2792"
 
 
 def trimmed(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
+def stripped(c: Column) -> Column:
+    """Without white space of any script at either end."""
+    return F.regexp_replace(c, f"^[{WHITE}]+|[{WHITE}]+$", "")
+
+
+def text_lines(c: Column) -> Column:
+    """Lines that are not blank, stripped; every line end of Unicode counts."""
+    return F.filter(F.transform(F.split(c, LINE_ENDS), stripped), lambda x: x != "")
+
+
 def normalize_text(c: Column) -> Column:
     """Line ends as LF; no white space at either end."""
     return trimmed(F.regexp_replace(c, r"\r\n|\r", "\n"))

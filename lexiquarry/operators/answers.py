@@ -24,6 +24,8 @@ EVAL_CUES = (
 REASON_CUES = r"(목적|배경|이유|역할|어떻게|연계|한계|해결)"
 PAIR_LABELS = ((("정량", "정량평가"), ("정성", "정성평가")), (("기술", "기술평가"), ("가격", "가격평가")))
 NUMBER = r"[-+]?\d+(?:\.\d+)?"
+UNIT = r"(?:점|%|원|일|개|명|부|건|곳|종)?"
+LEADING_MARK = r"^(보기|정답[은:]?|답[은:]?)\s*"
 
 
 def constrained(answer: Column, eval_type: Column) -> Column:
@@ -45,7 +47,7 @@ def map_choice(answer: Column, choices: Column, text_of=lambda c: c) -> Column:
     """The choice that an answer names: by number, by its whole text, after a number and a dot, or by the earliest mention that no
     negation follows within ten characters; else the answer itself."""
     said = X.trimmed(F.coalesce(answer, F.lit("")))
-    short = F.trim(F.regexp_replace(said, r"^(보기|정답[은:]?|답[은:]?)\s*", ""))
+    short = F.trim(F.regexp_replace(said, LEADING_MARK, ""))
     place = lambda c: F.coalesce(*[F.when(c.isin(*names), i + 1) for i, names in enumerate(CHOICE_NAMES)])
     by_number = F.coalesce(*[F.try_element_at(choices, place(c)) for c in (short, said)])
     squeeze = lambda c: F.regexp_replace(c, r"\s", "")
@@ -111,7 +113,7 @@ def slot_pair(question: Column, answer: Column) -> Column:
     for cond, (a, b) in labels:
         left, right = F.when(cond & ~before, after(a)).otherwise(left), F.when(cond & ~before, after(b)).otherwise(right)
         before = before | cond
-    pair = rf"({NUMBER})\s*(?:점|%|원|일|개|명|부|건|곳|종)?\s*[/,]\s*({NUMBER})"
+    pair = rf"({NUMBER})\s*{UNIT}\s*[/,]\s*({NUMBER})"
     x, y = (F.regexp_extract(t, pair, k).try_cast("double") for k in (1, 2))
     both = left.isNotNull() & right.isNotNull()
     how = F.when(both, "label_aware_pair").when(x.isNotNull(), "explicit_pair_pattern").otherwise("slot_pair_extract_fail")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import DIGITS, WHITE, text_lines
+
 # Words of contents pages, covers, data tables and table headers, groups of headers and of fields.
 TOC_WORDS = ("목차", "차례", "추진개요", "추진방안", "추진내용", "입찰관련사항", "제안요청내용", "제안서작성요령", "별지서식", "붙임")
 COVER_WORDS = ("제안요청서", "제안서", "용역사업", "사업명", "사업개요", "재단", "협회", "공사", "대학교", "주식회사")
@@ -63,7 +65,7 @@ OCR_BONUS = {
 
 
 def compact(c: Column) -> Column:
-    return F.regexp_replace(c, r"[\x1f\s]", "")
+    return F.regexp_replace(c, f"[{WHITE}]", "")
 
 
 def _squeeze(word: str) -> str:
@@ -86,7 +88,7 @@ def _any(c: Column, words: Sequence[str]) -> Column:
 def block_features(blocks: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``f``, a struct of what later rules ask about a table's text: word hits and kinds of lines."""
     t = F.coalesce(F.col(text), F.lit(""))
-    lines = F.filter(F.transform(F.split(t, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    lines = text_lines(t)
     rows = blocks.withColumn("__t", F.struct(t.alias("t"), compact(t).alias("c"), lines.alias("l")))
     t, c, lines = F.col("__t.t"), F.col("__t.c"), F.col("__t.l")
     hits = lambda words: sum((F.greatest(occurrences(t, w), occurrences(c, _squeeze(w))) for w in words), F.lit(0))
@@ -103,7 +105,7 @@ def block_features(blocks: DataFrame, text: str = "text") -> DataFrame:
         _any(compact(F.array_join(F.slice(lines, 1, 3), "")), STACKED_LABELS).alias("stacked"),
         F.size(lines).alias("lines"),
         count(lambda x: x.rlike(OUTLINE)).alias("outline"),
-        count(lambda x: x.rlike(r"\p{Nd}")).alias("numeric"),
+        count(lambda x: x.rlike(f"[{DIGITS}]")).alias("numeric"),
         count(lambda x: x.rlike(BULLETS)).alias("bullets"),
         count(lambda x: F.length(x) >= 40).alias("long"),
         count(lambda x: F.length(x) <= 12).alias("short"),

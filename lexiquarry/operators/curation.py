@@ -78,15 +78,21 @@ def first_of_key(rows: DataFrame, signature: Column, key: str) -> DataFrame:
     return rows.withColumn("signature", signature).join(first, "signature").withColumn("duplicate", F.col(key) != F.col("first"))
 
 
+def even_text(c: Column) -> Column:
+    """Lower case, one space between words."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"\s+", " "))
+
+
 def sequence_ratio(a: Column, b: Column) -> Column:
-    """Twice the matched characters over all characters, with the longest-block matching of difflib; not an edit distance."""
+    """Twice the matched characters over all characters, with the longest-block matching of difflib; not an edit distance. Texts
+    are compared in lower case with one space between words."""
 
     @F.pandas_udf("double")
     def ratio(it: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for x, y in it:
             yield pd.Series([difflib.SequenceMatcher(None, p or "", q or "").ratio() for p, q in zip(x, y, strict=True)])
 
-    return ratio(a, b)
+    return ratio(even_text(a), even_text(b))
 
 
 def ngram_pairs(rows: DataFrame, key: str, grams: Column, least: float) -> DataFrame:

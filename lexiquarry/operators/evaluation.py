@@ -15,8 +15,13 @@ from .ranking import names_match
 
 def exact_mean(c: Column, digits: int = 4) -> Column:
     """The mean of values, each taken to six digits, rounded half up to ``digits`` from whole numbers: one result on every
-    engine and in any order of the rows."""
-    total, n = F.sum(F.round(c * 1_000_000).cast("decimal(38,0)")), F.count(c)
+    engine and in any order of the rows. High and low parts are summed as longs, so no sum of rows overflows; only the
+    result of a group is a decimal."""
+    scaled = c * 1_000_000
+    v = (F.signum(scaled) * F.floor(F.abs(scaled) + 0.5)).cast("long")
+    high, low = F.sum(F.shiftright(v, 20)), F.sum(v.bitwiseAND(F.lit((1 << 20) - 1).cast("long")))
+    total = (high.cast("decimal(38,0)") * (1 << 20) + low.cast("decimal(38,0)")).cast("decimal(38,0)")
+    n = F.count(c)
     step = 10 ** (6 - digits)
     twice, unit = (total * 2 + n * step).cast("decimal(38,0)"), (n * (2 * step)).cast("decimal(38,0)")
     whole = (twice - F.pmod(twice, unit)) / unit  # without a remainder, so exact
@@ -227,12 +232,11 @@ def group_hits(candidates: DataFrame, kind: str, hits: str, review: str = "final
 
 
 def variant_deltas(metrics: DataFrame, variant: str, names: Sequence[str], bases: dict[str, str]) -> DataFrame:
-    """A row per variant with its metrics and, for each base variant (name to suffix), the rounded difference from it."""
-    out = metrics
-    for base, suffix in bases.items():
-        one = metrics.where(F.col(variant) == base).select(*[F.col(m).alias(f"__{m}") for m in names])  # one row
-        out = out.crossJoin(F.broadcast(one)).select(*out.columns, *[F.round(F.col(m) - F.col(f"__{m}"), 4).alias(f"delta_{m}_{suffix}") for m in names])
-    return out
+    """A row per variant with its metrics and, for each base variant (name to suffix), the rounded difference from it; null
+    where the base is absent."""
+    of = [F.max(F.when(F.col(variant) == base, F.col(m))).alias(f"__{m}_{suffix}") for base, suffix in bases.items() for m in names]
+    out = metrics.crossJoin(F.broadcast(metrics.agg(*of)))  # one row, whatever is there
+    return out.select(*metrics.columns, *[F.round(F.col(m) - F.col(f"__{m}_{suffix}"), 4).alias(f"delta_{m}_{suffix}") for suffix in bases.values() for m in names])
 
 
 def ids_by_group(rows: DataFrame, key: str, label: str, groups: Sequence[str]) -> DataFrame:

@@ -12,11 +12,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .answers import slot_pair
 
+# Addresses, words around a choice that negate it, and how an answer gives the number of a choice.
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 URL = r"(?i)(https?://[^\s]+|www\.[^\s]+)"
-#: Words around a choice that negate it.
 NEGATION = r"(아닌|아니|말고|제외|아님)"
+LEADING_NUMBER = r"^\s*(?:정답\s*[:：]?\s*|답\s*[:：]?\s*)?([1-9])\s*(?:번|\.|\)|$)"
+LABELLED_NUMBER = r"(?:정답|답|보기)\s*[:：]?\s*([1-9])\s*(?:번|\.|\)|$)"
 
 
 def sentence_scores(answers: DataFrame, key: str, answer: str, question: str, cues: Sequence[tuple[str, float]] = (), length_penalty: float = 0.002) -> DataFrame:
@@ -42,10 +45,13 @@ def choice_signal(answer: Column, choices: Column) -> Column:
     """struct(index, text, hits): the number an answer gives, and the choices it names without negation nearby."""
     low = F.lower(X.trimmed(F.coalesce(answer, F.lit(""))))
     number = lambda p: F.nullif(F.regexp_extract(low, p, 1), F.lit("")).try_cast("int")
-    index = F.coalesce(number(r"^\s*(?:정답\s*[:：]?\s*|답\s*[:：]?\s*)?([1-9])\s*(?:번|\.|\)|$)"), number(r"(?:정답|답|보기)\s*[:：]?\s*([1-9])\s*(?:번|\.|\)|$)"))
+    index = F.coalesce(number(LEADING_NUMBER), number(LABELLED_NUMBER))
     # a choice is named if some occurrence has no negation within 6 characters before and 10 after
     quoted = lambda x: F.concat(F.lit(r"\Q"), F.replace(choice_text(x), F.lit(r"\E"), F.lit("")), F.lit(r"\E"))
-    around = lambda x: F.regexp_extract_all(answer, F.concat(F.lit("(?s)(.{0,6}"), quoted(x), F.lit(".{0,10})")), F.lit(1))
+    # looked around, not consumed, so that a mention does not swallow the next one
+    pattern = lambda x: F.concat(F.lit("(?s)(?<=(^.{0,5}|.{6}))"), quoted(x), F.lit("(?=(.{0,10}))"))
+    side = lambda x, k: F.regexp_extract_all(answer, pattern(x), F.lit(k))
+    around = lambda x: F.zip_with(side(x, 1), side(x, 2), lambda a, b: F.concat(a, choice_text(x), b))
     named = lambda x: (choice_text(x) != "") & F.exists(around(x), lambda w: ~w.rlike(NEGATION))
     hits = F.filter(F.transform(choices, lambda x, i: F.struct((i + 1).alias("i"), choice_text(x).alias("t"), named(x).alias("ok"))), lambda h: h["ok"])
     one = F.size(hits) == 1
@@ -62,6 +68,10 @@ def number_pair(c: Column) -> Column:
 
 def grade(rows: DataFrame, mined: Column | None = None) -> DataFrame:
     """Adds strict, tolerant, partial and error_reason."""
+    # the pair and the choice are columns of their own, evaluated once
+    own = slot_pair(F.col("question"), F.col("answer"))
+    two = lambda p: F.when(p["a"].isNotNull() & p["b"].isNotNull(), F.array(p["a"], p["b"]))
+    rows = rows.withColumn("__own", own).withColumn("__signal", choice_signal(F.coalesce("answer", F.lit("")), F.coalesce("choices", F.array().cast("array<string>"))))
     raw = F.coalesce(F.col("answer"), F.lit(""))
     phrase = raw if mined is None else F.coalesce(mined, raw)
     wanted = F.array_compact(F.concat(F.array("canonical"), F.coalesce("aliases", F.array().cast("array<string>"))))
@@ -76,13 +86,13 @@ def grade(rows: DataFrame, mined: Column | None = None) -> DataFrame:
     date = F.coalesce(F.nullif(X.date_key(phrase), F.lit("")), X.date_key(raw))
     duration = F.coalesce(F.nullif(X.duration_key(phrase), F.lit("")), X.duration_key(raw))
     bare = lambda c: F.regexp_replace(c, "^계약일로부터", "")
-    signal = choice_signal(raw, F.coalesce("choices", F.array().cast("array<string>")))
+    signal = F.col("__signal")
     expected_choice = F.coalesce(choice_text(F.try_element_at("choices", F.col("choice_index"))), F.col("canonical"))
     right_index = F.coalesce(signal["index"] == F.col("choice_index"), F.lit(False))
     right_text = (X.compare_key(expected_choice) != "") & (X.compare_key(expected_choice) == X.compare_key(signal["text"]))
     want_items, got_items = F.array_distinct(X.list_items(F.col("canonical"))), F.array_distinct(X.list_items(raw))
     hit = F.size(F.array_intersect(want_items, got_items))
-    pair, want_pair = number_pair(raw), number_pair(F.col("canonical"))
+    pair, want_pair = two(F.col("__own")), number_pair(F.col("canonical"))
     same_pair = F.coalesce(pair == want_pair, F.lit(False))
     pair_hits = F.coalesce(F.size(F.array_intersect(pair, want_pair)), F.lit(0))
 
@@ -112,7 +122,7 @@ def grade(rows: DataFrame, mined: Column | None = None) -> DataFrame:
     share = F.when(t == "list_set", F.round(hit / F.greatest(F.size(want_items), F.lit(1)), 4)).when(t == "slot_pair", F.round(pair_hits / 2.0, 4)).otherwise(0.0)
     rows = rows.withColumn("partial", F.when(F.col("strict") | (F.col("tolerant") & (share <= 0)), 1.0).otherwise(share))
     reason = F.when(F.col("strict"), "ok").when(F.col("tolerant"), F.when(t.isin("list_set", "free_string"), "extra_explanation").otherwise("formatting_only")).when(F.col("partial") > 0, "partial_list").when(~F.col("found"), "extraction_fail").otherwise("wrong_value")
-    return rows.withColumn("error_reason", reason).drop("found")
+    return rows.withColumn("error_reason", reason).drop("found", "__own", "__signal")
 
 
 def grade_basic(answer: Column, expected: Column) -> Column:

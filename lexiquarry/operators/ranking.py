@@ -186,7 +186,8 @@ def type_gated(rows: DataFrame, k: int, answer_type: Column, generic: Column | N
     kind = F.lower("chunk_type")
     pair, structured = kind.isin(*PAIR_TYPES), kind.isin(*STRUCTURED_TYPES)
     doc = Window.partitionBy("query_id", document_name(F.col("file_name")))
-    support = F.max(pair | (F.coalesce("pairing_score", F.lit(0.0)) >= 0.25)).over(doc)
+    # rows without a document name lend each other no support
+    support = (document_name(F.coalesce("file_name", F.lit(""))) != "") & F.max(pair | (F.coalesce("pairing_score", F.lit(0.0)) >= 0.25)).over(doc)
     factual = pick(kind, FACTUAL_PRIORITY) + F.when(structured, 0.0015).otherwise(0.0) - F.when(kind == "", 0.0015).otherwise(0.0) - F.when(generic, generic_penalty).otherwise(0.0)
     plus = pick(kind, PLUS_TEXT_PRIORITY) + F.when(structured, 0.0012).otherwise(0.0) - F.when((kind == "table_true_ocr_v2") & ~support, 0.003).otherwise(0.0) + F.when(pair, 0.001).otherwise(0.0)
     is_plus = (answer_type == "table_plus_text") & F.max(structured).over(per_query())

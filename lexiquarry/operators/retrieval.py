@@ -37,7 +37,7 @@ def term_counts(terms: Column) -> Column:
     end = lambda a, s, j: F.when(j + 1 < F.size(s), s[j + 1]).otherwise(F.size(a) + 1)
     pairs = lambda a, s: F.transform(s, lambda i, j: F.struct(F.element_at(a, i).alias("term"), (end(a, s, j) - i).alias("tf")))
     # transform over one element binds the sorted array, and then the starts of its runs, once
-    once = F.flatten(F.transform(F.array(F.array_sort(terms)), lambda a: F.flatten(F.transform(F.array(runs(a)), lambda s: pairs(a, s)))))
+    once = F.flatten(F.transform(F.array(F.sort_array(terms)), lambda a: F.flatten(F.transform(F.array(runs(a)), lambda s: pairs(a, s)))))
     return F.when(F.size(terms) > 0, once)
 
 
@@ -55,7 +55,7 @@ class Bm25:
         counted = chunks.select("chunk_id", *keep, F.transform(F.array(terms), lambda t: F.struct(F.size(t).alias("dl"), term_counts(t).alias("counts")))[0].alias("t"))
         self.docs = counted.select("chunk_id", *keep, "t.*").checkpoint()
         self.totals = self.docs.agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("total"))
-        df = self.docs.select(F.explode("counts.term").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        df = self.docs.select(F.explode("counts.term").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).checkpoint()
         idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
         raw = df.crossJoin(F.broadcast(self.totals)).withColumn("raw", idf)  # one row of totals
         floor = raw.agg((F.sum("raw") / F.count("raw") * epsilon).alias("floor"))

@@ -1,4 +1,5 @@
-"""Queries on answers, search modes and coverage. Golden cases are worked out by hand and stand as VALUES in the SQL."""
+"""Queries on answers, search modes and coverage. Golden cases are worked out by hand: an order line's number of its order picks the
+case, its quantity or its part's number stands in the text, and VALUES with the same number stand in the SQL."""
 
 from __future__ import annotations
 
@@ -12,21 +13,39 @@ from .evaluation import mean_sql
 from .search import as_long, asked20, lexical, questions, vectors
 
 
-def golden(rows, columns: str) -> str:
-    """SQL of (id, columns...) from values."""
+def golden(rows, columns: str, source: str = "lineitem") -> str:
+    """SQL of (the line's key, columns...) from values, {n} in a text being the line's part."""
     one = lambda v: "NULL" if v is None else f"{v}::DOUBLE" if isinstance(v, float) else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else "'" + str(v).replace("'", "''") + "'"
-    return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join([str(i), *map(one, r)]) + ")" for i, r in enumerate(rows)) + f") t(id, {columns})"
+    names = columns.split(", ")
+    kinds = [next((type(r[i]) for r in rows if r[i] is not None), str) for i in range(len(names))]
+    values = ", ".join("(" + ", ".join([str(i), *map(one, r)]) + ")" for i, r in enumerate(rows))
+    made = ", ".join(f"replace({c}, '{{n}}', CAST(l_partkey + 100 AS VARCHAR)) AS {c}" if k is str else f"CASE WHEN {c} = -1 THEN CAST(l_partkey + 100 AS DOUBLE) ELSE {c} END AS {c}" for c, k in zip(names, kinds, strict=True))
+    return f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {made} FROM lineitem JOIN (VALUES {values}) t(id, {columns}) ON (l_orderkey + l_linenumber) % {len(rows)} = id"
+
+
+def cases(s, d, rows, columns: str):
+    """Each order line with its case: columns are strings or arrays of them, {n} being the line's part."""
+    n = (F.col("l_partkey") + 100).cast("string")
+    fill = lambda v: F.lit(None).cast("string") if v is None else F.array(*map(F.lit, v)) if isinstance(v, list) else F.lit(v)
+    made = F.array(*[F.struct(*[fill(v).alias(c) for c, v in zip(columns.split(", "), r, strict=True)]) for r in rows])
+    at = ((F.col("l_orderkey") + F.col("l_linenumber")) % len(rows) + 1).cast("int")
+    df = table(s, d, "lineitem").select(*LINE_KEY, F.element_at(made, at).alias("case"))
+    first = rows[0]
+    return df.select(*LINE_KEY, *[F.col(f"case.{c}").alias(c) if isinstance(v, list) else F.replace(F.col(f"case.{c}"), F.lit("{n}"), n).alias(c) for c, v in zip(columns.split(", "), first, strict=True)])
+
+
+LINE_KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
 # (answer, type) -> constrained form
 CONSTRAINED = [
     ("- 2) 제한경쟁입찰\n설명", "choice", "제한경쟁입찰"),
     ("답: 일반경쟁", "choice", "일반경쟁"),
-    ("총 1,200만원 입니다", "currency", "1,200만원"),
+    ("총 {n}만원 입니다", "currency", "{n}만원"),
     ("기간은 2025-03-01 부터", "date", "2025-03-01"),
-    ("정량 80점, 정성 20점", "slot_pair", "80, 20"),
-    ("서버;저장소 ,망", "list_set", "서버, 저장소, 망"),
-    ("* 그냥 글 *", "free_string", "그냥 글"),
+    ("정량 {n}점, 정성 20점", "slot_pair", "{n}, 20"),
+    ("서버;저장소 {n} ,망", "list_set", "서버, 저장소 {n}, 망"),
+    ("* 그냥 글 {n} *", "free_string", "그냥 글 {n}"),
     ("", "number", ""),
     ("없음", "number", "없음"),
 ]
@@ -34,8 +53,8 @@ CONSTRAINED = [
 
 @query("constrained_answer", golden([(c,) for _, _, c in CONSTRAINED], "form"))
 def _(s, d):
-    rows = s.createDataFrame([(i, a, k) for i, (a, k, _) in enumerate(CONSTRAINED)], "id int, answer string, kind string")
-    return rows.select("id", A.constrained(F.col("answer"), F.col("kind")).alias("form"))
+    rows = cases(s, d, [c[:2] for c in CONSTRAINED], "answer, kind")
+    return rows.select(*LINE_KEY, A.constrained(F.col("answer"), F.col("kind")).alias("form"))
 
 
 CHOICES = ["일반경쟁입찰", "제한경쟁입찰", "M+5", "90%, 10%"]
@@ -48,23 +67,23 @@ MAPPED = [
     ("답은 일반경쟁입찰이 아닌 제한경쟁입찰입니다.", "제한경쟁입찰"),
     ("제한경쟁입찰 또는 일반경쟁입찰", "제한경쟁입찰"),
     ("비율은 90%/10% 이다", "90%, 10%"),
-    ("모름", "모름"),
+    ("모름 {n}", "모름 {n}"),
     ("", ""),
 ]
 
 
 @query("choice_map", golden([(c,) for _, c in MAPPED], "choice"))
 def _(s, d):
-    rows = s.createDataFrame([(i, a, CHOICES) for i, (a, _) in enumerate(MAPPED)], "id int, answer string, choices array<string>")
-    return rows.select("id", A.map_choice(F.col("answer"), F.col("choices")).alias("choice"))
+    rows = cases(s, d, [(a, CHOICES) for a, _ in MAPPED], "answer, choices")
+    return rows.select(*LINE_KEY, A.map_choice(F.col("answer"), F.col("choices")).alias("choice"))
 
 
 PAIRS = [
-    ("정량과 정성 비율은?", "정량 20점, 정성 80점", 20.0, 80.0, "label_aware_pair"),
+    ("정량과 정성 비율은?", "정량 {n}점, 정성 80점", -1.0, 80.0, "label_aware_pair"),
     ("정량과 정성 비율은?", "정성은 80이고 정량은 20", 20.0, 80.0, "label_aware_pair"),
     ("기술과 가격 배점은?", "1. 기술평가 90%\n2. 가격평가 10%", 90.0, 10.0, "label_aware_pair"),
     ("각각 얼마인가?", "전 3.5 후 4", 3.5, 4.0, "label_aware_pair"),
-    ("비율은?", "80/20 입니다", 80.0, 20.0, "explicit_pair_pattern"),
+    ("비율은?", "80/{n} 입니다", 80.0, -1.0, "explicit_pair_pattern"),
     ("비율은?", "80점, 20점", 80.0, 20.0, "explicit_pair_pattern"),
     ("비율은?", "80 그리고 20", None, None, "slot_pair_extract_fail"),
 ]
@@ -72,8 +91,8 @@ PAIRS = [
 
 @query("slot_pairs", golden([p[2:] for p in PAIRS], "a, b, how"))
 def _(s, d):
-    rows = s.createDataFrame([(i, q, a) for i, (q, a, *_) in enumerate(PAIRS)], "id int, question string, answer string")
-    return rows.select("id", A.slot_pair(F.col("question"), F.col("answer")).alias("p")).select("id", "p.*")
+    rows = cases(s, d, [p[:2] for p in PAIRS], "question, answer")
+    return rows.select(*LINE_KEY, A.slot_pair(F.col("question"), F.col("answer")).alias("p")).select(*LINE_KEY, "p.*")
 
 
 GUESSES = [
@@ -89,8 +108,8 @@ GUESSES = [
 
 @query("type_guesses", golden([g[3:] for g in GUESSES], "chat, eval, judge"))
 def _(s, d):
-    rows = s.createDataFrame([(i, q, e, j) for i, (q, e, j, *_) in enumerate(GUESSES)], "id int, question string, eval_type string, judge_type string")
-    return rows.select("id", A.guess_type(F.col("question")).alias("chat"), A.guess_eval_type(F.col("question"), F.col("eval_type")).alias("eval"), A.judge_answer_type(F.col("judge_type")).alias("judge"))
+    rows = cases(s, d, [(f"{{n}} {q}", e, j) for q, e, j, *_ in GUESSES], "question, eval_type, judge_type")
+    return rows.select(*LINE_KEY, A.guess_type(F.col("question")).alias("chat"), A.guess_eval_type(F.col("question"), F.col("eval_type")).alias("eval"), A.judge_answer_type(F.col("judge_type")).alias("judge"))
 
 
 OVERRIDE = "CASE WHEN doc_id % 3 = 0 THEN 'Comparison ' WHEN doc_id % 3 = 1 THEN '' END"
@@ -264,12 +283,11 @@ def _(s, d):
     return S.question_rows(rows).select("question_id", "question_index", "turn_index", F.array_join("depends_on_list", "|").alias("parents"))
 
 
-FILES = [("/a/b.HWP", "hwp", None), ("c.pdf", "pdf", None), ("/x.y/name", None, "Unsupported file format: unknown"), ("z.tar.gz", None, "Unsupported file format: .gz"), (".hwp", None, "Unsupported file format: unknown")]
+FILES = [("/a/{n}.HWP", "hwp", None), ("c{n}.pdf", "pdf", None), ("/x.y/name{n}", None, "Unsupported file format: unknown"), ("z.tar.g{n}", None, "Unsupported file format: .g{n}"), (".hwp", None, "Unsupported file format: unknown")]
 
 
 @query("format_dispatch", golden([f[1:] for f in FILES], "format, error"))
 def _(s, d):
     from .. import sources as S
 
-    rows = s.createDataFrame([(i, f[0]) for i, f in enumerate(FILES)], "id int, path string")
-    return S.dispatch(rows).select("id", "format", "error")
+    return S.dispatch(cases(s, d, [f[:1] for f in FILES], "path")).select(*LINE_KEY, "format", "error")

@@ -1,5 +1,5 @@
-"""Queries on tables and images of documents. Texts are a fixture of blocks under every combination of row hints and
-paragraphs; sizes and scores come from lineitem."""
+"""Queries on tables and images of documents. A document's text stands behind one of a dozen Korean blocks, under every
+combination of row hints and paragraphs, as the given texts hold none; sizes and scores come from lineitem."""
 
 from __future__ import annotations
 
@@ -21,6 +21,8 @@ BLOCKS = (
     "사업개요 사업명 사업기간 소요예산\n계약방식",
     "plain words without a table",
     "",
+    "\u00a0목차\u3000\r1. 구분\x0b ①\u3000항목\u2028\t□\u00a0내용\r\n②\n③ 비고 수\u3000량\u00a0단가",
+    "\u3000○ 일정 ⑴\x1e\t○ 기간 ❷\u2029예\u00a0산 금\u3000액 ₃\x85합계 ⒋ ⑩",
 )
 ROWS, PARAGRAPHS = (0, 3, 5, 6, 8, 9), (2, 3, 4, 6)
 
@@ -41,16 +43,17 @@ def _held(ws) -> str:
     return f"len(list_filter({_words(ws)}, lambda k: contains(c, k)))"
 
 
-VALUES = ", ".join(f"({i}, '{b}')" for i, b in enumerate(BLOCKS))
+WHITE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+TIDY = f"regexp_replace(x, '^[{WHITE}]+|[{WHITE}]+$', '', 'g')"
+BEHIND = f"""SELECT doc_id AS id, [{', '.join("'" + b + "'" for b in BLOCKS)}][doc_id % {len(BLOCKS)} + 1] || chr(10) || replace(coalesce(text, ''), chr(10), ' ') AS text, {list(ROWS)}[doc_id // {len(BLOCKS)} % {len(ROWS)} + 1] AS r, {list(PARAGRAPHS)}[doc_id // {len(BLOCKS) * len(ROWS)} % {len(PARAGRAPHS)} + 1] AS p FROM documents"""
 GROUPS = "{" + ", ".join(f"'{k}': {_held(w)}" for k, w in A.FIELD_GROUPS.items()) + "}"
 ACTIVE = " + ".join(f"CAST(g.{k} > 0 AS INT)" for k in A.FIELD_GROUPS)
 TOTAL = " + ".join(f"g.{k}" for k in A.FIELD_GROUPS)
 STRONGEST = "greatest(" + ", ".join(f"g.{k}" for k in A.FIELD_GROUPS) + ")"
-FEATURES = f"""b AS (SELECT id, text, r, p, regexp_replace(text, '\\s', '', 'g') AS c, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l
- FROM (VALUES {VALUES}) b(id, text), (VALUES {', '.join(f'({x})' for x in ROWS)}) r(r), (VALUES {', '.join(f'({x})' for x in PARAGRAPHS)}) p(p)),
+FEATURES = f"""b AS (SELECT id, text, r, p, regexp_replace(text, '[{WHITE}]', '', 'g') AS c, list_filter(list_transform(string_split_regex(text, '\\r\\n|[\\n-\\r\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]'), lambda x: {TIDY}), lambda x: x <> '') AS l FROM ({BEHIND})),
 f AS (SELECT *, {GROUPS} AS g, {_hits(A.TOC_WORDS)} AS toc0, {_hits(A.COVER_WORDS)} AS cover0, {_hits(A.DATA_WORDS)} AS data0, {_held(A.HEADER_WORDS)} AS headers, greatest({', '.join(_held(g) for g in A.HEADER_GROUPS)}) AS hg,
- {_held(A.LABEL_WORDS)} AS labels, {_held(A.OVERVIEW_WORDS)} AS overview, len(list_filter({_raw(A.STACKED_LABELS)}, lambda k: contains(regexp_replace(array_to_string(l[1:3], ''), '\\s', '', 'g'), k))) > 0 AS stacked,
- len(list_filter(l, lambda x: regexp_matches(x, '^([ⅠⅡⅢⅣⅤ]|[1-9])\\.'))) AS outline, len(list_filter(l, lambda x: regexp_matches(x, '[0-9]'))) AS numeric_lines, len(list_filter(l, lambda x: x[1] IN ('□', '○', '-', '◈', '※', 'ㆍ'))) AS bullets,
+ {_held(A.LABEL_WORDS)} AS labels, {_held(A.OVERVIEW_WORDS)} AS overview, len(list_filter({_raw(A.STACKED_LABELS)}, lambda k: contains(regexp_replace(array_to_string(l[1:3], ''), '[{WHITE}]', '', 'g'), k))) > 0 AS stacked,
+ len(list_filter(l, lambda x: regexp_matches(x, '^([ⅠⅡⅢⅣⅤ]|[1-9])\\.'))) AS outline, len(list_filter(l, lambda x: regexp_matches(x, '[\\p{{Nd}}²³¹⁰⁴-⁹₀-₉①-⑨⑴-⑼⒈-⒐⓪⓵-⓽⓿❶-❾➀-➈➊-➒]'))) AS numeric_lines, len(list_filter(l, lambda x: x[1] IN ('□', '○', '-', '◈', '※', 'ㆍ'))) AS bullets,
  len(list_filter(l, lambda x: length(x) >= 40)) AS long_lines, len(list_filter(l, lambda x: length(x) <= 12)) AS short_lines, len(list_filter(l, lambda x: contains(x, '→') OR contains(x, '->'))) AS arrows FROM b),
 s AS (SELECT *, toc0 + CASE WHEN outline >= 3 THEN 2 ELSE 0 END + CASE WHEN list_has_any(l, ['목차', '차례']) THEN 3 ELSE 0 END AS toc,
  cover0 + CASE WHEN p <= 4 AND r <= 5 AND contains(c, '제안요청서') THEN 2 ELSE 0 END + CASE WHEN p <= 4 AND len(list_filter(l, lambda x: regexp_matches(x, '202[456]\\.'))) > 0 THEN 1 ELSE 0 END AS cover,
@@ -73,31 +76,33 @@ z AS (SELECT *, CASE WHEN kind IN ('cover', 'toc') THEN kind WHEN kind = 'sure_t
 o AS (SELECT *, CASE WHEN final IN ('final_sure_table', 'final_review_table') THEN 'structural_table' WHEN final = 'explanatory_block' THEN final WHEN final IN ('cover', 'toc') THEN 'excluded' ELSE 'discarded' END AS bucket FROM z)"""
 
 
-def blocks(s):
-    rows = s.createDataFrame(list(enumerate(BLOCKS)), "id int, text string")
-    grid = F.explode(F.array(*[F.struct(F.lit(r).alias("row_hints"), F.lit(p).alias("paragraphs")) for r in ROWS for p in PARAGRAPHS]))
-    return A.first_pass(A.block_features(rows.select("id", "text", grid.alias("g")).select("id", "text", "g.*")))
+def blocks(s, d):
+    k = F.col("doc_id")
+    pick = lambda values, i: F.element_at(F.array(*map(F.lit, values)), (F.floor(i) % len(values) + 1).cast("int"))
+    text = F.concat(pick(BLOCKS, k), F.lit("\n"), F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" ")))
+    rows = table(s, d, "documents").select(k.alias("id"), text.alias("text"), pick(ROWS, k / len(BLOCKS)).alias("row_hints"), pick(PARAGRAPHS, k / (len(BLOCKS) * len(ROWS))).alias("paragraphs"))
+    return A.first_pass(A.block_features(rows))
 
 
-def passed(s):
-    rows = A.missing_signals(blocks(s))
+def passed(s, d):
+    rows = A.missing_signals(blocks(s, d))
     rows = rows.withColumn("final", A.second_pass(F.col("first.kind"), F.col("signals"), F.col("bonus")))
     return rows.withColumn("bucket", A.storage_bucket(F.col("final")))
 
 
 @query("table_first_pass", f"WITH {FEATURES} SELECT id, r AS row_hints, p AS paragraphs, kind, CAST(toc AS INT) AS toc, CAST(cover AS INT) AS cover, CAST(data AS INT) AS data, CAST(hg AS INT) AS header_group FROM k")
 def _(s, d):
-    return blocks(s).select("id", "row_hints", "paragraphs", "first.*")
+    return blocks(s, d).select("id", "row_hints", "paragraphs", "first.*")
 
 
 @query("missing_signals", f"WITH {FEATURES} SELECT id, r AS row_hints, p AS paragraphs, array_to_string(signals, '|') AS signals, CAST(bonus AS INT) AS bonus FROM n")
 def _(s, d):
-    return A.missing_signals(blocks(s)).select("id", "row_hints", "paragraphs", F.array_join("signals", "|").alias("signals"), F.col("bonus").cast("int").alias("bonus"))
+    return A.missing_signals(blocks(s, d)).select("id", "row_hints", "paragraphs", F.array_join("signals", "|").alias("signals"), F.col("bonus").cast("int").alias("bonus"))
 
 
 @query("table_second_pass", f"WITH {FEATURES} SELECT id, r AS row_hints, p AS paragraphs, final, bucket FROM o")
 def _(s, d):
-    return passed(s).select("id", "row_hints", "paragraphs", "final", "bucket")
+    return passed(s, d).select("id", "row_hints", "paragraphs", "final", "bucket")
 
 
 SCORE = """CASE WHEN bucket <> 'structural_table' THEN 0 ELSE CASE WHEN final = 'final_review_table' THEN 4 ELSE 1 END + CASE WHEN hg <= 1 AND r >= 5 THEN 3 WHEN hg = 2 AND r >= 5 THEN 1 ELSE 0 END
@@ -109,7 +114,7 @@ SCORE = """CASE WHEN bucket <> 'structural_table' THEN 0 ELSE CASE WHEN final =
 def _(s, d):
     parent = F.when(F.col("paragraphs") >= 4, "section")
     score = A.table_ocr_score(F.col("bucket"), F.col("final"), F.col("first.header_group"), F.col("row_hints"), F.col("signals"), parent, F.length("text"))
-    return passed(s).withColumn("score", score.cast("int")).select("id", "row_hints", "paragraphs", "score", A.priority(F.col("score")).alias("priority"))
+    return passed(s, d).withColumn("score", score.cast("int")).select("id", "row_hints", "paragraphs", "score", A.priority(F.col("score")).alias("priority"))
 
 
 KEY = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
@@ -213,10 +218,13 @@ SHORTLISTS = (
 )
 
 
-@query("discarded_indexes", "SELECT * FROM (VALUES (0, '3|12'), (1, '5|7'), (2, '')) t(id, indexes)")
+@query("discarded_indexes", "SELECT doc_id, replace(['3|12', '5|7', ''][doc_id % 3 + 1], '7', CAST(1000 + n_chars AS VARCHAR)) AS indexes FROM documents")
 def _(s, d):
-    rows = s.createDataFrame(list(enumerate(SHORTLISTS)), "id int, text string")
-    return rows.select("id", F.array_join(F.transform(A.discarded_indexes(F.col("text")), lambda x: x.cast("string")), "|").alias("indexes"))
+    """Shortlists that name a document's length as an index, before its text."""
+    listed = F.element_at(F.array(*map(F.lit, SHORTLISTS)), (F.col("doc_id") % 3 + 1).cast("int"))
+    text = F.concat(F.replace(listed, F.lit("`7`"), F.concat(F.lit("`"), (F.col("n_chars") + 1000).cast("string"), F.lit("`"))), F.lit("\n## text\n"), F.coalesce("text", F.lit("")))
+    found = F.array_join(F.transform(A.discarded_indexes(text), lambda x: x.cast("string")), "|")
+    return table(s, d, "documents").select("doc_id", found.alias("indexes"))
 
 
 @query("recovery_report", "SELECT table_id, recovery, row_count FROM (SELECT l_orderkey * 1000000 + l_linenumber * 100000 + l_partkey AS table_id, l_discount AS recovery, CAST(l_quantity AS INT) AS row_count, l_linenumber AS col_count FROM lineitem) ORDER BY row_count DESC, col_count DESC, table_id LIMIT 20")

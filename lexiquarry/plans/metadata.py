@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from .. import sources as S
+from ..operators import evaluation as E
 from ..operators import metadata as M
 from ..registry import query, table
 
@@ -82,3 +86,45 @@ def _(s, d):
 @query("indexed_count", "SELECT count(DISTINCT vec_id) AS n_indexed FROM embeddings")
 def _(s, d):
     return table(s, d, "embeddings").agg(F.count_distinct("vec_id").alias("n_indexed"))
+
+
+@query(
+    "index_lifecycle",
+    """WITH e AS (SELECT vec_id, label, embedding FROM embeddings), u AS (SELECT vec_id, 'second' AS text, CAST(label AS VARCHAR) AS label, list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) AS total FROM e WHERE vec_id % 3 > 0
+ UNION ALL SELECT vec_id, 'first', CAST(label AS VARCHAR), 0.0::DOUBLE FROM e WHERE vec_id % 3 = 0 UNION ALL SELECT doc_id + 1000000, 'added', lang, 0.0::DOUBLE FROM documents WHERE lang <> 'en')
+SELECT CAST(vec_id AS VARCHAR) AS chunk_id, text, label, round(total, 4) AS total, (SELECT count(*) FROM u WHERE vec_id % 7 > 0) AS n FROM u WHERE vec_id % 7 > 0""",
+)
+def _(s, d):
+    """An index that is filled without vectors, updated with them, added to, cut and counted. It stays in the shared folder for
+    the reader of the result."""
+    E.ensure_checkpoint_dir(s)
+    e = table(s, d, "embeddings")
+    index = S.VectorIndex(s, f"{s.sparkContext.getCheckpointDir()}/index-{uuid.uuid4().hex}", dim=64)
+    label = lambda c: F.create_map(F.lit("label"), c.cast("string")).alias("metadata")
+    index.upsert(e.select(F.col("vec_id").alias("chunk_id"), F.lit("first").alias("text"), label(F.col("label"))))
+    index.upsert(e.where("vec_id % 3 > 0").select(F.col("vec_id").alias("chunk_id"), F.lit("second").alias("text"), label(F.col("label")), "embedding"))
+    index.upsert(table(s, d, "documents").where("lang <> 'en'").select((F.col("doc_id") + 1000000).alias("chunk_id"), F.lit("added").alias("text"), label(F.col("lang"))))
+    index.delete(index.ids().where("chunk_id % 7 = 0"))
+    index.vacuum()
+    total = F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 4)
+    return index.read().select("chunk_id", "text", F.col("metadata")["label"].alias("label"), total.alias("total"), F.lit(index.count()).cast("long").alias("n"))
+
+
+@query("preprocess_counts", "SELECT CASE WHEN doc_id % 4 = 3 THEN 'failed' WHEN regexp_matches(coalesce(text, ''), '[^ \t\n\r\f\v]') AND NOT contains(text, '|') THEN 'ok' ELSE 'failed' END AS status, ['hwp', 'pdf', 'docx', 'none'][doc_id % 4 + 1] AS format, count(*) AS n FROM documents GROUP BY ALL")
+def _(s, d):
+    """Documents as files of four kinds, one without a parser; a parser that fails at a bar. What was written is read again."""
+    E.ensure_checkpoint_dir(s)
+
+    def parse(name: str, data: bytes) -> str:
+        if b"|" in data:
+            raise ValueError("a bar")
+        return data.decode()
+
+    suffix = F.element_at(F.array(*[F.lit(x) for x in ("hwp", "pdf", "docx", "txt")]), (F.col("doc_id") % 4 + 1).cast("int"))
+    files = table(s, d, "documents").select(F.concat_ws(".", F.col("doc_id").cast("string"), suffix).alias("path"), F.col("text").cast("binary").alias("content"))
+    at = f"{s.sparkContext.getCheckpointDir()}/parsed-{uuid.uuid4().hex}"
+    counts = S.write_preprocessed(S.parse_each(files, parse).drop("content"), at)
+    read = s.read.json(at)
+    if sum(counts.values()) != read.count():
+        raise ValueError(f"counted {counts}, but other rows were written")
+    return read.groupBy("status", "format").agg(F.count(F.lit(1)).alias("n"))

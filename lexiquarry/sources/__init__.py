@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import depends_on, safe_double, trimmed
@@ -143,22 +146,144 @@ def dispatch(files: DataFrame, path: str = "path", formats: Sequence[str] = FORM
     return files.withColumns({"format": F.when(known, F.substring(suffix, 2, 10)), "error": error})
 
 
-def write_preprocessed(documents: DataFrame, path: str, by: str = "format") -> DataFrame:
-    """Writes parsed documents as JSON lines, a folder for each format, failures beside them in errors; returns the count of each."""
-    documents.where("error IS NULL").write.mode("overwrite").partitionBy(by).json(f"{path}/documents")
-    documents.where("error IS NOT NULL").write.mode("overwrite").json(f"{path}/errors")
-    return documents.groupBy(F.when(F.col("error").isNull(), "ok").otherwise("failed").alias("status")).agg(F.count(F.lit(1)).alias("n"))
-
-
-def indexed_ids(index: DataFrame, key: str = "id") -> DataFrame:
-    return index.select(key).where(F.col(key).isNotNull()).distinct()
-
-
-def reset_index(spark: SparkSession, path: str) -> None:
-    """Deletes an index's folder, if there is one."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+def parse_each(files: DataFrame, parse: Callable[[str, bytes], str], path: str = "path", content: str = "content") -> DataFrame:
+    """files with format, error, text: ``parse`` (path, bytes) run for each file that has a parser. What it raises for one file
+    is that file's error and ends nothing else; so is a text that is blank."""
+    known = dispatch(files, path)
+
+    @F.pandas_udf("struct<text:string,error:string>")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        def one(name: str, data: bytes | None, error: str | None) -> tuple[str | None, str | None]:
+            if error:
+                return None, error
+            try:
+                text = parse(name, data or b"")
+            except Exception as e:  # one file must not end the run
+                return None, f"{type(e).__name__}: {e}"[:500]
+            return (text, None) if text and text.strip() else (None, "empty text")
+
+        for names, data, errors in batches:
+            yield pd.DataFrame([one(*r) for r in zip(names, data, errors, strict=True)], columns=["text", "error"])
+
+    parsed = known.withColumn("__p", run(F.col(path), F.col(content), F.col("error")))
+    return parsed.withColumn("error", F.col("__p.error")).withColumn("text", F.col("__p.text")).drop("__p")
+
+
+def write_preprocessed(documents: DataFrame, path: str, by: str = "format") -> dict[str, int]:
+    """Writes parsed documents as JSON lines in one job: a folder for status ok and failed, and in each one for each format (none for
+    files without). Returns how many of each were written, counted in the pass that writes them; a second run replaces all."""
+    status = F.when(F.col("error").isNull(), "ok").otherwise("failed")
+    seen = Observation("written")
+    rows = documents.withColumn("status", status).withColumn(by, F.coalesce(by, F.lit("none")))
+    counted = rows.observe(seen, F.count_if(F.col("error").isNull()).alias("ok"), F.count_if(F.col("error").isNotNull()).alias("failed"))
+    counted.write.mode("overwrite").partitionBy("status", by).json(path)
+    return dict(seen.get)
+
+
+class JsonFolder:
+    """A scan of a folder of JSON documents that is kept until ``refresh``: files that come, change or go are not seen before,
+    ``changed`` tells whether there are any."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        self._kept: DataFrame | None = None
+        self._listing: int | None = None
+
+    def listing(self) -> int:
+        """A digest of the names, sizes and times of the folder's files; no file is opened."""
+        files = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(self.path).select("path", "length", "modificationTime")
+        found = files.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("path", "length", F.col("modificationTime").cast("long")).cast("decimal(38,0)")).alias("d")).first()
+        return hash((found.n, found.d))
+
+    def documents(self) -> DataFrame:
+        if self._kept is None:
+            self._listing = self.listing()
+            self._kept = read_json_folder(self.spark, f"{self.path.rstrip('/')}/*.json").orderBy("parsed_path").persist(StorageLevel.MEMORY_AND_DISK)
+            self._kept.count()  # all files are read now, not when a part is first asked for
+        return self._kept
+
+    def document(self, column: Column, value) -> DataFrame:
+        """The first document, by path, whose column has the value."""
+        return self.documents().where(column == value).orderBy("parsed_path").limit(1)
+
+    def changed(self) -> bool:
+        return self._listing is not None and self.listing() != self._listing
+
+    def refresh(self) -> None:
+        """Forgets the scan and gives its memory back."""
+        if self._kept is not None:
+            self._kept.unpersist(blocking=True)
+        self._kept = self._listing = None
+
+
+class VectorIndex:
+    """A stored table of chunks (id, text, metadata map, embedding). Every change writes a whole new version beside the old one
+    and then moves one small file that names it, so a change that fails leaves the old version as it was; readers keep the
+    version that they opened."""
+
+    SCHEMA = "chunk_id string, text string, metadata map<string,string>, embedding array<double>"
+
+    def __init__(self, spark: SparkSession, path: str, dim: int = 1536):
+        self.spark, self.path, self.dim = spark, path.rstrip("/"), dim
+        self._jvm = spark.sparkContext._jvm
+
+    def _fs(self, path: str):
+        at = self._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
+
+    def version(self) -> str | None:
+        fs, at = self._fs(f"{self.path}/CURRENT")
+        return self.spark.read.text(f"{self.path}/CURRENT").first().value if fs.exists(at) else None
+
+    def read(self) -> DataFrame:
+        now = self.version()
+        return self.spark.read.schema(self.SCHEMA).parquet(f"{self.path}/{now}") if now else self.spark.createDataFrame([], self.SCHEMA)
+
+    def _commit(self, rows: DataFrame) -> None:
+        version = f"v-{uuid.uuid4().hex}"
+        rows.select("chunk_id", "text", "metadata", "embedding").write.parquet(f"{self.path}/{version}")
+        fs, made = self._fs(f"{self.path}/.{version}")
+        out = fs.create(made, True)
+        out.write(bytearray(version.encode()))
+        out.close()
+        option = self._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        options = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = option
+        self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(made.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(made, self._fs(f"{self.path}/CURRENT")[1], options)
+
+    def upsert(self, rows: DataFrame) -> None:
+        """rows: (chunk_id, text, metadata, embedding or none of that name). Rows replace those with their id; of rows that share one the
+        last by text counts. A missing or null vector is one of zeros, as long as the index asks for; rows without id go."""
+        zero = F.array_repeat(F.lit(0.0), self.dim)
+        vector = F.coalesce(F.col("embedding").cast("array<double>"), zero) if "embedding" in rows.columns else zero
+        new = rows.where(F.col("chunk_id").isNotNull()).select(F.col("chunk_id").cast("string").alias("chunk_id"), "text", F.col("metadata").cast("map<string,string>").alias("metadata"), vector.alias("embedding"))
+        new = new.groupBy("chunk_id").agg(F.max_by(F.struct("text", "metadata", "embedding"), F.struct(F.coalesce("text", F.lit("")), "embedding")).alias("r")).select("chunk_id", "r.*")
+        wrong = F.size("embedding") != self.dim
+        new = new.withColumn("embedding", F.when(wrong, F.raise_error(F.concat(F.lit("a vector of another length: "), "chunk_id")).cast("array<double>")).otherwise(F.col("embedding")))
+        self._commit(self.read().join(new.select("chunk_id"), "chunk_id", "left_anti").unionByName(new))
+
+    def delete(self, ids: DataFrame, key: str = "chunk_id") -> None:
+        self._commit(self.read().join(ids.select(F.col(key).cast("string").alias("chunk_id")).distinct(), "chunk_id", "left_anti"))
+
+    def ids(self) -> DataFrame:
+        return self.read().select("chunk_id")
+
+    def count(self) -> int:
+        return self.read().count()
+
+    def reset(self) -> None:
+        """Removes the index with all its versions, if there is one."""
+        fs, at = self._fs(self.path)
+        fs.delete(at, True)
+
+    def vacuum(self) -> None:
+        """Removes versions that are not the current one; for times without readers of older ones."""
+        now = self.version()
+        fs, at = self._fs(self.path)
+        for f in fs.listStatus(at) if now else ():
+            name = f.getPath().getName()
+            if name.startswith(("v-", ".v-")) and name != now:
+                fs.delete(f.getPath(), True)
 
 
 def merged_options(defaults: dict, override: dict | None) -> dict:

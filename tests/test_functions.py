@@ -1,10 +1,13 @@
 """Golden values of the text functions, chunkers, sources and graders, with Korean texts."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from lexiquarry import lexicon
 from lexiquarry.functions import text as X
+from lexiquarry.operators import artifacts as AR
 from lexiquarry.operators import chunking as K
 from lexiquarry.operators import curation as C
 from lexiquarry.operators import evaluation as E
@@ -72,31 +75,85 @@ def test_null_and_empty(spark):
     assert df.select(F.size(X.tokens(F.coalesce("text", F.lit(""))))).collect()[1][0] == 0
 
 
-def graded(spark, kind, answer, canonical, aliases=(), choices=(), index=None):
-    df = spark.createDataFrame([(kind, answer, "", canonical, list(aliases), list(choices), index)], "eval_type string, answer string, question string, canonical string, aliases array<string>, choices array<string>, choice_index int")
+def graded(spark, kind, answer, canonical, aliases=(), choices=(), index=None, question=""):
+    df = spark.createDataFrame([(kind, answer, question, canonical, list(aliases), list(choices), index)], "eval_type string, answer string, question string, canonical string, aliases array<string>, choices array<string>, choice_index int")
     r = G.grade(df).first()
     return r.strict, r.tolerant, r.partial, r.error_reason
 
 
-@pytest.mark.parametrize(
-    "args, want",
-    [
-        (("choice", "정답: 2번", "나"), (True, True, 1.0, "ok")),
-        (("currency", "사업비는 1억원입니다", "100,000,000원"), (True, True, 1.0, "ok")),
-        (("number", "모두 12 개", "12"), (True, True, 1.0, "ok")),
-        (("date", "2024년3월5일까지", "2024-03-05"), (True, True, 1.0, "ok")),
-        (("duration", "6개월", "계약일로부터 6개월"), (False, True, 1.0, "formatting_only")),
-        (("email", "메일은 A@b.co.kr 입니다", "a@b.co.kr"), (True, True, 1.0, "ok")),
-        (("phone", "02-1234-5678", "+82 2 1234 5678"), (True, True, 1.0, "ok")),
-        (("slot_pair", "정량 20, 정성 80", "80/20"), (False, True, 1.0, "formatting_only")),
-        (("list_set", "서울, 부산", "서울, 부산, 대구"), (False, False, 0.6667, "partial_list")),
-        (("free_string", "", "무엇"), (False, False, 0.0, "extraction_fail")),
-        (("number", "없음", "12"), (False, False, 0.0, "extraction_fail")),
-    ],
-)
-def test_grades(spark, args, want):
-    extra = {"choices": ["1) 가", "2) 나"], "index": 2} if args[0] == "choice" else {}
-    assert graded(spark, *args, **extra) == want
+GRADES = [
+    (("choice", "정답: 2번", "나"), (True, True, 1.0, "ok")),
+    (("currency", "사업비는 1억원입니다", "100,000,000원"), (True, True, 1.0, "ok")),
+    (("number", "모두 12 개", "12"), (True, True, 1.0, "ok")),
+    (("date", "2024년3월5일까지", "2024-03-05"), (True, True, 1.0, "ok")),
+    (("duration", "6개월", "계약일로부터 6개월"), (False, True, 1.0, "formatting_only")),
+    (("email", "메일은 A@b.co.kr 입니다", "a@b.co.kr"), (True, True, 1.0, "ok")),
+    (("phone", "02-1234-5678", "+82 2 1234 5678"), (True, True, 1.0, "ok")),
+    (("slot_pair", "정량 20, 정성 80", "80/20"), (False, False, 0.0, "extraction_fail")),
+    (("slot_pair", "20점/80점", "80/20"), (False, True, 1.0, "formatting_only")),
+    (("list_set", "서울, 부산", "서울, 부산, 대구"), (False, False, 0.6667, "partial_list")),
+    (("free_string", "", "무엇"), (False, False, 0.0, "extraction_fail")),
+    (("number", "없음", "12"), (False, False, 0.0, "extraction_fail")),
+]
+
+
+def test_grades(spark):
+    """All cases in one projection, as the operator grades them."""
+    rows = [(i, kind, answer, "", canonical, [], ["1) 가", "2) 나"] if kind == "choice" else [], 2 if kind == "choice" else None) for i, ((kind, answer, canonical), _) in enumerate(GRADES)]
+    df = spark.createDataFrame(rows, "i int, eval_type string, answer string, question string, canonical string, aliases array<string>, choices array<string>, choice_index int")
+    got = {r.i: (r.strict, r.tolerant, r.partial, r.error_reason) for r in G.grade(df).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(GRADES)}
+
+
+def test_pairs_go_by_their_labels(spark):
+    assert graded(spark, "slot_pair", "정성은 20점이고 정량은 80점", "80/20", question="정량과 정성 비율은?") == (True, True, 1.0, "ok")
+    assert graded(spark, "slot_pair", "1. 기술평가 90%\n2. 가격평가 10%", "90/10", question="기술과 가격 배점은?") == (True, True, 1.0, "ok")
+
+
+def test_mentions_of_a_choice_overlap(spark):
+    """A mention within ten characters of a negated one is a mention of its own."""
+    hits = lambda answer: spark.createDataFrame([(answer, ["alpha", "beta"])], "a string, c array<string>").select(G.choice_signal(F.col("a"), F.col("c")).alias("s")).first().s
+    assert hits("alpha아님      alpha").hits == 1 and hits("alpha아님 alpha").hits == 0
+    assert hits("제외 alpha").hits == 0 and hits("제외하고       alpha").hits == 1
+    assert hits("beta alpha").hits == 2 and hits(None).hits == 0
+
+
+def test_lines_and_digits_of_any_script(spark):
+    assert one(spark, X.stripped, "\u3000\u00a0 a b\x1f\u2028") == "a b"
+    assert one(spark, X.text_lines, "\t목차\r\u3000\r\nx\x0by\x85 z\u2029") == ["목차", "x", "y", "z"]
+    text = "①\n⑩\n²\n٣\n십\nⅤ"
+    assert [bool(re.search(f"[{X.DIGITS}]".replace(r"\p{Nd}", r"\d"), x)) for x in text.split("\n")] == [x.isdigit() for x in text.split("\n")]
+    df = spark.createDataFrame([(text,)], "text string")
+    assert AR.block_features(df).first().f.numeric == sum(x.isdigit() for x in text.split("\n"))
+
+
+def test_support_needs_a_name(spark):
+    """Rows without a document name lend each other no support."""
+    from lexiquarry.operators import ranking as RK
+
+    rows = [(1, 1, 1, 0.5, None, "", "table_true_ocr_v2", 0.0), (1, 2, 2, 0.4, None, "", "paired_body_chunk", 0.9), (2, 1, 1, 0.5, None, "d", "table_true_ocr_v2", 0.0), (2, 2, 2, 0.4, None, "d", "paired_body_chunk", 0.9), (3, 1, 1, 0.5, None, None, "table_true_ocr_v2", 0.0), (3, 2, 2, 0.4, None, None, "row_summary_chunk", 0.3)]
+    rows = [(*r, 1 if r[6] != "paired_body_chunk" else 0) for r in rows] + [(q, 3, 3, 0.1, None, "other", "row_summary_chunk", 0.0, 1) for q in (1, 2, 3)]
+    df = spark.createDataFrame(rows, "query_id int, chunk_id int, ord int, fusion_score double, adjusted_score double, file_name string, chunk_type string, pairing_score double, has_table int")
+    got = {(r.query_id, r.chunk_id): r.adjusted_score for r in RK.type_gated(df, 3, F.lit("table_plus_text")).collect()}
+    assert got[1, 1] == got[3, 1] == pytest.approx(0.4975) and got[2, 1] == pytest.approx(0.5005)
+
+
+def test_deltas_without_a_base(spark):
+    m = spark.createDataFrame([("a", 1.0), ("b", 2.5)], "variant string, score double")
+    rows = {r.variant: tuple(r[1:]) for r in E.variant_deltas(m, "variant", ["score"], {"a": "vs_a", "none": "vs_none"}).collect()}
+    assert rows == {"a": (1.0, 0.0, None), "b": (2.5, 1.5, None)}
+
+
+def test_exact_means(spark):
+    values = [1.25, -3.5, 0.0, 1e11, 7.123456, -1e11 + 0.5]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert df.select(E.exact_mean(F.col("v")).alias("m")).first().m == round(sum(values) / len(values), 4)
+    assert df.where("v > 1e12").select(E.exact_mean(F.col("v")).alias("m")).first().m is None
+
+
+def test_ratios_on_even_texts(spark):
+    df = spark.createDataFrame([("  What IS\tthis ", "what is this")], "a string, b string")
+    assert df.select(C.sequence_ratio(F.col("a"), F.col("b")).alias("r")).first().r == 1.0
 
 
 def test_negated_choice(spark):

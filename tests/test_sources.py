@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from lexiquarry import sources as S
@@ -58,3 +59,82 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     got = streaming.run_to_end(streaming.windowed_counts(stream), "event_windows").orderBy("window_start", "event_type").collect()
     want = streaming.windowed_counts(events).orderBy("window_start", "event_type").collect()
     assert got == want and len(got) == events.select(F.window("ts", "1 hour"), "event_type").distinct().count()
+
+
+@pytest.fixture
+def index(spark, tmp_path):
+    return S.VectorIndex(spark, str(tmp_path / "index"), dim=2)
+
+
+def entries(spark, *rows):
+    return spark.createDataFrame([(i, t, {"k": t}, e) for i, t, e in rows], "chunk_id string, text string, metadata map<string,string>, embedding array<double>")
+
+
+def held(index):
+    return {r.chunk_id: (r.text, r.metadata["k"], r.embedding) for r in index.read().collect()}
+
+
+def test_upsert_delete_reset(spark, index):
+    assert index.count() == 0 and index.version() is None
+    index.upsert(entries(spark, ("a", "1", [1.0, 0.0]), ("b", "1", None), (None, "1", None)))
+    assert held(index) == {"a": ("1", "1", [1.0, 0.0]), "b": ("1", "1", [0.0, 0.0])}
+    before = index.read()
+    index.upsert(entries(spark, ("b", "2", [0.5, 0.5]), ("b", "3", [0.5, 1.0]), ("c", "2", None)).drop("embedding"))
+    assert held(index) == {"a": ("1", "1", [1.0, 0.0]), "b": ("3", "3", [0.0, 0.0]), "c": ("2", "2", [0.0, 0.0])}
+    assert before.count() == 2  # a reader keeps the version that it opened
+    index.delete(spark.createDataFrame([("a",), ("nobody",)], "chunk_id string"))
+    index.vacuum()
+    assert sorted(r.chunk_id for r in index.ids().collect()) == ["b", "c"] and index.count() == 2
+    index.reset()
+    assert index.count() == 0 and index.version() is None
+    index.reset()
+    index.upsert(entries(spark, ("z", "1", None)))
+    assert index.count() == 1
+
+
+def test_a_failed_write_leaves_the_old_version(spark, index):
+    index.upsert(entries(spark, ("a", "1", [1.0, 0.0])))
+    now = index.version()
+    with pytest.raises(Exception, match="another length"):
+        index.upsert(entries(spark, ("a", "2", [1.0, 0.0, 3.0])))
+    bad = entries(spark, ("a", "2", None)).withColumn("text", F.when(F.rand() < 2, F.raise_error(F.lit("gone"))).cast("string"))
+    with pytest.raises(Exception, match="gone"):
+        index.upsert(bad)
+    assert index.version() == now and held(index) == {"a": ("1", "1", [1.0, 0.0])}
+
+
+def test_a_folder_is_scanned_once(spark, tmp_path):
+    (tmp_path / "b.json").write_text('{"metadata": {"file_name": "b"}, "n": 1}')
+    (tmp_path / "a.json").write_text('{"metadata": {"file_name": "a"},\n "n": 2}')
+    (tmp_path / "note.txt").write_text("no document")
+    folder = S.JsonFolder(spark, str(tmp_path))
+    numbers = lambda: [r.n for r in folder.documents().collect()]
+    assert numbers() == [2, 1] and not folder.changed()
+    (tmp_path / "c.json").write_text('{"metadata": {"file_name": "c"}, "n": 3}')
+    (tmp_path / "a.json").write_text('{"metadata": {"file_name": "a"}, "n": 20}')
+    assert folder.changed() and numbers() == [2, 1]
+    assert folder.document(F.col("metadata.file_name"), "a").first().n == 2 and folder.document(F.col("metadata.file_name"), "c").first() is None
+    kept = folder.documents()
+    assert kept.storageLevel.useMemory
+    folder.refresh()
+    assert not kept.storageLevel.useMemory and not kept.storageLevel.useDisk
+    assert numbers() == [20, 1, 3] and not folder.changed()
+    folder.refresh()
+
+
+def test_one_bad_file_is_one_failure(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    def parse(name, data):
+        calls.add(1)
+        if name.startswith("bad"):
+            raise ValueError("not a document")
+        return data.decode()
+
+    files = spark.createDataFrame([("a.pdf", b"text"), ("bad.hwp", b"x"), ("c.zip", b"x"), ("d.docx", b" "), ("e.HWP", "가".encode()), ("f.pdf", None)], "path string, content binary")
+    at = str(tmp_path / "out")
+    counts = S.write_preprocessed(S.parse_each(files, parse).drop("content"), at)
+    assert counts == {"ok": 2, "failed": 4} and calls.value == 5  # one pass; files without a parser are not parsed
+    rows = {r.path: (r.status, r.format, r.text, r.error) for r in spark.read.json(at).collect()}
+    assert rows["a.pdf"][:3] == ("ok", "pdf", "text") and rows["e.HWP"][:3] == ("ok", "hwp", "가")
+    assert rows["bad.hwp"][3] == "ValueError: not a document" and rows["c.zip"][:2] == ("failed", "none") and rows["d.docx"][3] == rows["f.pdf"][3] == "empty text"
