@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .evaluation import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir
 from .retrieval import top
 
 # Thresholds and confidences of the support verdict.

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 
 def hash_order(seed: str, *keys: Column) -> Column:
     """A place in a seeded shuffle, equal on every engine with MD5."""
@@ -231,3 +233,51 @@ def themed_pairs(rows: DataFrame, key: str, tags: str, name: str, themes: Sequen
     j = pairs.join(theme.select(F.col("k").alias("a"), F.col("themed").alias("ta")), "a").join(theme.select(F.col("k").alias("b"), F.col("themed").alias("tb")), "b")
     j = j.withColumn("points", F.size("shared") + (F.col("ta") | F.col("tb")).cast("int")).withColumn("first_tags", F.array_join(F.slice("shared", 1, 4), "|"))
     return j.orderBy(F.desc("points"), F.desc("first_tags"), "a", "b").limit(limit).select("a", "b", "points", "first_tags")
+
+
+def slot_questions(rows: DataFrame, key: str, slots: str, pairs: Sequence[tuple[str, str]], forms: Sequence[str], cap: int, labels: dict[str, str] | None = None) -> DataFrame:
+    """(key, place, slots, question): for each pair of slots of which a row has one, a question of each form ({key}, {a}, {b}),
+    in this order, ``cap`` a row. A row's questions are made and cut within the row."""
+    name = lambda x: (labels or {}).get(x, x)
+    fill = lambda f, a, b: F.replace(F.lit(f.replace("{a}", name(a)).replace("{b}", name(b))), F.lit("{key}"), F.col(key).cast("string"))
+    each = [F.when(F.array_contains(slots, a) | F.array_contains(slots, b), F.struct(F.array(F.lit(a), F.lit(b)).alias("slots"), fill(f, a, b).alias("question"))) for a, b in pairs for f in forms]
+    made = rows.select(key, F.posexplode(F.slice(F.array_compact(F.array(*each)), 1, cap)).alias("place", "q"))
+    return made.select(key, F.col("place").alias("place"), "q.slots", "q.question")
+
+
+def table_questions(rows: DataFrame, key: str, table_slots: Column, body_slots: Column, form: str, cap: int, default: Sequence[str] = ("purpose", "scope")) -> DataFrame:
+    """(key, place, slots, question): each slot of a row's tables with each of its body slots (``default`` where it has none), both
+    in order, ``cap`` a row; rows without table slots have none."""
+    body = F.when(F.size(body_slots) > 0, F.array_sort(body_slots)).otherwise(F.array(*map(F.lit, sorted(default))))
+    both = F.flatten(F.transform(F.array_sort(table_slots), lambda t: F.transform(body, lambda b: F.array(t, b))))
+    text = lambda p: F.replace(F.replace(F.replace(F.lit(form), F.lit("{key}"), F.col(key).cast("string")), F.lit("{a}"), p[0]), F.lit("{b}"), p[1])
+    made = rows.select(key, F.posexplode(F.slice(both, 1, cap)).alias("place", "p"))
+    return made.select(key, "place", F.col("p").alias("slots"), text(F.col("p")).alias("question"))
+
+
+def greedy_quotas(rows: DataFrame, key: str, order: Column, uses: Column, quotas: dict[str, int]) -> DataFrame:
+    """The rows that a greedy choice takes: in order (``order``, then key), a row is taken if each of its uses still has room.
+
+    uses: array of struct(quota, of), each at most once a row; a use is of one quota's member, such as a document or a pair, and
+    quotas says how many rows a member may have. Rounds decide many rows at once: a row whose place among all that are
+    not refused is within every quota is taken, whatever becomes of those before it; a row before which a quota is filled by
+    rows taken is refused. The first row without a decision always gets one, so the result is that of one walk in order.
+    Rows without uses are taken; an unknown quota has no limit. Keys are unique."""
+    ensure_checkpoint_dir(rows.sparkSession)
+    limit = F.create_map(*[x for k, v in quotas.items() for x in (F.lit(k), F.lit(v))])
+    at = F.struct(order.alias("o"), F.col(key).alias("k"))
+    each = rows.select(F.col(key).alias("k"), at.alias("at"), F.explode(uses).alias("u")).select("k", "at", "u.quota", "u.of")
+    each = each.withColumn("limit", limit[F.col("quota")]).where("limit IS NOT NULL").checkpoint()
+    state = each.select("k").distinct().withColumn("taken", F.lit(None).cast("boolean")).checkpoint()
+    before = Window.partitionBy("quota", "of").orderBy("at")
+    while True:
+        live = each.join(state.where("taken IS NULL OR taken"), "k")
+        filled = F.count_if(F.coalesce("taken", F.lit(False))).over(before.rowsBetween(Window.unboundedPreceding, -1))
+        # a member with room for all that are not refused decides nothing against any of them
+        seen = live.withColumn("fits", F.row_number().over(before) <= F.col("limit")).withColumn("full", filled >= F.col("limit"))
+        news = seen.where("taken IS NULL").groupBy("k").agg(F.bool_and("fits").alias("fits"), F.bool_or("full").alias("full"))
+        state = state.join(news, "k", "left").select("k", F.coalesce("taken", F.when(F.col("fits"), True).when(F.col("full"), False)).alias("taken")).checkpoint()
+        if state.where("taken IS NULL").isEmpty():
+            break
+    refused = state.where("NOT taken").select(F.col("k").alias(key))
+    return rows.join(refused, key, "left_anti")

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
 from .ranking import names_match
 
 
@@ -158,17 +157,6 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return labels
 
 
-def ensure_checkpoint_dir(spark) -> None:
-    """The folder in spark.checkpoint.dir. Where it is unset, a local master gets a folder of its own; on a cluster that is an
-    error, as executors would write to their own disks."""
-    if spark.sparkContext.getCheckpointDir() is not None:
-        return
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    spark.sparkContext.setCheckpointDir(at or tempfile.mkdtemp(prefix="lexiquarry-"))
-
-
 def lightest_buckets(groups: DataFrame, n: int) -> DataFrame:
     """groups: (component, size). Largest first, each to the first lightest of n buckets. The greedy order is sequential; there
     is a row per component of a question set, which is small by nature."""

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.text import document_name, token_set, tokens, trimmed
+from ..session import ensure_checkpoint_dir
 
 # Chunk types and their bonuses.
 PAIR_TYPES = ("paired_body_chunk", "table_body_pack", "row_body_pack")
@@ -295,17 +296,72 @@ def coverage(rows: DataFrame) -> DataFrame:
     )
 
 
+def holding(short: DataFrame, long: DataFrame, n: int = 8) -> DataFrame:
+    """(short, long): pairs of distinct texts, columns ``s`` and ``l``, where the long one holds the short one of n characters or
+    more. The grams of the long texts are the index; a short text asks for its rarest gram alone, and what it finds is
+    verified. A gram that no long text has settles the matter."""
+    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, F.lit(n))))
+    index = long.where(F.length("l") >= n).select("l", F.explode(grams(F.col("l"))).alias("g"))
+    often = index.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    asked = short.where(F.length("s") >= n).select("s", F.explode(grams(F.col("s"))).alias("g")).join(often, "g", "left")
+    rare = asked.groupBy("s").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("m")).where("m.n > 0").select("s", "m.g")
+    return rare.join(index, "g").where(F.col("l").contains(F.col("s"))).select("s", "l")
+
+
+def similar(a: DataFrame, b: DataFrame, least: float, ratio) -> DataFrame:
+    """(s, l, ratio): pairs of distinct texts of a (column s) and b (column l) whose ``ratio``, twice the matched characters over all,
+    reaches least, 0.7 or more. A pair at that ratio shares 1.5 times least less 1, of all its characters, and one less,
+    of two-character grams (those of a common subsequence that no gap parts), so pairs are counted on grams, each with its
+    number within the text, and only those that share enough are compared."""
+    if least < 0.7:
+        raise ValueError("least must be 0.7 or more")
+
+    def numbered(df: DataFrame, c: str) -> DataFrame:
+        # a text of one to four characters also meets others on its single characters, as it may share no gram
+        at = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(n)))
+        grams = F.concat(at(2), F.when(F.length(c) <= 4, at(1)).otherwise(F.array().cast("array<string>")))
+        each = df.select(c, F.explode(grams).alias("g")).groupBy(c, "g").agg(F.count(F.lit(1)).alias("n"))
+        return each.select(c, F.explode(F.transform(F.sequence(F.lit(1), F.col("n").cast("int")), lambda i: F.struct("g", i.alias("i")))).alias("g"))
+
+    total, low = F.length("s") + F.length("l"), F.least(F.length("s"), F.length("l"))
+    shared = numbered(a, "s").join(numbered(b, "l"), "g").groupBy("s", "l").agg(F.count(F.lit(1)).alias("n"))
+    enough = (F.col("n") >= total * (1.5 * least - 1) - 1) & (2 * low >= total * least)
+    return shared.where(enough).withColumn("ratio", F.round(ratio(F.col("s"), F.col("l")), 6)).where(F.col("ratio") >= least).select("s", "l", "ratio")
+
+
+def select_targets(files: DataFrame, file_name: str, targets: DataFrame, target: str, ratio, *, shortest: int = 8, least: float = 0.78) -> DataFrame:
+    """files, with matched_by, whose name is that of a target: one holds the other, where both have ``shortest`` characters
+    without spaces and case or more ('contains'), or they are alike ('similar'). ratio: two columns to their similarity, None
+    to leave it out. Blank names match nothing. No name is compared with all others."""
+    names = lambda df, c, to: df.select(document_name(F.col(c)).alias(to)).where(F.col(to) != "").distinct()
+    f, t = names(files, file_name, "l"), names(targets, target, "s")
+    inside = holding(t, f, shortest).select(F.col("l").alias("key"))
+    around = holding(f.select(F.col("l").alias("s")), t.select(F.col("s").alias("l")), shortest).select(F.col("s").alias("key"))
+    found = inside.unionByName(around).distinct().withColumn("matched_by", F.lit("contains"))
+    if ratio is not None:
+        rest = f.join(found.select(F.col("key").alias("l")), "l", "left_anti")
+        found = found.unionByName(similar(t, rest, least, ratio).select(F.col("l").alias("key")).distinct().withColumn("matched_by", F.lit("similar")))
+    return files.withColumn("key", document_name(F.col(file_name))).join(found, "key").drop("key")
+
+
 def resolve_names(names: DataFrame, pool: DataFrame) -> DataFrame:
     """names: (name); pool: (file_name, place). Each name's file: an equal one, else one equal without case and spaces, else
-    one that contains it; the first in the pool. The first two steps are equi-joins; only names left over are compared
-    with the pool by containment, against its distinct keys."""
+    one that contains it; the first in the pool. The first two steps are equi-joins; names left over are asked for by grams of
+    their own length, up to eight characters, so no name is compared with the whole pool."""
     pool = pool.withColumn("key", document_name(F.col("file_name")))
     first = lambda key: pool.groupBy(key).agg(F.min(F.struct("place", "file_name")).alias("f"))
     exact = names.join(first("file_name").select(F.col("file_name").alias("name"), F.col("f.file_name").alias("exact")), "name", "left")
     keyed = exact.withColumn("key", document_name(F.col("name"))).join(first("key").select("key", F.col("f.file_name").alias("equal")), "key", "left")
     rest = keyed.where("exact IS NULL AND equal IS NULL AND key <> ''").select("name", "key").distinct()
-    distinct = first("key").select(F.col("key").alias("pool_key"), "f")
-    near = rest.join(distinct, F.col("pool_key").contains(F.col("key"))).groupBy("name").agg(F.min("f").getField("file_name").alias("near"))
+    ensure_checkpoint_dir(names.sparkSession)
+    asked = rest.select(F.col("key").alias("s")).distinct().checkpoint()
+    index = first("key").select(F.col("key").alias("l"), "f").checkpoint()
+    found = None
+    for r in asked.select(F.least(F.length("s"), F.lit(8)).alias("n")).distinct().collect():  # at most eight lengths
+        met = holding(asked.where(F.length("s") == r.n) if r.n < 8 else asked.where(F.length("s") >= 8), index.select("l"), r.n)
+        found = met if found is None else found.unionByName(met)
+    met = rest.limit(0).select(F.col("key").alias("s"), F.col("key").alias("l")) if found is None else found
+    near = rest.join(met.withColumnRenamed("s", "key"), "key").join(index, "l").groupBy("name").agg(F.min("f").getField("file_name").alias("near"))
     return keyed.join(near, "name", "left").select("name", F.coalesce("exact", "equal", "near").alias("file_name"), F.when(F.col("exact").isNotNull(), 1).when(F.col("equal").isNotNull(), 2).when(F.col("near").isNotNull(), 3).alias("tier"))
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.text import tokens
-from .evaluation import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir
 
 #: Vectors of a pack, and packs of queries that are broadcast (half a megabyte each at 64 dimensions).
 PACK = 1024

@@ -3,6 +3,7 @@ case, its quantity or its part's number stands in the text, and VALUES with the
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import answers as A
@@ -188,18 +189,17 @@ def _(s, d):
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", hit.alias("hit"), R.same_section(F.col("m"), F.col("t"), F.col("l_linestatus"), F.col("l_returnflag")).alias("bonus"))
 
 
-# (query, chunk, rank, slots hit, slots asked, is table, path, title) and the chosen places
-POOL = [
-    *[(1, c, r, h, 2, None, "", "") for c, r, h in ((10, 1, []), (11, 2, [1]), (12, 3, [0]), (13, 4, [0, 1]), (14, 5, []), (15, 6, []), (16, 7, []), (17, 8, []))],
-    *[(2, c, r, h, 1, t, p, n) for c, r, h, t, p, n in ((20, 1, [], 0, "a/b", "x"), (21, 2, [], 1, "a/c", "y"), (22, 3, [0], 0, "q", "y"), (23, 4, [], 0, "a/c", "z"), (24, 5, [0], 1, "", ""))],
-    (3, 30, 1, [], 0, 0, "", ""),
-]
-COVERED = [(1, 12, 1), (1, 11, 2), (1, 10, 3), (1, 13, 4), (1, 14, 5), (1, 15, 6), (2, 21, 1), (2, 23, 2), (2, 22, 3), (2, 20, 4), (2, 24, 5), (3, 30, 1)]
-
-
-@query("slot_coverage", golden(COVERED, "query_id, chunk_id, place").replace("SELECT *", "SELECT query_id, chunk_id, place"))
+@query("slot_coverage")
 def _(s, d):
-    rows = s.createDataFrame(POOL, "query_id long, chunk_id long, rank int, slots_hit array<int>, asked int, is_table int, section_path string, section_title string")
+    """Six lines for each order: lines are its candidates, by price; shipping flags and parts say which of two slots a line has,
+    every third order asks for a table and a body."""
+    li = table(s, d, "lineitem").groupBy("l_orderkey", "l_linenumber", "l_partkey").agg(F.max("l_extendedprice").alias("price"), F.min("l_returnflag").alias("flag"), F.min("l_linestatus").alias("status"))
+    slots = F.array_compact(F.array(F.when(F.col("flag") == "R", 0), F.when(F.col("l_partkey") % 3 == 0, 1)))
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(F.desc("price"), "l_linenumber", "l_partkey"))
+    rows = li.select(
+        F.col("l_orderkey").alias("query_id"), (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("chunk_id"), place.alias("rank"), slots.alias("slots_hit"), F.lit(2).alias("asked"),
+        F.when(F.col("l_orderkey") % 3 == 0, (F.col("l_linenumber") % 2).cast("int")).alias("is_table"), F.col("flag").alias("section_path"), F.col("status").alias("section_title"),
+    )
     return R.cover_slots(rows)
 
 

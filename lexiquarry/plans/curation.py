@@ -240,3 +240,50 @@ def _(s, d):
     from ..functions.text import char_ngrams
 
     return C.ngram_pairs(table(s, d, "benchmark"), "item_id", char_ngrams(F.col("text")), 0.3)
+
+
+SLOT_PAIRS = (("budget", "schedule"), ("scope", "contract"), ("purpose", "scope"), ("budget", "contract"), ("schedule", "purpose"), ("scope", "budget"))
+SINGLE = ("What are {a} and {b} of {key}?", "Sum up {a} and {b} in {key}.", "How does {key} put {a}, and how {b}?", "List {b} of {key} by {a}.", "Does {key} name {a} or {b}?")
+COMPARE = ("Compare {key} by {a} and {b}.", "How do {a} and {b} of {key} differ?")
+TABLE_FORM = "Give {a} and {b} of {key} from its tables and its text."
+
+
+def _families_sql():
+    fill = lambda fs: ", ".join(f"({i}, '{a}', '{b}', '{f.replace('{a}', a).replace('{b}', b)}')" for i, (a, b, f) in enumerate((a, b, f) for a, b in SLOT_PAIRS for f in fs))
+    cut = lambda family, key, rows, cap: f"SELECT '{family}' AS family, {key} AS key, rn - 1 AS place, a || '|' || b AS slots, q AS question FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY i) AS rn FROM ({rows})) WHERE rn <= {cap}"
+    single = f"SELECT CAST(doc_id AS VARCHAR) AS k, i, a, b, replace(q, '{{key}}', CAST(doc_id AS VARCHAR)) AS q FROM s JOIN (VALUES {fill(SINGLE)}) f(i, a, b, q) ON list_contains(l, a) OR list_contains(l, b)"
+    pair = f"SELECT p AS k, i, a, b, replace(q, '{{key}}', p) AS q FROM (SELECT x.doc_id || ' and ' || y.doc_id AS p, list_concat(x.l, y.l) AS l FROM s x JOIN s y ON y.doc_id = x.doc_id + 1) JOIN (VALUES {fill(COMPARE)}) f(i, a, b, q) ON list_contains(l, a) OR list_contains(l, b)"
+    body = "CASE WHEN len(list_filter(l, lambda x: x IN ('scope', 'purpose'))) > 0 THEN list_filter(l, lambda x: x IN ('scope', 'purpose')) ELSE ['purpose', 'scope'] END"
+    tab = f"SELECT CAST(doc_id AS VARCHAR) AS k, row_number() OVER (PARTITION BY doc_id ORDER BY a, b) AS i, a, b, replace(replace(replace('{TABLE_FORM}', '{{key}}', CAST(doc_id AS VARCHAR)), '{{a}}', a), '{{b}}', b) AS q FROM (SELECT doc_id, a, unnest({body}) AS b FROM (SELECT doc_id, l, unnest(list_filter(l, lambda x: x IN ('budget', 'contract', 'schedule'))) AS a FROM s))"
+    return f"WITH s AS (SELECT doc_id, {DETECT} AS l FROM documents) {cut('single_doc', 'k', single, 24)} UNION ALL {cut('comparison', 'k', pair, 4)} UNION ALL {cut('table_plus_body', 'k', tab, 4)}"
+
+
+@query("template_families", _families_sql())
+def _(s, d):
+    """Questions of three families: 24 a document, 4 a pair of neighbouring documents, 4 a document with tables."""
+    rows = docs(s, d).select("doc_id", C.slots(F.col("text"), SLOTS).alias("l"))
+    one = rows.select(F.col("doc_id").cast("string").alias("key"), "l")
+    after = rows.select((F.col("doc_id") - 1).alias("doc_id"), F.col("doc_id").alias("other"), F.col("l").alias("m"))
+    two = rows.join(after, "doc_id").select(F.concat_ws(" and ", F.col("doc_id").cast("string"), F.col("other").cast("string")).alias("key"), F.concat("l", "m").alias("l"))
+    among = lambda *names: F.filter("l", lambda x: x.isin(*names))
+    made = {
+        "single_doc": C.slot_questions(one, "key", "l", SLOT_PAIRS, SINGLE, 24),
+        "comparison": C.slot_questions(two, "key", "l", SLOT_PAIRS, COMPARE, 4),
+        "table_plus_body": C.table_questions(one, "key", among("budget", "contract", "schedule"), among("scope", "purpose"), TABLE_FORM, 4),
+    }
+    out = None
+    for family, q in made.items():
+        q = q.select(F.lit(family).alias("family"), "key", F.col("place").cast("long").alias("place"), F.array_join("slots", "|").alias("slots"), "question")
+        out = q if out is None else out.unionByName(q)
+    return out
+
+
+@query("greedy_quotas")
+def _(s, d):
+    """Order lines by price, 4 an order, 24 a supplier and 8 a part at most, all at once."""
+    li = table(s, d, "lineitem").groupBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").agg(F.max("l_extendedprice").alias("price"))
+    key = F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
+    use = lambda quota, c: F.struct(F.lit(quota).alias("quota"), F.col(c).cast("string").alias("of"))
+    rows = li.select(key.alias("key"), "price", "l_orderkey", "l_suppkey", "l_partkey")
+    taken = C.greedy_quotas(rows, "key", -F.col("price"), F.array(use("order", "l_orderkey"), use("supplier", "l_suppkey"), use("part", "l_partkey")), {"order": 4, "supplier": 24, "part": 8})
+    return taken.select("key", "price", "l_orderkey", "l_suppkey", "l_partkey")

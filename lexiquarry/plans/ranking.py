@@ -329,3 +329,17 @@ SELECT query_id, file_name, CAST(floor(greatest(0, least(100, (1 - exp(-best * 2
 )
 def _(s, d):
     return R.source_relevance(candidates(s, d))
+
+
+@query(
+    "select_targets",
+    """WITH f AS (SELECT p_partkey, p_brand || ' ' || p_name AS name FROM part), t AS (SELECT DISTINCT 'The ' || p_name || ' of ' || p_brand || ', ' || lower(p_type) AS name FROM part WHERE p_size > 45 UNION SELECT upper(p_name) FROM part WHERE p_size < 3),
+k AS (SELECT DISTINCT regexp_replace(lower(name), '\\s+', '', 'g') AS l FROM f), q AS (SELECT DISTINCT regexp_replace(lower(name), '\\s+', '', 'g') AS s FROM t), m AS (SELECT DISTINCT l FROM k, q WHERE least(length(l), length(s)) >= 8 AND (contains(l, s) OR contains(s, l)))
+SELECT p_partkey, name, 'contains' AS matched_by FROM f JOIN m ON m.l = regexp_replace(lower(name), '\\s+', '', 'g')""",
+)
+def _(s, d):
+    """Parts whose brand and name hold a target's name or stand in one; similarity has a test of its own."""
+    p = table(s, d, "part")
+    files = p.select("p_partkey", F.concat_ws(" ", "p_brand", "p_name").alias("name"))
+    long = p.where("p_size > 45").select(F.concat(F.lit("The "), "p_name", F.lit(" of "), "p_brand", F.lit(", "), F.lower("p_type")).alias("target"))
+    return R.select_targets(files, "name", long.union(p.where("p_size < 3").select(F.upper("p_name"))), "target", None)
