@@ -43,7 +43,8 @@ def trim_to_targets(rows: DataFrame, group: str, key: str, targets: dict[str, in
     for k, n in targets.items():
         limit = F.when(F.col(group) == k, n).otherwise(limit)
     rn = F.row_number().over(Window.partitionBy(group).orderBy(hash_order(seed, F.col(key)), key))
-    return rows.withColumn("rn", rn).where(F.col("rn") <= limit)
+    # the largest target is a constant, so Spark cuts groups before it shuffles them
+    return rows.withColumn("rn", rn).where(F.col("rn") <= max(targets.values(), default=0)).where(F.col("rn") <= limit)
 
 
 def malformed(question: Column, shortest: int = 12, longest: int = 180, patterns: dict[str, str] | None = None) -> Column:
@@ -225,14 +226,28 @@ def leakage(norm_equal: Column, similarity: Column, shared: Column, alone: float
 
 def themed_pairs(rows: DataFrame, key: str, tags: str, name: str, themes: Sequence[str], limit: int) -> DataFrame:
     """Pairs of rows by shared tags, a point more where a name holds a theme word; the best ``limit`` by points, then by the first four
-    shared tags in falling order, then by keys. Rows meet by tag, so pairs that share a theme word alone are left out."""
+    shared tags in falling order, then by keys. Rows meet by tag. Pairs without a common tag of which one is themed have one
+    point and come last; they are made only where the others are fewer than ``limit``, and only as many as can be among the first by
+    keys."""
+    ensure_checkpoint_dir(rows.sparkSession)
     r = rows.select(F.col(key).alias("k"), F.array_distinct(tags).alias("t"), F.lower(F.coalesce(name, F.lit(""))).rlike("|".join(themes)).alias("themed"))
     met = r.select("k", F.explode("t").alias("x"))
     pairs = met.select(F.col("k").alias("a"), "x").join(met.select(F.col("k").alias("b"), "x"), "x").where("a < b").groupBy("a", "b").agg(F.array_sort(F.collect_set("x")).alias("shared"))
     theme = r.select("k", "themed")
     j = pairs.join(theme.select(F.col("k").alias("a"), F.col("themed").alias("ta")), "a").join(theme.select(F.col("k").alias("b"), F.col("themed").alias("tb")), "b")
     j = j.withColumn("points", F.size("shared") + (F.col("ta") | F.col("tb")).cast("int")).withColumn("first_tags", F.array_join(F.slice("shared", 1, 4), "|"))
-    return j.orderBy(F.desc("points"), F.desc("first_tags"), "a", "b").limit(limit).select("a", "b", "points", "first_tags")
+    best = j.orderBy(F.desc("points"), F.desc("first_tags"), "a", "b").limit(limit).select("a", "b", "points", "first_tags").checkpoint()
+    missing = limit - best.count()
+    if missing <= 0:
+        return best
+    # all pairs with a common tag are in best; of the others the first ``missing`` have a first key among the first ``limit``, as
+    # each key before the last themed one has a partner, and a partner among its first ``limit``
+    ordered = theme.orderBy("k").limit(2 * limit).select(F.col("k").alias("a"), F.col("themed").alias("ta"))
+    partner = theme.select(F.col("k").alias("b"), F.col("themed").alias("tb"))
+    some = partner.where("tb").orderBy("b").limit(3 * limit).unionByName(partner.orderBy("b").limit(3 * limit)).distinct()
+    rest = ordered.join(F.broadcast(some), (F.col("a") < F.col("b")) & (F.col("ta") | F.col("tb"))).select("a", "b").join(best, ["a", "b"], "left_anti")
+    rest = rest.orderBy("a", "b").limit(missing).select("a", "b", F.lit(1).alias("points"), F.lit("").alias("first_tags"))
+    return best.unionByName(rest)
 
 
 def slot_questions(rows: DataFrame, key: str, slots: str, pairs: Sequence[tuple[str, str]], forms: Sequence[str], cap: int, labels: dict[str, str] | None = None) -> DataFrame:

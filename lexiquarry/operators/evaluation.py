@@ -101,19 +101,27 @@ def confusion(rows: DataFrame, expected: str, predicted: str) -> DataFrame:
 
 
 def stratified_pick(rows: DataFrame, stratum: str, order: Sequence[str], quota: dict[str, int], total: int) -> DataFrame:
-    """The first rows of each stratum up to its quota, then others in order until there are ``total``."""
+    """The first rows of each stratum up to its quota, then others in order until there are ``total``. No two rows are equal in
+    order. Strata are cut before the shuffle, and of the others no more are sorted than can be needed."""
     limit = F.lit(0)
     for k, n in quota.items():
         limit = F.when(F.col(stratum) == k, n).otherwise(limit)
-    inside = F.row_number().over(Window.partitionBy(stratum).orderBy(*order)) <= limit
-    return rows.withColumn("backfill", (~inside).cast("int")).orderBy("backfill", *order).limit(total)
+    rn = F.row_number().over(Window.partitionBy(stratum).orderBy(*order))
+    inside = rows.withColumn("__n", rn).where(F.col("__n") <= max(quota.values(), default=0)).where(F.col("__n") <= limit).drop("__n")
+    others = rows.orderBy(*order).limit(total + sum(quota.values())).join(inside.select(*order), list(order), "left_anti")
+    both = inside.withColumn("backfill", F.lit(0)).unionByName(others.select(*rows.columns).withColumn("backfill", F.lit(1)))
+    return both.orderBy("backfill", *order).limit(total)
 
 
 def best_worst(rows: DataFrame, metric: str, key: str, n: int = 3, by: Sequence[str] = ()) -> DataFrame:
-    up, down = (Window.partitionBy(*by).orderBy(o, key) for o in (F.desc(metric), F.asc(metric)))
-    r = rows.withColumns({"__b": F.row_number().over(up), "__w": F.row_number().over(down)})
-    side = F.array_compact(F.array(F.when(F.col("__b") <= n, F.struct(F.lit("best").alias("side"), F.col("__b").alias("place"))), F.when(F.col("__w") <= n, F.struct(F.lit("worst").alias("side"), F.col("__w").alias("place")))))
-    return r.withColumn("s", F.explode(side)).drop("__b", "__w").select("*", "s.*").drop("s")
+    """The n best and the n worst rows of each group, with side and place. Each side has a window of its own, so that groups are cut
+    to n rows before the shuffle."""
+
+    def side(name: str, order: Column) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy(*by).orderBy(order, key))
+        return rows.withColumn("side", F.lit(name)).withColumn("place", place).where(F.col("place") <= n)
+
+    return side("best", F.desc(metric)).unionByName(side("worst", F.asc(metric)))
 
 
 def screening(rows: DataFrame, text: str, by: Sequence[str], verbose: int = 2000) -> DataFrame:

@@ -86,19 +86,27 @@ def _(s, d):
 GRAMS5 = "list_transform(range(1, greatest(length(p) - {n} + 1, 1) + 1), lambda i: substr(p, CAST(i AS BIGINT), {n}))"
 
 
-@query(
-    "dup_tfidf",
-    f"""WITH t AS (SELECT conv_id, turn, ' ' || unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '')) || ' ' AS p FROM conversations),
-g AS (SELECT conv_id, turn, unnest(list_concat({GRAMS5.format(n=3)}, list_concat(CASE WHEN length(p) >= 4 THEN {GRAMS5.format(n=4)} ELSE [] END, CASE WHEN length(p) >= 5 THEN {GRAMS5.format(n=5)} ELSE [] END))) AS x FROM t),
-f AS (SELECT conv_id, turn, x, count(*) AS tf FROM g GROUP BY ALL), n AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1), d AS (SELECT conv_id, x, count(*) AS df FROM f GROUP BY ALL),
-w AS (SELECT conv_id, turn, x, tf * (ln((1 + n)::DOUBLE / (1 + df)) + 1) AS w FROM f JOIN d USING (conv_id, x) JOIN n USING (conv_id)), m AS (SELECT conv_id, turn, sqrt(sum(w * w)) AS m FROM w GROUP BY ALL),
-j AS (SELECT a.conv_id, a.turn AS a, b.turn AS b, round(sum(a.w * b.w) / (any_value(x.m) * any_value(y.m)), 6) AS c FROM w a JOIN w b ON a.conv_id = b.conv_id AND a.x = b.x AND a.turn < b.turn JOIN m x ON x.conv_id = a.conv_id AND x.turn = a.turn JOIN m y ON y.conv_id = b.conv_id AND y.turn = b.turn GROUP BY ALL)
-SELECT conv_id, b AS turn, min(a) AS matched, min_by(c, a) AS similarity FROM j WHERE c >= 0.3 GROUP BY ALL""".replace("\\\\", "\\"),
-)
+def tfidf_sql(by: str, key: str, text: str, source: str, least: float) -> str:
+    """Rows of ``source`` with an earlier row of their group (one column) at a cosine of ``least`` or more."""
+    return f"""WITH t AS (SELECT {by} AS g, {key} AS k, ' ' || unnest(list_filter(regexp_split_to_array(lower({text}), '\\s+'), lambda w: w <> '')) || ' ' AS p FROM {source}),
+g AS (SELECT g, k, unnest(list_concat({GRAMS5.format(n=3)}, list_concat(CASE WHEN length(p) >= 4 THEN {GRAMS5.format(n=4)} ELSE [] END, CASE WHEN length(p) >= 5 THEN {GRAMS5.format(n=5)} ELSE [] END))) AS x FROM t),
+f AS (SELECT g, k, x, count(*) AS tf FROM g GROUP BY ALL), n AS (SELECT {by} AS g, count(*) AS n FROM {source} GROUP BY 1), d AS (SELECT g, x, count(*) AS df FROM f GROUP BY ALL),
+w AS (SELECT g, k, x, tf * (ln((1 + n)::DOUBLE / (1 + df)) + 1) AS w FROM f JOIN d USING (g, x) JOIN n USING (g)), m AS (SELECT g, k, sqrt(sum(w * w)) AS m FROM w GROUP BY ALL),
+j AS (SELECT a.g, a.k AS a, b.k AS b, round(sum(a.w * b.w) / (any_value(x.m) * any_value(y.m)), 6) AS c FROM w a JOIN w b ON a.g = b.g AND a.x = b.x AND a.k < b.k JOIN m x ON x.g = a.g AND x.k = a.k JOIN m y ON y.g = b.g AND y.k = b.k GROUP BY ALL)
+SELECT g AS {by.split()[-1] if " AS " in by else by}, b AS {key}, min(a) AS matched, min_by(c, a) AS similarity FROM j WHERE c >= {least} GROUP BY ALL"""
+
+
+@query("dup_tfidf", tfidf_sql("conv_id", "turn", "text", "conversations", 0.3))
 def _(s, d):
     return C.tfidf_duplicates(table(s, d, "conversations"), ["conv_id"], "turn", "text", 0.3)
 
 
+@query("dup_tfidf_sources", "SELECT split_part(grp, '/', 1) AS lang, split_part(grp, '/', 2) AS source, doc_id, matched, similarity FROM (" + tfidf_sql("grp", "doc_id", "text", "(SELECT lang || '/' || source AS grp, doc_id, text FROM documents)", 0.92) + ")")
+def _(s, d):
+    """Documents that an earlier one of their language and source resembles, at the operator's own threshold."""
+    return C.tfidf_duplicates(docs(s, d), ["lang", "source"], "doc_id", "text")
+
+
 @query(
     "eval_leakage",
     r"""WITH o AS (SELECT item_id, lower(regexp_replace(text, '\s+', '', 'g')) AS t, embedding AS e, label FROM benchmark JOIN embeddings ON vec_id = item_id), r AS (SELECT vec_id, lower(regexp_replace(text, '\s+', '', 'g')) AS t, embedding AS e, label FROM embeddings JOIN documents ON doc_id = vec_id),
@@ -124,7 +132,7 @@ PAGE_TAGS = "[regexp_extract(url, '//([^/]+)', 1), regexp_extract(url, '//[^/]+/
 
 @query(
     "comparison_pairs",
-    f"WITH r AS (SELECT page_id AS k, list_distinct({PAGE_TAGS}) AS t, regexp_matches(lower(url), 'a|news') AS themed FROM pages), e AS (SELECT k, unnest(t) AS x FROM r), p AS (SELECT a.k AS a, b.k AS b, list(DISTINCT a.x ORDER BY a.x) AS s FROM e a JOIN e b USING (x) WHERE a.k < b.k GROUP BY ALL) SELECT a, b, CAST(len(s) + CAST(x.themed OR y.themed AS INT) AS INT) AS points, array_to_string(s[1:4], '|') AS first_tags FROM p JOIN r x ON x.k = a JOIN r y ON y.k = b ORDER BY points DESC, first_tags DESC, a, b LIMIT 800",
+    f"WITH r AS (SELECT page_id AS k, list_distinct({PAGE_TAGS}) AS t, regexp_matches(lower(url), 'a|news') AS themed FROM pages), e AS (SELECT k, unnest(t) AS x FROM r), p AS (SELECT a.k AS a, b.k AS b, list(DISTINCT a.x ORDER BY a.x) AS s FROM e a JOIN e b USING (x) WHERE a.k < b.k GROUP BY ALL), z AS (SELECT a, b, CAST(len(s) + CAST(x.themed OR y.themed AS INT) AS INT) AS points, array_to_string(s[1:4], '|') AS first_tags FROM p JOIN r x ON x.k = a JOIN r y ON y.k = b UNION ALL SELECT x.k, y.k, 1, '' FROM r x JOIN r y ON x.k < y.k AND (x.themed OR y.themed) ANTI JOIN p ON p.a = x.k AND p.b = y.k) SELECT * FROM z ORDER BY points DESC, first_tags DESC, a, b LIMIT 800",
 )
 def _(s, d):
     rows = table(s, d, "pages").select("page_id", "url", F.array(F.regexp_extract("url", "//([^/]+)", 1), F.regexp_extract("url", r"//[^/]+/(\w+)", 1)).alias("tags"))

@@ -327,3 +327,21 @@ def test_page_windows(spark):
     assert {(r.doc, r.t, r.page): r.score for r in scored.collect()} == {("d", 1, 1): 0.333333, ("d", 1, 3): 0.666667, ("d", 2, 4): 1.2, ("d", 2, 5): 0.333333}
     got = V.target_pages(scored, pages, "doc", "t", "page", n=1).collect()
     assert sorted((r.doc, r.page) for r in got) == [*(("d", p) for p in (2, 3, 4, 5)), *(("e", p) for p in range(1, 9)), ("f", 1)]
+
+
+@pytest.mark.parametrize("limit", [1, 7, 25, 60, 400])
+def test_pairs_that_share_a_theme_alone(spark, limit):
+    """Pairs by shared tags first, then those of which one is themed, in order of keys."""
+    rng = random.Random(11)
+    rows = [(k, rng.sample("pqrstuvw", rng.randrange(3)), rng.choice(["a portal", "none", "none", None])) for k in range(24)]
+    df = spark.createDataFrame(rows, "k int, tags array<string>, name string")
+    got = [(r.a, r.b, r.points, r.first_tags) for r in C.themed_pairs(df, "k", "tags", "name", ["portal"], limit).collect()]
+    want = []
+    for i, (a, s, x) in enumerate(rows):
+        for b, t, y in rows[i + 1 :]:
+            both, themed = sorted({*s} & {*t}), "portal" in (x or "") + (y or "")
+            if both or themed:
+                want.append((a, b, len(both) + themed, "|".join(both[:4])))
+    want.sort(key=lambda p: (p[0], p[1]))
+    want.sort(key=lambda p: (p[2], p[3]), reverse=True)
+    assert sorted(got) == sorted(want[:limit])
