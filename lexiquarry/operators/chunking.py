@@ -139,3 +139,33 @@ def readable_lines(c: Column, least: float = 0.45) -> Column:
     ok = lambda x: F.length(F.regexp_replace(x, r"[^0-9A-Za-z가-힣ㄱ-ㅎㅏ-ㅣÀ-ÿ\s.,:;!?()/%·\-]", ""))
     keep = lambda x: (x != "") & ~((F.length(x) >= 6) & (ok(x) < F.length(x) * least)) & ~((F.length(x) <= 3) & ~x.rlike(r"[A-Za-z가-힣À-ÿ]"))
     return F.array_join(F.filter(F.transform(F.split(c, "\n"), trimmed), keep), "\n")
+
+
+def marker_chunks(rows: DataFrame, marker: Column, section: Column, parent: Column, *, figure: Column, prefix: Column, confidence: Column, signals: dict[str, str], radius: int = 6, by: str = "doc_id", order: str = "line_no", line: str = "line") -> DataFrame:
+    """A chunk for each marker line of a document: the body around it under the section and parent labels that hold there.
+
+    section, parent: the label that a line sets, or null; figure: whether a marker stands for a figure, else for a table;
+    prefix: start of the chunk ids. (by, order, chunk_id, section_label, parent_section_label, item_title, kind, has_table,
+    ocr_confidence from 0 to 1, body, text, a flag for each pattern of signals). Parts of the text that are blank are left out.
+    """
+    labelled = fill_down(fill_down(rows, section, "section_label", by, order), parent, "parent_section_label", by, order)
+    found = around(labelled, F.coalesce(marker, F.lit(False)), radius, by, order, line)
+    found = found.withColumn("n", F.row_number().over(Window.partitionBy(by).orderBy(order)))
+    own, above = F.coalesce("section_label", F.lit("")), F.coalesce("parent_section_label", F.lit(""))
+    kind = F.when(figure, "figure").otherwise("table")
+    out = found.select(
+        by,
+        order,
+        F.concat(prefix, F.lit("__mixed_"), F.lpad(F.col("n").cast("string"), 4, "0")).alias("chunk_id"),
+        own.alias("section_label"),
+        above.alias("parent_section_label"),
+        F.when(own != "", own).otherwise(above).alias("item_title"),
+        kind.alias("kind"),
+        F.when(figure, 0).otherwise(1).alias("has_table"),
+        F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), confidence)), 4).alias("ocr_confidence"),
+        F.col("body"),
+    )
+    part = lambda name, c: F.when(trimmed(c) != "", F.concat(F.lit(f"[{name}] "), c))
+    text = F.concat_ws("\n", part("PARENT", F.col("parent_section_label")), part("SECTION", F.col("section_label")), F.concat(F.lit("["), F.upper("kind"), F.lit("_MARKER]")), part("BODY", F.col("body")))
+    out = out.withColumn("text", text)
+    return out.withColumns({f"has_{k}_signal": F.col("text").rlike(p).cast("int") for k, p in signals.items()})

@@ -296,3 +296,41 @@ def greedy_quotas(rows: DataFrame, key: str, order: Column, uses: Column, quotas
             break
     refused = state.where("NOT taken").select(F.col("k").alias(key))
     return rows.join(refused, key, "left_anti")
+
+
+def supported_slots(text: Column, rules: dict[str, str], present: dict[str, Column]) -> Column:
+    """Slots whose pattern is in the text, whatever the case, and those whose metadata field is filled; in the order of the rules."""
+    filled = lambda c: F.trim(F.coalesce(c.cast("string"), F.lit(""))) != ""
+    has = lambda n, p: F.coalesce(text, F.lit("")).rlike(f"(?i){p}") | (filled(present[n]) if n in present else F.lit(False))
+    more = [F.when(filled(c), F.lit(n)) for n, c in present.items() if n not in rules]
+    return F.array_compact(F.array(*[F.when(has(n, p), F.lit(n)) for n, p in rules.items()], *more))
+
+
+def table_like_slots(text: Column, has_tables: Column, of_tables: Sequence[str], rules: dict[str, str]) -> Column:
+    """Slots that a document's tables are likely to answer: some wherever it has tables, others by pattern; in order."""
+    always = F.when(F.coalesce(has_tables, F.lit(False)), F.array(*map(F.lit, of_tables))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(always, slots(F.coalesce(text, F.lit("")), rules)))
+
+
+def merge_pools(pools: Sequence[tuple[str, DataFrame]], signature: Column, question: str, key: str) -> DataFrame:
+    """Rows of all pools, with ``provenance``; of rows with one signature, that of the first pool and key. Blank questions go. A
+    signature is one value a row, so pools are joined by hashing and not compared."""
+    out = None
+    for place, (name, df) in enumerate(pools):
+        one = df.withColumn("provenance", F.lit(name)).withColumn("__pool", F.lit(place))
+        out = one if out is None else out.unionByName(one)
+    rows = out.where(F.trim(F.coalesce(question, F.lit(""))) != "").withColumn("__s", signature)
+    first = Window.partitionBy("__s").orderBy("__pool", key)
+    return rows.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n", "__s", "__pool")
+
+
+def readiness(rows: DataFrame, task: str, accepted: Column, weak: Column, least: int, least_by_task: dict[str, int]) -> DataFrame:
+    """One row: questions, weak and accepted ones, accepted and weak ones by task (maps), and whether the accepted suffice in all and
+    for each task. Without rows all counts are 0 and nothing is ready."""
+    by = rows.groupBy(F.coalesce(task, F.lit("")).alias("task")).agg(F.count(F.lit(1)).alias("n"), F.count_if(accepted).alias("accepted"), F.count_if(weak).alias("weak"))
+    as_map = lambda c: F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col(c) > 0, F.struct("task", c)))))
+    whole = by.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "accepted", "weak")], as_map("accepted").alias("accepted_by_task"), as_map("weak").alias("weak_by_task"))
+    enough = F.col("accepted") >= least
+    for name, n in least_by_task.items():
+        enough = enough & (F.coalesce(F.try_element_at("accepted_by_task", F.lit(name)), F.lit(0)) >= n)
+    return whole.withColumn("ready", enough)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..functions.text import trimmed
 from ..operators import chunking as K
 from ..registry import query, table
@@ -121,3 +122,21 @@ GOOD = "length(regexp_replace(x, '[^0-9A-Za-z가-힣ㄱ-ㅎㅏ-ㅣÀ-ÿ\\s.,:;!?
 )
 def _(s, d):
     return docs(s, d).select("doc_id", F.md5(K.readable_lines(F.col("text")).cast("binary")).alias("digest"))
+
+
+MARKED = f"""x AS (SELECT doc_id, line_no, line, contains(line, '|') AS m, last_value(CASE WHEN regexp_matches(line, '^(The|La|De|Der|In)') THEN substr({TRIM.format('line')}, 1, 40) END IGNORE NULLS) OVER w AS s, last_value(CASE WHEN regexp_matches(line, '^[A-Z]{{2}}') THEN substr({TRIM.format('line')}, 1, 20) END IGNORE NULLS) OVER w AS p FROM {LINES} WINDOW w AS (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+b AS (SELECT *, list(CASE WHEN NOT m AND {TRIM.format('line')} <> '' THEN {TRIM.format('line')} END) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING) AS around FROM x),
+c AS (SELECT doc_id, line_no, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS n, coalesce(s, '') AS s, coalesce(p, '') AS p, contains(line, '!!') AS figure, array_to_string(list_filter(around, lambda z: z IS NOT NULL), chr(10)) AS body FROM b WHERE m),
+t AS (SELECT *, concat_ws(chr(10), CASE WHEN p <> '' THEN '[PARENT] ' || p END, CASE WHEN s <> '' THEN '[SECTION] ' || s END, CASE WHEN figure THEN '[FIGURE_MARKER]' ELSE '[TABLE_MARKER]' END, CASE WHEN {TRIM.format('body')} <> '' THEN '[BODY] ' || body END) AS text FROM c)
+SELECT doc_id, CAST(line_no AS INT) AS line_no, 'doc-' || doc_id || '__mixed_' || lpad(CAST(n AS VARCHAR), 4, '0') AS chunk_id, CASE WHEN s <> '' THEN s ELSE p END AS item_title, CASE WHEN figure THEN 'figure' ELSE 'table' END AS kind, CAST(CASE WHEN figure THEN 0 ELSE 1 END AS INT) AS has_table, round(least(1.0::DOUBLE, doc_id % 7 / 5.0::DOUBLE), 4) AS ocr_confidence, md5(text) AS digest, CAST(regexp_matches(text, '[0-9]{{3}}') AS INT) AS has_number_signal FROM t"""
+
+
+@query("marker_chunks", "WITH " + MARKED)
+def _(s, d):
+    """A chunk for each line with a bar of every document."""
+    line = F.col("line")
+    made = K.marker_chunks(
+        K.lines(docs(s, d)), line.contains("|"), F.when(line.rlike("^(The|La|De|Der|In)"), F.substring(X.trimmed(line), 1, 40)), F.when(line.rlike("^[A-Z]{2}"), F.substring(X.trimmed(line), 1, 20)),
+        figure=line.contains("!!"), prefix=F.concat(F.lit("doc-"), F.col("doc_id").cast("string")), confidence=F.col("doc_id") % 7 / 5.0, signals={"number": "[0-9]{3}"},
+    )
+    return made.select("doc_id", "line_no", "chunk_id", "item_title", "kind", "has_table", "ocr_confidence", F.md5(F.col("text").cast("binary")).alias("digest"), "has_number_signal")

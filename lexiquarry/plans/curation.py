@@ -207,9 +207,48 @@ def _(s, d):
     return C.rarity_priority(rows, "slot", ("purpose", "scope")).withColumn("priority", F.col("priority").cast("long"))
 
 
-@query("readiness", "SELECT count(*) AS n, count_if(n_chars > 200) AS n_long, bool_and(n_chars >= 0) AS ready FROM documents")
+@query(
+    "readiness",
+    "WITH t AS (SELECT coalesce(lang, '') AS task, count(*) AS n, count_if(quality = 1) AS a, count_if(n_chars < 300) AS w FROM documents LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) USING (doc_id) GROUP BY 1) SELECT sum(n)::BIGINT AS n, sum(a)::BIGINT AS accepted, sum(w)::BIGINT AS weak, string_agg(CASE WHEN a > 0 THEN task || '=' || a END, ',' ORDER BY task) AS accepted_by_task, string_agg(CASE WHEN w > 0 THEN task || '=' || w END, ',' ORDER BY task) AS weak_by_task, sum(a) >= 50 AND coalesce(max(CASE WHEN task = 'en' THEN a END), 0) >= 30 AND coalesce(max(CASE WHEN task = 'es' THEN a END), 0) >= 5 AS ready FROM t",
+)
+def _(s, d):
+    """Whether enough documents of each language are marked good."""
+    good = table(s, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    rows = docs(s, d).join(good, "doc_id", "left")
+    found = C.readiness(rows, "lang", F.col("quality") == 1, F.col("n_chars") < 300, 50, {"en": 30, "es": 5})
+    line = lambda c: F.array_join(F.transform(F.map_entries(c), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
+    return found.select("n", "accepted", "weak", line("accepted_by_task").alias("accepted_by_task"), line("weak_by_task").alias("weak_by_task"), "ready")
+
+
+META = "CASE WHEN doc_id % 5 = 0 THEN source WHEN doc_id % 5 = 1 THEN '  ' END"
+
+
+@query(
+    "supported_slots",
+    f"SELECT doc_id, array_to_string(list_filter([{', '.join(f'CASE WHEN regexp_matches(text, {chr(39)}(?i){p}{chr(39)})' + (f' OR trim(coalesce({META}, {chr(39)}{chr(39)})) <> {chr(39)}{chr(39)}' if n == 'contract' else '') + f' THEN {chr(39)}{n}{chr(39)} END' for n, p in SLOTS.items())}, CASE WHEN doc_id % 3 = 0 THEN 'dated' END], lambda x: x IS NOT NULL), '|') AS supported, array_to_string(list_distinct_in_order, '|') AS tabular FROM (SELECT *, list_concat(CASE WHEN contains(text, '|') THEN ['budget', 'schedule'] ELSE [] END, list_filter([CASE WHEN regexp_matches(text, 'tion') AND NOT contains(text, '|') THEN 'budget' END, CASE WHEN regexp_matches(text, '[0-9]{{2}}') THEN 'modules' END], lambda x: x IS NOT NULL)) AS list_distinct_in_order FROM documents)",
+)
+def _(s, d):
+    k = F.col("doc_id")
+    meta = F.when(k % 5 == 0, F.col("source")).when(k % 5 == 1, "  ")
+    supported = C.supported_slots(F.col("text"), SLOTS, {"contract": meta, "dated": F.when(k % 3 == 0, k)})
+    tabular = C.table_like_slots(F.col("text"), F.col("text").contains("|"), ("budget", "schedule"), {"budget": "tion", "modules": "[0-9]{2}"})
+    return docs(s, d).select("doc_id", F.array_join(supported, "|").alias("supported"), F.array_join(tabular, "|").alias("tabular"))
+
+
+@query(
+    "pool_merge",
+    r"""WITH p AS (SELECT 0 AS pool, 'approved' AS provenance, conv_id * 1000 + turn AS qid, conv_id, text FROM conversations WHERE role = 'user' AND turn = 0 UNION ALL SELECT 1, 'revived', conv_id * 1000 + turn, conv_id, text FROM conversations WHERE role = 'user' AND turn > 0 UNION ALL SELECT 2, 'generated', 1000000000 + conv_id * 1000 + turn, conv_id, CASE WHEN turn % 3 = 0 THEN '  ' || replace(text, ' ', '   ') ELSE text || ' again' END FROM conversations WHERE role = 'user' UNION ALL SELECT 2, 'generated', 2000000000 + conv_id, conv_id, ' ' FROM conversations),
+s AS (SELECT *, row_number() OVER (PARTITION BY conv_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) ORDER BY pool, qid) AS n FROM p WHERE trim(text) <> '') SELECT qid, conv_id, provenance FROM s WHERE n = 1""",
+)
 def _(s, d):
-    return docs(s, d).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("n_chars") > 200).alias("n_long"), F.bool_and(F.col("n_chars") >= 0).alias("ready"))
+    """Approved questions, follow-ups and generated ones; an earlier pool wins where a question is the same."""
+    c = table(s, d, "conversations")
+    u = c.where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), "conv_id", "turn", "text")
+    keep = ("qid", "conv_id", "text")
+    made = u.select((F.col("qid") + 1_000_000_000).alias("qid"), "conv_id", F.when(F.col("turn") % 3 == 0, F.concat(F.lit("  "), F.replace("text", F.lit(" "), F.lit("   ")))).otherwise(F.concat("text", F.lit(" again"))).alias("text"))
+    blank = c.select((F.col("conv_id") + 2_000_000_000).alias("qid"), "conv_id", F.lit(" ").alias("text"))
+    signature = F.concat_ws("::", F.col("conv_id").cast("string"), C.even_text(F.col("text")))
+    return C.merge_pools([("approved", u.where("turn = 0").select(*keep)), ("revived", u.where("turn > 0").select(*keep)), ("generated", made.unionByName(blank))], signature, "text", "qid").select("qid", "conv_id", "provenance")
 
 
 @query("dependency_history", "SELECT c.conv_id, c.turn, md5(string_agg(p.text, chr(10) ORDER BY p.turn)) AS history FROM conversations c JOIN conversations p ON p.conv_id = c.conv_id AND p.turn < c.turn AND p.turn >= c.turn - 2 GROUP BY ALL")

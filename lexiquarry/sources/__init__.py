@@ -43,6 +43,23 @@ def normalize_metadata(df: DataFrame, numbers: Sequence[str] = (), lower: Sequen
     return df
 
 
+def load_metadata(spark: SparkSession, csv: str, table: str, *, linked: str = "source_path", force: bool = False, normalize: Callable[[DataFrame], DataFrame] = normalize_metadata) -> bool:
+    """Fills a stored metadata table from a CSV, replacing all rows at once; True if it did. A table that has rows, some of them
+    with a linked source, is left as it is unless ``force``. The new rows are written beside the table before the old ones
+    go, so a CSV that cannot be read changes nothing."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at, beside = jvm.org.apache.hadoop.fs.Path(table), jvm.org.apache.hadoop.fs.Path(f"{table.rstrip('/')}.new")
+    fs = at.getFileSystem(conf)
+    if fs.exists(at) and not force:
+        old = spark.read.parquet(table)
+        if linked in old.columns and not old.where(F.coalesce(linked, F.lit("")) != "").isEmpty():
+            return False
+    normalize(read_csv(spark, csv)).write.mode("overwrite").parquet(beside.toString())
+    fs.delete(at, True)
+    fs.rename(beside, at)
+    return True
+
+
 def read_json_folder(spark: SparkSession, path: str) -> DataFrame:
     """A document per file, with the path it came from."""
     return spark.read.json(path, multiLine=True).withColumn("parsed_path", F.input_file_name())
@@ -58,7 +75,7 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").csv(path, header=True)
+    df.write.mode("overwrite").csv(path, header=True, escape='"')  # as it is read
 
 
 def id_list(spark: SparkSession, path: str) -> DataFrame:

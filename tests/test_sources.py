@@ -138,3 +138,36 @@ def test_one_bad_file_is_one_failure(spark, tmp_path):
     rows = {r.path: (r.status, r.format, r.text, r.error) for r in spark.read.json(at).collect()}
     assert rows["a.pdf"][:3] == ("ok", "pdf", "text") and rows["e.HWP"][:3] == ("ok", "hwp", "가")
     assert rows["bad.hwp"][3] == "ValueError: not a document" and rows["c.zip"][:2] == ("failed", "none") and rows["d.docx"][3] == rows["f.pdf"][3] == "empty text"
+
+
+def test_metadata_is_loaded_once(spark, tmp_path):
+    csv, table = str(tmp_path / "m.csv"), str(tmp_path / "table")
+    write = lambda text: (tmp_path / "m.csv").write_text(text)
+    rows = lambda: sorted(tuple(r) for r in spark.read.parquet(table).collect())
+    write("id,source_path\na,\n b ,\n")
+    assert S.load_metadata(spark, csv, table) and rows() == [("a", None), ("b", None)]
+    write("id,source_path\nc,/x/c\n")
+    assert S.load_metadata(spark, csv, table) and rows() == [("c", "/x/c")]  # rows without links are replaced
+    write("id,source_path\nd,\n")
+    assert not S.load_metadata(spark, csv, table) and rows() == [("c", "/x/c")]
+    assert S.load_metadata(spark, csv, table, force=True) and rows() == [("d", None)]
+    with pytest.raises(Exception, match="no_such"):
+        S.load_metadata(spark, str(tmp_path / "no_such.csv"), table, force=True)
+    assert rows() == [("d", None)]
+
+
+def test_csv_written_and_read(spark, tmp_path):
+    df = spark.createDataFrame([("a,b", 'x "y"'), ("line\nend", None)], "k string, v string")
+    S.write_csv(df, str(tmp_path / "out"))
+    assert sorted(map(str, S.read_csv(spark, str(tmp_path / "out")).collect())) == sorted(map(str, df.collect()))
+    S.write_csv(df.limit(0), str(tmp_path / "none"))
+    assert S.read_csv(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_latest_and_options(spark, tmp_path):
+    for n in ("report_20240102.json", "report_20240201.json", "other_9.json"):
+        (tmp_path / n).write_text("{}")
+    assert S.latest(spark, str(tmp_path), "report_*.json").endswith("report_20240201.json")
+    defaults = {"a": 1, "b": {"c": 2, "d": [1, 2]}, "e": None}
+    assert S.merged_options(defaults, {"a": None, "b": {"d": [3], "x": 4}, "f": 5}) == {"a": 1, "b": {"c": 2, "d": [3], "x": 4}, "e": None, "f": 5}
+    assert S.merged_options(defaults, None) == defaults and defaults["b"]["d"] == [1, 2]
