@@ -17,7 +17,7 @@ longer n-grams by their place in their shard. An n-gram is asked about if contex
 those seen once included. A context so frequent that its shard would be uneven is spread over as many shards as its count
 asks for, which every block computes alike from the count of the order below. Sums for backoff weights are whole numbers
 (how many continuations have count r, and how many have lower count r), so parts of a spread context add up exactly. The
-count tables stay in the shared folder, a row per shard.
+count tables are written to the shared folder, partitioned by kind, a row per shard; ``keep_tables`` says how long they stay.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import held_out, materialize, release_caches, release_shuffles, table
+from .common import discard, drop_part, held_out, materialize, release_caches, release_shuffles, table
 from .hashing import mix, word_hashes
 
 BLOCK_TOKENS = 1_000_000
@@ -187,17 +187,18 @@ class Grams:
     def __init__(self, at: np.ndarray, size: int):
         self.at, self.size, self.summed = at, size, None
 
-    def answered(self, rows: list[dict], bits: int) -> None:
-        """rows: ANSWER packets of this order, by shard."""
+    def answered(self, rows: list[dict], bits: int, numbered: bool = True) -> None:
+        """rows: ANSWER packets of this order, by shard. numbered: whether they hold numbers, as all orders but the last do."""
         bodies = [split(r["body"]) for r in rows]
         flagged = np.concatenate([np.zeros(0, dtype=np.int64), *[unpacked(b[0]) for b in bodies]])
         back = np.empty(self.size, dtype=np.int64)
         back[self.order] = flagged
         self.count, self.full = np.append(back >> 1, 0), (back & 1).astype(bool)
         number = np.full(len(back) + 1, -1, dtype=np.int64)
-        seen = self.order[(flagged >> 1) > 0]
-        of = unpacked if self.summed is None else unpacked_rising  # words are numbered by count
-        number[seen] = np.concatenate([np.zeros(0, dtype=np.int64), *[(of(b[1]) << bits) | r["other"] for r, b in zip(rows, bodies, strict=True)]])
+        if numbered:
+            seen = self.order[(flagged >> 1) > 0]
+            of = unpacked if self.summed is None else unpacked_rising  # words are numbered by count
+            number[seen] = np.concatenate([np.zeros(0, dtype=np.int64), *[(of(b[1]) << bits) | r["other"] for r, b in zip(rows, bodies, strict=True)]])
         self.number = number
         if self.summed is not None:
             sums = np.concatenate([np.zeros((2 * DISCOUNTED + 1, 0), dtype=np.int64), *[unpacked(b[2]).reshape(2 * DISCOUNTED + 1, -1) for b in bodies]], axis=1)
@@ -207,9 +208,9 @@ class Grams:
 
 
 class Block:
-    """A block with the answers of the orders so far."""
+    """A block with the answers of the orders so far; last is the model's longest order, whose n-grams have no numbers."""
 
-    def __init__(self, rows: list[dict], bits: int, spread: int, orders: int):
+    def __init__(self, rows: list[dict], bits: int, spread: int, orders: int, last: int):
         own = next(r for r in rows if r["kind"] == BLOCK)
         at, docs, sizes = split(own["body"])
         self.key, self.bits, self.spread = own["key"], bits, spread
@@ -223,7 +224,7 @@ class Block:
         for order in range(1, orders + 1):
             if order > 1:
                 self.grams.append(self.longer())
-            self.grams[-1].answered(sorted((r for r in rows if r["kind"] == ANSWER + 10 * order), key=lambda r: r["other"]), bits)
+            self.grams[-1].answered(sorted((r for r in rows if r["kind"] == ANSWER + 10 * order), key=lambda r: r["other"]), bits, order < last)
 
     def contexts(self, below: Grams) -> np.ndarray:
         """Each token's context as a place among the n-grams below, -1 if it has none or none of the training texts'."""
@@ -324,17 +325,18 @@ def ask_words(row: dict, bits: int) -> list[tuple]:
     return [(k, ASK, row["key"], joined(words[a:b].tobytes(), packed(n[a:b]))) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
 
 
-def answers(rows: list[dict], sizes: list[int], count: np.ndarray, number: np.ndarray, group: np.ndarray, full: np.ndarray, sums: list[bytes], order: int) -> list[tuple]:
+def answers(rows: list[dict], sizes: list[int], count: np.ndarray, number: np.ndarray, group: np.ndarray, full: np.ndarray, sums: list[bytes], order: int, numbered: bool) -> list[tuple]:
     """To each block that asked, in its order: counts with the flag of a full context, numbers of what was seen, sums."""
     out, start = [], 0
     for r, n, s in zip(rows, sizes, sums, strict=True):
         at = group[start : start + n]
-        out.append((r["other"], ANSWER + 10 * order, r["key"], joined(packed(count[at] * 2 + full[start : start + n]), packed(number[at][count[at] > 0]) if order == 1 else packed_rising(number[at][count[at] > 0]), s)))
+        own = number[at][count[at] > 0] if numbered else np.zeros(0, dtype=np.int64)
+        out.append((r["other"], ANSWER + 10 * order, r["key"], joined(packed(count[at] * 2 + full[start : start + n]), packed(own) if order == 1 else packed_rising(own), s)))
         start += n
     return out
 
 
-def count_words(rows: list[dict]) -> list[tuple]:
+def count_words(rows: list[dict], last: int) -> list[tuple]:
     bodies = [split(r["body"]) for r in rows]
     asked = [np.frombuffer(b[0], dtype=np.uint64) for b in bodies]
     keys, group = np.unique(np.concatenate(asked), return_inverse=True)
@@ -342,12 +344,12 @@ def count_words(rows: list[dict]) -> list[tuple]:
     seen = count > 0
     number = np.empty(len(keys), dtype=np.int64)
     number[np.argsort(-count, kind="stable")] = np.arange(len(keys))
-    out = answers(rows, [len(a) for a in asked], count, number, group, np.zeros(len(group), dtype=np.int64), [b""] * len(rows), 1)
+    out = answers(rows, [len(a) for a in asked], count, number, group, np.zeros(len(group), dtype=np.int64), [b""] * len(rows), 1, last > 1)
     out.append((rows[0]["key"], TABLE + 10, int(seen.sum()), joined(keys[seen].tobytes(), packed(count[seen]), packed(number[seen]))))
     return [*out, (rows[0]["key"], TYPES, int(count.sum()), types_by_count(count[seen]).astype("<i8").tobytes())]
 
 
-def count_pairs(rows: list[dict], order: int) -> list[tuple]:
+def count_pairs(rows: list[dict], order: int, last: int) -> list[tuple]:
     bodies = [split(r["body"]) for r in rows]
     pairs = [unpacked_pairs(b[0]) for b in bodies]
     w, h = (np.concatenate([p[k] for p in pairs]) for k in range(2))
@@ -376,7 +378,7 @@ def count_pairs(rows: list[dict], order: int) -> list[tuple]:
 
     full = (sums[:DISCOUNTED].sum(axis=0) == 0)[of(h)].astype(np.int64)
     sent = [packed(sums[:, of(unpacked_rising(b[3]))].reshape(-1)) for b in bodies]
-    out = answers(rows, [len(p[0]) for p in pairs], count, np.cumsum(seen) - 1, group, full, sent, order)
+    out = answers(rows, [len(p[0]) for p in pairs], count, np.cumsum(seen) - 1, group, full, sent, order, order < last)
     out.append((rows[0]["key"], TABLE + 10 * order, int(seen.sum()), joined(packed_pairs(w[some][seen], h[some][seen]), packed(count[seen]))))
     return [*out, (rows[0]["key"], TYPES, int(count.sum()), types_by_count(count[seen]).astype("<i8").tobytes())]
 
@@ -414,12 +416,13 @@ RESULT = T.StructType(
 )
 
 
-def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", folds: int = 7, fold: int = 2, order: int = 3, block_tokens: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", folds: int = 7, fold: int = 2, order: int = 3, block_tokens: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS, keep_tables: bool = False) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), a row per input row.
 
     A null text is as an empty one: the end token alone. A null id counts as the empty text for the fold. Without training
     rows every word is unknown with probability 1. order: words in the longest n-gram, 1 or more. block_tokens, shard_tokens:
-    what a task holds; a context with more than a quarter of shard_tokens is spread over several shards.
+    what a task holds; a context with more than a quarter of shard_tokens is spread over several shards. keep_tables: whether
+    the count tables of all orders stay, in folders kind=13, kind=23 and so on; else one goes once its counts have been answered.
     """
     if order < 1:
         raise ValueError("order must be at least 1")
@@ -434,26 +437,29 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", folds:
                 yield from packets(ask_words(r, bits)).to_batches()
 
     def asks(orders):
-        return lambda t: packets(Block(t.to_pylist(), bits, spread, orders).asks())
+        return lambda t: packets(Block(t.to_pylist(), bits, spread, orders, order).asks())
 
     def counts(k):
-        return lambda t: packets(count_words(t.to_pylist()) if k == 1 else count_pairs(t.to_pylist(), k))
+        return lambda t: packets(count_words(t.to_pylist(), order) if k == 1 else count_pairs(t.to_pylist(), k, order))
 
-    blocks = stored.select(*PACKET.names)
-    found, d = [], []
+    blocks, found, d = None, [], []
     for k in range(1, order + 1):
         asked = stored.mapInArrow(words, PACKET) if k == 1 else blocks.groupBy("key").applyInArrow(asks(k - 1), PACKET)
-        found.append(materialize(asked.groupBy("key").applyInArrow(counts(k), PACKET), f"lm-{k}"))
+        found.append(materialize(asked.groupBy("key").applyInArrow(counts(k), PACKET), f"lm-{k}", ["kind"]).select(*PACKET.names))
         n, n_types, by_count = totals(found[-1])
         d.append(discounts(by_count))
+        if not keep_tables:
+            drop_part(found[-1], f"kind={TABLE + 10 * k}")
         if k == 1:
             total, types = n, n_types
             unknown = max(1e-12, float(left_over(by_count[1 : DISCOUNTED + 1], d[0])) / n) if n else 1.0
+            blocks = materialize(stored.select(*PACKET.names), "lm-tokens")  # without the words, which only the first order reads
+            discard(stored)
         blocks = blocks.unionByName(found[-1].where(F.col("kind") == ANSWER + 10 * k))
         release_shuffles(docs.sparkSession)  # what the written tables came from
 
     def run(t: pa.Table) -> pa.Table:
-        b = Block(t.to_pylist(), bits, spread, order)
+        b = Block(t.to_pylist(), bits, spread, order, order)
         arrow = to_arrow_schema(RESULT)
         return pa.Table.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in b.scored(total, types, unknown, d)], schema=arrow)
 
