@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import DIGITS, WHITE, text_lines
+from ..functions.text import DIGITS, WHITE, stripped, text_lines
 
 # Words of contents pages, covers, data tables and table headers, groups of headers and of fields.
 TOC_WORDS = ("목차", "차례", "추진개요", "추진방안", "추진내용", "입찰관련사항", "제안요청내용", "제안서작성요령", "별지서식", "붙임")
@@ -315,3 +315,26 @@ def ocr_payload(tables: DataFrame, images: DataFrame, by: str) -> DataFrame:
     both = pack(tables, "table_candidates").join(pack(images, "image_candidates"), by, "full")
     count = lambda c: F.coalesce(F.size(c), F.lit(0))
     return both.withColumns({"table_count": F.greatest(count("table_candidates"), F.lit(0)), "image_count": F.greatest(count("image_candidates"), F.lit(0))})
+
+
+def artifact_rows(tables: DataFrame, key: str, index: str, parts: Column, *, stage: str, kind: Column, text: str, parent: str, high_priority: Column, facts: dict[str, Column], signals: dict[str, str]) -> DataFrame:
+    """Chunk rows of tables: one for each part of a table's body, with ids, labels, sizes and signals.
+
+    tables: (key of the document, index, text, parent: the text linked above the table, or null); parts: array of body texts;
+    facts: lines of the head, by name, null ones empty. (key, index, chunk_id, chunk_type, part_index from 1, part_count,
+    section_label, parent_section_label, item_title, is_high_priority, text, chars, a flag for each pattern of signals). The id has the part
+    only where there are several; a table without parts has no row. A label is the linked text, else the first line.
+    """
+    tidy = lambda c: stripped(F.coalesce(c, F.lit("")))
+    first = F.coalesce(F.try_element_at(text_lines(F.coalesce(text, F.lit(""))), F.lit(1)), F.lit(""))
+    linked = tidy(F.col(parent))
+    label = F.when(linked != "", linked).otherwise(first)
+    rows = tables.select(key, index, kind.alias("chunk_type"), label.alias("section_label"), label.alias("parent_section_label"), first.alias("item_title"), high_priority.cast("int").alias("is_high_priority"), F.struct(*[F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, c in facts.items()]).alias("__f"), parts.alias("__p"))
+    rows = rows.select("*", F.size("__p").alias("part_count"), F.posexplode("__p").alias("__i", "__t"))
+    several = F.when(F.col("part_count") > 1, F.concat(F.lit("_p"), F.lpad((F.col("__i") + 1).cast("string"), 2, "0"))).otherwise("")
+    name = F.concat(F.lit(f"{stage.lower()}_"), F.col(key).cast("string"), F.lit("_"), F.col("chunk_type"), F.lit("_"), F.lpad(F.col(index).cast("string"), 4, "0"), several)
+    head = [F.concat(F.lit(f"- {n}: "), F.col(f"__f.{n}")) for n in facts] + [F.concat(F.lit("- section: "), F.col("section_label")), F.concat(F.lit("- type: "), F.col("chunk_type"))]
+    body = F.concat_ws("\n", F.lit("[HEAD]"), *head, F.lit("[/HEAD]"), F.lit("[BODY]"), tidy(F.col("__t")), F.lit("[/BODY]"))
+    out = rows.withColumn("chunk_id", name).withColumn("text", body).withColumn("part_index", F.col("__i") + 1)
+    out = out.select(key, index, "chunk_id", "chunk_type", "part_index", "part_count", "section_label", "parent_section_label", "item_title", "is_high_priority", "text", F.length("text").alias("chars"))
+    return out.withColumns({f"has_{n}_signal": F.col("text").rlike(p).cast("int") for n, p in signals.items()})

@@ -240,3 +240,25 @@ def _(s, d):
     found = images(s, d).where("score >= 4").select(F.col("l_orderkey").alias("doc"), "name", "ext", "size", "score")
     p = A.ocr_payload(tables, found, "doc")
     return p.select("doc", "table_count", "image_count", F.coalesce(F.try_element_at("table_candidates", F.lit(1))["place"], F.lit(0)).alias("first_table"))
+
+
+FIRST = f"(list_filter(list_transform(string_split_regex(text, '\\r\\n|[\\n-\\r\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]'), lambda x: {TIDY}), lambda x: x <> ''))[1]"
+LINKED = "CASE WHEN doc_id % 3 = 0 THEN lang || ' part' END"
+
+
+@query(
+    "artifact_rows",
+    f"""WITH d AS (SELECT doc_id, text, source, doc_id % 50 AS table_index, CASE WHEN contains(text, '|') THEN 'table' ELSE 'box' END AS kind, coalesce({FIRST}, '') AS first, coalesce({LINKED}, coalesce({FIRST}, '')) AS label, CAST((length(text) + 2999) // 3000 AS BIGINT) AS n FROM documents WHERE length(text) > 0),
+p AS (SELECT *, unnest(range(1, n + 1)) AS i FROM d), t AS (SELECT *, regexp_replace(substr(text, (i - 1) * 3000 + 1, 3000), '^[{WHITE}]+|[{WHITE}]+$', '', 'g') AS body FROM p),
+w AS (SELECT *, '[HEAD]' || chr(10) || '- source: ' || coalesce(source, '') || chr(10) || '- section: ' || label || chr(10) || '- type: ' || kind || chr(10) || '[/HEAD]' || chr(10) || '[BODY]' || chr(10) || body || chr(10) || '[/BODY]' AS whole FROM t)
+SELECT doc_id, 'aug_' || doc_id || '_' || kind || '_' || lpad(CAST(table_index AS VARCHAR), 4, '0') || CASE WHEN n > 1 THEN '_p' || lpad(CAST(i AS VARCHAR), 2, '0') ELSE '' END AS chunk_id, CAST(i AS INT) AS part_index, CAST(n AS INT) AS part_count, md5(label) AS label, md5(first) AS title, CAST(kind = 'table' AS INT) AS is_high_priority, CAST(length(whole) AS INT) AS chars, md5(whole) AS digest, CAST(regexp_matches(whole, '[0-9]{{3}}') AS INT) AS has_number_signal FROM w""",
+)
+def _(s, d):
+    """Every document as a table of parts of 3000 characters."""
+    k, text = F.col("doc_id"), F.col("text")
+    parts = F.transform(F.sequence(F.lit(0), F.ceil(F.length(text) / 3000).cast("int") - 1), lambda i: F.substring(text, i * 3000 + 1, F.lit(3000)))
+    docs = table(s, d, "documents").where("length(text) > 0").withColumn("table_index", k % 50).withColumn("parent", F.when(k % 3 == 0, F.concat("lang", F.lit(" part"))))
+    kind = F.when(text.contains("|"), "table").otherwise("box")
+    rows = A.artifact_rows(docs, "doc_id", "table_index", parts, stage="AUG", kind=kind, text="text", parent="parent", high_priority=kind == "table", facts={"source": F.col("source")}, signals={"number": "[0-9]{3}"})
+    md5 = lambda c: F.md5(F.col(c).cast("binary"))
+    return rows.select("doc_id", "chunk_id", "part_index", "part_count", md5("section_label").alias("label"), md5("item_title").alias("title"), "is_high_priority", "chars", md5("text").alias("digest"), "has_number_signal")
