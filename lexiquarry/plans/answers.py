@@ -157,13 +157,17 @@ def _(s, d):
     return table(s, d, "documents").where("text IS NOT NULL").select("doc_id", F.array_join(text, ",").alias("found")).where("found <> ''")
 
 
-@query("search_dispatch", f"SELECT 'basic' AS mode, query_id, chunk_id, rank FROM ({ORACLES['vector_topk']}) UNION ALL SELECT 'empty' AS mode, query_id, chunk_id, rank FROM ({ORACLES['bm25_topk']})")
+@query("search_dispatch", f"SELECT 'basic' AS mode, query_id, chunk_id, rank FROM ({ORACLES['vector_topk']}) UNION ALL SELECT 'empty' AS mode, query_id, chunk_id, rank FROM ({ORACLES['bm25_topk']}) UNION ALL SELECT 'hybrid' AS mode, query_id, chunk_id, rank FROM ({ORACLES['hybrid_alpha']})")
 def _(s, d):
-    """The nearest vectors; and, with no vectors to search, the lexical list whatever the mode."""
+    """The nearest vectors; vectors and words together; and, with no vectors to search, the lexical list whatever the mode."""
     v, by_words = vectors(s, d), lambda n: lexical(s, d, n)
-    basic = R.search("basic", v, asked20(s, d), by_words, 10)
-    empty = R.search("mmr", v.where("false"), asked20(s, d), by_words, 5)
-    return basic.withColumn("mode", F.lit("basic")).unionByName(empty.withColumn("mode", F.lit("empty"))).select("mode", "query_id", "chunk_id", "rank")
+    asked = v.join(questions(s, d).select(F.col("query_id").alias("chunk_id")), "chunk_id", "left_semi").select(F.col("chunk_id").alias("query_id"), "embedding")
+    found = {"basic": R.search("basic", v, asked20(s, d), by_words, 10), "empty": R.search("mmr", v.where("false"), asked20(s, d), by_words, 5), "hybrid": R.search("hybrid", v, asked, by_words, 5)}
+    out = None
+    for mode, df in found.items():
+        one = df.select(F.lit(mode).alias("mode"), "query_id", "chunk_id", "rank")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query(

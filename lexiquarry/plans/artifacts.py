@@ -227,11 +227,27 @@ def _(s, d):
     return table(s, d, "documents").select("doc_id", found.alias("indexes"))
 
 
-@query("recovery_report", "SELECT table_id, recovery, row_count FROM (SELECT l_orderkey * 1000000 + l_linenumber * 100000 + l_partkey AS table_id, l_discount AS recovery, CAST(l_quantity AS INT) AS row_count, l_linenumber AS col_count FROM lineitem) ORDER BY row_count DESC, col_count DESC, table_id LIMIT 20")
+TABLE20 = "SELECT l_orderkey * 1000000 + l_linenumber * 100000 + l_partkey AS table_id, l_discount AS recovery, CAST(l_quantity AS INT) AS row_count, l_linenumber AS col_count, l_tax AS area FROM lineitem"
+
+
+@query("recovery_report", " UNION ALL ".join(f"SELECT * FROM (SELECT '{name}' AS sorted_by, table_id, recovery, row_count FROM ({TABLE20}) ORDER BY {by}, table_id LIMIT 20)" for name, by in (("recovery", "recovery DESC"), ("rows", "row_count DESC, col_count DESC"), ("area", "area DESC"))))
 def _(s, d):
+    """The first twenty tables in each of the three orders."""
     t = F.struct((F.col("l_orderkey") * 1000000 + F.col("l_linenumber") * 100000 + F.col("l_partkey")).alias("table_id"), F.col("l_discount").alias("recovery"), F.col("l_quantity").cast("int").alias("row_count"), F.col("l_linenumber").alias("col_count"), F.col("l_tax").alias("area"))
     pages = table(s, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(t).alias("tables"))
-    return A.recovery_report(pages, "tables", "rows", 20).select("table_id", "recovery", "row_count")
+    out = None
+    for order in ("recovery", "rows", "area"):
+        one = A.recovery_report(pages, "tables", order, 20).select(F.lit(order).alias("sorted_by"), "table_id", "recovery", "row_count")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("image_visual_filter", "SELECT page, width, height, place FROM (SELECT *, row_number() OVER (PARTITION BY page, width, height, box ORDER BY place) AS rn FROM (SELECT l_suppkey AS page, CAST(l_quantity * 4 AS INT) AS width, CAST(l_linenumber * 30 AS INT) AS height, l_discount AS area, round(l_tax * 100 / 3.0::DOUBLE, 0) AS box, l_orderkey * 1000000 + l_linenumber * 100000 + l_partkey AS place FROM lineitem) WHERE width >= 80 AND height >= 80 AND area >= 0.01) WHERE rn = 1")
+def _(s, d):
+    """Images of 80 pixels and a hundredth of the page, each size and place of a page once."""
+    rows = table(s, d, "lineitem").select(F.col("l_suppkey").alias("page"), (F.col("l_quantity") * 4).cast("int").alias("width"), (F.col("l_linenumber") * 30).cast("int").alias("height"), F.col("l_discount").alias("area"), (F.col("l_tax") * 100 / 3.0).alias("x"), (F.col("l_orderkey") * 1000000 + F.col("l_linenumber") * 100000 + F.col("l_partkey")).alias("place"))
+    keep = A.image_keep(F.col("width"), F.col("height"), F.col("area"))
+    return A.visual_filter(rows, keep, [F.col("page"), F.col("width"), F.col("height"), F.round("x", 0)], "place").select("page", "width", "height", "place")
 
 
 @query("ocr_payload", f"WITH t AS (SELECT doc, list(place ORDER BY table_index, place) AS p FROM ({LINE}) WHERE bucket = 'structural_table' AND score >= 4 GROUP BY doc), i AS (SELECT l_orderkey AS doc, count(*) AS n FROM ({IMAGES}) WHERE {ISCORE} >= 4 GROUP BY 1) SELECT doc, coalesce(len(p), 0)::INT AS table_count, coalesce(n, 0)::INT AS image_count, coalesce(p[1], 0) AS first_table FROM t FULL JOIN i USING (doc)")
