@@ -94,13 +94,6 @@ def discard(df: DataFrame) -> None:
         _written.remove(path)
 
 
-def drop_part(df: DataFrame, folder: str) -> None:
-    """Deletes one partition folder of the table of materialize() that df reads; for rows that nothing reads any more."""
-    for path in {f.rsplit(f"/{folder}/", 1)[0] for f in df.inputFiles() if f"/{folder}/" in f}:
-        if _name(path) in map(_name, _written):
-            _delete(df.sparkSession, f"{path}/{folder}")
-
-
 def _name(path: str) -> str:
     return path.rstrip("/").rsplit("/", 1)[-1]
 

@@ -73,3 +73,34 @@ def test_classifier_on_held_out_rows(spark, sf):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in rows)
     seen = [r for r in rows if r.held_out and r.doc_id in labels]
     assert sum(r.predicted == labels[r.doc_id] for r in seen) >= 0.8 * len(seen)
+
+
+def test_katz_tables_are_stored_on_request(spark, tmp_path):
+    """Whole count tables stand by order beside the answers, and the scores are the same."""
+    from pyspark.sql import functions as F
+
+    from lexiquarry.llm import common, katz
+
+    docs = spark.createDataFrame([(i, "a b c a b " * (i % 5) + f"w{i}") for i in range(60)], "doc_id long, text string")
+    plain = {r.doc_id: r.score for r in katz.score(docs, shard_tokens=50).collect()}
+    known = len(common._written)
+    kept = {r.doc_id: r.score for r in katz.score(docs, shard_tokens=50, keep_tables=True).collect()}
+    assert kept == plain
+    tables = [p for p in common._written[known:] if "/lm-" in p and "tokens" not in p]
+    for k, path in enumerate(sorted(tables), 1):
+        rows = spark.read.parquet(path).where(F.col("kind") == katz.TABLE + 10 * k).collect()
+        counts = [c for r in rows for c in katz.unpacked(katz.split(r.body)[1]).tolist()]
+        assert len(counts) == sum(r.other for r in rows) > 0 and min(counts) >= 1
+    assert len(tables) == 3
+
+
+def test_katz_sorting():
+    import numpy as np
+
+    from lexiquarry.llm import katz
+
+    rng = np.random.default_rng(1)
+    for x in (np.zeros(0, dtype=np.int64), rng.integers(-1, 9, 1000), rng.integers(0, 1 << 40, 500), rng.integers(0, 1 << 62, 500)):
+        assert (katz.sorting(x) == np.argsort(x, kind="stable")).all()
+        for got, want in zip(katz.distinct(x), np.unique(x, return_index=True, return_inverse=True), strict=True):
+            assert (got == want).all()
