@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from itertools import count
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -200,20 +201,25 @@ class Field:
         self.unary, self.chain, self.skip = p[0], p[1], np.maximum(p[2], 0.0)
         return self
 
-    def marginals(self, x: np.ndarray, allowed: np.ndarray, edges: np.ndarray, graph: np.ndarray | None = None, rounds: int = 300) -> np.ndarray:
+    def marginals(self, x: np.ndarray, allowed: np.ndarray, edges: np.ndarray, graph: np.ndarray | None = None, rounds: int = 300, per_node: int = 8) -> np.ndarray:
         """Loopy belief propagation, damped, over all graphs of a batch at once; graph: the number of each node's graph. A graph
-        stops when none of its own messages changes any more, so its marginals do not depend on the others."""
+        stops when none of its own messages changes any more, so its marginals do not depend on the others. One that still
+        moves after ``rounds``, or ``per_node`` for each of its nodes if that is more, has loops that do not settle: its
+        marginals are those of ``mean_field``, which always does."""
         unary = x @ self.unary + np.where(allowed, 0.0, -1e9)
+        moving, beliefs = np.zeros(0, dtype=np.int64), None
         if len(edges):
             pots = self._pots()
             i, j, kind = edges.T
             src, dst = np.concatenate((i, j)), np.concatenate((j, i))
             pot = np.concatenate((pots[kind], pots[kind].transpose(0, 2, 1)))
             back = np.concatenate((np.arange(len(i)) + len(i), np.arange(len(i))))
-            own = (np.zeros(len(x), dtype=np.int64) if graph is None else graph)[src]
+            of = np.zeros(len(x), dtype=np.int64) if graph is None else graph
+            own = of[src]
+            most = np.maximum(rounds, per_node * np.bincount(of))
             msg = np.zeros((len(src), self.LABELS))
             go = np.arange(len(src))
-            for _ in range(rounds):
+            for k in count(1):
                 belief = unary.copy()
                 np.add.at(belief, dst, msg)
                 out = (belief[src[go]] - msg[back[go]])[:, :, None] + pot[go]
@@ -224,12 +230,44 @@ class Field:
                 np.maximum.at(change, own[go], np.abs(new - msg[go]).max(1))
                 msg[go] = 0.5 * msg[go] + 0.5 * new
                 go = go[change[own[go]] >= 1e-4]
+                late = k >= most[own[go]]
+                moving = np.union1d(moving, own[go[late]])
+                go = go[~late]
                 if not len(go):
                     break
-            np.add.at(unary, dst, msg)
-        unary -= unary.max(1, keepdims=True)
-        e = np.exp(unary)
-        return e / e.sum(1, keepdims=True)
+            beliefs = unary.copy()
+            np.add.at(beliefs, dst, msg)
+        p = _softmax(unary if beliefs is None else beliefs)
+        if len(moving):
+            for g in moving:
+                node = np.flatnonzero(of == g)
+                inside = of[i] == g
+                place = np.full(len(x), -1)
+                place[node] = np.arange(len(node))
+                p[node] = self.mean_field(unary[node], np.stack((place[i[inside]], place[j[inside]], kind[inside]), 1), p[node])
+        return p
+
+    def mean_field(self, unary: np.ndarray, edges: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Node by node, each label distribution given its neighbours': every step lowers the distance to the field, so this ends
+        in any graph. q: where to start."""
+        pots, near = self._pots(), [[] for _ in unary]
+        for i, j, kind in edges.tolist():
+            near[i].append((j, pots[kind]))
+            near[j].append((i, pots[kind].T))
+        q = q.copy()
+        while True:
+            change = 0.0
+            for i, around in enumerate(near):
+                new = _softmax((unary[i] + sum((pot @ q[j] for j, pot in around), np.zeros(self.LABELS)))[None])[0]
+                change = max(change, float(np.abs(new - q[i]).max()))
+                q[i] = new
+            if change < 1e-6:
+                return q
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    e = np.exp(z - z.max(1, keepdims=True))
+    return e / e.sum(1, keepdims=True)
 
 
 def check(kind: int, piece: str) -> bool:

@@ -177,3 +177,51 @@ def test_pipeline_stages_with_odd_rows(spark, sf):
     assert P.token_ids(spark, odd, sf).count() == odd.count()
     for _, stage in P.STAGES:
         assert stage(spark, docs.where("false"), sf).count() == 0
+
+
+def test_a_long_chain_settles():
+    """Evidence at one end reaches the other, more rounds away than the usual limit: the exact marginals of a chain."""
+    from lexiquarry.llm import crf
+
+    rng = np.random.default_rng(3)
+    n, field = 900, crf.Field()
+    field.skip = np.array([9.0, 0.0])
+    field.unary = np.zeros((crf.WIDTH, field.LABELS))
+    field.unary[1] = rng.normal(size=field.LABELS) * 4
+    x = np.zeros((n, crf.WIDTH))
+    x[0, 1] = 1
+    edges = np.array([(k, k + 1, 1) for k in range(n - 1)])
+    p = field.marginals(x, np.ones((n, field.LABELS), dtype=bool), edges)
+    pot = np.exp(np.eye(field.LABELS) * 9.0)
+    forward, back = [np.exp(x[0] @ field.unary)], [np.ones(field.LABELS)]
+    for _ in range(n - 1):
+        for side in (forward, back):
+            side.append(side[-1] @ pot)
+            side[-1] /= side[-1].sum()
+    exact = np.array(forward) * np.array(back[::-1])
+    assert np.abs(p - exact / exact.sum(1, keepdims=True)).max() < 0.02
+    assert p[-1].argmax() == field.unary[1].argmax()
+
+
+def test_a_field_that_does_not_settle_ends():
+    """After the rounds allowed, a graph's marginals are a fixed point of the mean field; other graphs do not notice."""
+    from lexiquarry.llm import crf
+
+    rng = np.random.default_rng(8)
+    field = crf.Field()
+    field.unary = rng.normal(size=(crf.WIDTH, field.LABELS))
+    field.chain = rng.normal(size=(field.LABELS, field.LABELS)) * 6
+    x = rng.random((9, crf.WIDTH)) < 0.1
+    x, graph = x.astype(float), np.array([0] * 6 + [1] * 3)
+    edges = np.array([(a, b, 0) for a in range(6) for b in range(a + 1, 6)] + [(6, 7, 0), (7, 8, 0)])
+    allowed = np.ones((9, field.LABELS), dtype=bool)
+    p = field.marginals(x, allowed, edges, graph, rounds=1, per_node=0)
+    assert p.sum(1) == pytest.approx(np.ones(9)) and np.isfinite(p).all()
+    alone = field.marginals(x[6:], allowed[6:], np.array([(0, 1, 0), (1, 2, 0)]), rounds=1, per_node=0)
+    assert p[6:] == pytest.approx(alone)
+    for i in range(6):
+        z = x[i] @ field.unary
+        for a, b, _ in edges[:15]:
+            z = z + (field.chain @ p[b] if a == i else field.chain.T @ p[a] if b == i else 0.0)
+        z = np.exp(z - z.max())
+        assert p[i] == pytest.approx(z / z.sum(), abs=1e-4)
