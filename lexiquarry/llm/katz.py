@@ -262,21 +262,24 @@ class Block:
         by_number, by_context = sorting(first.number[:-1]), sorting(below.number[:-1])
         rank, context_rank = np.empty_like(by_number), np.empty_like(by_context)
         rank[by_number], context_rank[by_context] = np.arange(len(rank)), np.arange(len(context_rank))
-        wide = max(1, below.size)
-        keys, some, place = distinct(rank[first.at[token]] * wide + context_rank[h[token]])
+        wide = max(1, below.size).bit_length()
+        keys, some, place = distinct((rank[first.at[token]] << wide) | context_rank[h[token]])
         at = np.full(len(h), -1, dtype=np.int64)
         at[token] = place
         g = Grams(at, len(keys))
         g.contexts = h
-        g.context, g.word = by_context[keys % wide], by_number[keys // wide]
+        g.context, g.word = by_context[keys & ((1 << wide) - 1)], by_number[keys >> wide]
         g.low = below.count[below.at[token[some]]]
         g.trained = np.bincount(place, self.train[token], len(keys)).astype(np.int64)
         parts = below.count // self.spread + 1
-        w, c = first.number[g.word], below.number[g.context]
-        g.shard = pair_shard(c, mix(w.astype(np.uint64)) % parts[g.context].astype(np.uint64), bits)
+        part, of_spread = np.zeros(len(keys), dtype=np.int64), np.flatnonzero(parts[g.context] > 1)
+        part[of_spread] = (mix(first.number[g.word[of_spread]].astype(np.uint64)) % parts[g.context[of_spread]].astype(np.uint64)).astype(np.int64)
+        g.shard = pair_shard(below.number[g.context], part, bits)
         g.order = sorting(g.shard)  # by shard, word, context
         # sums are asked for contexts of held-out tokens, which may back off, and for spread ones, which no shard sees whole
-        g.summed = np.unique(h[(h >= 0) & ((self.train == 0) | (parts[h] > 1))])
+        asked = np.zeros(below.size, dtype=bool)
+        asked[h[(h >= 0) & ((self.train == 0) | (parts[h] > 1))]] = True
+        g.summed = np.flatnonzero(asked)
         part_of = np.repeat(np.arange(len(g.summed)), parts[g.summed])
         start = np.cumsum(parts[g.summed]) - parts[g.summed]
         part = np.arange(len(part_of)) - np.repeat(start, parts[g.summed])
@@ -397,7 +400,7 @@ def count_pairs(rows: list[dict], order: int, last: int, keep: bool) -> list[tup
         at = np.searchsorted(contexts, asked)
         return np.where(np.append(contexts, -1)[at] == asked, at, len(contexts))
 
-    full = (sums[:DISCOUNTED].sum(axis=0) == 0)[of(h)].astype(np.int64)
+    full = (sums[:DISCOUNTED].sum(axis=0) == 0)[of(h[some])].astype(np.int64)[group]
     sent = [packed(sums[:, of(unpacked_rising(b[3]))].reshape(-1)) for b in bodies]
     out = answers(rows, [len(p[0]) for p in pairs], count, np.cumsum(seen) - 1, group, full, sent, order, order < last)
     out.append((rows[0]["key"], TABLE + 10 * order, int(seen.sum()), joined(packed_pairs(w[some][seen], h[some][seen]), packed(count[seen])) if keep else b""))
