@@ -23,6 +23,8 @@ every token from them; ``keep_tables`` stores the whole count tables besides, a
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -50,16 +52,22 @@ _U = np.uint64
 # packing
 
 
+@lru_cache(maxsize=1)
+def codec() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    """Made once a process: for small pieces a new context costs more than the work."""
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def packed(x: np.ndarray) -> bytes:
     """Numbers from 0 on, byte plane by byte plane, without the planes that are all zero."""
     x = np.ascontiguousarray(x, dtype="<u8")
     k = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
-    return bytes([k]) + zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :k].T).tobytes(), 1)
+    return bytes([k]) + codec()[0].compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :k].T).tobytes())
 
 
 def unpacked(b: bytes) -> np.ndarray:
     k = b[0]
-    planes = np.frombuffer(zstandard.decompress(b[1:]), dtype=np.uint8).reshape(k, -1)
+    planes = np.frombuffer(codec()[1].decompress(b[1:]), dtype=np.uint8).reshape(k, -1)
     out = np.zeros((planes.shape[1], 8), dtype=np.uint8)
     out[:, :k] = planes.T
     return out.view("<i8").reshape(-1)
@@ -178,7 +186,7 @@ def make_blocks(docs: DataFrame, *, doc_id: str, text: str, folds: int, fold: in
         def flush():
             nonlocal hashes, meta, size, seq
             words, at = np.unique(np.concatenate(hashes), return_inverse=True)
-            m = zstandard.compress(np.array(meta, dtype="<i8").tobytes(), 1)
+            m = codec()[0].compress(np.array(meta, dtype="<i8").tobytes())
             end = np.searchsorted(words, _U(END))
             row = ((part << 24) + seq, BLOCK, size, joined(packed(at), m, packed(np.array([len(words), end]))), words.tobytes())
             hashes, meta, size, seq = [], [], 0, seq + 1
@@ -236,7 +244,7 @@ class Block:
         at, docs, sizes = split(own["body"])
         self.key, self.bits, self.spread = own["key"], bits, spread
         self.words, self.end = unpacked(sizes).tolist()
-        self.docs = np.frombuffer(zstandard.decompress(docs), dtype="<i8").reshape(-1, 4)
+        self.docs = np.frombuffer(codec()[1].decompress(docs), dtype="<i8").reshape(-1, 4)
         self.starts = np.cumsum(self.docs[:, 2]) - self.docs[:, 2]
         self.train = np.repeat(1 - self.docs[:, 3], self.docs[:, 2])
         words = Grams(unpacked(at), self.words)
@@ -343,7 +351,7 @@ def ask_words(row: dict, bits: int) -> list[tuple]:
     """A block's words, and how often training texts have them, to the shards of their hashes."""
     block = split(row["body"])
     words = np.frombuffer(row["words"], dtype=np.uint64)
-    docs = np.frombuffer(zstandard.decompress(block[1]), dtype="<i8").reshape(-1, 4)
+    docs = np.frombuffer(codec()[1].decompress(block[1]), dtype="<i8").reshape(-1, 4)
     n = np.bincount(unpacked(block[0]), np.repeat(1 - docs[:, 3], docs[:, 2]), len(words)).astype(np.int64)
     cuts = np.searchsorted(shard_of(words, bits), np.arange((1 << bits) + 1))
     return [(k, ASK, row["key"], joined(words[a:b].tobytes(), packed(n[a:b]))) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
