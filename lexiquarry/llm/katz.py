@@ -37,8 +37,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .common import discard, held_out, materialize, release_caches, release_shuffles, table
 from .hashing import mix, word_hashes
 
-BLOCK_TOKENS = 1_000_000
-SHARD_TOKENS = 1_000_000
+BLOCK_TOKENS = 1_250_000
+SHARD_TOKENS = 2_000_000
 DISCOUNTED = 5
 #: key: block or shard; other: the shard or block that answered or asked, or a number of tokens or n-grams.
 PACKET = T.StructType([T.StructField("key", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("other", T.LongType()), T.StructField("body", T.BinaryType())])
