@@ -29,13 +29,13 @@ def test_against_brute_force(name, spark, sf, tables):
 @pytest.mark.parametrize("name", sorted(Q.ORACLES))
 def test_against_sql(name, spark, sf):
     c = duckdb.connect()
-    for t in ("documents", "benchmark", "embeddings"):
+    for t in ("documents", "benchmark", "embeddings", "labels"):
         c.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     want = c.execute(Q.ORACLES[name]).df()
     got = Q.QUERIES[name](spark, sf).toPandas()
     assert sorted(got.columns) == sorted(want.columns)
-    key = want.columns[0]
-    want, got = want.sort_values(key).reset_index(drop=True), got[list(want.columns)].sort_values(key).reset_index(drop=True)
+    names = list(want.columns)
+    want, got = want.sort_values(names).reset_index(drop=True), got[names].sort_values(names).reset_index(drop=True)
     assert got.equals(want.astype(got.dtypes.to_dict()))
 
 
