@@ -18,3 +18,9 @@ def test_doc_hits_of_equal_lines(spark, tmp_path):
     con.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
     got = {tuple(r) for r in QUERIES["doc_hits"](spark, str(tmp_path)).collect()}
     assert got == set(con.execute(ORACLES["doc_hits"]).fetchall()) and {r[1] for r in got if r[0] % 2} == {0.0}
+
+
+def test_leakage_prints_as_c(spark):
+    """All similarities of six digits from 0.84 on print as %.4f does in C."""
+    rows = spark.range(840000, 1000001, 5).select("id", C.leakage(F.lit(False), F.col("id") / 1e6, F.lit(True)).alias("reason")).collect()
+    assert [r.reason for r in rows if r.reason != "semantic_match:%.4f" % (r.id / 1e6)] == []
