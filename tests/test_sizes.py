@@ -1,5 +1,7 @@
 """Cases that larger tables brought up: ties, rounding, and pairs that must not be made one by one."""
 
+import random
+
 import duckdb
 from pyspark.sql import functions as F
 
@@ -24,3 +26,35 @@ def test_leakage_prints_as_c(spark):
     """All similarities of six digits from 0.84 on print as %.4f does in C."""
     rows = spark.range(840000, 1000001, 5).select("id", C.leakage(F.lit(False), F.col("id") / 1e6, F.lit(True)).alias("reason")).collect()
     assert [r.reason for r in rows if r.reason != "semantic_match:%.4f" % (r.id / 1e6)] == []
+
+
+def pairs_by_row(rows, limit, theme=lambda k: False):
+    """Every pair of rows, one by one, that share a tag: (a, b, overlap, shared tags, themed)."""
+    out = []
+    for a, s in rows.items():
+        for b, t in rows.items():
+            both = sorted(s & t)
+            if a < b and both:
+                out.append((a, b, len(both), "|".join(both[:4]), theme(a) or theme(b)))
+    return out
+
+
+def falling(s):
+    return [-ord(c) for c in s] + [1]
+
+
+def test_pairs_of_classes(spark):
+    """Few tag sets with many rows, with keys of classes in turn and one behind another: the best pairs are those of all pairs,
+    and no pairs of rows are made on a tag that all have."""
+    for seed in range(4):
+        rng = random.Random(seed)
+        rows = {k: frozenset(rng.choice(["all x", "all y", "all", "x y", "z"] if seed % 2 else [["all x"], ["all", "y"], ["all x y"]][k // 30 % 3]).split()) for k in range(90)}
+        df = spark.createDataFrame([(k, sorted(v), "news" if k % 7 == 3 else "") for k, v in rows.items()], "k long, tags array<string>, name string")
+        for limit in (5, 60):
+            want = sorted((-n, a, b) for a, b, n, _, _ in pairs_by_row(rows, limit))[:limit]
+            assert [(-r.overlap, r.a, r.b) for r in C.tag_pairs(df, "k", "tags", limit).collect()] == want
+            full = pairs_by_row(rows, limit, lambda k: k % 7 == 3)
+            want = sorted((-(n + t), falling(s), a, b) for a, b, n, s, t in full)[:limit]
+            assert [(-r.points, falling(r.first_tags), r.a, r.b) for r in C.themed_pairs(df, "k", "tags", F.col("name"), ["news"], limit).orderBy(F.desc("points"), F.desc("first_tags"), "a", "b").collect()] == want
+    many = spark.range(60000).select("id", F.array(F.lit("all"), (F.col("id") % 3).cast("string")).alias("tags"))  # 1.8 billion pairs share a tag
+    assert [(r.a, r.b, r.overlap) for r in C.tag_pairs(many, "id", "tags", 3).collect()] == [(0, 3, 2), (0, 6, 2), (0, 9, 2)]
