@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexiquarry import plans
 from lexiquarry.operators import curation as C
+from lexiquarry.operators import retrieval as R
 from lexiquarry.registry import ORACLES, QUERIES
 
 plans.load()
@@ -58,3 +59,13 @@ def test_pairs_of_classes(spark):
             assert [(-r.points, falling(r.first_tags), r.a, r.b) for r in C.themed_pairs(df, "k", "tags", F.col("name"), ["news"], limit).orderBy(F.desc("points"), F.desc("first_tags"), "a", "b").collect()] == want
     many = spark.range(60000).select("id", F.array(F.lit("all"), (F.col("id") % 3).cast("string")).alias("tags"))  # 1.8 billion pairs share a tag
     assert [(r.a, r.b, r.overlap) for r in C.tag_pairs(many, "id", "tags", 3).collect()] == [(0, 3, 2), (0, 6, 2), (0, 9, 2)]
+
+
+def test_slots_without_python(spark):
+    """Slots of many short lists are chosen by columns: a Python call for each list does not end on a million of them."""
+    rows = spark.range(12).select((F.col("id") % 2).alias("query_id"), "id", F.col("id").alias("rank"))
+    rows = rows.select("query_id", F.col("id").alias("chunk_id"), "rank", F.when(F.col("id") > 8, F.array(F.lit(1))).alias("slots_hit"), F.lit(2).alias("asked"), F.when(F.col("query_id") == 1, (F.col("id") % 3 == 0).cast("int")).alias("is_table"), F.lit(None).cast("string").alias("section_path"), F.when(F.col("id") > 6, "t").alias("section_title"))
+    got = R.cover_slots(rows, 4)
+    assert "InPandas" not in got._jdf.queryExecution().toString()
+    lists = {q: [r.chunk_id for r in got.where(F.col("query_id") == q).orderBy("place").collect()] for q in (0, 1)}
+    assert lists == {0: [10, 0, 2, 4], 1: [3, 1, 9, 5]}
