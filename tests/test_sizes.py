@@ -69,3 +69,13 @@ def test_slots_without_python(spark):
     assert "InPandas" not in got._jdf.queryExecution().toString()
     lists = {q: [r.chunk_id for r in got.where(F.col("query_id") == q).orderBy("place").collect()] for q in (0, 1)}
     assert lists == {0: [10, 0, 2, 4], 1: [3, 1, 9, 5]}
+
+
+def test_packs_come_in_small_batches(spark):
+    """Pairs of packs are a megabyte each and go to Python in batches bounded by bytes, not 10,000 rows."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(name)
+    v = spark.range(6000).select(F.col("id").alias("chunk_id"), F.array(*[F.sin(F.col("id") * (i + 1)) for i in range(64)]).alias("embedding"))
+    found = R.vector_top(v, v.where("chunk_id < 3000").withColumnRenamed("chunk_id", "query_id"), 1).where("rank = 1")
+    assert int(spark.conf.get(name)) <= 8 << 20
+    assert found.where("distance = 0").count() == 2999  # the vector of id 0 is all zeros
