@@ -79,3 +79,19 @@ def test_packs_come_in_small_batches(spark):
     found = R.vector_top(v, v.where("chunk_id < 3000").withColumnRenamed("chunk_id", "query_id"), 1).where("rank = 1")
     assert int(spark.conf.get(name)) <= 8 << 20
     assert found.where("distance = 0").count() == 2999  # the vector of id 0 is all zeros
+
+
+def test_quotas_store_little(spark):
+    """What a choice by quotas stores is some bytes a row, not every use of every row in each round."""
+    import pathlib
+
+    from lexiquarry.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    folder = pathlib.Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    held = lambda: sum(f.stat().st_size for f in folder.rglob("*") if f.is_file())
+    rows = spark.range(50000).select(F.concat_ws("-", F.col("id").cast("string"), F.lit("key")).alias("key"), "id")
+    use = lambda quota, n: F.struct(F.lit(quota).alias("quota"), (F.col("id") % n).cast("string").alias("of"))
+    start = held()
+    assert C.greedy_quotas(rows, "key", -F.col("id"), F.array(use("a", 100), use("b", 300)), {"a": 3, "b": 1}).count() == 300
+    assert held() - start < 100 * 50000
