@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexiquarry import plans
 from lexiquarry.operators import curation as C
+from lexiquarry.operators import ranking as K
 from lexiquarry.operators import retrieval as R
 from lexiquarry.registry import ORACLES, QUERIES
 
@@ -95,3 +96,12 @@ def test_quotas_store_little(spark):
     start = held()
     assert C.greedy_quotas(rows, "key", -F.col("id"), F.array(use("a", 100), use("b", 300)), {"a": 3, "b": 1}).count() == 300
     assert held() - start < 100 * 50000
+
+
+def test_names_keep_off_the_driver(spark):
+    """No table of names is broadcast, however small its files look."""
+    files = spark.range(300).select(F.format_string("File %05d", "id").alias("file_name"), F.col("id").alias("place"))
+    names = spark.createDataFrame([("File 00007",), ("FILE00008",), ("0009",), ("none",)], "name string")
+    got = K.resolve_names(names, files)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {(r.name, r.file_name, r.tier) for r in got.collect()} == {("File 00007", "File 00007", 1), ("FILE00008", "File 00008", 2), ("0009", "File 00009", 3), ("none", None, None)}
