@@ -105,3 +105,12 @@ def test_names_keep_off_the_driver(spark):
     got = K.resolve_names(names, files)
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
     assert {(r.name, r.file_name, r.tier) for r in got.collect()} == {("File 00007", "File 00007", 1), ("FILE00008", "File 00008", 2), ("0009", "File 00009", 3), ("none", None, None)}
+
+
+def test_tfidf_of_blocks(spark):
+    """Blocks of a group meet once, copies across blocks included; grams are not broadcast."""
+    df = spark.range(700).select(F.lit("g").alias("grp"), "id", F.concat_ws(" ", F.sha2((F.col("id") % 650).cast("string"), 256), F.sha2((F.col("id") % 650 + 9000).cast("string"), 256)).alias("t"))
+    got = C.tfidf_duplicates(df, ["grp"], "id", "t")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "BroadcastHashJoin" not in plan
+    assert {(r.id, r.matched, r.similarity) for r in got.collect()} == {(i + 650, i, 1.0) for i in range(50)}
