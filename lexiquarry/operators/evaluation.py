@@ -8,9 +8,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, stored, tasks_for
 from .ranking import names_match
 
+#: Parts of groups up to this number are broadcast (about 60 bytes each).
+RUNS = 500_000
+
 
 def exact_mean(c: Column, digits: int = 4) -> Column:
     """The mean of values, each taken to six digits, rounded half up to ``digits`` from whole numbers: one result on every
@@ -87,10 +90,27 @@ def mode_grid(rows: DataFrame, modes: Sequence[str], versions: Sequence[str], me
     return F.broadcast(grid).join(g, ["mode", "version"], "left").select("mode", "version", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("mean", F.lit(0.0)).alias("mean"))
 
 
+def numbered(rows: DataFrame, by: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """rows with ``name``, a row's place from 1 within its group, in the given order. Rows are sorted over all tasks and numbered
+    where they lie, and a group's parts are put behind one another by their counts: a group may have any number of rows."""
+    ensure_checkpoint_dir(rows.sparkSession)
+    laid = rows.repartitionByRange(tasks_for(rows), *by, *order).sortWithinPartitions(*by, *order)
+    laid = stored(laid.withColumn("__i", F.monotonically_increasing_id()), "numbered").withColumn("__part", F.shiftright("__i", 33))
+    runs = laid.groupBy(*by, "__part").agg(F.min("__i").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    earlier = F.sum("__n").over(Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    shift = (F.coalesce(earlier, F.lit(0)) - F.col("__first") + 1).alias("__shift")
+    runs = runs.select(*[F.col(c).alias(f"__{c}") for c in by], F.col("__part").alias("__run"), shift).checkpoint()
+    few = runs.count() <= RUNS
+    same = F.col("__part") == F.col("__run")
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return laid.join(F.broadcast(runs) if few else runs, same).select(*rows.columns, (F.col("__i") + F.col("__shift")).alias(name))
+
+
 def spearman(rows: DataFrame, x: str, y: str, order: str, by: Sequence[str] = ()) -> DataFrame:
     """Rank correlation with ordinal ranks (ties in the given order), and the share of rows on which the signs agree."""
-    rank = lambda c: F.row_number().over(Window.partitionBy(*by).orderBy(c, order))
-    r = rows.withColumn("d", (rank(x) - rank(y)).cast("double"))
+    r = numbered(numbered(rows, by, [x, order], "__x"), by, [y, order], "__y")
+    r = r.withColumn("d", (F.col("__x") - F.col("__y")).cast("double"))
     n = F.count(F.lit(1))
     rho = F.when(n > 1, F.round(1 - 6 * F.sum(F.col("d") * F.col("d")) / (n.cast("double") * (n * n - 1)), 4)).otherwise(0.0)
     return r.groupBy(*by).agg(n.alias("n"), rho.alias("rho"), F.round(F.avg((F.signum(x) == F.signum(y)).cast("double")), 4).alias("sign_agreement"))

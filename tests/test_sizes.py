@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexiquarry import plans
 from lexiquarry.operators import curation as C
+from lexiquarry.operators import evaluation as E
 from lexiquarry.operators import ranking as K
 from lexiquarry.operators import retrieval as R
 from lexiquarry.registry import ORACLES, QUERIES
@@ -114,3 +115,22 @@ def test_tfidf_of_blocks(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "BroadcastHashJoin" not in plan
     assert {(r.id, r.matched, r.similarity) for r in got.collect()} == {(i + 650, i, 1.0) for i in range(50)}
+
+
+def test_ranks_over_tasks(spark, monkeypatch):
+    """A group is numbered in many tasks, null groups and no groups included, and its ranks are those of one sort."""
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "b", None]) if k > 900 else "a", float(rng.randrange(-4, 5)), float(rng.randrange(-2, 3)), k) for k in range(1200)]
+    df = spark.createDataFrame(rows, "g string, x double, y double, k long")
+    monkeypatch.setattr(E, "tasks_for", lambda _: 7)
+    assert E.numbered(df, ["g"], ["x", "k"], "n").select(F.spark_partition_id()).distinct().count() > 1
+    plan = E.spearman(df, "x", "y", "k", ["g"])._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+    for by, of in ((["g"], lambda r: r[0]), ([], lambda r: 0)):
+        got = {(r["g"] if by else 0): (r.n, r.rho, r.sign_agreement) for r in E.spearman(df, "x", "y", "k", by).collect()}
+        for g in set(map(of, rows)):
+            own = [r for r in rows if of(r) == g]
+            rank = lambda c, own=own: {r[3]: i for i, r in enumerate(sorted(own, key=lambda r: (r[c], r[3])))}
+            x, y, n = rank(1), rank(2), len(own)
+            agree = sum((r[1] > 0) - (r[1] < 0) == (r[2] > 0) - (r[2] < 0) for r in own) / n
+            assert got[g] == (n, round(1 - 6 * sum((x[k] - y[k]) ** 2 for k in x) / (n * (n * n - 1)), 4), round(agree, 4))
