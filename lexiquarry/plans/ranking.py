@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .. import lexicon
 from ..operators import ranking as R
 from ..registry import query, table
+from ..session import tasks_for
 
 CAND = """c0 AS (SELECT l_orderkey AS query_id, l_partkey * 10 + l_linenumber AS chunk_id, max(l_discount) / 10 AS fusion_score, 'Doc ' || CAST(min(l_suppkey) % 4 AS VARCHAR) AS file_name,
  min(l_returnflag) AS section, min(l_linestatus) AS parent, CAST(l_linenumber % 2 AS INT) AS has_table, max(l_tax) * 4 AS pairing_score,
@@ -23,8 +24,10 @@ c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fusion_score D
 def candidates(s, d):
     n, o = F.col("l_linenumber"), F.col("l_orderkey")
     case = lambda c, *values: F.element_at(F.array(*[F.lit(v) for v in values]), (c + 1).cast("int"))
+    # an order's lines meet once, and all its rules find them together
+    lines = table(s, d, "lineitem")
     g = (
-        table(s, d, "lineitem")
+        lines.repartition(tasks_for(lines), "l_orderkey")
         .groupBy("l_orderkey", "l_partkey", "l_linenumber")
         .agg(F.max("l_discount").alias("disc"), F.min("l_suppkey").alias("supp"), F.min("l_returnflag").alias("section"), F.min("l_linestatus").alias("parent"), F.max("l_tax").alias("tax"))
     )

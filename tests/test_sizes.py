@@ -11,6 +11,7 @@ from lexiquarry.operators import evaluation as E
 from lexiquarry.operators import ranking as K
 from lexiquarry.operators import retrieval as R
 from lexiquarry.registry import ORACLES, QUERIES
+from lexiquarry.session import tasks_for
 
 plans.load()
 
@@ -134,3 +135,12 @@ def test_ranks_over_tasks(spark, monkeypatch):
             x, y, n = rank(1), rank(2), len(own)
             agree = sum((r[1] > 0) - (r[1] < 0) == (r[2] > 0) - (r[2] < 0) for r in own) / n
             assert got[g] == (n, round(1 - 6 * sum((x[k] - y[k]) ** 2 for k in x) / (n * (n * n - 1)), 4), round(agree, 4))
+
+
+def test_candidates_are_dealt_once(spark, sf):
+    """An order's lines meet in one shuffle, and in tasks whose number follows the rows; more rows do not make a task larger."""
+    for name in ("table_body_pair", "round_robin_docs", "diversity_rerank", "diverse_select", "type_gated_rerank"):
+        plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in plan
+    cores = spark.sparkContext.defaultParallelism
+    assert [tasks_for(spark.range(n), 50) for n in (0, 10, 50 * cores + 1)] == [cores, cores, cores + 1]
