@@ -1,13 +1,16 @@
 """Cases that larger tables brought up: ties, rounding, and pairs that must not be made one by one."""
 
+import hashlib
 import random
 
 import duckdb
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lexiquarry import plans
 from lexiquarry.operators import curation as C
 from lexiquarry.operators import evaluation as E
+from lexiquarry.operators import grids as G
 from lexiquarry.operators import ranking as K
 from lexiquarry.operators import retrieval as R
 from lexiquarry.registry import ORACLES, QUERIES
@@ -144,3 +147,30 @@ def test_candidates_are_dealt_once(spark, sf):
         assert plan.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in plan
     cores = spark.sparkContext.defaultParallelism
     assert [tasks_for(spark.range(n), 50) for n in (0, 10, 50 * cores + 1)] == [cores, cores, cores + 1]
+
+
+def test_chunks_stay_in_their_row(spark, sf):
+    """Digests of a table's chunks are made in its row: nothing is shuffled after its texts are, and they are those of the chunks."""
+    plan = QUERIES["structured_chunks"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("ArrowEvalPython")] and "ObjectHashAggregate" not in plan[: plan.index("ArrowEvalPython")]
+    df = spark.createDataFrame([(1, "<table><tr><td>a</td><td>7</td></tr></table>", None, "s", " b "), (2, None, "x | 2024-1-2\ny", "", ""), (3, None, None, None, None)], "k int, html string, lines string, section_label string, body string")
+    df = df.select("*", F.lit("m").alias("pairing_method"), F.lit(0.5).alias("pairing_score"))
+    made, want = G.structured_chunks(df, "k", prefix=F.lit("t"), chars=40).collect(), {}
+    for r in sorted(made, key=lambda r: r.chunk_id):
+        want.setdefault((r.k, r.chunk_type), []).append(r)
+    got = {(r.k, r.chunk_type): (r.n, r.chars, r.texts, r.has_table) for r in G.chunk_digests(G.chunk_lists(df, "k", prefix=F.lit("t")), "k", chars=40).collect()}
+    assert got == {g: (len(v), sum(r.raw_chars for r in v), hashlib.md5("\n".join(f"{r.chunk_id}\n{r.text}" for r in v).encode()).hexdigest(), max(r.has_table for r in v)) for g, v in want.items()}
+
+
+def test_lists_by_column():
+    """Grids go to Arrow by column, empty ones included."""
+    cell = pa.struct([("r", pa.int32()), ("t", pa.string())])
+    assert G._lists([[(1, "a"), (2, "b")], [], [(3, None)]], cell).to_pylist() == [[{"r": 1, "t": "a"}, {"r": 2, "t": "b"}], [], [{"r": 3, "t": None}]]
+    assert G._lists([[], []], cell).to_pylist() == [[], []] and G._lists([["x"], []], pa.string()).to_pylist() == [["x"], []]
+
+
+def test_words_are_found_once(spark, sf):
+    """Expressions that are read several times are in the plan once: the four texts of an alignment, both lists of an answer."""
+    plan = lambda name: QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan("alignment_scores").count("regexp_extract_all(") == 4
+    assert plan("grade_list_set").count("국가|지역") == 2
