@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -42,6 +43,7 @@ FIELD_GROUPS = {
 LABEL_WORDS = ("대민사이트", "BackOffice", "추가사항", "추진목표", "추진과제", "추진일정", "추진체계", "역할", "구분")
 STACKED_LABELS = ("추진목표", "추진과제", "추진일정", "추진체계및역할", "추진체계")
 OVERVIEW_WORDS = ("사업개요", "사업명", "사업기간", "소요예산", "계약방식", "선정절차")
+HANGUL = "[가-힣]+"
 BULLETS = r"^[□○\-◈※ㆍ]"
 OUTLINE = r"^(?:[ⅠⅡⅢⅣⅤ]|[1-9])\."
 # Signals that let an uncertain table back in, and what a signal adds to an OCR score.
@@ -91,7 +93,12 @@ def block_features(blocks: DataFrame, text: str = "text") -> DataFrame:
     lines = text_lines(t)
     rows = blocks.withColumn("__t", F.struct(t.alias("t"), compact(t).alias("c"), lines.alias("l")))
     t, c, lines = F.col("__t.t"), F.col("__t.c"), F.col("__t.l")
-    hits = lambda words: sum((F.greatest(occurrences(t, w), occurrences(c, _squeeze(w))) for w in words), F.lit(0))
+    rows = rows.withColumn("__h", F.struct(*[F.regexp_replace(x, "[^가-힣]+", " ").alias(k) for k, x in (("t", t), ("c", c))]))
+    # a word of Hangul alone is asked of the text's Hangul alone, which keeps its runs apart and is short where other scripts prevail
+    ht, hc = F.col("__h.t"), F.col("__h.c")
+    own = lambda whole, hangul, w: hangul if re.fullmatch(HANGUL, w) else whole
+    hits = lambda words: sum((F.greatest(occurrences(own(t, ht, w), w), occurrences(own(c, hc, _squeeze(w)), _squeeze(w))) for w in words), F.lit(0))
+    held = lambda c, words: sum((own(c, hc, _squeeze(w)).contains(_squeeze(w)).cast("int") for w in words), F.lit(0))
     count = lambda p: F.size(F.filter(lines, p))
     f = F.struct(
         hits(TOC_WORDS).alias("toc"),
@@ -114,7 +121,7 @@ def block_features(blocks: DataFrame, text: str = "text") -> DataFrame:
         F.exists(lines, lambda x: x.rlike(r"202[456]\.")).alias("dated"),
         c.alias("c"),
     )
-    return rows.withColumn("f", f).drop("__t")
+    return rows.withColumn("f", f).drop("__t", "__h")
 
 
 def first_pass(blocks: DataFrame, rows: str = "row_hints", paragraphs: str = "paragraphs") -> DataFrame:

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lexiquarry import plans
+from lexiquarry.operators import artifacts as A
 from lexiquarry.operators import curation as C
 from lexiquarry.operators import evaluation as E
 from lexiquarry.operators import grids as G
@@ -174,3 +175,11 @@ def test_words_are_found_once(spark, sf):
     plan = lambda name: QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert plan("alignment_scores").count("regexp_extract_all(") == 4
     assert plan("grade_list_set").count("국가|지역") == 2
+
+
+def test_hangul_is_asked_of_hangul(spark):
+    """Words of Hangul alone are counted in a text without its other characters, which keep apart what they part."""
+    rows = [("목 차목x차 목차 구분1항목",), ("목a차 사업\n명 ID 요구 사항 ID",), ("x" * 50,), (None,), ("",)]
+    got = A.block_features(spark.createDataFrame(rows, "text string"))
+    assert "[^가-힣]+" in got._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.f.toc, r.f.cover, r.f.data, r.f.headers) for r in got.collect()] == [(2, 0, 2, 2), (0, 1, 1, 2), (0, 0, 0, 0), (0, 0, 0, 0), (0, 0, 0, 0)]
