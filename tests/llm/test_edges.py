@@ -192,6 +192,16 @@ def repeats_by_row():
     return {d: v[i] for i, (d, _, _) in enumerate(ROWS)}
 
 
+def test_rlbwt_of_periods(spark):
+    """A text whose bytes come round and round has a row for each different piece, not one for each place."""
+    texts = ["one common line of words again \n" * (90 + k) + f"end {k}" for k in range(30)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    hot = df.select(F.col("doc_id").cast("string").cast("binary").alias("node"), "text", F.lit(0).alias("from"), F.length("text").alias("to"))
+    found = rlbwt.finer_pieces(hot.drop("text"), hot.select("node", "text"), 400, 3)
+    assert found.count() < 32 * 30 and found.count() == found.select("node", "hash", "content").distinct().count()
+    assert {r[0]: tuple(r[1:]) for r in rlbwt.repeats(df, anchor_bytes=5000, task_bytes=5000).collect()} == B.repeats(list(enumerate(texts)))
+
+
 def test_rlbwt_parts(spark):
     import random
 
