@@ -183,3 +183,29 @@ def test_hangul_is_asked_of_hangul(spark):
     got = A.block_features(spark.createDataFrame(rows, "text string"))
     assert "[^가-힣]+" in got._jdf.queryExecution().optimizedPlan().toString()
     assert [(r.f.toc, r.f.cover, r.f.data, r.f.headers) for r in got.collect()] == [(2, 0, 2, 2), (0, 1, 1, 2), (0, 0, 0, 0), (0, 0, 0, 0), (0, 0, 0, 0)]
+
+
+def test_few_questions_meet_chunks_as_a_matrix(spark, monkeypatch):
+    """No pair of question and chunk is shuffled or joined for a score; lists, bonuses, ties and null fields are those of the join."""
+    rng = random.Random(3)
+    rows = [(k, None if k % 40 == 7 else " ".join(rng.choice(["a", "b", "c", "dd", "src1", "en"]) for _ in range(rng.randrange(9))), rng.choice(["src1", "src2", None]), rng.choice(["en", "de", None])) for k in range(300)]
+    df = spark.createDataFrame(rows, "chunk_id long, text string, source string, lang string")
+    asked = spark.createDataFrame([(1, "a a en"), (2, "src1 b"), (3, "none"), (4, ""), (5, "dd")], "query_id long, text string")
+    expected = spark.createDataFrame([(1, "src1"), (2, "src2"), (3, "src1")], "query_id long, source string")
+    terms = R.tokens(F.col("text"))
+    index = R.Bm25(df, terms, keep=["source", "lang"])
+    bonuses = [("source", 1.5), ("lang", 1.0)]
+    ways = lambda: [index.scores(asked, terms), index.top(asked, terms, 4), index.filtered(asked, terms, 5, name="source", bonuses=bonuses), index.filtered(asked, terms, 2, name="source", bonuses=bonuses, keep=F.col("lang") == "en"), index.within(asked, terms, expected, "source", 5)]
+    few = ways()
+    for found in few[:4]:
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "Join" not in plan and "Generate" not in plan
+    got = [sorted(map(tuple, df.select(sorted(df.columns)).collect()), key=str) for df in few]
+    monkeypatch.setattr(R, "CELLS", 0)
+    assert got == [sorted(map(tuple, df.select(sorted(df.columns)).collect()), key=str) for df in ways()] and all(got)
+
+
+def test_rounds_as_spark_does(spark):
+    x = [0.0000005, 1.0000005, 2.6750005, -0.0000015, 12.3456785, 0.1234565, 1e-9, 7.25, 123.45678949999999]
+    want = [r.y for r in spark.createDataFrame([(v,) for v in x], "x double").select(F.round("x", 6).alias("y")).collect()]
+    assert R.rounded(R.np.array(x), 6).tolist() == want
