@@ -98,8 +98,9 @@ j AS (SELECT a.conv_id, a.turn AS t, b.turn AS region, round(len(list_intersect(
 SELECT conv_id, t, region, score FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, t ORDER BY score DESC, region) AS rn FROM j WHERE score > 0) WHERE rn = 1""",
 )
 def _(s, d):
-    c = table(s, d, "conversations").select("conv_id", "role", "turn", char_ngrams(F.col("text")).alias("grams"), tokens(F.col("text")).alias("w"))
-    t = c.where("role = 'user' AND size(grams) > 0").select("conv_id", F.col("turn").alias("t"), "grams", F.array_distinct(F.slice("w", 1, 5)).alias("parent_tokens"), F.create_map(F.col("turn") + 1, F.lit(0.5)).alias("page_scores"))
+    c = table(s, d, "conversations").select("conv_id", "role", "turn", "text", char_ngrams(F.col("text")).alias("grams"), tokens(F.col("text")).alias("w"))
+    some = F.regexp_like(F.lower("text"), F.lit("[0-9a-z가-힣._-]"))  # has grams
+    t = c.where((F.col("role") == "user") & some).select("conv_id", F.col("turn").alias("t"), "grams", F.array_distinct(F.slice("w", 1, 5)).alias("parent_tokens"), F.create_map(F.col("turn") + 1, F.lit(0.5)).alias("page_scores"))
     r = c.where("role = 'assistant'").select("conv_id", F.col("turn").alias("region"), F.col("turn").alias("page"), "grams", F.col("w").alias("tokens"), ((F.col("turn") % 10) / 10.0).alias("region_score"))
     return V.match_regions(t, r, ["conv_id"], "t", "region")
 

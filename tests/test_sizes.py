@@ -1,16 +1,20 @@
 """Cases that larger tables brought up: ties, rounding, and pairs that must not be made one by one."""
 
 import hashlib
+import math
 import random
+import re
 
 import duckdb
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lexiquarry import plans
+from lexiquarry.functions.text import char_ngrams
 from lexiquarry.operators import artifacts as A
 from lexiquarry.operators import curation as C
 from lexiquarry.operators import evaluation as E
+from lexiquarry.operators import evidence as V
 from lexiquarry.operators import grids as G
 from lexiquarry.operators import ranking as K
 from lexiquarry.operators import retrieval as R
@@ -209,3 +213,54 @@ def test_rounds_as_spark_does(spark):
     x = [0.0000005, 1.0000005, 2.6750005, -0.0000015, 12.3456785, 0.1234565, 1e-9, 7.25, 123.45678949999999]
     want = [r.y for r in spark.createDataFrame([(v,) for v in x], "x double").select(F.round("x", 6).alias("y")).collect()]
     assert R.rounded(R.np.array(x), 6).tolist() == want
+
+
+def regions_by_row(tables, regions):
+    """The best region of each table from every pair, one by one: {table: (region, score)}."""
+    out = {}
+    for d, k, grams, parents, pages in tables:
+        for e, r, page, other, words, own in regions:
+            if d == e and other:
+                both = len(set(grams) & set(other))
+                x = both / (len(grams) + len(other) - both) + pages.get(page, 0.0) * 0.35 + min(0.25, len(set(parents) & set(words)) * 0.03) + own * 0.1
+                x = math.floor(x * 10000 + 0.5) / 10000
+                if x > 0 and (d, k) not in out or x > out.get((d, k), (0, x))[1] or x == out.get((d, k), (0, 0))[1] and r < out[d, k][0]:
+                    out[d, k] = (r, x)
+    return out
+
+
+TABLES = "d long, t long, grams array<string>, parent_tokens array<string>, page_scores map<long, double>"
+REGIONS = "d long, r long, page long, grams array<string>, tokens array<string>, region_score double"
+
+
+def test_regions_of_long_documents(spark, monkeypatch):
+    """Documents of one block and of many, with equal rows, empty lists and items on one side only; no row for a gram or a pair."""
+    monkeypatch.setattr(V, "BLOCK", 7)
+    monkeypatch.setattr(V, "WIDE", 5)
+    rng = random.Random(5)
+    some = lambda most: rng.sample("abcdefghijklmnop", rng.randint(0, most))
+    tables = [(d, k, some(9), some(5), {k + 1: 0.5} if k % 3 else {}) for d, n in ((1, 40), (2, 3), (3, 1), (5, 2)) for k in range(n)]
+    regions = [(d, k, k, some(12), some(9), k % 10 / 10) for d, n in ((1, 60), (2, 2), (3, 3), (4, 5)) for k in range(n)]
+    regions += [(1, 100 + k, 100 + k, *regions[k % 10][3:5], 0.9) for k in range(40)]
+    rng.shuffle(regions)
+    found = V.match_regions(spark.createDataFrame(tables, TABLES), spark.createDataFrame(regions, REGIONS), ["d"], "t", "r")
+    assert {(x.d, x.t): (x.r, x.score) for x in found.collect()} == regions_by_row(tables, regions)
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_region_scores_round_as_sql(spark):
+    """Halves of the fifth digit go the way of the binary value, as in DuckDB."""
+    names = [f"g{k}" for k in range(160)]
+    tables = spark.createDataFrame([(1, k, names[:k], [], {1: 0.5}) for k in range(1, 161)], TABLES)
+    regions = spark.createDataFrame([(1, 1, 1, names, [], 0.1)], REGIONS)
+    got = {x.t: x.score for x in V.match_regions(tables, regions, ["d"], "t", "r").collect()}
+    want = duckdb.sql("select k, round(k / 160::double + 0.5::double * 0.35::double + 0.1::double * 0.1::double, 4) from range(1, 161) t(k)").fetchall()
+    assert got == dict(want)
+
+
+def test_char_ngrams_of_long_texts(spark):
+    for text in ("", "a", "ab", "abc", "x!y z", "가나다 라-9", "é\n\u2028", "😀a😀b c", "abcab" * 500, None):
+        kept = None if text is None else re.sub("[^0-9a-z가-힣._-]", "", text.lower())
+        for n in (1, 2, 3):
+            want = None if text is None else list(dict.fromkeys(kept[i : i + n] for i in range(max(len(kept) - n + 1, bool(kept)))))
+            assert spark.createDataFrame([(text,)], "t string").select(char_ngrams(F.col("t"), n)).first()[0] == want
