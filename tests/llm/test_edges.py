@@ -1,5 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and columns whose names clash."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -202,6 +204,22 @@ def test_rlbwt_of_periods(spark):
     assert {r[0]: tuple(r[1:]) for r in rlbwt.repeats(df, anchor_bytes=5000, task_bytes=5000).collect()} == B.repeats(list(enumerate(texts)))
 
 
+def test_rlbwt_frequent_anchor(spark, monkeypatch):
+    """Classes meet the anchors asked for in a plan without aggregates, so that adaptive execution can split an anchor's classes."""
+    rng, plans = random.Random(9), {}
+    line = "".join(rng.choice("abcdef ") for _ in range(420))
+    rows = [(k, "".join(rng.choice("abcdef ") for _ in range(500)) + line + "".join(rng.choice("abcdef ") for _ in range(500))) for k in range(12)]
+
+    def kept(df, name, do=rlbwt.materialize):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return do(df, name)
+
+    monkeypatch.setattr(rlbwt, "materialize", kept)
+    found = rlbwt.repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r[0]: tuple(r[1:]) for r in found.collect()} == B.repeats(rows)
+    assert "Join" in plans["repeat-ask"] and "Aggregate" not in plans["repeat-ask"]
+
+
 def test_rlbwt_parts(spark):
     import random
 
