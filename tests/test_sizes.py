@@ -136,6 +136,33 @@ def test_tfidf_of_blocks(spark):
     assert {(r.id, r.matched, r.similarity) for r in got.collect()} == {(i + 650, i, 1.0) for i in range(50)}
 
 
+def test_tfidf_as_sql(spark, tmp_path):
+    """Letters whose lower case depends on their neighbours or is two, a tab that the SQL does not part words at, wide letters, missing keys and
+    texts, one key twice and equal texts."""
+    some = ["ΟΔΟΣ ΟΔΟΣ x", "οδοσ οδοσ x", "Iİ iİ kapı", "ii ii kapı", "one\x0btwo three", "one two three", "one\u00a0two three", "가나다라 마바", "가나다라 마바사", "😀😀a b", None, " \n", "", "a", "A a"]
+    rows = [(c, t if t % 11 else None, some[((c or 0) * 7 + t * t) % len(some)]) for c in (1, 2, 3, None) for t in range(40)] + [(1, 5, "one two"), (4, 1, "lone words")]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    want = con.execute(ORACLES["dup_tfidf"]).fetchall()
+    assert {tuple(r) for r in QUERIES["dup_tfidf"](spark, str(tmp_path)).collect()} == set(want) and len(want) > 60
+
+
+def test_tfidf_bounds_lose_no_pair(spark, monkeypatch):
+    """Small blocks, few columns and no dense way give the pairs of one dense block; only near pairs are compared gram by gram."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(150)]
+    texts = [[rng.choice(words[: 150 - g * 60]) for _ in range(rng.randint(1, 60))] for g in (0, 1) for _ in range(60)]
+    texts += [[rng.choice(words) if rng.random() < 0.04 * (k % 4) else w for w in rng.choice(texts)] for k in range(120)]
+    df = spark.createDataFrame([(k % 3, k, " ".join(t)) for k, t in enumerate(texts)], "g long, k long, t string").coalesce(2)
+    way = lambda least: sorted(map(tuple, C.tfidf_duplicates(df, ["g"], "k", "t", least).collect()))
+    want = [way(0.92), way(0.6)]
+    monkeypatch.setattr(C, "CHARS", 1500)
+    assert [way(0.92), way(0.6)] == want and 10 < len(want[0]) < len(want[1])
+    vocabulary = C._vocabulary(None)
+    assert [len(c) for c in vocabulary] == [0, 0, 0, 0]
+
+
 def test_ranks_over_tasks(spark, monkeypatch):
     """A group is numbered in many tasks, null groups and no groups included, and its ranks are those of one sort."""
     rng = random.Random(5)
