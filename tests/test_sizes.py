@@ -204,6 +204,15 @@ def test_chunks_stay_in_their_row(spark, sf):
     assert got == {g: (len(v), sum(r.raw_chars for r in v), hashlib.md5("\n".join(f"{r.chunk_id}\n{r.text}" for r in v).encode()).hexdigest(), max(r.has_table for r in v)) for g, v in want.items()}
 
 
+def test_chunk_lines_are_made_once(spark, sf):
+    """Lines of a chunk are trimmed without a pattern, and a row for a kind does not hold the chunks of all kinds."""
+    plan = QUERIES["structured_chunks"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") < 10 and "explode(array_distinct" not in plan
+    block = spark.range(1).select(G._block("A", F.lit(" \t\n\x0b\f\r"), F.lit(" b \n c\x0b"), F.lit(None).cast("string"), F.lit("d"))).first()[0]
+    assert block == "[A]\nb \n c\nd\n[/A]"
+    assert G.html_cells("<tr><!-- <td>x --><TD ROWSPAN=2 colspan='3'>a<b>b</b> &amp;</TD><td>c</tr>") == [(1, False, 2, 3, "a b &"), (1, False, 1, 1, "c")]
+
+
 def test_lists_by_column():
     """Grids go to Arrow by column, empty ones included."""
     cell = pa.struct([("r", pa.int32()), ("t", pa.string())])
